@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text handled at once: the arrays of one chunk take about fifty times this.
 CHUNK_BYTES = 1 << 20
@@ -143,7 +144,7 @@ def word_windows(hashes: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarra
 def chunks(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = CHUNK_BYTES, rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """The same rows in slices whose text column has at most ``limit`` bytes (or a single row)."""
     for batch in batches:
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64)
         total, start = np.cumsum(sizes), 0
         while start < len(sizes):
             done = total[start - 1] if start else 0
