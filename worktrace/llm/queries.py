@@ -34,12 +34,30 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from worktrace.llm.neardup import near_duplicates
+
+    return near_duplicates(_docs(spark, sf_dir), k=2, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_decontaminate": op3_decontaminate,
+    "op5_neardup": op5_neardup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_neardup": r"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, x FROM (
+    SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS x FROM doc WHERE len(w) >= 2
+    UNION ALL SELECT doc_id, w[1] FROM doc WHERE len(w) = 1)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+links AS (SELECT a.doc_id AS u, b.doc_id AS v FROM sh a JOIN sh b ON a.x = b.x AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+          GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS c FROM doc UNION SELECT l.v, r.c FROM reach r JOIN links l ON l.u = r.doc_id)
+SELECT doc.doc_id, coalesce(n, 0) AS n_shingles, min(c) AS component_id, min(c) = doc.doc_id AS kept
+FROM doc JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY doc.doc_id, n""",
     "op3_decontaminate": r"""
 WITH doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
