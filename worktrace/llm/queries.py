@@ -40,10 +40,25 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir), k=2, percent=80)
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from worktrace.llm.substrings import dedup_substrings
+
+    return dedup_substrings(_docs(spark, sf_dir), length=35)
+
+
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from worktrace.llm.sharding import kd_shards
+
+    dealt = kd_shards(_docs(spark, sf_dir), shards=8)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_decontaminate": op3_decontaminate,
     "op5_neardup": op5_neardup,
+    "op7_substrings": op7_substrings,
+    "op8_shards": op8_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -58,6 +73,16 @@ links AS (SELECT a.doc_id AS u, b.doc_id AS v FROM sh a JOIN sh b ON a.x = b.x A
 reach AS (SELECT doc_id, doc_id AS c FROM doc UNION SELECT l.v, r.c FROM reach r JOIN links l ON l.u = r.doc_id)
 SELECT doc.doc_id, coalesce(n, 0) AS n_shingles, min(c) AS component_id, min(c) = doc.doc_id AS kept
 FROM doc JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY doc.doc_id, n""",
+    "op7_substrings": r"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM doc WHERE len(w) >= 35)),
+dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY x) AS c FROM win) WHERE c > 1),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM doc),
+gone AS (SELECT doc_id, p FROM (SELECT word.doc_id, p, x, max(i) OVER (PARTITION BY word.doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS last
+         FROM word LEFT JOIN dup ON dup.doc_id = word.doc_id AND dup.i = p) WHERE p - last < 35),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (doc_id)""",
     "op3_decontaminate": r"""
 WITH doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
