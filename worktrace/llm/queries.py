@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -53,12 +53,43 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _fold(k: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % k
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from worktrace.llm.quality import score_quality
+
+    return score_quality(_docs(spark, sf_dir), _labels(spark, sf_dir), learn=_fold(5) != 0)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from worktrace.llm.toxicity import REJECT, score_toxicity
+
+    scored = score_toxicity(_docs(spark, sf_dir), _labels(spark, sf_dir))
+    return scored.withColumn("toxic", F.col("toxic_score") >= REJECT)
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from worktrace.llm.langid import identify
+
+    docs = _docs(spark, sf_dir)
+    return identify(docs, docs, learn=_fold(4) != 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
     "op3_decontaminate": op3_decontaminate,
+    "op4_toxicity": op4_toxicity,
     "op5_neardup": op5_neardup,
     "op7_substrings": op7_substrings,
     "op8_shards": op8_shards,
+    "op9_langid": op9_langid,
 }
 
 ORACLE_SQL: dict[str, str] = {
