@@ -68,10 +68,9 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from worktrace.llm.toxicity import REJECT, score_toxicity
+    from worktrace.llm.toxicity import score_toxicity
 
-    scored = score_toxicity(_docs(spark, sf_dir), _labels(spark, sf_dir))
-    return scored.withColumn("toxic", F.col("toxic_score") >= REJECT)
+    return score_toxicity(_docs(spark, sf_dir), _labels(spark, sf_dir))
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +80,12 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, docs, learn=_fold(4) != 2)
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from worktrace.llm.html import extract
+
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_substrings": op7_substrings,
     "op8_shards": op8_shards,
     "op9_langid": op9_langid,
+    "op10_html": op10_html,
 }
 
 ORACLE_SQL: dict[str, str] = {

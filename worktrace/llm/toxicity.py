@@ -28,9 +28,9 @@ TRAIN_ROWS, TRAIN_BYTES, FEATURES = 8000, 16 << 10, 4096
 LEAST_Z = 5.0
 #: Least ratio of the document frequencies (either way) for a feature to be kept.
 LEAST_RATIO = 4.0
-#: Chance of a grade over 0 from which a document is rejected. Clean texts have none of the marking features and
-#: score below 0.01; a text with few of them scores 0.1 to 0.5.
-REJECT = 0.1
+#: A document is toxic from this chance of a grade over 0 on; where the chance without any marking feature comes
+#: near it (few labels), from three times that chance.
+TOXIC = 0.1
 
 
 def _features(words: Words) -> list[np.ndarray]:
@@ -62,6 +62,10 @@ class OrdinalModel:
         pair = np.unique(np.concatenate(doc) * len(self.hashes) + np.concatenate(found))
         return pair // len(self.hashes), pair % len(self.hashes)
 
+    @property
+    def toxic_from(self) -> float:
+        return max(TOXIC, min(0.5, 3 * (1 - self.grades(pa.array([""]))[0, 0])))
+
     def grades(self, column: pa.Array) -> np.ndarray:
         """(texts, GRADES) chances."""
         value = np.zeros(len(column))
@@ -143,7 +147,7 @@ def train(texts: list[str], toxic: list[int], steps: int = 400, penalty: float =
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, texts_from: DataFrame | None = None, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, severity (expected grade), grade (likeliest), toxic_score (chance of a grade
-    over 0).
+    over 0), toxic (whether that reaches the model's threshold).
 
     Learns from at most TRAIN_ROWS labelled rows of ``texts_from`` (docs unless given) that meet ``learn``, a
     condition on doc_id. Null and empty texts have no features and get the base rate; null ids are scored and
@@ -159,7 +163,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             chance = shipped.value.grades(batch.column(1))
-            cols = [batch.column(0), pa.array(chance @ np.arange(GRADES)), pa.array(chance.argmax(axis=1).astype(np.int32)), pa.array(1 - chance[:, 0])]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "severity", "grade", "toxic_score"])
+            cols = [batch.column(0), pa.array(chance @ np.arange(GRADES)), pa.array(chance.argmax(axis=1).astype(np.int32)), pa.array(1 - chance[:, 0]), pa.array(1 - chance[:, 0] >= shipped.value.toxic_from)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "severity", "grade", "toxic_score", "toxic"])
 
-    return pick(docs).mapInArrow(run, "doc_id long, severity double, grade int, toxic_score double")
+    return pick(docs).mapInArrow(run, "doc_id long, severity double, grade int, toxic_score double, toxic boolean")
