@@ -1,8 +1,8 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page is cut into blocks at block-level tags. A block's features are its words and link density, those of the
-blocks before and after it, and where it stands (inside article or main; inside a container whose tag, role,
-class or id names page furniture). A decision tree, grown on the small labelled table below, says which blocks
+blocks before and after it, and where it stands (inside article or main, outside it, or on a page without;
+inside a container whose tag, role, class or id names page furniture). A decision tree, grown on the small labelled table below, says which blocks
 are content.
 """
 
@@ -129,12 +129,16 @@ LABELLED = np.array(
         [1, 1, 50, 0, 50, 0, 1, 0, 0, 1], [90, 0, 0, 0, 0, 0, 1, 0, 0, 1], [7, 0, 5, 0, 15, 0.1, 1, 0, 0, 1], [12, 0.9, 80, 0, 100, 0, 1, 0, 0, 1],
         [60, 0, 30, 0, 2, 1, 1, 0, 0, 1], [9, 0, 50, 0, 3, 1, 1, 0, 0, 1], [22, 0, 2, 1, 1, 1, 1, 0, 0, 1], [5, 0, 2, 1, 40, 0.8, 1, 0, 1, 1],
         [130, 0, 70, 0, 8, 0.9, 1, 0, 0, 1], [2, 0, 1, 1, 4, 0.75, 1, 0, 0, 1], [33, 0.1, 15, 0.6, 12, 0.7, 1, 0, 0, 1], [3, 1, 45, 0, 6, 1, 1, 0, 0, 1],
+        [9, 0, 12, 0, 2, 1, 1, 0, 0, 1], [6, 0, 14, 0, 1, 1, 1, 0, 0, 1], [14, 0, 8, 0, 1, 1, 1, 0, 1, 1], [2, 0, 20, 0, 3, 1, 1, 0, 0, 1],
+        [2, 1, 4, 1, 30, 0, 1, 0, 0, 1], [1, 1, 20, 0, 12, 0, 1, 0, 0, 1], [4, 1, 2, 1, 2, 1, 1, 0, 0, 1], [3, 1, 9, 0, 0, 0, 1, 0, 0, 1],
         # inside article, but in furniture of its own: shares, adverts, comments, forms
         [6, 1, 80, 0, 6, 1, 1, 1, 0, 0], [9, 0, 60, 0, 70, 0, 1, 1, 0, 0], [45, 0, 4, 0.5, 3, 1, 1, 1, 0, 0], [3, 0, 120, 0, 20, 0, 1, 1, 1, 0],
         [80, 0, 10, 0.2, 90, 0, 1, 1, 0, 0], [150, 0, 40, 0, 2, 1, 1, 1, 0, 0],
         # furniture outside: menus, footers, side bars, notices, forms, comments
         [1, 1, 1, 1, 1, 1, 0, 1, 0, 0], [2, 1, 3, 1, 9, 0, 0, 1, 0, 0], [8, 0, 1, 1, 12, 0, 0, 1, 0, 0], [15, 0.1, 50, 0, 0, 0, 0, 1, 0, 0],
         [40, 0, 5, 0, 5, 1, 0, 1, 0, 0], [120, 0, 6, 0, 80, 0, 0, 1, 0, 0], [4, 0, 30, 0, 60, 0, 0, 1, 1, 0], [25, 0.6, 12, 1, 8, 1, 0, 1, 0, 0],
+        # outside the article or main of a page that has one
+        [40, 0, 5, 0, 14, 0, -1, 0, 0, 0], [80, 0, 60, 0, 3, 1, -1, 0, 0, 0], [6, 0, 1, 1, 20, 0, -1, 0, 1, 0], [12, 0, 50, 0, 0, 0, -1, 0, 0, 0], [22, 0.1, 30, 0, 25, 0, -1, 0, 0, 0],
         # pages without marks: running text, its headings and short lines
         [70, 0, 9, 0, 55, 0, 0, 0, 0, 1], [35, 0.05, 80, 0, 20, 0, 0, 0, 0, 1], [22, 0, 45, 0, 0, 0, 0, 0, 0, 1], [160, 0.1, 3, 1, 60, 0.05, 0, 0, 0, 1],
         [8, 0, 3, 1, 70, 0, 0, 0, 1, 1], [5, 0, 90, 0, 85, 0, 0, 0, 1, 1], [4, 0, 75, 0, 60, 0, 0, 0, 0, 1], [11, 0, 40, 0.1, 50, 0, 0, 0, 0, 1],
@@ -144,6 +148,7 @@ LABELLED = np.array(
         [2, 1, 2, 1, 3, 1, 0, 0, 0, 0], [1, 1, 0, 0, 1, 1, 0, 0, 0, 0], [6, 0.8, 4, 1, 5, 1, 0, 0, 0, 0], [3, 0, 2, 1, 2, 1, 0, 0, 0, 0],
         [4, 0, 5, 0.9, 1, 1, 0, 0, 0, 0], [12, 0.7, 9, 0.6, 3, 1, 0, 0, 0, 0], [9, 0, 2, 1, 3, 1, 0, 0, 0, 0], [5, 0, 0, 0, 1, 1, 0, 0, 0, 0],
         [3, 0, 4, 0, 2, 1, 0, 0, 1, 0], [30, 0.8, 20, 0.9, 10, 1, 0, 0, 0, 0],
+        [2, 1, 3, 1, 60, 0, 0, 0, 0, 0], [1, 1, 1, 1, 0, 0, 0, 0, 0, 0], [4, 0.9, 2, 1, 30, 0, 0, 0, 0, 0], [2, 1, 50, 0, 40, 0, 0, 0, 0, 0],
     ]
 )
 
@@ -193,7 +198,8 @@ def features(blocks: list[Block]) -> np.ndarray:
     density = np.array([b.linked for b in blocks]) / words
     before = lambda x: np.concatenate(([0.0], x[:-1]))
     after = lambda x: np.concatenate((x[1:], [0.0]))
-    flags = np.array([(b.content, b.furniture, b.heading) for b in blocks], dtype=float)
+    outside = -1.0 if any(b.content for b in blocks) else 0.0
+    flags = np.array([(1.0 if b.content else outside, b.furniture, b.heading) for b in blocks], dtype=float)
     return np.column_stack((words, density, before(words), before(density), after(words), after(density), flags))
 
 

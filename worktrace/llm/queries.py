@@ -40,6 +40,12 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir), k=2, percent=80)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from worktrace.llm.fingerprint import compare_edited
+
+    return compare_edited(_docs(spark, sf_dir))
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from worktrace.llm.substrings import dedup_substrings
 
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_toxicity": op4_toxicity,
     "op5_neardup": op5_neardup,
+    "op6_fingerprints": op6_fingerprints,
     "op7_substrings": op7_substrings,
     "op8_shards": op8_shards,
     "op9_langid": op9_langid,
