@@ -231,3 +231,25 @@ def _merged(found: DataFrame, source: DataFrame, clean: bool) -> DataFrame:
 
     joined = out.join(source, "doc_id", "left").select(*out.columns, "text")
     return joined.mapInArrow(cut, joined.drop("text").schema.add("clean_text", "string"))
+
+
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, with the removal spans cut out of the text. No row is dropped. No shuffle of docs
+    unless the benchmark takes several blocks; then spans are joined by id, and rows with a null id keep their text."""
+    blocks = _blocks(benchmark, item_col, item_text_col)
+    held = next(blocks)
+    if next(blocks, None) is not None:
+        found = decontaminate(docs, benchmark, n, True, id_col, text_col, item_col, item_text_col)
+        cut = found.where("n_hit > 0").select(F.col("doc_id").alias(id_col), "clean_text").drop_duplicates([id_col])
+        return docs.join(cut, id_col, "left").withColumn(text_col, F.coalesce("clean_text", text_col)).select(*docs.columns)
+    shipped = docs.sparkSession.sparkContext.broadcast(_phrases(held, n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for part in chunks(iter([batch]), text=at, limit=SHARD_BYTES, rows=1 << 16):
+                texts = part.column(at).cast(pa.string())
+                found = _scan(shipped.value, pa.RecordBatch.from_arrays([texts, texts], names=["doc_id", "text"]), True)
+                yield part.set_column(at, text_col, found.column("clean_text"))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worktrace.llm.components import components
-from worktrace.llm.store import forget, keep, semi_by_id
+from worktrace.llm.store import BROADCAST_IDS, forget, keep, semi_by_id
 from worktrace.llm.text import SPACED, chunks, mix, ragged, sums, word_windows, words_of
 
 HALVES, ROWS = 16, 2
@@ -210,3 +210,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     out = sketches.drop("halves").join(resolved, sets, "left")
     own = F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, but for those of documents that near_duplicates does not keep: of each group the
+    document with the least id stays, as do rows without words or without an id."""
+    found = near_duplicates(docs, k, percent, id_col, text_col)
+    gone = keep(found.where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct(), "removed")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, id_col, "left_anti").select(*docs.columns)

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worktrace.llm.store import BROADCAST_IDS, forget, keep
@@ -130,18 +130,15 @@ def _cut(length: int):
     return run
 
 
-def dedup_substrings(docs: DataFrame, length: int = 35, text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_words, n_removed, kept_sha256 and, with ``text``, kept_text.
+def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """With key and t, which tell rows apart by id and text, whatever the ids."""
+    text = F.col(text_col).cast("string")
+    return docs.select(*more, F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("key"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("t"))
 
-    Words are runs without ASCII white space. Every word is removed that a window of ``length`` consecutive
-    words covers whose words also start anywhere else, in the same text too; windows are judged on the input.
-    kept_text joins the words left by one space (with nothing removed it is the text as it came, null
-    included); kept_sha256 is over the words joined by one space in either case. Null, empty and short texts
-    lose nothing. Rows that repeat, with one id or several, repeat each other's windows. Ids may be null or
-    shared by several texts. Other columns are not read.
-    """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    source = source.select("doc_id", "text", F.coalesce("doc_id", F.lit(-1)).alias("key"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("t"))
+
+def _find(docs: DataFrame, length: int, text: bool, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(all rows with key, t, n_words and kept_sha256; rows that lose words with key, t, n_removed, cut_sha256 and kept_text)."""
+    source = _keyed(docs, id_col, text_col, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     row = ["key", "t"]
     sketches = keep(source.mapInArrow(_sketch(length), "doc_id long, key long, t long, n_words long, kept_sha256 string, places array<int>, anchors array<long>"), "seeds")
 
@@ -173,10 +170,26 @@ def dedup_substrings(docs: DataFrame, length: int = 35, text: bool = False, id_c
     for table in (hits, seeds, blocks, opened, gone):
         forget(table)
 
-    head = sketches.select("doc_id", *row, "n_words", "kept_sha256")
-    out = head.join(cut, row, "left")
-    result = [F.col("doc_id"), F.col("n_words"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("cut_sha256", "kept_sha256").alias("kept_sha256")]
-    if not text:
-        return out.select(*result)
-    # each row again has its own text: rows with equal ids and texts are alike, so any of them will do
-    return source.join(cut, row, "left").join(head.select(*row, "n_words", "kept_sha256").drop_duplicates(row), row).select(*result, F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")).alias("kept_text"))
+    return sketches.select("doc_id", *row, "n_words", "kept_sha256"), cut
+
+
+def dedup_substrings(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_words, n_removed, kept_sha256 (of the words left, joined by one space).
+
+    Words are runs without ASCII white space. Every word is removed that a window of ``length`` consecutive
+    words covers whose words also start anywhere else, in the same text too; windows are judged on the input.
+    Null, empty and short texts lose nothing. Rows that repeat, with one id or several, repeat each other's
+    windows. Ids may be null or shared by several texts. Other columns are not read.
+    """
+    rows, cut = _find(docs, length, False, id_col, text_col)
+    return rows.join(cut, ["key", "t"], "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("cut_sha256", "kept_sha256").alias("kept_sha256"))
+
+
+def remove_repeats(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns; a text that loses words becomes the words left, joined by one space. No row is
+    dropped."""
+    _, cut = _find(docs, length, True, id_col, text_col)
+    cut = cut.selectExpr("key AS cut_key", "t AS cut_t", "kept_text")
+    keyed = _keyed(docs, id_col, text_col, F.struct(*docs.columns).alias("row"))
+    joined = keyed.join(cut, (F.col("key") == F.col("cut_key")) & (F.col("t") == F.col("cut_t")), "left")
+    return joined.withColumn("row", F.col("row").withField(text_col, F.coalesce("kept_text", f"row.{text_col}"))).select("row.*")

@@ -145,6 +145,18 @@ def train(texts: list[str], toxic: list[int], steps: int = 400, penalty: float =
     return model
 
 
+def _pick(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def _trained(docs: DataFrame, labels: DataFrame, learn: Column | None = None, texts_from: DataFrame | None = None, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text"):
+    """The model, broadcast."""
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1)")
+    base = _pick(docs if texts_from is None else texts_from, id_col, text_col)
+    texts, marks = sample((base if learn is None else base.where(learn)).join(known, "doc_id"), "label", TRAIN_ROWS, TRAIN_BYTES)
+    return docs.sparkSession.sparkContext.broadcast(train(texts, marks))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, texts_from: DataFrame | None = None, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, severity (expected grade), grade (likeliest), toxic_score (chance of a grade
     over 0), toxic (whether that reaches the model's threshold).
@@ -154,11 +166,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     not learned from; labels other than 0 and 1 are not learned; without labels of both kinds every text is
     held to be clean. Repeated rows are scored each; other columns are not read.
     """
-    pick = lambda df: df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1)")
-    base = pick(docs if texts_from is None else texts_from)
-    texts, marks = sample((base if learn is None else base.where(learn)).join(known, "doc_id"), "label", TRAIN_ROWS, TRAIN_BYTES)
-    shipped = docs.sparkSession.sparkContext.broadcast(train(texts, marks))
+    shipped = _trained(docs, labels, learn, texts_from, label_col, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -166,4 +174,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
             cols = [batch.column(0), pa.array(chance @ np.arange(GRADES)), pa.array(chance.argmax(axis=1).astype(np.int32)), pa.array(1 - chance[:, 0]), pa.array(1 - chance[:, 0] >= shipped.value.toxic_from)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "severity", "grade", "toxic_score", "toxic"])
 
-    return pick(docs).mapInArrow(run, "doc_id long, severity double, grade int, toxic_score double, toxic boolean")
+    return _pick(docs, id_col, text_col).mapInArrow(run, "doc_id long, severity double, grade int, toxic_score double, toxic boolean")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of docs, all columns, that score_toxicity does not hold toxic. No shuffle of docs."""
+    shipped, text_col = _trained(docs, labels, **options), options.get("text_col", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for part in chunks(iter([batch]), text=at):
+                score = 1 - shipped.value.grades(part.column(at))[:, 0]
+                yield part.filter(pa.array(score < shipped.value.toxic_from))
+
+    return docs.mapInArrow(run, docs.schema)
