@@ -5,8 +5,10 @@ collections makes one table, so HALVES * ROWS = 32 minhashes serve HALVES * (HAL
 four minhashes (Andoni and Indyk's tensoring). A pair of sets with similarity s shares a table unless fewer
 than two of its half keys agree: at s = 0.8 that has a chance of 2.4e-6.
 
-Work is done on distinct shingle sets: equal sets are one class with the least id as its representative. A
-table's bucket is never expanded into pairs. Each document is first verified against the best pivot of its
+Work is done on distinct shingle sets: equal sets are one class with the least id as its representative. Of
+the documents that share a bucket with any other, the shingles that no other one has are counted: they bound
+the similarity that a document can have to anything, and most members of loose families (a common passage,
+heavy edits) drop out here. A table's bucket is never expanded into pairs. Each document is first verified against the best pivot of its
 buckets, then buckets whose members are not yet in one component against their best linked member, and at last
 what is still outside a bucket's main component against that bucket. Pairs already in one component are never
 compared, as the answer is the component. Every link is confirmed on the full sets.
@@ -94,17 +96,31 @@ def _sketches(k: int):
     return run
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        halves = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, HALVES)
-        for lo in range(0, len(halves), 2048):
-            keys = table_keys(halves[lo : lo + 2048])
-            n = keys.shape[1]
-            part = batch.slice(lo, 2048)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_signed(keys.ravel())), pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.repeat(part.column(1).to_numpy(), n))],
-                names=["key", "id", "n"],
-            )
+def _buckets(bits: int):
+    """Rows (key, id, n). Keys are cut to ``bits`` bits, as a chance collision only adds a pair to be verified."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            halves = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, HALVES)
+            for lo in range(0, len(halves), 2048):
+                keys = table_keys(halves[lo : lo + 2048]) >> _U(64 - bits)
+                n = keys.shape[1]
+                part = batch.slice(lo, 2048)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_signed(keys.ravel())), pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.repeat(part.column(1).to_numpy(), n))],
+                    names=["key", "id", "n"],
+                )
+
+    return run
+
+
+def _shingle_rows(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            shingles, off = shingle_sets(batch.column(1), k)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(shingles)), batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), np.diff(off))))], names=["shingle", "id"])
+
+    return run
 
 
 def _confirm(k: int, percent: int):
@@ -156,29 +172,47 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     one document: each comes back, with the same component. A row with a null id stays alone: its
     component_id is null and it is kept. Other columns are not read.
     """
+    spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = source.where("doc_id IS NOT NULL AND text IS NOT NULL")
     sketches = keep(source.mapInArrow(_sketches(k), "doc_id long, n_shingles long, set_a long, set_b long, halves array<long>"), "sketches")
     sets = ["n_shingles", "set_a", "set_b"]
     classes = keep(sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*sets).agg(F.min("doc_id").alias("rep")), "classes")
     reps = sketches.where("n_shingles > 0").join(classes.selectExpr("rep AS doc_id", *(f"{c} AS rep_{c}" for c in sets)), "doc_id").where(" AND ".join(f"{c} = rep_{c}" for c in sets))
-    rows = reps.select("doc_id", "n_shingles", "halves").mapInArrow(_buckets, "key long, id long, n long")
-    shared = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1").select("key", "pivot")
-    buckets = keep(rows.join(shared, "key").select("key", "pivot", "id", "n"), "buckets")
+    n_reps = classes.count()
+    # enough partitions that the rows of the tables (120 a document) need no spill
+    reps = reps.select("doc_id", "n_shingles", "halves").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_reps // 50_000), "doc_id")
+    bits = min(63, 8 + (n_reps * len(_PAIRS)).bit_length())
+    rows = reps.mapInArrow(_buckets(bits), "key long, id long, n long")
+    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    buckets = keep(rows.join(shared, "key").select("key", "id", "n"), "buckets")
+
+    # shingles that a document shares with any other that is in a bucket with others
+    near = keep(buckets.select(F.col("id").alias("doc_id"), "n").distinct(), "near")
+    own = semi_by_id(known, near.select("doc_id"), near.count(), "doc_id").mapInArrow(_shingle_rows(k), "shingle long, id long")
+    single = own.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").groupBy("id").agg(F.count("*").alias("single"))
+    able = near.withColumnRenamed("doc_id", "id").join(single, "id", "left").select("id", (F.col("n") - F.coalesce("single", F.lit(0))).alias("m"))
+    able = keep(able.join(near.withColumnRenamed("doc_id", "id"), "id").where(f"100 * m >= {percent} * n").select("id", "m"), "able")
+    unpruned, buckets = buckets, keep(buckets.join(able, "id"), "buckets")
+    for table in (near, unpruned):
+        forget(table)
+    pivots = buckets.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1").select("key", "pivot")
 
-    def fits(a: str, b: str) -> str:  # the smaller set has at least percent of the larger one's size
-        return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
+    def fits(a: str, b: str) -> str:
+        """Whether the sizes allow a link: sets of n shingles share at most the lesser m, the shingles that others have."""
+        share = f"least({a}m, {b}m)"
+        return f"100 * {share} >= {percent} * ({a}n + {b}n - {share})"
 
     # 1: each document against the pivot that most of its buckets have
-    best = buckets.where("pivot <> id").groupBy("id", "n", "pivot").agg(F.count("*").alias("tables"))
+    best = buckets.join(pivots, "key").where("pivot <> id").groupBy("id", "n", "pivot").agg(F.count("*").alias("tables"))
     best = best.groupBy("id", "n").agg(F.max(F.struct("tables", F.negative("pivot").alias("p"))).alias("best"))
     tried = keep(best.selectExpr("-best.p AS pivot", "id", "n"), "pairs")
     links = _verified(tried, known, k, percent)
     found = keep(components(links), "components")
 
     def open_buckets(found: DataFrame) -> DataFrame:
-        """Buckets whose members are in several components: (key, id, n, c)."""
-        placed = buckets.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+        """Buckets whose members are in several components: (key, id, n, m, c)."""
+        placed = buckets.join(found, "id", "left").select("key", "id", "n", "m", F.coalesce("component", "id").alias("c"))
         split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
         return keep(placed.join(split, "key", "left_semi"), "open")
 
@@ -186,8 +220,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     open_ = open_buckets(found)
     degree = links.unionAll(links.selectExpr("v AS u", "u AS v")).groupBy("u").agg(F.count("*").alias("degree"))
     ranked = open_.join(degree.withColumnRenamed("u", "id"), "id", "left")
-    hubs = ranked.groupBy("key").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.negative("id").alias("p"), "c", "n")).alias("hub")).selectExpr("key", "-hub.p AS pivot", "hub.c AS pc", "hub.n AS pn")
-    pairs = open_.join(hubs, "key").where(f"c <> pc AND {fits('n', 'pn')}").select("pivot", "id", "n").distinct()
+    hubs = ranked.groupBy("key").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.negative("id").alias("p"), "c", "n", "m")).alias("hub")).selectExpr("key", "-hub.p AS pivot", "hub.c AS pc", "hub.n AS pn", "hub.m AS pm")
+    pairs = open_.join(hubs, "key").where(f"c <> pc AND {fits('', 'p')}").select("pivot", "id", "n").distinct()
     second = keep(pairs.join(tried, ["pivot", "id"], "left_anti"), "pairs")
     links2 = _verified(second, known, k, percent)
     found2 = keep(components(found.selectExpr("id AS u", "component AS v").unionAll(links2)), "components")
@@ -197,13 +231,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     open_ = open_buckets(found2)
     main = open_.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c")).alias("main")).selectExpr("key", "main.c AS main")
     marked = open_.join(main, "key")
-    outside = marked.where("c <> main").selectExpr("key", "id AS pivot", "n AS pn", "c AS pc")
-    pairs = marked.join(outside, "key").where(f"c <> pc AND (c = main OR id > pivot) AND {fits('n', 'pn')}").select("pivot", "id", "n").distinct()
+    outside = marked.where("c <> main").selectExpr("key", "id AS pivot", "n AS pn", "m AS pm", "c AS pc")
+    pairs = marked.join(outside, "key").where(f"c <> pc AND (c = main OR id > pivot) AND {fits('', 'p')}").select("pivot", "id", "n").distinct()
     done = tried.unionByName(second).select("pivot", "id")
     third = keep(pairs.join(done.unionAll(done.selectExpr("id AS pivot", "pivot AS id")), ["pivot", "id"], "left_anti"), "pairs")
     links3 = _verified(third, known, k, percent)
     final = keep(components(found2.selectExpr("id AS u", "component AS v").unionAll(links3)), "components")
-    for table in (open_, buckets, tried, second, third, links, links2, links3, found, found2):
+    for table in (open_, buckets, able, tried, second, third, links, links2, links3, found, found2):
         forget(table)
 
     resolved = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select(*sets, F.coalesce("component", "rep").alias("c"))
