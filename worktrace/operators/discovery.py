@@ -157,4 +157,4 @@ def similarities(groups: DataFrame) -> DataFrame:
     weight = F.when(F.col("sa") == F.col("sb"), F.col("fa") * (F.col("fa") - 1)).otherwise(F.col("fa") * F.col("fb"))
     jac = F.size(F.array_intersect(F.split("sa", ">"), F.split("sb", ">"))) / F.size(F.array_union(F.split("sa", ">"), F.split("sb", ">")))
     rows = pairs.select(F.col("pa").alias("process_id"), weight.alias("w"), (1 - distance / longest).alias("lev"), jac.alias("jac"))
-    return rows.groupBy("process_id").agg((F.sum(F.col("w") * F.col("lev")) / F.sum("w")).alias("mean_levenshtein"), (F.sum(F.col("w") * F.col("jac")) / F.sum("w")).alias("mean_jaccard"), F.sum("w").alias("pairs"))
+    return rows.groupBy("process_id").agg(F.try_divide(F.sum(F.col("w") * F.col("lev")), F.sum("w")).alias("mean_levenshtein"), F.try_divide(F.sum(F.col("w") * F.col("jac")), F.sum("w")).alias("mean_jaccard"), F.sum("w").alias("pairs"))

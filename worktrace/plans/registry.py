@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worktrace.plans import sequences
+from worktrace.plans import processes, sequences
 
-MODULES = [sequences]
+MODULES = [sequences, processes]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
 
