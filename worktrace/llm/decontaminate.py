@@ -216,6 +216,8 @@ def _merged(found: DataFrame, source: DataFrame, clean: bool) -> DataFrame:
     if not clean:
         return out
 
+    names = [*out.columns, "clean_text"]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, text=6):
             words = words_of(batch.column(6), ALNUM, lower=True)
@@ -227,7 +229,7 @@ def _merged(found: DataFrame, source: DataFrame, clean: bool) -> DataFrame:
                         parts.append(raw[done : words.starts[first + s] - base])
                         done = int(words.ends[first + e - 1]) - base
                     texts[i] = b"".join([*parts, raw[done:]]).decode()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(texts, pa.string())], names=[*out.columns, "clean_text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(texts, pa.string())], names=names)
 
     joined = out.join(source, "doc_id", "left").select(*out.columns, "text")
     return joined.mapInArrow(cut, joined.drop("text").schema.add("clean_text", "string"))

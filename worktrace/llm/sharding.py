@@ -72,7 +72,7 @@ def _cuts(points: DataFrame, nodes: dict[int, float], dims: list[str]) -> dict[i
     every = [*dims, "tie_id", "tie_row"]
     ends = [f(d).alias(f"{n}_{d}") for d in every for n, f in (("lo", F.min), ("hi", F.max))]
     rows = {r["node"]: r for r in points.where(F.col("node").isin(list(nodes))).groupBy("node").agg(F.sum("size").alias("total"), *ends).collect()}
-    whole = {f"{n}_{d}": f(r[f"{n}_{d}"] for r in rows.values()) for d in every for n, f in (("lo", min), ("hi", max))}
+    whole = {f"{n}_{d}": f((r[f"{n}_{d}"] for r in rows.values()), default=0) for d in every for n, f in (("lo", min), ("hi", max))}
     open_, out = [], {}
     for node, share in nodes.items():
         if node in rows:
