@@ -5,13 +5,13 @@ collections makes one table, so HALVES * ROWS = 32 minhashes serve HALVES * (HAL
 four minhashes (Andoni and Indyk's tensoring). A pair of sets with similarity s shares a table unless fewer
 than two of its half keys agree: at s = 0.8 that has a chance of 2.4e-6.
 
-Work is done on distinct shingle sets: equal sets are one class with the least id as its representative. Of
-the documents that share a bucket with any other, the shingles that no other one has are counted: they bound
-the similarity that a document can have to anything, and most members of loose families (a common passage,
-heavy edits) drop out here. A table's bucket is never expanded into pairs. Each document is first verified against the best pivot of its
-buckets, then buckets whose members are not yet in one component against their best linked member, and at last
-what is still outside a bucket's main component against that bucket. Pairs already in one component are never
-compared, as the answer is the component. Every link is confirmed on the full sets.
+Work is done on distinct shingle sets: equal sets are one class with the least id as its representative. A
+table's bucket is never expanded into pairs. Each document is first verified against the best pivot of its
+buckets, then buckets whose members are not yet in one component against their best linked member (the hub).
+Buckets that are still open form families by hub: what is outside a family's main component is compared with
+the family, in blocks of bounded size through an inverted index, so that only links leave a task. As the answer
+is the component, what is inside the main component is never compared with itself. Every link is confirmed on
+the full sets.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from worktrace.llm.components import components
 from worktrace.llm.store import BROADCAST_IDS, forget, keep, semi_by_id
-from worktrace.llm.text import SPACED, chunks, mix, ragged, sums, word_windows, words_of
+from worktrace.llm.text import SPACED, chunks, mix, ragged, ranges, sums, word_windows, words_of
 
 HALVES, ROWS = 16, 2
 #: Shingles that one verification group holds besides its pivot's.
@@ -114,15 +114,6 @@ def _buckets(bits: int):
     return run
 
 
-def _shingle_rows(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            shingles, off = shingle_sets(batch.column(1), k)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(shingles)), batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), np.diff(off))))], names=["shingle", "id"])
-
-    return run
-
-
 def _confirm(k: int, percent: int):
     """Links of one group: rows (pivot, salt, is_pivot, id, text); the pivot's set against each member's."""
 
@@ -163,6 +154,54 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return out
 
 
+def _confirm_block(k: int, percent: int):
+    """Links of one block: rows (pivot, part, side, outside, id, text); each text outside against each one of the part."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        outside = table.column("outside").to_numpy()
+        rows, others = table.filter(pa.array(~outside)), table.filter(pa.array(outside))
+        u, v = [], []
+        if len(rows) and len(others):
+            ids, other_ids = rows.column("id").to_numpy(), others.column("id").to_numpy()
+            shingles, off = shingle_sets(rows.column("text").combine_chunks(), k)
+            size = np.diff(off)
+            order = np.argsort(shingles, kind="stable")
+            index, owner = shingles[order], np.repeat(np.arange(len(rows)), size)[order]
+            own, own_off = shingle_sets(others.column("text").combine_chunks(), k)
+            lo, hi = np.searchsorted(index, own), np.searchsorted(index, own, side="right")
+            for i, (a, b) in enumerate(zip(own_off[:-1], own_off[1:], strict=True)):
+                shared = np.bincount(owner[ranges(lo[a:b], hi[a:b] - lo[a:b])], minlength=len(rows))
+                linked = ids[(100 * shared >= percent * (size + (b - a) - shared)) & (shared > 0)]
+                linked = linked[linked != other_ids[i]]
+                u.append(np.full(len(linked), other_ids[i]))
+                v.append(linked)
+        none = np.zeros(0, np.int64)
+        return pa.table({"u": pa.array(np.concatenate([none, *u]), pa.int64()), "v": pa.array(np.concatenate([none, *v]), pa.int64())})
+
+    return run
+
+
+def _family_links(family: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """family(pivot, id, n, c) -> links(u, v) between what is outside a family's main component and all of the family. Both
+    sides are dealt into parts of GROUP_SHINGLES; a task holds one part of each."""
+    main = family.groupBy("pivot", "c").agg(F.count("*").alias("m")).groupBy("pivot").agg(F.max(F.struct("m", "c")).alias("main"), F.count("*").alias("comps")).where("comps > 1").selectExpr("pivot", "main.c AS main")
+    marked = family.join(main, "pivot").select("pivot", "id", "n", (F.col("c") != F.col("main")).alias("outside"))
+    ceil = lambda total: F.greatest(F.ceil(total / GROUP_SHINGLES), F.lit(1)).cast("int")
+    sizes = marked.groupBy("pivot").agg(ceil(F.sum("n")).alias("parts"), ceil(F.sum(F.when(F.col("outside"), F.col("n")))).alias("sides"))
+    dealt = keep(marked.join(sizes, "pivot").withColumn("h", F.xxhash64("id")), "dealt")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    inside = dealt.select("pivot", F.pmod("h", F.col("parts").cast("long")).cast("int").alias("part"), upto("sides").alias("side"), F.lit(False).alias("outside"), "id")
+    others = dealt.where("outside").select("pivot", upto("parts").alias("part"), F.pmod("h", F.col("sides").cast("long")).cast("int").alias("side"), F.lit(True).alias("outside"), "id")
+    ids = keep(dealt.select(F.col("id").alias("doc_id")).distinct(), "ids")
+    texts = semi_by_id(docs, ids, ids.count(), "doc_id").withColumnRenamed("doc_id", "id")
+    rows = inside.unionAll(others).join(texts, "id").select("pivot", "part", "side", "outside", "id", "text")
+    out = keep(rows.groupBy("pivot", "part", "side").applyInArrow(_confirm_block(k, percent), "u long, v long"), "confirmed")
+    for table in (dealt, ids):
+        forget(table)
+    return out
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -187,22 +226,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     buckets = keep(rows.join(shared, "key").select("key", "id", "n"), "buckets")
 
-    # shingles that a document shares with any other that is in a bucket with others
-    near = keep(buckets.select(F.col("id").alias("doc_id"), "n").distinct(), "near")
-    own = semi_by_id(known, near.select("doc_id"), near.count(), "doc_id").mapInArrow(_shingle_rows(k), "shingle long, id long")
-    single = own.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").groupBy("id").agg(F.count("*").alias("single"))
-    able = near.withColumnRenamed("doc_id", "id").join(single, "id", "left").select("id", (F.col("n") - F.coalesce("single", F.lit(0))).alias("m"))
-    able = keep(able.join(near.withColumnRenamed("doc_id", "id"), "id").where(f"100 * m >= {percent} * n").select("id", "m"), "able")
-    unpruned, buckets = buckets, keep(buckets.join(able, "id"), "buckets")
-    for table in (near, unpruned):
-        forget(table)
     pivots = buckets.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1").select("key", "pivot")
 
-    def fits(a: str, b: str) -> str:
-        """Whether the sizes allow a link: sets of n shingles share at most the lesser m, the shingles that others have."""
-        share = f"least({a}m, {b}m)"
-        return f"100 * {share} >= {percent} * ({a}n + {b}n - {share})"
-
     # 1: each document against the pivot that most of its buckets have
     best = buckets.join(pivots, "key").where("pivot <> id").groupBy("id", "n", "pivot").agg(F.count("*").alias("tables"))
     best = best.groupBy("id", "n").agg(F.max(F.struct("tables", F.negative("pivot").alias("p"))).alias("best"))
@@ -211,33 +236,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     found = keep(components(links), "components")
 
     def open_buckets(found: DataFrame) -> DataFrame:
-        """Buckets whose members are in several components: (key, id, n, m, c)."""
-        placed = buckets.join(found, "id", "left").select("key", "id", "n", "m", F.coalesce("component", "id").alias("c"))
+        """Buckets whose members are in several components: (key, id, n, c)."""
+        placed = buckets.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
         split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
         return keep(placed.join(split, "key", "left_semi"), "open")
 
-    # 2: open buckets against their member with the most links
+    def hubs(open_: DataFrame, links: DataFrame) -> DataFrame:
+        """The member of each open bucket with the most links: (key, pivot, pc, pn)."""
+        degree = links.unionAll(links.selectExpr("v AS u", "u AS v")).groupBy("u").agg(F.count("*").alias("degree"))
+        ranked = open_.join(degree.withColumnRenamed("u", "id"), "id", "left")
+        best = F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.negative("id").alias("p"), "c", "n")).alias("hub")
+        return ranked.groupBy("key").agg(best).selectExpr("key", "-hub.p AS pivot", "hub.c AS pc", "hub.n AS pn")
+
+    # 2: open buckets against their hub
     open_ = open_buckets(found)
-    degree = links.unionAll(links.selectExpr("v AS u", "u AS v")).groupBy("u").agg(F.count("*").alias("degree"))
-    ranked = open_.join(degree.withColumnRenamed("u", "id"), "id", "left")
-    hubs = ranked.groupBy("key").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.negative("id").alias("p"), "c", "n", "m")).alias("hub")).selectExpr("key", "-hub.p AS pivot", "hub.c AS pc", "hub.n AS pn", "hub.m AS pm")
-    pairs = open_.join(hubs, "key").where(f"c <> pc AND {fits('', 'p')}").select("pivot", "id", "n").distinct()
+    pairs = open_.join(hubs(open_, links), "key").where(f"c <> pc AND 100 * least(n, pn) >= {percent} * greatest(n, pn)").select("pivot", "id", "n").distinct()
     second = keep(pairs.join(tried, ["pivot", "id"], "left_anti"), "pairs")
     links2 = _verified(second, known, k, percent)
     found2 = keep(components(found.selectExpr("id AS u", "component AS v").unionAll(links2)), "components")
     forget(open_)
 
-    # 3: whatever is outside its bucket's largest component against the other components of that bucket
+    # 3: families that are still open
     open_ = open_buckets(found2)
-    main = open_.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c")).alias("main")).selectExpr("key", "main.c AS main")
-    marked = open_.join(main, "key")
-    outside = marked.where("c <> main").selectExpr("key", "id AS pivot", "n AS pn", "m AS pm", "c AS pc")
-    pairs = marked.join(outside, "key").where(f"c <> pc AND (c = main OR id > pivot) AND {fits('', 'p')}").select("pivot", "id", "n").distinct()
-    done = tried.unionByName(second).select("pivot", "id")
-    third = keep(pairs.join(done.unionAll(done.selectExpr("id AS pivot", "pivot AS id")), ["pivot", "id"], "left_anti"), "pairs")
-    links3 = _verified(third, known, k, percent)
+    family = keep(open_.join(hubs(open_, links.unionAll(links2)), "key").select("pivot", "id", "n", "c").distinct(), "family")
+    links3 = _family_links(family, known, k, percent)
     final = keep(components(found2.selectExpr("id AS u", "component AS v").unionAll(links3)), "components")
-    for table in (open_, buckets, able, tried, second, third, links, links2, links3, found, found2):
+    for table in (open_, buckets, tried, second, family, links, links2, links3, found, found2):
         forget(table)
 
     resolved = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select(*sets, F.coalesce("component", "rep").alias("c"))
