@@ -23,7 +23,7 @@ GRADES = 3
 #: Lengths in bytes of the beginnings of words.
 STEMS = (4, 5, 6)
 #: The training sample: rows, and bytes of the longest text taken into it; features kept.
-TRAIN_ROWS, TRAIN_BYTES, FEATURES = 8000, 16 << 10, 4096
+TRAIN_ROWS, TRAIN_BYTES, FEATURES = 5000, 16 << 10, 4096
 #: Least z value of the difference in document frequency for a feature to be kept.
 LEAST_Z = 5.0
 #: Least ratio of the document frequencies (either way) for a feature to be kept.
@@ -88,23 +88,30 @@ def train(texts: list[str], toxic: list[int], steps: int = 400, penalty: float =
     flat = OrdinalModel(none, np.zeros(0), np.linspace(6, 8, GRADES - 1), _known(none))
     if not len(y) or y.min() == y.max():
         return flat
-    # document frequencies of all features, by label
-    seen = {0: [], 1: []}
+    # document frequencies of all features, by kind and label
+    seen: list[tuple[list, list]] = [([], []) for _ in range(1 + len(STEMS))]
     start = 0
     for batch in chunks(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])]), text=0):
         words = words_of(batch.column(0), ALNUM, lower=True)
         doc = words.doc
-        for hashes in _features(words):
+        for kind, hashes in enumerate(_features(words)):
             order = np.lexsort((hashes, doc))
             h, d = hashes[order], doc[order]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
             for label in (0, 1):
-                seen[label].append(h[new][y[start + d[new]] == label])
+                seen[kind][label].append(h[new & (y[start + d] == label)])
         start += batch.num_rows
-    names, which = np.unique(np.concatenate(seen[0] + seen[1]), return_inverse=True)
-    n0 = np.bincount(which[: sum(map(len, seen[0]))], minlength=len(names))
-    n1 = np.bincount(which[sum(map(len, seen[0])) :], minlength=len(names))
+    names, n0, n1 = [], [], []
+    while seen:
+        clean, marked = (np.unique(np.concatenate(x), return_counts=True) for x in seen.pop())
+        both = np.union1d(clean[0], marked[0])
+        names.append(both)
+        for out, (values, counts) in ((n0, clean), (n1, marked)):
+            n = np.zeros(len(both), np.int64)
+            n[np.searchsorted(both, values)] = counts
+            out.append(n)
+    names, n0, n1 = np.concatenate(names), np.concatenate(n0), np.concatenate(n1)
     m1, m0 = int(y.sum()), int((1 - y).sum())
     pooled = (n0 + n1) / (m0 + m1)
     z = (n1 / m1 - n0 / m0) / np.sqrt(pooled * (1 - pooled) * (1 / m0 + 1 / m1) + 1e-12)
@@ -112,7 +119,8 @@ def train(texts: list[str], toxic: list[int], steps: int = 400, penalty: float =
     odds = ((n1 + 0.5) / (m1 + 1)) / ((n0 + 0.5) / (m0 + 1))
     z[(odds < LEAST_RATIO) & (odds > 1 / LEAST_RATIO)] = 0
     best = np.argsort(-np.abs(z), kind="stable")[:FEATURES]
-    best = np.sort(best[np.abs(z[best]) >= LEAST_Z])
+    best = best[np.abs(z[best]) >= LEAST_Z]
+    best = best[np.unique(names[best], return_index=True)[1]]  # sorted by hash
     if not len(best):
         return flat
     model = OrdinalModel(names[best], np.zeros(len(best)), np.zeros(GRADES - 1), _known(names[best]))
