@@ -15,7 +15,7 @@ from worktrace.llm.text import SPACED, chunks, word_windows, words_of
 BUCKETS = 1 << 17
 REACH = 4
 #: The training sample: rows, and bytes of the longest text taken into it.
-TRAIN_ROWS, TRAIN_BYTES = 6000, 16 << 10
+TRAIN_ROWS, TRAIN_BYTES = 3000, 12 << 10
 
 
 def features(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:

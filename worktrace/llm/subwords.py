@@ -55,7 +55,7 @@ def _sparse(texts: list[str], features: Features) -> list[tuple[np.ndarray, np.n
         found = features(batch.column(0))
         for i in range(batch.num_rows):
             buckets, n = np.unique(np.concatenate([b[off[i] : off[i + 1]] for b, off in found]), return_counts=True)
-            out.append((buckets, (n / max(1, n.sum())).astype(np.float32)))
+            out.append((buckets.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
     return out
 
 
