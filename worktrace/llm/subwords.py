@@ -96,11 +96,15 @@ def train(texts: list[str], labels: list, features: Features, buckets: int, dim:
 
 
 def sample(rows: DataFrame, label: str, most: int, longest: int, key: str = "doc_id") -> tuple[list[str], list]:
-    """Texts and labels of at most ``most`` rows (text, label, key), none of more than ``longest`` bytes: those with the least
-    hash of the key, whatever the order or partitioning of the rows."""
-    usable = rows.where(f"{label} IS NOT NULL AND text IS NOT NULL AND octet_length(text) BETWEEN 1 AND {longest}")
-    taken = usable.orderBy(F.xxhash64(key), F.xxhash64("text")).select("text", label).limit(most).toPandas()
-    return taken["text"].tolist(), taken[label].tolist()
+    """Texts and labels of about ``most`` rows (text, label, key) at most, none of more than ``longest`` bytes: those whose key hashes
+    into the part of all labelled rows that ``most`` is. No task and no merge sees more rows than that part, whatever the
+    order or partitioning of the rows."""
+    known = rows.where(f"{label} IS NOT NULL")
+    share = min(1.0, most / max(1, known.select(key).count()))
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    taken = known.where(place < int(share * (1 << 30))).where(f"text IS NOT NULL AND octet_length(text) BETWEEN 1 AND {longest}")
+    frame = taken.select("text", label, place.alias("place")).toPandas().sort_values(["place", "text"])
+    return frame["text"].tolist(), frame[label].tolist()
 
 
 def byte_grams(buf: np.ndarray, base: np.ndarray, n: int, mask: int) -> tuple[np.ndarray, np.ndarray]:
