@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 from worktrace.functions import scalar
 from worktrace.operators.sequence import fill_forward, ordered, return_patterns, runs, with_runs
 
-ANY_CHANGE = F.expr("application_changed OR window_title_changed OR browser_domain_changed OR interaction_category_changed")
-CONTEXT = F.expr("application_changed OR browser_domain_changed")
+
+
+def any_change() -> Column:
+    return F.expr("application_changed OR window_title_changed OR browser_domain_changed OR interaction_category_changed")
+
+
+def context() -> Column:
+    return F.expr("application_changed OR browser_domain_changed")
 
 
 def pause(tau: int) -> Column:
@@ -17,11 +23,11 @@ def pause(tau: int) -> Column:
 
 
 def pause_and_change(tau: int) -> Column:
-    return pause(tau) & ANY_CHANGE
+    return pause(tau) & any_change()
 
 
 def pause_or_change(tau: int) -> Column:
-    return pause(tau) | ANY_CHANGE
+    return pause(tau) | any_change()
 
 
 def gap_at_least(tau: int) -> Column:
@@ -29,7 +35,7 @@ def gap_at_least(tau: int) -> Column:
 
 
 def two_thresholds(small: int | Column, large: int) -> Column:
-    return (CONTEXT & (F.col("delta_t_ms") > small)) | (F.col("delta_t_ms") > large)
+    return (context() & (F.col("delta_t_ms") > small)) | (F.col("delta_t_ms") > large)
 
 
 def with_veto(rule: Column, jaccard: Column, veto: float) -> Column:

@@ -284,7 +284,7 @@ def status(s: SparkSession, d: str) -> DataFrame:
     return base.canon(s, d).select(F.col("session_id").alias("execution_id"), F.col("timestamp_ms").alias("at"), F.col("idx").alias("seq"), F.col("event_type").alias("state"))
 
 
-@plan("l01_illegal_transitions", "SELECT execution_id, at, seq, before, state FROM (SELECT session_id AS execution_id, timestamp_ms AS at, idx AS seq, lag(event_type) OVER (PARTITION BY session_id ORDER BY idx) AS before, event_type AS state FROM canon) WHERE before IS NOT NULL AND concat(before, '>', state) NOT IN ('signup>view', 'view>view', 'view>click', 'click>purchase', 'click>view', 'purchase>view')")
+@plan("l01_illegal_transitions", "SELECT x.execution_id, x.at, x.seq, x.before, x.state FROM (SELECT session_id AS execution_id, timestamp_ms AS at, idx AS seq, lag(event_type) OVER (PARTITION BY session_id ORDER BY idx) AS before, event_type AS state FROM canon) x WHERE before IS NOT NULL AND concat(before, '>', state) NOT IN ('signup>view', 'view>view', 'view>click', 'click>purchase', 'click>view', 'purchase>view')")
 def _(s, d):
     allowed = s.createDataFrame([("signup", "view"), ("view", "view"), ("view", "click"), ("click", "purchase"), ("click", "view"), ("purchase", "view")], "before string, state string")
     return lg.illegal_transitions(status(s, d), allowed)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worktrace.plans import audits, processes, sequences
+from worktrace.plans import audits, models, processes, sequences
 
-MODULES = [sequences, processes, audits]
+MODULES = [sequences, processes, audits, models]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
 

@@ -140,7 +140,7 @@ def _(s, d):
 
 @plan("f17_candidate_sources", "SELECT CASE WHEN a AND b THEN 'both' WHEN a THEN 'v1_only' WHEN b THEN 'v2_only' ELSE 'neither' END AS source, count(*) AS n FROM (SELECT delta_t_ms > 86400000 AS a, application_changed OR browser_domain_changed AS b FROM trans) GROUP BY 1")
 def _(s, d):
-    return trans(s, d).groupBy(scalar.candidate_source(b.pause(24 * fx.HOUR), b.CONTEXT).alias("source")).agg(F.count("*").alias("n"))
+    return trans(s, d).groupBy(scalar.candidate_source(b.pause(24 * fx.HOUR), b.context()).alias("source")).agg(F.count("*").alias("n"))
 
 
 @plan("f19_redaction", "SELECT event_id, CAST(2 AS INTEGER) AS n_fields, CAST(length(window_title) AS VARCHAR) AS title_length FROM canon WHERE window_title IS NOT NULL")
