@@ -366,3 +366,81 @@ def _(s, d):
 def _(s, d):
     part = lambda c, t: base.canon(s, d).where(c).select(F.lit(t).alias("tag"), "event_id")
     return part("operator = 'op0'", "a").unionByName(part("operator <> 'op0'", "b")).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@plan("q09_text_entry", "SELECT event_type, count(*) AS n, count(*) FILTER (window_title IS NOT NULL) AS with_text, count(*) FILTER (contains(window_title, 'Doc_3')) AS plaintext FROM canon WHERE interaction_category = 'input' GROUP BY 1")
+def _(s, d):
+    typed = base.canon(s, d).where("interaction_category = 'input'")
+    return typed.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("window_title").isNotNull()).alias("with_text"), F.count_if(F.col("window_title").contains("Doc_3")).alias("plaintext"))
+
+
+@plan("q18_dataset_profile", "SELECT count(*) AS sessions, CAST(sum(n) AS BIGINT) AS events, min(ms) AS shortest, max(ms) AS longest, round(avg(ms), 3) AS mean_ms FROM (SELECT session_id, count(*) AS n, max(timestamp_ms) - min(timestamp_ms) AS ms FROM canon GROUP BY 1)")
+def _(s, d):
+    per = base.canon(s, d).groupBy("session_id").agg(F.count("*").alias("n"), (F.max("timestamp_ms") - F.min("timestamp_ms")).alias("ms"))
+    return per.agg(F.count("*").alias("sessions"), F.sum("n").alias("events"), F.min("ms").alias("shortest"), F.max("ms").alias("longest"), F.round(F.avg("ms"), 3).alias("mean_ms"))
+
+
+@plan("q19_audit_rollup", "SELECT 'negative' AS name, CAST(count(*) FILTER (gap < 0) AS BIGINT) AS value FROM (SELECT timestamp_ms - lag(timestamp_ms) OVER (PARTITION BY session_id ORDER BY idx) AS gap FROM canon) UNION ALL SELECT 'long_gaps', count(*) FILTER (gap >= 86400000) FROM (SELECT timestamp_ms - lag(timestamp_ms) OVER (PARTITION BY session_id ORDER BY idx) AS gap FROM canon)")
+def _(s, d):
+    per = qa.timestamp_quality(base.canon(s, d), [fx.HOUR, 24 * fx.HOUR])
+    one = per.agg(F.sum("negative").alias("negative"), F.sum("bucket_2").alias("long_gaps"))
+    return one.unpivot([], ["negative", "long_gaps"], "name", "value")
+
+
+@plan("a12_transition_sink", "SELECT session_id, count(*) AS n FROM trans GROUP BY 1")
+def _(s, d):
+    return base.trans(s, d).groupBy("session_id").agg(F.count("*").alias("n"))
+
+
+@plan("a13_session_view", f"SELECT session_id, n_events, coalesce(n_exec, 0) AS n_executions, warnings FROM ({HEALTH}) LEFT JOIN (SELECT session_id, count(*) AS n_exec FROM exec GROUP BY 1) USING (session_id)")
+def _(s, d):
+    from worktrace.operators import executions as ex
+
+    n = ex.segment_spans(base.segmented(s, d)).groupBy("session_id").agg(F.count("*").alias("n_executions"))
+    return _health(s, d).join(n, "session_id", "left").select("session_id", "n_events", F.coalesce("n_executions", F.lit(0)).alias("n_executions"), "warnings")
+
+
+def payloads(s: SparkSession, d: str) -> DataFrame:
+    """Events with a nested payload as a variant: click targets and form fields."""
+    title, app = F.col("window_title"), F.col("application")
+    body = F.to_json(F.struct(F.struct(F.struct(app.alias("id"), F.col("browser_domain").alias("class")).alias("attributes")).alias("element"), F.struct(title.alias("label"), F.col("event_type").alias("input_type")).alias("field")))
+    return base.canon(s, d).withColumn("v", F.try_parse_json(body))
+
+
+@plan("f05_click_targets", "SELECT event_id, application AS id, browser_domain AS class FROM canon WHERE event_type = 'click' AND (application IS NOT NULL OR browser_domain IS NOT NULL)")
+def _(s, d):
+    at = lambda p: F.try_variant_get("v", p, "string")
+    found = payloads(s, d).where("event_type = 'click'").select("event_id", at("$.element.attributes.id").alias("id"), at("$.element.attributes.class").alias("class"))
+    return found.where("id IS NOT NULL OR class IS NOT NULL")
+
+
+@plan("f07_form_fields", "SELECT event_id, window_title AS label, event_type AS input_type FROM canon WHERE interaction_category = 'input'")
+def _(s, d):
+    at = lambda p: F.try_variant_get("v", p, "string")
+    return payloads(s, d).where("interaction_category = 'input'").select("event_id", at("$.field.label").alias("label"), at("$.field.input_type").alias("input_type"))
+
+
+@plan("f13_event_text", "SELECT conv_id, turn, nullif(trim(text), '') AS text, nullif(trim(text), '') IS NOT NULL AS has_text FROM conversations")
+def _(s, d):
+    text = F.nullif(F.trim("text"), F.lit(""))
+    return s.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", text.alias("text"), text.isNotNull().alias("has_text"))
+
+
+@plan("f18_exclusion", "SELECT dominant_context AS process_id, starts_with(dominant_context, 'browser:') OR starts_with(dominant_context, 'unknown') AS excluded, count(*) AS n FROM exec GROUP BY ALL")
+def _(s, d):
+    from worktrace.functions import scalar
+    from worktrace.plans import processes
+
+    rows = processes.rows(s, d)
+    return rows.groupBy("process_id", scalar.excluded(F.col("process_id"), ["browser:", "unknown"]).alias("excluded")).agg(F.count("*").alias("n"))
+
+
+@plan("k05_rollup", "SELECT operator, session_id, count(*) AS n FROM canon GROUP BY ROLLUP (operator, session_id)")
+def _(s, d):
+    return base.canon(s, d).rollup("operator", "session_id").agg(F.count("*").alias("n"))
+
+
+@plan("j14_lookup", "SELECT event_id, n_name FROM canon JOIN nation ON n_nationkey = idx % 25")
+def _(s, d):
+    nation = s.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long"), "n_name")  # 25 rows
+    return base.canon(s, d).withColumn("n_nationkey", F.col("idx") % 25).join(F.broadcast(nation), "n_nationkey").select("event_id", "n_name")

@@ -417,3 +417,69 @@ def _(s, d):
     swept = base.labelled(s, d).select("session_id", "is_boundary", "delta_t_ms", params).withColumn("p", F.col("delta_t_ms") > F.col("param"))
     counts = swept.groupBy("session_id", "param").agg(F.count_if(F.expr("is_boundary AND p")).alias("tp"), F.count_if(F.expr("NOT is_boundary AND p")).alias("fp"), F.count_if(F.expr("is_boundary AND NOT p")).alias("fn"))
     return _r(ev.held_out_choice(counts), "f1")
+
+
+@plan("s11_impact_variants", "SELECT variant, process_id, round(v, 9) AS impact FROM (SELECT 'all' AS variant, process_id, (nf + nt + nm) / 3 AS v FROM norm UNION ALL SELECT 'no_time', process_id, (nf + nm) / 2 FROM norm UNION ALL SELECT 'no_manual', process_id, (nf + nt) / 2 FROM norm)")
+def _(s, d):
+    p = parts(s, d)
+    kinds = {"all": ["nf", "nt", "nm"], "no_time": ["nf", "nm"], "no_manual": ["nf", "nt"]}
+    cells = F.array(*(F.struct(F.lit(k).alias("variant"), (sum((F.col(c) for c in cs), F.lit(0.0)) / len(cs)).alias("impact")) for k, cs in kinds.items()))
+    return _r(p.select("process_id", F.explode(cells).alias("x")).select("x.variant", "process_id", "x.impact"), "impact")
+
+
+@plan("s12_winsorised_ranks")
+def _(s, d):
+    """Ranks with the time share winsorised, beside the default ones."""
+    base_profile = profile(s, d)
+    held = sc.winsorised(base_profile, "time_share", 0.1)
+    a = sc.ranks(sc.scores(sc.normalised(base_profile))).select("process_id", F.col("rank").alias("default_rank"))
+    return a.join(sc.ranks(sc.scores(sc.normalised(held))).select("process_id", F.col("rank").alias("winsorised_rank")), "process_id")
+
+
+@plan("s14_merge_sensitivity", "SELECT 0 AS k, count(*) FILTER (boundary) AS n_cuts FROM cut0 UNION ALL SELECT 2, count(*) FILTER (boundary) FROM cut")
+def _(s, d):
+    events = base.canon(s, d)
+    raw = b.system_change(events)
+    each = [b.merge_leave_and_return(events, raw, k).agg(F.count_if("boundary").alias("n_cuts")).select(F.lit(k).alias("k"), "n_cuts") for k in (0, 2)]
+    return each[0].unionAll(each[1])
+
+
+@plan("v04_signal_evaluation", """SELECT count(*) AS n_points, count(*) FILTER (d <= 86400000) AS covered, round(avg(d), 3) AS mean_distance_ms FROM (SELECT p.session_id, p.at_ms, min(abs(c.timestamp_ms - p.at_ms)) AS d FROM points p JOIN canon c ON c.session_id = p.session_id AND c.event_type = 'error' GROUP BY ALL)""")
+def _(s, d):
+    near = jn.nearest(base.points(s, d), base.canon(s, d).where("event_type = 'error'"), "at_ms", "timestamp_ms").where("distance_ms IS NOT NULL")
+    return near.agg(F.count("*").alias("n_points"), F.count_if(F.col("distance_ms") <= 24 * fx.HOUR).alias("covered"), F.round(F.avg("distance_ms"), 3).alias("mean_distance_ms"))
+
+
+@plan("v17_false_boundaries", f"SELECT is_boundary, predicted, case_id IS NOT NULL AS inside, count(*) AS n FROM ({PRED}) l JOIN (SELECT session_id, idx, case_id FROM cased) USING (session_id, idx) GROUP BY ALL")
+def _(s, d):
+    both = truth(s, d).join(base.cased(s, d).select("session_id", "idx", "case_id"), ["session_id", "idx"])
+    return both.groupBy("is_boundary", "predicted", F.col("case_id").isNotNull().alias("inside")).agg(F.count("*").alias("n"))
+
+
+@plan("v21_flag_clusters", "SELECT case_id, count(*) AS n_clusters, max(l) AS longest FROM (SELECT case_id, g, count(*) AS l FROM (SELECT *, sum(CAST(NOT flag AS INTEGER)) OVER (PARTITION BY session_id, case_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT t.session_id, t.idx, g.case_id, application_changed AS flag FROM trans t JOIN gt g ON g.session_id = t.session_id AND g.start_ms <= t.timestamp_ms AND t.next_timestamp_ms <= g.end_ms)) WHERE flag GROUP BY ALL) GROUP BY 1")
+def _(s, d):
+    inner = jn.inside(base.trans(s, d), fx.ground_truth(s, d))
+    runs = sq.runs(inner, "application_changed", ("session_id", "case_id")).where("value")
+    return runs.groupBy("case_id").agg(F.count("*").alias("n_clusters"), F.max("length").alias("longest"))
+
+
+@plan("v22_tempo_sweep", f"SELECT density_before AS threshold, count(*) AS n, count(*) FILTER (is_boundary) AS true_cuts FROM ({base.FINAL}) JOIN (SELECT session_id, idx, is_boundary FROM labelled) USING (session_id, idx) WHERE rule = 'rule_4_continuity' AND NOT final GROUP BY 1")
+def _(s, d):
+    demoted = b.reconstruct(base.evidence(s, d), 0.6).where("rule = 'rule_4_continuity' AND NOT final")
+    both = demoted.join(base.labelled(s, d).select("session_id", "idx", "is_boundary"), ["session_id", "idx"])
+    return both.groupBy(F.col("density_before").alias("threshold")).agg(F.count("*").alias("n"), F.count_if("is_boundary").alias("true_cuts"))
+
+
+@plan("v23_stratified_pairs", f"SELECT gap, count(*) AS n, count(*) FILTER (same) AS n_same, CASE WHEN count(*) < 50 THEN 'few' ELSE '' END AS note FROM ({base.CAPPED}) GROUP BY 1")
+def _(s, d):
+    pairs = jn.offset_pairs(base.cased(s, d), "case_id", [1, 2, 5, 10, 25], 200)
+    return pairs.groupBy("gap").agg(F.count("*").alias("n"), F.count_if("same").alias("n_same"), F.when(F.count("*") < 50, "few").otherwise("").alias("note"))
+
+
+@plan("v25_review_checks", "SELECT kind, count(*) AS n FROM (SELECT case_id, CASE WHEN n_events = 1 THEN 'missing' WHEN n_events > 20 THEN 'invalid' END AS kind FROM gt) WHERE kind IS NOT NULL GROUP BY 1")
+def _(s, d):
+    n = base.cased(s, d).where("case_id IS NOT NULL").groupBy("case_id").agg(F.count("*").alias("n_events"))
+    judged = n.where("n_events > 1").select("case_id", F.when(F.col("n_events") > 20, "bad").otherwise("ok").alias("label"))
+    both = n.join(judged, "case_id", "full")
+    kind = F.when(F.col("label").isNull(), "missing").when(~F.col("label").isin("ok", "not_ok"), "invalid")
+    return both.select(kind.alias("kind")).where("kind IS NOT NULL").groupBy("kind").agg(F.count("*").alias("n"))
