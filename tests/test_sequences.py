@@ -131,13 +131,13 @@ def test_streams(spark, tmp_path):
     table = spark.createDataFrame(rows, "event_id long, session_id string, sec long, application string, browser_domain string").withColumn("ts", F.timestamp_seconds("sec"))
     table.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))
-    out = sessions.gap_segments(sessions.deduplicated(stream, "ts", "1 hour"), "ts", "10 minutes", "1 hour")
+    out = sessions.gap_segments(sessions.deduplicated(sessions.watermarked(stream, "ts", "1 hour")), "ts", "10 minutes")
     query = out.writeStream.format("memory").queryName("segments").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert query.exception() is None
-    batch = sessions.gap_segments(table.dropDuplicates(["event_id"]), "ts", "10 minutes", "1 hour")
+    batch = sessions.gap_segments(table.dropDuplicates(["event_id"]), "ts", "10 minutes")
     assert sorted((r.session_id, r.n_events) for r in batch.collect()) == [("a", 1), ("a", 2), ("b", 1)]
-    assert sessions.quality_counters(table, "ts", "1 hour", "1 hour").agg(F.sum("n")).first()[0] == 5
+    assert sessions.quality_counters(table, "ts", "1 hour").agg(F.sum("n")).first()[0] == 5
 
 
 def test_sources(spark, tmp_path):
