@@ -15,9 +15,9 @@ def _two_way(links: DataFrame) -> DataFrame:
 def _star(links: DataFrame, small: bool) -> DataFrame:
     """One star operation (Kiveris et al., "Connected Components in MapReduce and Beyond"): hang the larger (or
     smaller) neighbours of each node, and the node, on the least of its neighbourhood. The least one is found
-    by an aggregate with partial sums and joined back, so a hub's links may be split over tasks."""
+    by an aggregate with partial sums, written and joined back, so a hub's links may be split over tasks."""
     arcs = links.selectExpr("greatest(u, v) AS u", "least(u, v) AS v") if small else _two_way(links)
-    least = arcs.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
+    least = keep(arcs.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m"), "least")
     arcs = arcs.join(least, "u")
     if small:
         out = arcs.selectExpr("v AS u", "m AS v").unionAll(least.selectExpr("u", "m AS v"))

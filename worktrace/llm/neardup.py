@@ -144,13 +144,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     several, each with its own copy of the pivot's text."""
     ids = keep(pairs.selectExpr("id AS doc_id").unionAll(pairs.selectExpr("pivot AS doc_id")).distinct(), "ids")
     texts = semi_by_id(docs, ids, ids.count(), "doc_id")
-    parts = pairs.groupBy("pivot").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).cast("int").alias("parts"))
+    parts = keep(pairs.groupBy("pivot").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).cast("int").alias("parts")), "parts")
     salt = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     salted = pairs.join(parts, "pivot").select("pivot", salt.alias("salt"), F.lit(False).alias("is_pivot"), "id")
     pivots = parts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(True).alias("is_pivot"), F.col("pivot").alias("id"))
     rows = salted.unionAll(pivots).join(texts.withColumnRenamed("doc_id", "id"), "id").select("pivot", "salt", "is_pivot", "id", "text")
     out = keep(rows.groupBy("pivot", "salt").applyInArrow(_confirm(k, percent), "u long, v long"), "confirmed")
     forget(ids)
+    forget(parts)
     return out
 
 
@@ -186,9 +187,10 @@ def _family_links(family: DataFrame, docs: DataFrame, k: int, percent: int) -> D
     """family(pivot, id, n, c) -> links(u, v) between what is outside a family's main component and all of the family. Both
     sides are dealt into parts of GROUP_SHINGLES; a task holds one part of each."""
     main = family.groupBy("pivot", "c").agg(F.count("*").alias("m")).groupBy("pivot").agg(F.max(F.struct("m", "c")).alias("main"), F.count("*").alias("comps")).where("comps > 1").selectExpr("pivot", "main.c AS main")
+    main = keep(main, "main")
     marked = family.join(main, "pivot").select("pivot", "id", "n", (F.col("c") != F.col("main")).alias("outside"))
     ceil = lambda total: F.greatest(F.ceil(total / GROUP_SHINGLES), F.lit(1)).cast("int")
-    sizes = marked.groupBy("pivot").agg(ceil(F.sum("n")).alias("parts"), ceil(F.sum(F.when(F.col("outside"), F.col("n")))).alias("sides"))
+    sizes = keep(marked.groupBy("pivot").agg(ceil(F.sum("n")).alias("parts"), ceil(F.sum(F.when(F.col("outside"), F.col("n")))).alias("sides")), "sizes")
     dealt = keep(marked.join(sizes, "pivot").withColumn("h", F.xxhash64("id")), "dealt")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     inside = dealt.select("pivot", F.pmod("h", F.col("parts").cast("long")).cast("int").alias("part"), upto("sides").alias("side"), F.lit(False).alias("outside"), "id")
@@ -197,7 +199,7 @@ def _family_links(family: DataFrame, docs: DataFrame, k: int, percent: int) -> D
     texts = semi_by_id(docs, ids, ids.count(), "doc_id").withColumnRenamed("doc_id", "id")
     rows = inside.unionAll(others).join(texts, "id").select("pivot", "part", "side", "outside", "id", "text")
     out = keep(rows.groupBy("pivot", "part", "side").applyInArrow(_confirm_block(k, percent), "u long, v long"), "confirmed")
-    for table in (dealt, ids):
+    for table in (dealt, ids, main, sizes):
         forget(table)
     return out
 
@@ -223,10 +225,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     reps = reps.select("doc_id", "n_shingles", "halves").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_reps // 50_000), "doc_id")
     bits = min(63, 8 + (n_reps * len(_PAIRS)).bit_length())
     rows = reps.mapInArrow(_buckets(bits), "key long, id long, n long")
-    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    # aggregates are written before they are joined: both sides of the join are then shuffled for it, and a hot key can be split
+    shared = keep(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "shared")
     buckets = keep(rows.join(shared, "key").select("key", "id", "n"), "buckets")
 
-    pivots = buckets.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1").select("key", "pivot")
+    pivots = keep(buckets.groupBy("key").agg(F.min("id").alias("pivot")), "pivots")
 
     # 1: each document against the pivot that most of its buckets have
     best = buckets.join(pivots, "key").where("pivot <> id").groupBy("id", "n", "pivot").agg(F.count("*").alias("tables"))
@@ -238,7 +241,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     def open_buckets(found: DataFrame) -> DataFrame:
         """Buckets whose members are in several components: (key, id, n, c)."""
         placed = buckets.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-        split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+        split = keep(placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), "split")
         return keep(placed.join(split, "key", "left_semi"), "open")
 
     def hubs(open_: DataFrame, links: DataFrame) -> DataFrame:
@@ -246,7 +249,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         degree = links.unionAll(links.selectExpr("v AS u", "u AS v")).groupBy("u").agg(F.count("*").alias("degree"))
         ranked = open_.join(degree.withColumnRenamed("u", "id"), "id", "left")
         best = F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.negative("id").alias("p"), "c", "n")).alias("hub")
-        return ranked.groupBy("key").agg(best).selectExpr("key", "-hub.p AS pivot", "hub.c AS pc", "hub.n AS pn")
+        return keep(ranked.groupBy("key").agg(best).selectExpr("key", "-hub.p AS pivot", "hub.c AS pc", "hub.n AS pn"), "hubs")
 
     # 2: open buckets against their hub
     open_ = open_buckets(found)
@@ -261,7 +264,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     family = keep(open_.join(hubs(open_, links.unionAll(links2)), "key").select("pivot", "id", "n", "c").distinct(), "family")
     links3 = _family_links(family, known, k, percent)
     final = keep(components(found2.selectExpr("id AS u", "component AS v").unionAll(links3)), "components")
-    for table in (open_, buckets, tried, second, family, links, links2, links3, found, found2):
+    for table in (open_, shared, pivots, buckets, tried, second, family, links, links2, links3, found, found2):
         forget(table)
 
     resolved = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select(*sets, F.coalesce("component", "rep").alias("c"))

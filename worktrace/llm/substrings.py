@@ -143,7 +143,8 @@ def _find(docs: DataFrame, length: int, text: bool, id_col: str, text_col: str)
     sketches = keep(source.mapInArrow(_sketch(length), "doc_id long, key long, t long, n_words long, kept_sha256 string, places array<int>, anchors array<long>"), "seeds")
 
     occurring = sketches.select(*row, F.explode(F.arrays_zip("places", "anchors")).alias("x")).select(*row, "x.places", "x.anchors").withColumnsRenamed({"places": "place", "anchors": "anchor"})
-    repeated = occurring.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # aggregates are written before they are joined: both sides of the join are then shuffled for it, and a hot key can be split
+    repeated = keep(occurring.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeated")
     hits = keep(occurring.join(repeated, "anchor").groupBy(*row).agg(F.collect_set("place").alias("places")), "hits")
     n_hits = hits.count()
     few = F.broadcast(hits.select(*row)) if n_hits <= BROADCAST_IDS else None
@@ -156,18 +157,18 @@ def _find(docs: DataFrame, length: int, text: bool, id_col: str, text_col: str)
     whole = seeds.drop("windows").join(blocks.where("n > 1").select("anchor", "block"), ["anchor", "block"], "left_semi")
     spans = whole.select(*row, F.struct(F.col("s0").alias("a"), F.col("s1").alias("b")).alias("span"))
     # anchors with several different blocks: one copy of each is opened
-    mixed = blocks.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
+    mixed = keep(blocks.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor"), "mixed")
     firsts = blocks.join(mixed, "anchor", "left_semi").select("anchor", "block", "n", "first.*")
     copies = seeds.join(firsts, ["anchor", "block", "key", "t", "s0"]).drop_duplicates(["key", "t", "s0"])
     opened = keep(copies.select(*row, "s0", "n", F.posexplode("windows").alias("i", "window")), "opened")
-    shared = opened.groupBy("window").agg(F.count("*").alias("m")).where("m > 1").select("window")
+    shared = keep(opened.groupBy("window").agg(F.count("*").alias("m")).where("m > 1").select("window"), "shared")
     single = opened.where("n = 1").join(shared, "window", "left_semi").select(*row, (F.col("s0") + F.col("i")).alias("a"))
     spans = spans.unionByName(single.select(*row, F.struct("a", F.col("a").alias("b")).alias("span")))
     gone = keep(spans.groupBy(*row).agg(F.collect_set("span").alias("spans")), "spans")
     cut = candidates.join(gone, row).select("key", "text", "t", "spans").mapInArrow(_cut(length), "key long, t long, n_removed long, kept_text string")
     cut = cut.withColumn("cut_sha256", F.sha2("kept_text", 256))
     cut = keep((cut if text else cut.drop("kept_text")).drop_duplicates(row), "kept")
-    for table in (hits, seeds, blocks, opened, gone):
+    for table in (repeated, hits, seeds, blocks, mixed, opened, shared, gone):
         forget(table)
 
     return sketches.select("doc_id", *row, "n_words", "kept_sha256"), cut
