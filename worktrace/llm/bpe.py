@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 
 from worktrace.llm.text import chunks
 
-#: Pieces and words that a worker remembers; beyond it, it starts anew.
-CACHE = 200_000
+#: Pieces, words and transitions that a worker remembers while it runs a task; beyond it, it starts anew.
+CACHE = 150_000
 #: Stands for the end mark in spellings; the byte-level alphabet does not use it.
 END = "\ue000"
 
@@ -83,7 +83,7 @@ class Automaton:
         known = self.table.get(key)
         if known is None:
             known = self.table[key] = self._resolve(state, token)
-            if len(self.table) > 20 * CACHE:
+            if len(self.table) > 2 * CACHE:
                 self.table.clear()
         return known
 
@@ -218,6 +218,11 @@ class Tokenizer:
         get, make = self.pieces.get, self._looked_up
         return [x for p in pieces if (x := get(p) or make(p))[0]]
 
+    def rest(self) -> None:
+        """Forget what was looked up: workers outlive tasks, and the next one may need the memory."""
+        for known in (self.pieces, self.old_pieces, self.words, self.auto.table):
+            known.clear()
+
     def decode_ids(self, ids: list[int]) -> str:
         """The labels of the arcs, joined by one space."""
         return " ".join(map(self.labels.__getitem__, ids))
@@ -273,6 +278,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             kinds = [pa.int64()] + [pa.list_(pa.int32())] * ids + [pa.string()] * (2 * digests)
             names = ["doc_id", "n_tokens"] + ["ids"] * ids + ["ids_sha256", "decoded_sha256"] * digests
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
+        tokenizer.rest()
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, schema)
 
