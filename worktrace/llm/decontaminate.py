@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from worktrace.llm.fmindex import FMIndex
 from worktrace.llm.text import ALNUM, chunks, ragged, ranges, words_of
 
-#: Benchmark text that is broadcast at once; a larger benchmark is worked through in several blocks.
-BLOCK_BYTES = 32 << 20
+#: Benchmark text whose phrases are broadcast at once (about twenty times as many bytes); a larger benchmark is worked through in
+#: several blocks.
+BLOCK_BYTES = 4 << 20
 #: Text that makes one shard, and the most symbols that one index holds.
 SHARD_BYTES = 8 << 20
 

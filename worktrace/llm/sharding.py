@@ -7,7 +7,7 @@ aggregated by Spark, and the interval around the median is narrowed (HISTOGRAM b
 one value. What reaches the driver is HISTOGRAM numbers a node, whatever the number of rows.
 
 Rows with one value in the cut dimension stay together as long as the halves then differ by less than
-TOLERANCE of the node; a larger group is cut by doc_id (and then by a hash of the row).
+TOLERANCE of the node; a larger group is cut by doc_id (and then by the rows' places).
 """
 
 from __future__ import annotations
@@ -122,9 +122,8 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     size is the text's UTF-8 bytes (null: none) plus 1. Give the number of shards or the bytes that a shard
     should have. ``dims`` names further integer columns to split by. Shards have nearly equal bytes; rows with
     equal texts share a shard unless their group is too large for that. slot numbers a shard's rows from 0
-    without gaps, by doc_id. Null ids come first, rows that repeat are told apart by a hash of the row, and
-    fully equal rows are alike to the tree: a group of them is cut only between, never inside, one of its
-    distinct hashes. An empty table gives no rows.
+    without gaps, by doc_id. Null ids come first; rows that repeat are told apart by their place in the table.
+    An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     doc_id = F.col(id_col).cast("long")
