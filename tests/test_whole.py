@@ -1,0 +1,42 @@
+"""Whole jobs: no cap, no shortened grid."""
+
+import os
+import random
+
+import pytest
+
+from worktrace.operators import joins, learning
+from worktrace.plans import registry, sequences
+
+D = "/root/testdata/sf0.001"
+
+
+def test_offset_pairs_without_a_cap_equal_brute_force(spark):
+    rng = random.Random(3)
+    sessions = {"long": 900, "short": 3, "one": 1}
+    rows = [(s, i, rng.choice(["p", "q", None]), rng.choice(["A", "B", "C", "D", None])) for s, n in sessions.items() for i in range(n)]
+    events = spark.createDataFrame(rows, "session_id string, idx long, case_id string, application string")
+    at = {(s, i): (c, a) for s, i, c, a in rows}
+    want = {}
+    for (s, i), (c, _) in at.items():
+        for g in sequences.GAPS:
+            if c and at.get((s, i + g), (None,))[0]:
+                inside = {at[s, k][1] for k in range(i, i + g + 1)} - {None}
+                want[s, i, i + g] = (g, c == at[s, i + g][0], len(inside))
+    assert len(sequences.GAPS) == 22 and sequences.GAPS[-1] == 600 and len(want) > 6000
+    pairs = joins.offset_pairs(events, "case_id", sequences.GAPS)
+    assert {(r.session_id, r.i, r.j): (r.gap, r.same) for r in pairs.collect()} == {k: v[:2] for k, v in want.items()}
+    found = learning.distinct_at_gaps(pairs, events, "application", sequences.GAPS).collect()
+    assert len(found) == len(want) and {(r.session_id, r.i, r.j): r.n_distinct for r in found} == {k: v[2] for k, v in want.items()}
+
+
+@pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
+@pytest.mark.parametrize("name", ["j10_offset_pairs_all", "w16_between_counts_all", "m12_distinct_between_all", "v23_stratified_pairs_all"])
+def test_whole_pairs_equal_sql(spark, name):
+    import duckdb
+
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW events AS SELECT * FROM '{D}/events.parquet'")
+    df, want = registry.QUERIES[name](spark, D), duck.sql(registry.ORACLE[name])
+    assert sorted(df.columns) == sorted(want.columns)
+    assert sorted(map(tuple, df.select(*want.columns).collect())) == sorted(want.fetchall())

@@ -84,6 +84,18 @@ def distinct_between(pairs: DataFrame, events: DataFrame, column: str) -> DataFr
     return inside.groupBy("session_id", "i", "j").agg(F.count_if(F.col("prev") < F.col("i")).alias("n_distinct"))
 
 
+def distinct_at_gaps(pairs: DataFrame, events: DataFrame, column: str, gaps: Sequence[int]) -> DataFrame:
+    """``distinct_between`` of pairs (session_id, i, j, gap) whose j - i are few: a place k whose value was last seen at p counts
+    for the pairs that begin at max(p + 1, k - gap) .. k, so running sums of +1 and -1 replace the places of every pair."""
+    w = Window.partitionBy("session_id", column).orderBy("idx")
+    places = events.where(F.col(column).isNotNull()).select("session_id", F.col("idx").alias("k"), F.coalesce(F.lag("idx").over(w), F.lit(-1)).alias("prev"))
+    spans = places.withColumn("gap", F.explode(F.array(*map(F.lit, gaps))))
+    steps = spans.select("session_id", "gap", F.explode(F.array(F.struct(F.greatest(F.col("prev") + 1, F.col("k") - F.col("gap")).alias("i"), F.lit(1).alias("step")), F.struct((F.col("k") + 1).alias("i"), F.lit(-1).alias("step")))).alias("at"))
+    both = steps.select("session_id", "gap", "at.i", F.lit(None).cast("long").alias("j"), "at.step").unionByName(pairs.select("session_id", "gap", "i", "j", F.lit(0).alias("step")))
+    summed = both.withColumn("n_distinct", F.sum("step").over(Window.partitionBy("session_id", "gap").orderBy("i").rangeBetween(Window.unboundedPreceding, 0)))
+    return summed.where("j IS NOT NULL").select("session_id", "i", "j", "n_distinct")
+
+
 def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Adjusted Rand index and normalised mutual information (arithmetic mean) of two labelings, from their contingency table."""
     cells = rows.groupBy(a, b).agg(F.count("*").cast("double").alias("n"))

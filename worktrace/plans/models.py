@@ -77,6 +77,12 @@ def _(s, d):
     return ln.distinct_between(pairs, base.canon(s, d), "application")
 
 
+@plan("m12_distinct_between_all", f"SELECT p.session_id, i, j, count(DISTINCT application) AS n_distinct FROM ({base.EVERY}) p JOIN canon c ON c.session_id = p.session_id AND c.idx BETWEEN i AND j GROUP BY ALL")
+def _(s, d):
+    pairs = jn.offset_pairs(base.cased(s, d), "case_id", base.GAPS)
+    return ln.distinct_at_gaps(pairs, base.canon(s, d), "application", base.GAPS)
+
+
 @plan("m13_clusters")
 def _(s, d):
     rows = ln.fractions(base.segmented(s, d), ["session_id", "seg_no"], "interaction_category", list(fx.CATEGORIES.values()))

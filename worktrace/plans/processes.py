@@ -476,6 +476,12 @@ def _(s, d):
     return pairs.groupBy("gap").agg(F.count("*").alias("n"), F.count_if("same").alias("n_same"), F.when(F.count("*") < 50, "few").otherwise("").alias("note"))
 
 
+@plan("v23_stratified_pairs_all", f"SELECT gap, count(*) AS n, count(*) FILTER (same) AS n_same, CASE WHEN count(*) < 50 THEN 'few' ELSE '' END AS note FROM ({base.EVERY}) GROUP BY 1")
+def _(s, d):
+    pairs = jn.offset_pairs(base.cased(s, d), "case_id", base.GAPS)
+    return pairs.groupBy("gap").agg(F.count("*").alias("n"), F.count_if("same").alias("n_same"), F.when(F.count("*") < 50, "few").otherwise("").alias("note"))
+
+
 @plan("v25_review_checks", "SELECT kind, count(*) AS n FROM (SELECT case_id, CASE WHEN n_events = 1 THEN 'missing' WHEN n_events > 20 THEN 'invalid' END AS kind FROM gt) WHERE kind IS NOT NULL GROUP BY 1")
 def _(s, d):
     n = base.cased(s, d).where("case_id IS NOT NULL").groupBy("case_id").agg(F.count("*").alias("n_events"))

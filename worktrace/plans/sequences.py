@@ -259,6 +259,11 @@ PAIRS = "SELECT a.session_id, a.idx AS i, b.idx AS j, a.case_id AS ca, b.case_id
 CAPPED = f"SELECT session_id, i, j, gap, ca = cb AS same FROM ({PAIRS}) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY md5(concat_ws('|', session_id, CAST(i AS VARCHAR), CAST(j AS VARCHAR)))) <= 200"
 
 
+#: The reference's grid: 24 log-spaced gaps up to 600, of which 22 differ as whole numbers.
+GAPS = sorted({round(600 ** (k / 23)) for k in range(24)})
+EVERY = f"SELECT a.session_id, a.idx AS i, b.idx AS j, b.idx - a.idx AS gap, a.case_id = b.case_id AS same FROM cased a JOIN cased b ON a.session_id = b.session_id AND b.idx - a.idx IN ({', '.join(map(str, GAPS))}) WHERE a.case_id IS NOT NULL AND b.case_id IS NOT NULL"
+
+
 @plan("j10_offset_pairs", CAPPED)
 def _(s, d):
     return jn.offset_pairs(cased(s, d), "case_id", [1, 2, 5, 10, 25], 200)
@@ -270,6 +275,17 @@ def _(s, d):
     return jn.prefix_lookup(canon(s, d).withColumn("bought", F.col("event_type") == "purchase"), pairs, "bought")
 
 
+@plan("j10_offset_pairs_all", EVERY)
+def _(s, d):
+    return jn.offset_pairs(cased(s, d), "case_id", GAPS)
+
+
+@plan("w16_between_counts_all", f"SELECT p.session_id, i, j, gap, same, count(c.idx) AS between FROM ({EVERY}) p LEFT JOIN canon c ON c.session_id = p.session_id AND c.idx > i AND c.idx < j AND c.event_type = 'purchase' GROUP BY ALL")
+def _(s, d):
+    pairs = jn.offset_pairs(cased(s, d), "case_id", GAPS)
+    return jn.prefix_lookup(canon(s, d).withColumn("bought", F.col("event_type") == "purchase"), pairs, "bought")
+
+
 @plan("j01_boundary_labels", "SELECT session_id, idx, is_boundary, is_resume FROM labelled")
 def _(s, d):
     return labelled(s, d).select("session_id", "idx", "is_boundary", "is_resume")
