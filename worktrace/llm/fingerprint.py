@@ -2,7 +2,7 @@
 
 Every window of WINDOW bytes is ranked by how rare its entropy is: the farther from the entropy that running
 text typically has, the rarer. In each run of RUN consecutive windows the rarest one (leftmost on a tie) gets a
-vote; windows with VOTES votes are the features. Their hashes go into Bloom filters of FILTER_BITS bits, five bits a feature;
+vote; windows with VOTES votes are the features, or the one with most votes (leftmost on a tie) where none has as many. Their hashes go into Bloom filters of FILTER_BITS bits, five bits a feature;
 after PER_FILTER features the next filter of the chain begins. Two digests are compared by the overlap of their
 filters' bits, normalised by what chance would give.
 """
@@ -90,7 +90,10 @@ def _features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     small = np.flatnonzero((windows > 0) & (full == 0))
     chosen += [np.array([int(value[first[i] : first[i + 1]].min()) & ((1 << 40) - 1)], dtype=np.int64) for i in small]
     votes = np.bincount(np.concatenate(chosen), minlength=len(starts)) if len(starts) else np.zeros(0, np.int64)
-    picked = np.flatnonzero(votes >= np.minimum(VOTES, np.maximum(full, 1))[owner])
+    reached = votes >= np.minimum(VOTES, np.maximum(full, 1))[owner]
+    for i in np.flatnonzero((windows > 0) & (np.bincount(owner[reached], minlength=n) == 0)):  # the votes are split
+        reached[first[i] + votes[first[i] : first[i + 1]].argmax()] = True
+    picked = np.flatnonzero(reached)
     short = np.flatnonzero((windows == 0) & (size > 0))
     at = np.concatenate((starts[picked], base[:-1][short]))
     ends = np.concatenate((starts[picked] + WINDOW, base[1:][short] - 1))
