@@ -4,7 +4,8 @@ Words of the benchmark are the index's alphabet; any other document word can be
 separates runs. Runs shorter than the shortest phrase are left out. Each shard (a bounded slice of a task's
 rows) is indexed where it is read: the test phrases are found by backward search through wavelet-tree ranks,
 their places by sampled suffix positions, and the removal spans are merged per document. Nothing is shuffled;
-the phrases travel by broadcast, in blocks of bounded size.
+the phrases travel by broadcast, in blocks of bounded size. With several blocks the rows are written after each but
+the last, with the spans and items found so far, so only one block is held at a time.
 """
 
 from __future__ import annotations
@@ -14,10 +15,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worktrace.llm.fmindex import FMIndex
+from worktrace.llm.store import forget, keep
 from worktrace.llm.text import ALNUM, chunks, ragged, ranges, words_of
 
 #: Benchmark text whose phrases are broadcast at once (about twenty times as many bytes); a larger benchmark is worked through in
@@ -53,20 +57,22 @@ def _phrases(items: list[tuple[str, str]], n: int) -> Phrases:
     hashes = words.hashes()
     vocabulary, symbol = np.unique(hashes, return_inverse=True)
     rows, owner = [], []
-    for item, (a, b) in enumerate(zip(words.off[:-1], words.off[1:], strict=True)):
+    ids = sorted({i for i, _ in items})
+    number = {i: k for k, i in enumerate(ids)}
+    for (item, _), a, b in zip(items, words.off[:-1], words.off[1:], strict=True):
         own = symbol[a:b] + 1
         if len(own):
             width = min(n, len(own))
             windows = np.lib.stride_tricks.sliding_window_view(own, width)
             rows.append(np.pad(windows, ((0, 0), (n - width, 0))))
-            owner.append(np.full(len(windows), item))
+            owner.append(np.full(len(windows), number[item]))
     table = np.concatenate(rows) if rows else np.zeros((0, n), np.int64)
     owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
     patterns, which = np.unique(table, axis=0, return_inverse=True)
     pairs = np.unique(np.stack((which.reshape(-1), owner), axis=1), axis=0)
     known = np.zeros(1 << 20, dtype=bool)
     known[vocabulary >> np.uint64(44)] = True
-    return Phrases(vocabulary, known, patterns, (patterns > 0).sum(1), pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(patterns) + 1)), np.array([i for i, _ in items], dtype=object))
+    return Phrases(vocabulary, known, patterns, (patterns > 0).sum(1), pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(patterns) + 1)), np.array(ids, dtype=object))
 
 
 def _runs(symbols: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,13 +106,18 @@ def _occurrences(phrases: Phrases, symbols: np.ndarray, off: np.ndarray) -> tupl
     return window, source[index.locate(ranges(lo[found], (hi - lo)[found]))]
 
 
-def _scan(phrases: Phrases, batch: pa.RecordBatch, clean: bool) -> pa.RecordBatch:
+def _scan(phrases: Phrases, batch: pa.RecordBatch, clean: bool, before: list[pa.Array] | None = None) -> pa.RecordBatch:
+    """before: span_starts, span_ends and items that other blocks of the benchmark gave these rows; they are merged in."""
     words = words_of(batch.column(1), ALNUM, lower=True)
     n_docs, total = batch.num_rows, len(words.starts)
     window, at = _occurrences(phrases, phrases.symbols(words.hashes()), words.off)
     cover = np.zeros(total + 1, dtype=np.int64)
     np.add.at(cover, at, 1)
     np.add.at(cover, at + phrases.lengths[window], -1)
+    if before is not None:
+        base = np.repeat(words.off[:-1], np.asarray(pc.list_value_length(before[0]), dtype=np.int64))
+        np.add.at(cover, base + np.asarray(before[0].flatten(), dtype=np.int64), 1)
+        np.add.at(cover, base + np.asarray(before[1].flatten(), dtype=np.int64), -1)
     hit = np.cumsum(cover)[:-1] > 0
     doc = words.doc
     # merged spans: runs of hit words of one document
@@ -126,6 +137,8 @@ def _scan(phrases: Phrases, batch: pa.RecordBatch, clean: bool) -> pa.RecordBatc
         ragged(e - words.off[doc[e]] + 1, spans, pa.int32()),
         ragged(phrases.items[pairs[1]], per_doc, pa.string()),
     ]
+    if before is not None:
+        cols[5] = pa.array([sorted({*old, *new}) if old else new for old, new in zip(before[2].to_pylist(), cols[5].to_pylist(), strict=True)], pa.list_(pa.string()))
     names = ["doc_id", "n_words", "n_hit", "span_starts", "span_ends", "items"]
     if clean:
         kept = batch.column(1).to_pylist()
@@ -147,10 +160,48 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // BLOCK_BYTES) or 1
     for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k)
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
         yield [(r.item, r.text) for r in part.collect()]
 
 
+_FOUND = "array<int>", "array<int>", "array<string>"
+
+
+def _all_but_last(docs: DataFrame, text_col: str, blocks: Iterator[list[tuple[str, str]]], n: int) -> tuple[DataFrame, list[str], Broadcast]:
+    """docs, row by row, with three columns more (spans and items of all blocks but the last), their names, and the last
+    block's phrases. With one block there are no such columns and nothing is run."""
+    context, held, written = docs.sparkSession.sparkContext, next(blocks), None
+    rows, names = docs, []
+    for more in blocks:
+        if not names:
+            stem = "found"
+            while any(c.lower().startswith(stem) for c in docs.columns):
+                stem = f"_{stem}"
+            names = [f"{stem}_{x}" for x in ("starts", "ends", "items")]
+            rows = docs.withColumns({x: F.array().cast(kind) for x, kind in zip(names, _FOUND, strict=True)})
+        shipped = context.broadcast(_phrases(held, n))
+        at = docs.columns.index(text_col)
+
+        def run(batches: Iterator[pa.RecordBatch], shipped: Broadcast = shipped, at: int = at) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in chunks(iter([batch]), text=at, limit=SHARD_BYTES, rows=1 << 16):
+                    found = _scan_column(shipped.value, part, at, False)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-3], *found.columns[3:6]], names=part.schema.names)
+
+        last, written = written, keep(rows.mapInArrow(run, rows.schema), "decontaminate")
+        if last is not None:
+            forget(last)
+        shipped.destroy()
+        rows, held = written, more
+    return rows, names, context.broadcast(_phrases(held, n))
+
+
+def _scan_column(phrases: Phrases, part: pa.RecordBatch, at: int, clean: bool, carried: bool = True) -> pa.RecordBatch:
+    """_scan of the text in column ``at``; where ``carried``, the last three columns are what other blocks gave."""
+    texts = part.column(at).cast(pa.string())
+    return _scan(phrases, pa.RecordBatch.from_arrays([texts, texts], names=["doc_id", "text"]), clean, part.columns[-3:] if carried else None)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, clean: bool = False, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, span_starts, span_ends (word spans [start, end), merged),
     items (ids, as strings, of the items with an occurring window); with ``clean`` also clean_text, the text
@@ -160,99 +211,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, clean: boo
     empty text has no words and no hits; null item ids or texts count as no item; an empty benchmark hits
     nothing; repeated rows are scanned each; other columns are not read.
     """
-    spark = docs.sparkSession
     schema = "doc_id long, n_words long, n_hit long, span_starts array<int>, span_ends array<int>, items array<string>" + ", clean_text string" * clean
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def scan(items: list[tuple[str, str]], rows: DataFrame, clean: bool, schema: str) -> DataFrame:
-        shipped = spark.sparkContext.broadcast(_phrases(items, n))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in chunks(batches, limit=SHARD_BYTES, rows=1 << 16):
-                yield _scan(shipped.value, batch, clean)
-
-        return rows.mapInArrow(run, schema)
-
-    blocks = _blocks(benchmark, item_col, item_text_col)
-    held = next(blocks)
-    more = next(blocks, None)
-    if more is None:
-        return scan(held, source, clean, schema)
-    # several blocks: find spans for each, then merge the spans of each document
-    found = scan(held, source, False, schema.replace(", clean_text string", ""))
-    while more is not None:
-        found = found.unionByName(scan(more, source, False, schema.replace(", clean_text string", "")))
-        more = next(blocks, None)
-    return _merged(found, source, clean)
-
-
-def _merged(found: DataFrame, source: DataFrame, clean: bool) -> DataFrame:
-    """Spans of several blocks of the benchmark, merged per document."""
-    listed = found.groupBy("doc_id", "n_words").agg(
-        F.array_sort(F.flatten(F.collect_list(F.arrays_zip(F.col("span_starts").alias("s"), F.col("span_ends").alias("e"))))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-    )
-    merged = listed.withColumn(
-        "spans",
-        F.aggregate(
-            "spans",
-            F.expr("CAST(array() AS array<struct<s:int,e:int>>)"),
-            lambda acc, x: F.when(
-                (F.size(acc) > 0) & (F.element_at(acc, F.when(F.size(acc) > 0, -1).otherwise(1))["e"] >= x["s"]),
-                F.concat(
-                    F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                    F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e"))),
-                ),
-            ).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"))))),
-        ),
-    )
-    out = merged.select(
-        "doc_id",
-        "n_words",
-        F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"]).alias("n_hit"),
-        F.col("spans.s").alias("span_starts"),
-        F.col("spans.e").alias("span_ends"),
-        "items",
-    )
-    if not clean:
-        return out
+    rows, names, shipped = _all_but_last(source, "text", _blocks(benchmark, item_col, item_text_col), n)
 
-    names = [*out.columns, "clean_text"]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, text=6):
-            words = words_of(batch.column(6), ALNUM, lower=True)
-            texts = batch.column(6).to_pylist()
-            for i, (a, b) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                if a:
-                    raw, base, parts, done, first = texts[i].encode(), int(words.base[i]), [], 0, words.off[i]
-                    for s, e in zip(a, b, strict=True):
-                        parts.append(raw[done : words.starts[first + s] - base])
-                        done = int(words.ends[first + e - 1]) - base
-                    texts[i] = b"".join([*parts, raw[done:]]).decode()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(texts, pa.string())], names=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, limit=SHARD_BYTES, rows=1 << 16):
+            yield _scan(shipped.value, batch, clean, batch.columns[2:] if names else None)
 
-    joined = out.join(source, "doc_id", "left").select(*out.columns, "text")
-    return joined.mapInArrow(cut, joined.drop("text").schema.add("clean_text", "string"))
+    return rows.mapInArrow(run, schema)
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, with the removal spans cut out of the text. No row is dropped. No shuffle of docs
-    unless the benchmark takes several blocks; then spans are joined by id, and rows with a null id keep their text."""
-    blocks = _blocks(benchmark, item_col, item_text_col)
-    held = next(blocks)
-    if next(blocks, None) is not None:
-        found = decontaminate(docs, benchmark, n, True, id_col, text_col, item_col, item_text_col)
-        cut = found.where("n_hit > 0").select(F.col("doc_id").alias(id_col), "clean_text").drop_duplicates([id_col])
-        return docs.join(cut, id_col, "left").withColumn(text_col, F.coalesce("clean_text", text_col)).select(*docs.columns)
-    shipped = docs.sparkSession.sparkContext.broadcast(_phrases(held, n))
+    """The rows of docs, all columns, with the removal spans cut out of the text. No row is dropped. No shuffle of docs."""
+    rows, names, shipped = _all_but_last(docs, text_col, _blocks(benchmark, item_col, item_text_col), n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             for part in chunks(iter([batch]), text=at, limit=SHARD_BYTES, rows=1 << 16):
-                texts = part.column(at).cast(pa.string())
-                found = _scan(shipped.value, pa.RecordBatch.from_arrays([texts, texts], names=["doc_id", "text"]), True)
-                yield part.set_column(at, text_col, found.column("clean_text"))
+                clean = _scan_column(shipped.value, part, at, True, bool(names)).column("clean_text")
+                part = part.set_column(at, text_col, clean)
+                yield part.select(part.schema.names[:-3]) if names else part
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)
