@@ -1,8 +1,10 @@
 """Whole jobs: no cap, no shortened grid."""
 
+import inspect
 import os
 import random
 
+import numpy as np
 import pytest
 
 from worktrace.operators import joins, learning
@@ -40,3 +42,21 @@ def test_whole_pairs_equal_sql(spark, name):
     df, want = registry.QUERIES[name](spark, D), duck.sql(registry.ORACLE[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert sorted(map(tuple, df.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
+def test_hmm_is_swept_over_all_states(spark):
+    found = registry.QUERIES["b17_hmm_boundaries"](spark, D).groupBy("k").count().collect()
+    assert sorted(r["k"] for r in found) == [2, 3, 4, 5, 6, 8] and len({r["count"] for r in found}) == 1
+    assert inspect.signature(learning.hmm_boundaries).parameters["rounds"].default == 30
+
+
+def test_best_cuts_equal_every_choice_without_comparing_all(spark):
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        x = np.concatenate([rng.normal(rng.integers(0, 6), 1, rng.integers(1, 5)) for _ in range(3)])
+        s, q, n = np.cumsum([0, *x]), np.cumsum([0, *(x * x)]), np.arange(len(x) + 1.0)
+        price = lambda a, b: q[b] - q[a] - (s[b] - s[a]) ** 2 / (n[b] - n[a]) + 2.0
+        choices = [[k + 1 for k in range(len(x) - 1) if bits >> k & 1] + [len(x)] for bits in range(1 << (len(x) - 1))]
+        least = min(choices, key=lambda c: sum(price(a, b) for a, b in zip([0, *c[:-1]], c)))
+        assert learning._cuts(s, q, n, 2.0) == least

@@ -115,7 +115,8 @@ def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _gaussian_hmm(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
-    """Viterbi states of a diagonal Gaussian HMM fitted by Baum-Welch, in scaled arithmetic."""
+    """Viterbi states of a diagonal Gaussian HMM fitted by Baum-Welch, in scaled arithmetic, until the likelihood stands still
+    (a ten-thousandth) or the rounds are over."""
     n, d = x.shape
     if n < 2 * k:
         return np.zeros(n, dtype=int)
@@ -127,6 +128,7 @@ def _gaussian_hmm(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     def emission() -> np.ndarray:
         return -0.5 * (((x[:, None] - mean) ** 2 / var).sum(axis=2) + np.log(var).sum(axis=1))
 
+    likelihood = -np.inf
     for _ in range(rounds):
         log_b = emission()
         b = np.exp(log_b - log_b.max(axis=1, keepdims=True)) + 1e-12
@@ -145,6 +147,9 @@ def _gaussian_hmm(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
         weight = gamma.sum(axis=0)[:, None] + 1e-9
         mean = gamma.T @ x / weight
         var = gamma.T @ (x * x) / weight - mean**2 + 1e-3
+        last, likelihood = likelihood, np.log(scale).sum() + log_b.max(axis=1).sum() - n * d / 2 * np.log(2 * np.pi)
+        if abs(likelihood - last) < 1e-4 * max(1.0, abs(last)):
+            break
     log_b, log_step = emission(), np.log(step)
     best, back = np.log(start) + log_b[0], np.zeros((n, k), dtype=int)
     for t in range(1, n):
@@ -158,7 +163,7 @@ def _gaussian_hmm(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return states
 
 
-def hmm_boundaries(rows: DataFrame, columns: Sequence[str], states: Sequence[int], rounds: int = 15, seed: int = 7) -> DataFrame:
+def hmm_boundaries(rows: DataFrame, columns: Sequence[str], states: Sequence[int], rounds: int = 30, seed: int = 7) -> DataFrame:
     """State changes of a Gaussian HMM per session, for each number of states: (session_id, k, idx, boundary). Sessions and
     numbers of states are fitted in parallel; one session's transitions are one task's rows."""
     ready = standardised(vectors(rows, columns, ["session_id", "idx"]), columns, ["session_id"])
@@ -172,6 +177,24 @@ def hmm_boundaries(rows: DataFrame, columns: Sequence[str], states: Sequence[int
     return swept.groupBy("session_id", "k").applyInPandas(fit, "session_id string, k int, idx long, boundary boolean")
 
 
+def _cuts(s: np.ndarray, q: np.ndarray, n: np.ndarray, penalty: float) -> list[int]:
+    """Places of the optimal cuts. A start whose cost up to here exceeds the best one up to here can begin no later segment of an
+    optimum, as a cut never raises the cost of what it divides; so only the starts that are left are compared, without loss."""
+    m = len(s)
+    best, back, alive = np.full(m, np.inf), np.zeros(m, dtype=int), np.zeros(1, dtype=int)
+    best[0] = 0.0
+    for j in range(1, m):
+        cost = best[alive] + (q[j] - q[alive]) - (s[j] - s[alive]) ** 2 / np.maximum(n[j] - n[alive], 1)
+        at = int((cost + penalty).argmin())
+        back[j], best[j] = alive[at], cost[at] + penalty
+        alive = np.append(alive[cost <= best[j] + 1e-9 * (1 + abs(q[j]))], j)  # room for rounding
+    kept, j = [], m - 1
+    while j > 0:
+        kept.append(j)
+        j = back[j]
+    return kept[::-1]
+
+
 def best_cuts(candidates: DataFrame, penalty: float) -> DataFrame:
     """Optimal choice among candidate cuts: least sum of segment costs plus a penalty per segment. candidates: (session_id, place,
     value): cumulative sums s and squares q and counts n of the signal up to each candidate place, in order."""
@@ -179,20 +202,7 @@ def best_cuts(candidates: DataFrame, penalty: float) -> DataFrame:
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("place")
         s, q, n = (np.concatenate(([0.0], g[c].to_numpy(float))) for c in ("s", "q", "n"))
-        m = len(s)
-        best, back = np.full(m, np.inf), np.zeros(m, dtype=int)
-        best[0] = 0.0
-        for j in range(1, m):
-            count = n[j] - n[:j]
-            cost = (q[j] - q[:j]) - (s[j] - s[:j]) ** 2 / np.maximum(count, 1)
-            total = best[:j] + cost + penalty
-            back[j] = int(total.argmin())
-            best[j] = total[back[j]]
-        kept, j = [], m - 1
-        while j > 0:
-            kept.append(j)
-            j = back[j]
-        return g.iloc[[k - 1 for k in sorted(kept)]][["session_id", "place"]]
+        return g.iloc[[k - 1 for k in _cuts(s, q, n, penalty)]][["session_id", "place"]]
 
     return candidates.groupBy("session_id").applyInPandas(solve, "session_id string, place long")
 

@@ -100,7 +100,7 @@ def _(s, d):
 
 @plan("b17_hmm_boundaries")
 def _(s, d):
-    return ln.hmm_boundaries(base.trans(s, d), ["log1p_delta_t_ms", "density_before"], [2, 3])
+    return ln.hmm_boundaries(base.trans(s, d), ["log1p_delta_t_ms", "density_before"], [2, 3, 4, 5, 6, 8])
 
 
 @plan("b18_best_cuts")
