@@ -114,6 +114,10 @@ def test_decontaminate(spark, docs, empty, texts):
     got = decontaminate.decontaminate(docs, bench, clean=True).collect()
     hits = {r.doc_id: r for r in got if r.n_hit}
     assert hits[0].n_hit == 15 and hits[0]["items"] == ["1"]
+    assert all(len(set(r["items"])) == len(r["items"]) for r in got)
+    # items without an id are one item, which is null; items with one id are one
+    odd = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (1, texts[0]), (1, texts[0]), (1, texts[1])], "item_id long, text string")
+    assert {tuple(r["items"]) for r in decontaminate.decontaminate(docs, odd).where("doc_id IN (0, 1)").collect()} == {("1", None)}
     whole = decontaminate.remove_contamination(docs, bench)
     assert whole.columns == docs.columns and whole.count() == docs.count()
     assert whole.where("doc_id = 0").first().text == hits[0].clean_text

@@ -27,7 +27,7 @@ from worktrace.llm.text import ALNUM, chunks, ragged, ranges, words_of
 #: Benchmark text whose phrases are broadcast at once (about twenty times as many bytes); a larger benchmark is worked through in
 #: several blocks.
 BLOCK_BYTES = 4 << 20
-#: Text that makes one shard, and the most symbols that one index holds.
+#: Text that makes one shard. Its arrays and index take about fifty times as much.
 SHARD_BYTES = 8 << 20
 
 
@@ -41,7 +41,7 @@ class Phrases:
     lengths: np.ndarray
     owner: np.ndarray  # items of window w: owner[owner_off[w]:owner_off[w + 1]]
     owner_off: np.ndarray
-    items: np.ndarray  # item ids as strings
+    items: np.ndarray  # item ids as strings; one may be None
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(hashes), dtype=np.int64)
@@ -52,12 +52,16 @@ class Phrases:
         return out
 
 
-def _phrases(items: list[tuple[str, str]], n: int) -> Phrases:
+def _id_order(item: str | None) -> tuple[bool, str]:
+    return item is None, item or ""
+
+
+def _phrases(items: list[tuple[str | None, str]], n: int) -> Phrases:
     words = words_of(pa.array([t for _, t in items], pa.string()), ALNUM, lower=True)
     hashes = words.hashes()
     vocabulary, symbol = np.unique(hashes, return_inverse=True)
     rows, owner = [], []
-    ids = sorted({i for i, _ in items})
+    ids = sorted({i for i, _ in items}, key=_id_order)
     number = {i: k for k, i in enumerate(ids)}
     for (item, _), a, b in zip(items, words.off[:-1], words.off[1:], strict=True):
         own = symbol[a:b] + 1
@@ -138,7 +142,7 @@ def _scan(phrases: Phrases, batch: pa.RecordBatch, clean: bool, before: list[pa.
         ragged(phrases.items[pairs[1]], per_doc, pa.string()),
     ]
     if before is not None:
-        cols[5] = pa.array([sorted({*old, *new}) if old else new for old, new in zip(before[2].to_pylist(), cols[5].to_pylist(), strict=True)], pa.list_(pa.string()))
+        cols[5] = pa.array([sorted({*old, *new}, key=_id_order) if old else new for old, new in zip(before[2].to_pylist(), cols[5].to_pylist(), strict=True)], pa.list_(pa.string()))
     names = ["doc_id", "n_words", "n_hit", "span_starts", "span_ends", "items"]
     if clean:
         kept = batch.column(1).to_pylist()
@@ -154,9 +158,9 @@ def _scan(phrases: Phrases, batch: pa.RecordBatch, clean: bool, before: list[pa.
     return pa.RecordBatch.from_arrays(cols, names=names)
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, str]]]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str | None, str]]]:
     """The benchmark's items, gathered block by block; a block has BLOCK_BYTES on average."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // BLOCK_BYTES) or 1
     for k in range(n):
@@ -167,7 +171,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
 _FOUND = "array<int>", "array<int>", "array<string>"
 
 
-def _all_but_last(docs: DataFrame, text_col: str, blocks: Iterator[list[tuple[str, str]]], n: int) -> tuple[DataFrame, list[str], Broadcast]:
+def _all_but_last(docs: DataFrame, text_col: str, blocks: Iterator[list[tuple[str | None, str]]], n: int) -> tuple[DataFrame, list[str], Broadcast]:
     """docs, row by row, with three columns more (spans and items of all blocks but the last), their names, and the last
     block's phrases. With one block there are no such columns and nothing is run."""
     context, held, written = docs.sparkSession.sparkContext, next(blocks), None
@@ -208,8 +212,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, clean: boo
     without the spans (from a span's first word to its last).
 
     A window is n consecutive words of an item; an item of fewer words, but not none, is one window. A null or
-    empty text has no words and no hits; null item ids or texts count as no item; an empty benchmark hits
-    nothing; repeated rows are scanned each; other columns are not read.
+    empty text has no words and no hits. Items with one id are one item; all that have no id are one too, whose id
+    is null; a null item text has no words; an empty benchmark hits nothing. Repeated rows are scanned each,
+    whatever their ids; ids are cast to long; other columns are not read. Whole texts are scanned, a text longer than
+    SHARD_BYTES as a shard of its own.
     """
     schema = "doc_id long, n_words long, n_hit long, span_starts array<int>, span_ends array<int>, items array<string>" + ", clean_text string" * clean
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -224,7 +230,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, clean: boo
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, with the removal spans cut out of the text. No row is dropped. No shuffle of docs."""
+    """The rows of docs, all columns, with the removal spans (see decontaminate) cut out of the text. No row is dropped, ids
+    are not looked at, null texts stay null. No shuffle of docs."""
     rows, names, shipped = _all_but_last(docs, text_col, _blocks(benchmark, item_col, item_text_col), n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
