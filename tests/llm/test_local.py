@@ -3,6 +3,8 @@
 import random
 import re
 from collections import Counter, defaultdict
+from html import unescape
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -203,3 +205,63 @@ def test_html_extraction():
     plain = "<div><p>" + "word " * 60 + "</p><p>" + "more " * 50 + "</p></div>"
     assert len(_extract(plain).split()) == 110
     assert Counter(b.furniture for b in html.blocks_of(PAGE))[True] >= 6
+
+
+LONG = "word " * 49 + "word"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<head><title>x</title><meta a><p>{LONG}</p>", LONG),
+        ("<html><head><title>x</title><body><article><p>Hello there all.</p></article>", "Hello there all."),
+        ("<article><p>One <svg viewBox='0'/> two.</p><iframe src=x/><p>Three.</p></article>", "One two.\nThree."),
+        ("<article><p>One <svg viewBox='0'><text>no</text></svg> two.</p><video><p>no</p></video><p>Three.</p></article>", "One two.\nThree."),
+        ("<article><button>No<button>no</button><p>Three.</p></article>", "Three."),
+        ("<article><iframe src=x><p>One two three.</p></article>", "One two three."),
+        ("<article><video-player>Own element.</video-player><p>Three.</p></article>", "Own element.\nThree."),
+        (f'<div class="content has-sidebar"><p>{LONG}</p><p>{LONG}</p></div>', f"{LONG}\n{LONG}"),
+        (f'<div class="sidebar-layout"><p>{LONG}</p><p>{LONG}</p></div>', f"{LONG}\n{LONG}"),
+        (f'<div class="left-sidebar-box"><p>{LONG}</p></div><p>{LONG}</p><p>{LONG}</p>', f"{LONG}\n{LONG}"),
+        ("<form id=aspnetForm><nav><a>x</a></nav><article><p>Hi all.</p></article></form>", "Hi all."),
+        ("<body class='comments-open has-sidebar'><div id=page class=nav-open><main><p>Hi all.</p></main></div>", "Hi all."),
+        ("<article><p>Hi.</p><p><a>See</a></p><p><a>That too</a></p><p>Bye.</p></article>", "Hi.\nSee\nThat too\nBye."),
+        ("<article><p>Hi.</p></article><script>unclosed <p>x</p>", "Hi."),
+    ],
+)
+def test_html_elements_without_end_tags_and_wrappers(page, want):
+    assert _extract(page) == want
+
+
+def test_html_tree_on_pages_left_out():
+    """Each labelled page against a tree grown on the others; most blocks are placed right, and neighbours take part."""
+    pages, right, n, used = html.LABELLED_PAGES, 0, 0, set()
+
+    def visit(node):
+        if node.feature is not None:
+            used.add(html.FEATURES[node.feature])
+            visit(node.below)
+            visit(node.above)
+
+    for k in range(len(pages)):
+        tree = html.train(html.labelled_blocks(pages[:k] + pages[k + 1 :]))
+        rows = html.labelled_blocks((pages[k],))
+        right += ((tree.predict(rows[:, :-1]) >= 0.5) == rows[:, -1]).sum()
+        n += len(rows)
+        visit(tree)
+    assert right > 0.88 * n
+    assert used & {"words_before", "words_after", "link_density_before", "link_density_after"}
+
+
+def test_html_on_given_pages():
+    """The articles of the given pages, cut out by hand."""
+    import pyarrow.parquet as pq
+
+    path = Path("/root/testdata/sf0.001/pages.parquet")
+    if not path.exists():
+        pytest.skip("no test data")
+    for row in pq.read_table(path).to_pylist():
+        article = re.search("<article>(.*?)</article>", row["html"] or "", re.S)
+        if article:
+            blocks = (" ".join(unescape(re.sub(r"</?[bai]\b[^>]*>", "", x)).split()) for x in re.split(r"</?(?:h1|p|br|ul|li|article|div)[^>]*>", article[1]))
+            assert _extract(row["html"]) == "\n".join(filter(None, blocks))

@@ -1,9 +1,10 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page is cut into blocks at block-level tags. A block's features are its words and link density, those of the
-blocks before and after it, and where it stands (inside article or main, outside it, or on a page without;
-inside a container whose tag, role, class or id names page furniture). A decision tree, grown on the small labelled table below, says which blocks
-are content.
+blocks before and after it, and where it stands: inside article or main, outside it, or on a page without; in an
+element that is page furniture by its tag, or by the last word of a class, role or id of its own. A decision tree
+says which blocks are content. It is grown on the blocks of the small labelled pages below, which are cut and
+measured by the same code as any page.
 """
 
 from __future__ import annotations
@@ -20,16 +21,17 @@ from pyspark.sql import functions as F
 
 from worktrace.llm.text import chunks
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|object|select|textarea|button|head|math|canvas|video|audio)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
-    r"|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<[!/?a-zA-Z][^>]*(?:>|\Z)",
-    re.S,
-)
+_REST = r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|</?([a-zA-Z][a-zA-Z0-9:-]*)(?=[\s/>]){_REST}|<[!/?a-zA-Z][^>]*(?:>|\Z)", re.S)
+#: Elements whose text is no text of the page.
+_HIDDEN = frozenset("script style noscript template svg iframe object select textarea button head title math canvas video audio".split())
+#: Of these, those that run to the end of the page without an end tag, and those that do not end the block they stand in.
+_RAW, _WITHIN = frozenset(("script", "style", "textarea")), frozenset(("svg", "math", "button"))
+#: What may stand in a head; anything else ends it.
+_IN_HEAD = frozenset("title meta link base style script noscript template".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _CONTAINERS = frozenset("div section article main nav header footer aside form ul ol dl table body html fieldset figure dialog menu details".split())
-_FURNITURE_TAGS = frozenset("nav footer aside form dialog menu fieldset".split())
+_FURNITURE_TAGS = frozenset("nav footer aside dialog menu fieldset".split())
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Words in a class, id or role that name page furniture, and content. Fixed values.
 _FURNITURE = frozenset(
@@ -38,7 +40,10 @@ _FURNITURE = frozenset(
     "share sharing social related recommended comment comments reply replies respond disqus discussion pagination pager tags skip".split()
 )
 _CONTENT = frozenset("article main content post entry story body".split())
-_NAME = re.compile(r"[a-z]+")
+#: Words that may follow one that names furniture, as in ad-box; and words before it that say it is elsewhere, as in has-sidebar. Fixed values.
+_PLAIN = frozenset("area bar block box container content group inner item items left link links list panel right section slot top unit bottom wrap wrapper".split())
+_ELSEWHERE = frozenset("has have with without no not hide hidden is show".split())
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @dataclass
@@ -51,22 +56,58 @@ class Block:
     heading: bool
 
 
-def _place(tag: str, attributes: str, content: bool, furniture: bool) -> tuple[bool, bool]:
-    """(inside content, inside furniture) of what a container holds, given what stands around it."""
-    names: set[str] = set()
+def _names_furniture(name: str) -> tuple[bool, bool]:
+    """Whether one class, id or role names (furniture, content)."""
+    words = [w.lower() for w in _NAME.findall(name)]
+    content = not _CONTENT.isdisjoint(words)
+    if not words or words[0] in _ELSEWHERE:
+        return False, content
+    while len(words) > 1 and words[-1] in _PLAIN and words[-1] not in _FURNITURE:
+        words.pop()
+    return words[-1] in _FURNITURE, content
+
+
+def _place(tag: str, attributes: str, content: bool, furniture: int) -> tuple[bool, int]:
+    """(inside content, inside furniture: 0 no, 1 by a form, 2 by a name, 3 by a tag) of what a container holds, given what
+    stands around it. A main element is in no furniture by name, an article in none by a form: such names and forms wrap pages."""
+    bad = named = False
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
-        names.update(_NAME.findall((m[2] or m[3] or m[4] or "").lower()))
-    bad = tag in _FURNITURE_TAGS or (tag == "header" and not content) or (tag not in ("body", "html", "main") and not names.isdisjoint(_FURNITURE) and tag != "header")
-    good = tag in ("article", "main") or (tag in ("div", "section") and not bad and not names.isdisjoint(_CONTENT))
-    return content or good, furniture or bad
+        for name in (m[2] or m[3] or m[4] or "").split():
+            of_furniture, of_content = _names_furniture(name)
+            bad, named = bad or (of_furniture and not (of_content and name.lower().endswith("header"))), named or of_content
+    if tag in ("body", "html", "main", "header", "form"):
+        bad = False
+    if (tag == "main" and furniture < 3) or (tag == "article" and furniture == 1):
+        furniture = 0
+    own = 3 if tag in _FURNITURE_TAGS or (tag == "header" and not content) else 2 if bad else 1 if tag == "form" else 0
+    return content or tag in ("article", "main") or (tag in ("div", "section") and not bad and named), max(furniture, own)
+
+
+def _after_hidden(page: str, name: str, attributes: str, at: int) -> int:
+    """Where a hidden element that was opened before ``at`` ends. Where its end tag is left out, script, style and textarea go to the
+    end of the page, a head to the first tag that may not stand in it, a button to the next one; of others only the tag is hidden."""
+    if attributes.endswith("/") and name not in _RAW:
+        return at
+    if name == "head":
+        for m in _TAG.finditer(page, at):
+            tag = (m[1] or "").lower()
+            if tag == "head":
+                return m.end()
+            if tag and tag not in _IN_HEAD:
+                return m.start()
+        return len(page)
+    end = re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>" if name == "button" else rf"<(/){name}(?=[\s/>])[^>]*>", re.I).search(page, at)
+    if end:
+        return end.end() if end[1] else end.start()
+    return len(page) if name in _RAW else at
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order; blocks without text are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, int]] = []
     parts: list[tuple[str, bool]] = []
-    content = furniture = link = heading = False
+    content, furniture, link, heading = False, 0, False, False
     at, n = 0, len(page)
 
     def close() -> None:
@@ -79,7 +120,7 @@ def blocks_of(page: str) -> list[Block]:
             linked += count * in_link
         parts.clear()
         if words:
-            out.append(Block(" ".join("".join(texts).split()), words, linked, content, furniture, heading))
+            out.append(Block(" ".join("".join(texts).split()), words, linked, content, furniture > 0, heading))
 
     while at < n:
         m = _TAG.search(page, at)
@@ -89,15 +130,15 @@ def blocks_of(page: str) -> list[Block]:
         if m.start() > at:
             parts.append((page[at : m.start()], link))
         at = m.end()
-        if m[1]:  # hidden: skip to its end tag
-            name = m[1].lower()
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            close() if name not in ("svg", "math", "button") else None
-            at = end.end() if end else n
+        if not m[1]:
             continue
-        if not m[2]:
+        name, closing = m[1].lower(), page[m.start() + 1] == "/"
+        if name in _HIDDEN:
+            if name not in _WITHIN:
+                close()
+            if not closing:
+                at = _after_hidden(page, name, m[2], at)
             continue
-        name, closing = m[2].lower(), page[m.start() + 1] == "/"
         if name == "a":
             link = not closing
         if name in _INLINE:
@@ -112,7 +153,7 @@ def blocks_of(page: str) -> list[Block]:
                         break
             else:
                 stack.append((name, content, furniture))
-                content, furniture = _place(name, m[3], content, furniture)
+                content, furniture = _place(name, m[2], content, furniture)
         heading = not closing and name in ("h1", "h2", "h3", "h4", "h5", "h6")
     close()
     return out
@@ -120,37 +161,42 @@ def blocks_of(page: str) -> list[Block]:
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_content", "in_furniture", "heading")
 
-#: The labelled table, by hand: FEATURES, then 1 for content. Fixed values.
-LABELLED = np.array(
-    [
-        # inside article or main: text of any length, headings, captions, lists of links in running text
-        [14, 0, 8, 0, 60, 0, 1, 0, 1, 1], [2, 0, 6, 0.9, 80, 0, 1, 0, 1, 1], [60, 0, 14, 0, 45, 0, 1, 0, 0, 1], [1, 0, 40, 0, 30, 0, 1, 0, 0, 1],
-        [3, 0, 200, 0, 0, 0, 1, 0, 0, 1], [250, 0.02, 30, 0, 12, 0.1, 1, 0, 0, 1], [18, 0.3, 90, 0, 70, 0, 1, 0, 0, 1], [5, 0.5, 60, 0, 60, 0, 1, 0, 0, 1],
-        [1, 1, 50, 0, 50, 0, 1, 0, 0, 1], [90, 0, 0, 0, 0, 0, 1, 0, 0, 1], [7, 0, 5, 0, 15, 0.1, 1, 0, 0, 1], [12, 0.9, 80, 0, 100, 0, 1, 0, 0, 1],
-        [60, 0, 30, 0, 2, 1, 1, 0, 0, 1], [9, 0, 50, 0, 3, 1, 1, 0, 0, 1], [22, 0, 2, 1, 1, 1, 1, 0, 0, 1], [5, 0, 2, 1, 40, 0.8, 1, 0, 1, 1],
-        [130, 0, 70, 0, 8, 0.9, 1, 0, 0, 1], [2, 0, 1, 1, 4, 0.75, 1, 0, 0, 1], [33, 0.1, 15, 0.6, 12, 0.7, 1, 0, 0, 1], [3, 1, 45, 0, 6, 1, 1, 0, 0, 1],
-        [9, 0, 12, 0, 2, 1, 1, 0, 0, 1], [6, 0, 14, 0, 1, 1, 1, 0, 0, 1], [14, 0, 8, 0, 1, 1, 1, 0, 1, 1], [2, 0, 20, 0, 3, 1, 1, 0, 0, 1],
-        [2, 1, 4, 1, 30, 0, 1, 0, 0, 1], [1, 1, 20, 0, 12, 0, 1, 0, 0, 1], [4, 1, 2, 1, 2, 1, 1, 0, 0, 1], [3, 1, 9, 0, 0, 0, 1, 0, 0, 1],
-        # inside article, but in furniture of its own: shares, adverts, comments, forms
-        [6, 1, 80, 0, 6, 1, 1, 1, 0, 0], [9, 0, 60, 0, 70, 0, 1, 1, 0, 0], [45, 0, 4, 0.5, 3, 1, 1, 1, 0, 0], [3, 0, 120, 0, 20, 0, 1, 1, 1, 0],
-        [80, 0, 10, 0.2, 90, 0, 1, 1, 0, 0], [150, 0, 40, 0, 2, 1, 1, 1, 0, 0],
-        # furniture outside: menus, footers, side bars, notices, forms, comments
-        [1, 1, 1, 1, 1, 1, 0, 1, 0, 0], [2, 1, 3, 1, 9, 0, 0, 1, 0, 0], [8, 0, 1, 1, 12, 0, 0, 1, 0, 0], [15, 0.1, 50, 0, 0, 0, 0, 1, 0, 0],
-        [40, 0, 5, 0, 5, 1, 0, 1, 0, 0], [120, 0, 6, 0, 80, 0, 0, 1, 0, 0], [4, 0, 30, 0, 60, 0, 0, 1, 1, 0], [25, 0.6, 12, 1, 8, 1, 0, 1, 0, 0],
-        # outside the article or main of a page that has one
-        [40, 0, 5, 0, 14, 0, -1, 0, 0, 0], [80, 0, 60, 0, 3, 1, -1, 0, 0, 0], [6, 0, 1, 1, 20, 0, -1, 0, 1, 0], [12, 0, 50, 0, 0, 0, -1, 0, 0, 0], [22, 0.1, 30, 0, 25, 0, -1, 0, 0, 0],
-        # pages without marks: running text, its headings and short lines
-        [70, 0, 9, 0, 55, 0, 0, 0, 0, 1], [35, 0.05, 80, 0, 20, 0, 0, 0, 0, 1], [22, 0, 45, 0, 0, 0, 0, 0, 0, 1], [160, 0.1, 3, 1, 60, 0.05, 0, 0, 0, 1],
-        [8, 0, 3, 1, 70, 0, 0, 0, 1, 1], [5, 0, 90, 0, 85, 0, 0, 0, 1, 1], [4, 0, 75, 0, 60, 0, 0, 0, 0, 1], [11, 0, 40, 0.1, 50, 0, 0, 0, 0, 1],
-        [70, 0, 40, 0, 2, 1, 0, 0, 0, 1], [45, 0.1, 60, 0, 5, 0.9, 0, 0, 0, 1], [90, 0.05, 2, 1, 1, 1, 0, 0, 0, 1], [38, 0, 55, 0, 3, 1, 0, 0, 0, 1],
-        [18, 0.2, 60, 0, 40, 0, 0, 0, 0, 1], [28, 0.1, 12, 0, 15, 0, 0, 0, 0, 1],
-        # pages without marks: lists of links, labels, lines among links
-        [2, 1, 2, 1, 3, 1, 0, 0, 0, 0], [1, 1, 0, 0, 1, 1, 0, 0, 0, 0], [6, 0.8, 4, 1, 5, 1, 0, 0, 0, 0], [3, 0, 2, 1, 2, 1, 0, 0, 0, 0],
-        [4, 0, 5, 0.9, 1, 1, 0, 0, 0, 0], [12, 0.7, 9, 0.6, 3, 1, 0, 0, 0, 0], [9, 0, 2, 1, 3, 1, 0, 0, 0, 0], [5, 0, 0, 0, 1, 1, 0, 0, 0, 0],
-        [3, 0, 4, 0, 2, 1, 0, 0, 1, 0], [30, 0.8, 20, 0.9, 10, 1, 0, 0, 0, 0],
-        [2, 1, 3, 1, 60, 0, 0, 0, 0, 0], [1, 1, 1, 1, 0, 0, 0, 0, 0, 0], [4, 0.9, 2, 1, 30, 0, 0, 0, 0, 0], [2, 1, 50, 0, 40, 0, 0, 0, 0, 0],
-    ]
-)
+#: The labelled pages, by hand: a number stands for so many words, a plus before it marks a block of content. Fixed values.
+LABELLED_PAGES = (
+    # an article element, furniture around and inside it
+    "<header><h1>3</h1><a>2</a></header><nav><ul><li><a>1</a><li><a>1</a><li><a>2</a></ul></nav><div class=ad>8</div><article><h1>+14</h1><p>+60</p><p>+25 <a>3</a></p><p>+1</p><h2>+2</h2><p>+130</p><ul><li>+5<li>+7</ul></article><footer>9</footer>",
+    "<nav><a>1</a><a>1</a></nav><main><h1>+6</h1><p>+18</p><figure>+9</figure><p>+90 <a>30</a></p><div class=share><a>1</a><a>1</a></div><p>+4</p><p>+200</p><section id=comments><h3>1</h3><p>22</p><p>45</p></section></main><aside><p>30</p><p>50</p></aside>",
+    "<div id=cookie-notice>15 <a>1</a></div><article><p>+2</p><p><a>+1</a></p><p>+40</p><form>3</form><p>+33 <a>4</a></p><div class=advert>35</div><p>+8</p></article><div class=related><a>6</a><a>7</a><a>5</a></div><footer>20 <a>1</a></footer>",
+    "<header>2</header><article><header><h1>+9</h1><p>+4</p></header><p>+70</p><blockquote>+22</blockquote><ul><li><a>+3</a><li><a>+4</a><li><a>+2</a></ul><p>+12</p><aside>40</aside><p>+55</p></article><p>14</p><p>60</p><footer>6</footer>",
+    "<div class=banner>12</div><main><p>+3</p><p>+1</p><p>+2</p></main><div>25</div><div>6 <a>3</a></div><div class=newsletter><p>18</p><form>4</form></div>",
+    "<article><h1>+5</h1><p>+300</p></article><article class=comment><p>28</p></article><article class=comment><p>7</p></article><footer><p>35</p></footer>",
+    "<article><h1>+2</h1><p><a>+1</a></p><p>+3</p><p><a>+2</a></p><p>+6</p><ul><li><a>+1</a><li><a>+3</a></ul><p>+1</p><p><a>+2</a></p><p>+9</p><p><a>+1</a></p></article><nav><a>1</a><a>2</a></nav>",
+    "<main><h2>+4</h2><p><a>+2</a></p><p>+2</p><table><td><a>+1</a><td>+8<td><a>+1</a><td>+5<td><a>+4</a></table><h2>+1</h2><p><a>+6</a></p><p>+7</p><p><a>+3</a></p></main><div>8</div><div><a>2</a></div><div>3</div>",
+    # containers named as content
+    "<div class=menu><a>1</a><a>2</a><a>1</a></div><div class=post-content><h2>+7</h2><p>+45</p><p>+6</p><p>+80 <a>2</a></p></div><div class=sidebar><h3>2</h3><p>40</p><a>4</a></div><div class=footer>10</div>",
+    "<div id=content><p>+10</p><p>+3 <a>9</a></p><p>+65</p><div class=ad-box>30</div><p>+15</p></div><div class=comments><p>50</p><p>12</p></div>",
+    # containers named as furniture, none as content
+    "<div class=nav><a>1</a><a>2</a></div><h1>+7</h1><p>+50</p><p>+26 <a>2</a></p><div class=advert><p>32</p></div><p>+95</p><p>+9</p><p>+48</p><div class=sidebar><p>44</p><p>70</p><p>28</p></div><div class=footer><p>36</p><p>24</p></div>",
+    "<div class=sidebar-left><p>55</p><p>31</p></div><p>+42</p><p>+120</p><p>+33</p><div class=comments><p>64</p><p>90</p><p>27</p><p>40</p></div><form><p>25</p><p>38</p></form>",
+    # pages without marks: running text among links
+    "<a>1</a><br><a>2</a><br><a>1</a><h1>+8</h1><p>+70</p><p>+35 <a>2</a></p><p>+90</p><p>+22</p><a>2</a><br><a>3</a><br><a>1</a>",
+    "<p><a>2</a></p><p><a>1</a></p><p>+45</p><p>+11</p><p>+60</p><h2>+5</h2><p>+85</p><p>+4</p><p>+50</p><p>4 <a>9</a></p><p><a>2</a></p>",
+    "<td><a>1</a></td><td><a>1</a></td><td><a>2</a></td><td>+160 <a>16</a></td><td>+28 <a>3</a></td><td>+38</td><td><a>3</a></td><td>1 <a>9</a></td>",
+    "<p>+40</p><p>+18 <a>4</a></p><p>+75</p><p>+12</p><p>+30</p>",
+    "<p>3</p><p><a>2</a></p><p>4 <a>1</a></p><p><a>5</a></p><p>9</p><p><a>1</a></p><p>+120</p><p>+66</p><p>+2</p><p>+31</p><p>5</p><p><a>1</a></p><p><a>1</a></p><p>6 <a>24</a></p><p><a>8</a></p>",
+    "<h3>3</h3><p><a>2</a></p><p><a>2</a></p><h3>2</h3><p><a>1</a></p><p>2 <a>6</a></p><h1>+9</h1><p>+55</p><p>+140</p><p>7 <a>12</a></p><p><a>3</a></p>",
+)
+
+_FILL = re.compile(r"(\+?)(\d+)(?![^<]*>)")
+
+
+def labelled_blocks(pages: tuple[str, ...] = LABELLED_PAGES) -> np.ndarray:
+    """The pages' blocks: FEATURES, then 1 for content."""
+    rows = []
+    for page in pages:
+        found = blocks_of(_FILL.sub(lambda m: m[1] + " ".join(["w"] * int(m[2])), page))
+        rows.append(np.column_stack((features(found), [b.text.startswith("+") for b in found])))
+    return np.concatenate(rows)
 
 
 class DecisionTree:
@@ -189,7 +235,8 @@ class DecisionTree:
         return out
 
 
-def train(table: np.ndarray = LABELLED) -> DecisionTree:
+def train(table: np.ndarray | None = None) -> DecisionTree:
+    table = labelled_blocks() if table is None else table
     return DecisionTree(table[:, :-1], table[:, -1])
 
 
@@ -203,12 +250,13 @@ def features(blocks: list[Block]) -> np.ndarray:
     return np.column_stack((words, density, before(words), before(density), after(words), after(density), flags))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", labelled: np.ndarray = LABELLED) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", labelled: np.ndarray | None = None) -> DataFrame:
     """One row per input row: page_id, url, text, n_chars, n_blocks, n_content.
 
     text joins the content blocks by one newline; inside a block, character references are decoded and white
     space is one space. A null or empty page, and a page without content blocks, has an empty text. Null ids
-    and urls stay; repeated rows are extracted each; other columns are not read. No shuffle.
+    and urls stay; ids are cast to long; repeated rows are extracted each; other columns are not read. End tags that are
+    left out and elements that close themselves hide no text after them. ``labelled``: FEATURES and 1 for content. No shuffle.
     """
     tree = train(labelled)
 
