@@ -90,6 +90,15 @@ def test_near_duplicates_equal_brute_force(docs, empty, texts, k):
     assert {r.doc_id for r in kept.collect()} - {None} == {i for i in range(len(texts)) if find(i) == i}
 
 
+def test_near_duplicates_keep_versions_apart(spark, texts):
+    a, b = texts[0], " ".join(reversed(texts[0].split()))
+    rows = [(1, a), (1, b), (2, f"{a} {b}"), (2, f"{a} {b}"), (3, texts[1]), (5, texts[1]), (5, texts[16]), (6, texts[16]), (7, a), (7, a)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k=2).collect()
+    assert len(got) == len(rows)
+    # 2 holds both versions of 1 but is like neither; 5 is one document, so 6 hangs on 3 by its second version
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 2), (3, 3), (5, 3), (6, 3), (7, 1)}
+
+
 def test_substrings_equal_brute_force(docs, empty, texts):
     rows = [(r.doc_id, (r.text or "").split()) for r in docs.collect()]
     count = {}

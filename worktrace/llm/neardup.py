@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worktrace.llm.components import components
@@ -28,8 +28,8 @@ from worktrace.llm.store import BROADCAST_IDS, forget, keep, semi_by_id
 from worktrace.llm.text import SPACED, chunks, mix, ragged, ranges, sums, word_windows, words_of
 
 HALVES, ROWS = 16, 2
-#: Shingles that one verification group holds besides its pivot's.
-GROUP_SHINGLES = 200_000
+#: Shingles and rows that one verification group holds besides its pivot's.
+GROUP_SHINGLES, GROUP_ROWS = 200_000, 1024
 
 _U = np.uint64
 _SEEDS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ^ (i << 40)) % (1 << 64) | 1 for i in range(1, HALVES * ROWS + 1)], dtype=np.uint64)
@@ -124,27 +124,35 @@ def _confirm(k: int, percent: int):
         members = table.filter(pa.array(~is_pivot))
         if not len(pivot_rows) or not len(members):
             return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-        base = np.unique(shingle_sets(pivot_rows.combine_chunks(), k)[0])
+        own, own_off = shingle_sets(pivot_rows.combine_chunks(), k)
+        # rows of the pivot's id with different texts are different sets
+        versions = list({own[a:b].tobytes(): own[a:b] for a, b in zip(own_off[:-1], own_off[1:], strict=True) if b > a}.values())
         pivot = table.column("pivot")[0].as_py()
-        linked = []
+        linked = [np.zeros(0, np.int64)]
         for batch in chunks(members.select(["id", "text"]).to_batches()):
             shingles, off = shingle_sets(batch.column(1), k)
-            at = np.minimum(np.searchsorted(base, shingles), max(len(base) - 1, 0))
-            shared = sums((base[at] == shingles).astype(np.int64) if len(base) else np.zeros(len(shingles), np.int64), off)
-            union = len(base) + np.diff(off) - shared
-            linked.append(batch.column(0).to_numpy()[(100 * shared >= percent * union) & (shared > 0)])
+            for base in versions:
+                at = np.minimum(np.searchsorted(base, shingles), len(base) - 1)
+                shared = sums((base[at] == shingles).astype(np.int64), off)
+                union = len(base) + np.diff(off) - shared
+                linked.append(batch.column(0).to_numpy()[(100 * shared >= percent * union) & (shared > 0)])
         v = np.unique(np.concatenate(linked))
         return pa.table({"u": pa.array(np.full(len(v), pivot), pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
 
+def _parts(size: Column, rows: Column) -> Column:
+    """Into how many groups so many shingles and rows go."""
+    return F.greatest(F.ceil(size / GROUP_SHINGLES), F.ceil(rows / GROUP_ROWS), F.lit(1)).cast("int")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """pairs(pivot, id, n) -> links(u, v) confirmed on full sets. The members of a large group are salted into
     several, each with its own copy of the pivot's text."""
     ids = keep(pairs.selectExpr("id AS doc_id").unionAll(pairs.selectExpr("pivot AS doc_id")).distinct(), "ids")
     texts = semi_by_id(docs, ids, ids.count(), "doc_id")
-    parts = keep(pairs.groupBy("pivot").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).cast("int").alias("parts")), "parts")
+    parts = keep(pairs.groupBy("pivot").agg(_parts(F.sum("n"), F.count("*")).alias("parts")), "parts")
     salt = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     salted = pairs.join(parts, "pivot").select("pivot", salt.alias("salt"), F.lit(False).alias("is_pivot"), "id")
     pivots = parts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(True).alias("is_pivot"), F.col("pivot").alias("id"))
@@ -185,12 +193,11 @@ def _confirm_block(k: int, percent: int):
 
 def _family_links(family: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """family(pivot, id, n, c) -> links(u, v) between what is outside a family's main component and all of the family. Both
-    sides are dealt into parts of GROUP_SHINGLES; a task holds one part of each."""
+    sides are dealt into parts of GROUP_SHINGLES and GROUP_ROWS; a group holds one part of each."""
     main = family.groupBy("pivot", "c").agg(F.count("*").alias("m")).groupBy("pivot").agg(F.max(F.struct("m", "c")).alias("main"), F.count("*").alias("comps")).where("comps > 1").selectExpr("pivot", "main.c AS main")
     main = keep(main, "main")
     marked = family.join(main, "pivot").select("pivot", "id", "n", (F.col("c") != F.col("main")).alias("outside"))
-    ceil = lambda total: F.greatest(F.ceil(total / GROUP_SHINGLES), F.lit(1)).cast("int")
-    sizes = keep(marked.groupBy("pivot").agg(ceil(F.sum("n")).alias("parts"), ceil(F.sum(F.when(F.col("outside"), F.col("n")))).alias("sides")), "sizes")
+    sizes = keep(marked.groupBy("pivot").agg(_parts(F.sum("n"), F.count("*")).alias("parts"), _parts(F.sum(F.when(F.col("outside"), F.col("n"))), F.count_if("outside")).alias("sides")), "sizes")
     dealt = keep(marked.join(sizes, "pivot").withColumn("h", F.xxhash64("id")), "dealt")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     inside = dealt.select("pivot", F.pmod("h", F.col("parts").cast("long")).cast("int").alias("part"), upto("sides").alias("side"), F.lit(False).alias("outside"), "id")
@@ -210,19 +217,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     Documents link where the similarity of their sets of k-word shingles is at least percent / 100;
     component_id is the least id reachable (the id itself if none), kept says whether that is the row's own.
     Null, empty and blank texts have no shingles and link with nothing. Rows with equal ids are versions of
-    one document: each comes back, with the same component. A row with a null id stays alone: its
-    component_id is null and it is kept. Other columns are not read.
+    one document, which links where one of them does; each comes back, and so do rows that repeat. A row with a
+    null id stays alone: its component_id is null and it is kept. Ids are cast to long; other columns are not read.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = source.where("doc_id IS NOT NULL AND text IS NOT NULL")
     sketches = keep(source.mapInArrow(_sketches(k), "doc_id long, n_shingles long, set_a long, set_b long, halves array<long>"), "sketches")
     sets = ["n_shingles", "set_a", "set_b"]
-    classes = keep(sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*sets).agg(F.min("doc_id").alias("rep")), "classes")
-    reps = sketches.where("n_shingles > 0").join(classes.selectExpr("rep AS doc_id", *(f"{c} AS rep_{c}" for c in sets)), "doc_id").where(" AND ".join(f"{c} = rep_{c}" for c in sets))
+    # half keys follow from the set
+    classes = keep(sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves")), "classes")
     n_reps = classes.count()
+    # ids that repeat: with one set, its rows count once; with several, the classes of the id's versions belong together
+    spread = [(F.min(c) < F.max(c)).alias(f"differ_{c}") for c in sets]
+    several = keep(sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), *spread).where("rows > 1"), "several")
+    versions = sketches.join(several.where(" OR ".join(f"differ_{c}" for c in sets)), "doc_id", "left_semi").join(classes, sets).where("rep <> doc_id").selectExpr("rep AS u", "doc_id AS v").distinct()
+    if several.count():
+        known = known.dropDuplicates(["doc_id", "text"])
     # enough partitions that the rows of the tables (120 a document) need no spill
-    reps = reps.select("doc_id", "n_shingles", "halves").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_reps // 50_000), "doc_id")
+    reps = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "halves").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_reps // 50_000), "doc_id")
     bits = min(63, 8 + (n_reps * len(_PAIRS)).bit_length())
     rows = reps.mapInArrow(_buckets(bits), "key long, id long, n long")
     # aggregates are written before they are joined: both sides of the join are then shuffled for it, and a hot key can be split
@@ -236,7 +249,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     best = best.groupBy("id", "n").agg(F.max(F.struct("tables", F.negative("pivot").alias("p"))).alias("best"))
     tried = keep(best.selectExpr("-best.p AS pivot", "id", "n"), "pairs")
     links = _verified(tried, known, k, percent)
-    found = keep(components(links), "components")
+    found = keep(components(links.unionAll(versions)), "components")
+    forget(several)
 
     def open_buckets(found: DataFrame) -> DataFrame:
         """Buckets whose members are in several components: (key, id, n, c)."""
@@ -267,7 +281,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     for table in (open_, shared, pivots, buckets, tried, second, family, links, links2, links3, found, found2):
         forget(table)
 
-    resolved = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select(*sets, F.coalesce("component", "rep").alias("c"))
+    resolved = classes.drop("halves").join(final.withColumnRenamed("id", "rep"), "rep", "left").select(*sets, F.coalesce("component", "rep").alias("c"))
     out = sketches.drop("halves").join(resolved, sets, "left")
     own = F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -13,9 +13,12 @@ BROADCAST_IDS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's folder, or one of our own where none is set (local mode, tests)."""
+    """The cluster's folder; where none is set, one of our own in local mode (tests), and an error on a cluster, whose
+    machines share no temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = getattr(spark, "_worktrace_dir", None)
         if folder is None:
             folder = spark._worktrace_dir = "file://" + tempfile.mkdtemp(prefix="spark-")
