@@ -28,7 +28,7 @@ from worktrace.llm.text import ALNUM, chunks, ragged, ranges, words_of
 #: several blocks.
 BLOCK_BYTES = 4 << 20
 #: Text that makes one shard. Its arrays and index take about fifty times as much.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 1 << 20
 
 
 @dataclass
