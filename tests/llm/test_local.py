@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from worktrace.llm import decontaminate, fingerprint, html, langid, neardup, quality, substrings, text, toxicity
-from worktrace.llm.subwords import train
+from worktrace.llm.subwords import sparse, train
 
 
 def test_slice_hashes_depend_on_content_only():
@@ -156,14 +156,15 @@ def test_classifiers_learn_held_out_rows():
     rng = random.Random(4)
     english, german = "the of and to in was with for that".split(), "der die und nicht ein von mit sich auch".split()
     make = lambda n: [(t, k) for k, w in (("en", english), ("de", german)) for t in _texts(rng, w, n)]
-    model = train(*zip(*make(80), strict=True), langid.features, langid.BUCKETS)
+    given, marks = zip(*make(80), strict=True)
+    model = train(sparse(pa.array(given), langid.features), marks, langid.BUCKETS)
     seen = make(40)
     chance = model.probabilities(langid.features(pa.array([t for t, _ in seen])))
     assert np.mean([model.classes[c] == k for c, (_, k) in zip(chance.argmax(1), seen, strict=True)]) > 0.97
     assert langid._lettered(pa.array(["12 !", "é", "a", None, ""])).tolist() == [False, True, True, False, False]
     junk = [" ".join([rng.choice(english)] * 30) for _ in range(80)]
     good = _texts(rng, english, 80)
-    model = train(good[:60] + junk[:60], [1] * 60 + [0] * 60, quality.features, quality.BUCKETS)
+    model = train(sparse(pa.array(good[:60] + junk[:60]), quality.features), [1] * 60 + [0] * 60, quality.BUCKETS)
     score = model.probabilities(quality.features(pa.array(good[60:] + junk[60:])))[:, 1]
     assert score[:20].mean() > score[20:].mean() + 0.5
 
@@ -173,7 +174,7 @@ def test_ordinal_regression():
     plain = ["w%d" % i for i in range(300)]
     clean = _texts(rng, plain, 400)
     toxic = [t + " " + " ".join(rng.choice(["vilefoo", "vilebar", "nastyone"]) for _ in range(rng.randint(2, 12))) for t in _texts(rng, plain, 80)]
-    model = toxicity.train(clean[:300] + toxic[:60], [0] * 300 + [1] * 60)
+    model = toxicity.train(toxicity.distinct_features(pa.array(clean[:300] + toxic[:60])), [0] * 300 + [1] * 60)
     assert (np.diff(model.thresholds) > 0).all()
     chance = model.grades(pa.array(clean[300:] + toxic[60:] + ["", None]))
     assert np.allclose(chance.sum(axis=1), 1) and (chance >= -1e-12).all()

@@ -9,21 +9,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worktrace.llm.subwords import byte_grams, sample, train
+from worktrace.llm.subwords import char_grams, code_points, drawn, featured, train
 from worktrace.llm.text import buffer_of, chunks
 
 BUCKETS = 1 << 16
-#: The training sample: rows, and bytes of the longest text taken into it.
-TRAIN_ROWS, TRAIN_BYTES = 4000, 8 << 10
+#: Rows of the training sample.
+TRAIN_ROWS = 4000
 
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 0x20 for b in range(256)], dtype=np.uint8)
 
 
 def features(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Grams of 2, 3 and 4 bytes of the lower-cased letters; everything else in ASCII is a space."""
+    """Grams of 2, 3 and 4 characters of the lower-cased letters; everything else in ASCII is a space."""
     buf, base = buffer_of(column)
-    buf = _FOLD[buf]
-    return [byte_grams(buf, base, n, BUCKETS - 1) for n in (2, 3, 4)]
+    points, base = code_points(_FOLD[buf], base)
+    return [char_grams(points, base, n, BUCKETS - 1) for n in (2, 3, 4)]
 
 
 def _lettered(column: pa.Array) -> np.ndarray:
@@ -39,14 +39,14 @@ def _lettered(column: pa.Array) -> np.ndarray:
 def identify(docs: DataFrame, labelled: DataFrame, learn: Column, reject_below: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score (calibrated chance of that language).
 
-    ``learn`` is a condition on doc_id: the model is trained on at most TRAIN_ROWS rows of ``labelled`` that meet
-    it and have a text and a language. lang_pred is ``und`` where the text is null or has no letter (score 0),
+    ``learn`` is a condition on doc_id: the model is trained on about TRAIN_ROWS rows at most of ``labelled`` that
+    meet it and have a text, of any length, and a language. lang_pred is ``und`` where the text is null or has no letter (score 0),
     where the score is below ``reject_below``, and everywhere if nothing could be learned. Only texts are
     inputs of a prediction. Null ids are predicted and not learned from; repeated rows are predicted each.
     """
     pick = lambda df, *more: df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
-    texts, marks = sample(pick(labelled, F.col(lang_col).cast("string").alias("lang")).where(learn), "lang", TRAIN_ROWS, TRAIN_BYTES)
-    shipped = docs.sparkSession.sparkContext.broadcast(train(texts, marks, features, BUCKETS))
+    rows, marks = featured(drawn(pick(labelled, F.col(lang_col).cast("string").alias("lang")).where(learn), None, "lang", TRAIN_ROWS), "lang", features)
+    shipped = docs.sparkSession.sparkContext.broadcast(train(rows, marks, BUCKETS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value

@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worktrace.llm.subwords import sample
-from worktrace.llm.text import ALNUM, Words, chunks, slice_hashes, words_of
+from worktrace.llm.subwords import drawn
+from worktrace.llm.text import ALNUM, Words, chunks, ragged, slice_hashes, words_of
 
 GRADES = 3
 #: Lengths in bytes of the beginnings of words.
 STEMS = (4, 5, 6)
-#: The training sample: rows, and bytes of the longest text taken into it; features kept.
-TRAIN_ROWS, TRAIN_BYTES, FEATURES = 5000, 16 << 10, 4096
+#: Rows of the training sample, features kept.
+TRAIN_ROWS, FEATURES = 5000, 4096
 #: Least z value of the difference in document frequency for a feature to be kept.
 LEAST_Z = 5.0
 #: Least ratio of the document frequencies (either way) for a feature to be kept.
@@ -82,36 +82,26 @@ def _known(hashes: np.ndarray) -> np.ndarray:
     return known
 
 
-def train(texts: list[str], toxic: list[int], steps: int = 400, penalty: float = 1e-5) -> OrdinalModel:
+def distinct_features(column: pa.Array) -> list[np.ndarray]:
+    """The features of each text, each once, sorted."""
+    words = words_of(column, ALNUM, lower=True)
+    kinds, off = _features(words), words.off
+    return [np.unique(np.concatenate([k[a:b] for k in kinds])) for a, b in zip(off[:-1], off[1:], strict=True)]
+
+
+def train(rows: list[np.ndarray], toxic: list[int], steps: int = 400, penalty: float = 1e-5) -> OrdinalModel:
+    """rows: the distinct features of labelled texts."""
     y = np.array(toxic)
     none = np.zeros(0, np.uint64)
     flat = OrdinalModel(none, np.zeros(0), np.linspace(6, 8, GRADES - 1), _known(none))
     if not len(y) or y.min() == y.max():
         return flat
-    # document frequencies of all features, by kind and label
-    seen: list[tuple[list, list]] = [([], []) for _ in range(1 + len(STEMS))]
-    start = 0
-    for batch in chunks(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])]), text=0):
-        words = words_of(batch.column(0), ALNUM, lower=True)
-        doc = words.doc
-        for kind, hashes in enumerate(_features(words)):
-            order = np.lexsort((hashes, doc))
-            h, d = hashes[order], doc[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-            for label in (0, 1):
-                seen[kind][label].append(h[new & (y[start + d] == label)])
-        start += batch.num_rows
-    names, n0, n1 = [], [], []
-    while seen:
-        clean, marked = (np.unique(np.concatenate(x), return_counts=True) for x in seen.pop())
-        both = np.union1d(clean[0], marked[0])
-        names.append(both)
-        for out, (values, counts) in ((n0, clean), (n1, marked)):
-            n = np.zeros(len(both), np.int64)
-            n[np.searchsorted(both, values)] = counts
-            out.append(n)
-    names, n0, n1 = np.concatenate(names), np.concatenate(n0), np.concatenate(n1)
+    # document frequencies of all features, by label
+    clean, marked = (np.unique(np.concatenate([none, *(r for r, mark in zip(rows, y, strict=True) if mark == label)]), return_counts=True) for label in (0, 1))
+    names = np.union1d(clean[0], marked[0])
+    n0, n1 = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+    for n, (values, counts) in ((n0, clean), (n1, marked)):
+        n[np.searchsorted(names, values)] = counts
     m1, m0 = int(y.sum()), int((1 - y).sum())
     pooled = (n0 + n1) / (m0 + m1)
     z = (n1 / m1 - n0 / m0) / np.sqrt(pooled * (1 - pooled) * (1 / m0 + 1 / m1) + 1e-12)
@@ -120,11 +110,12 @@ def train(texts: list[str], toxic: list[int], steps: int = 400, penalty: float =
     z[(odds < LEAST_RATIO) & (odds > 1 / LEAST_RATIO)] = 0
     best = np.argsort(-np.abs(z), kind="stable")[:FEATURES]
     best = best[np.abs(z[best]) >= LEAST_Z]
-    best = best[np.unique(names[best], return_index=True)[1]]  # sorted by hash
+    best = np.sort(best)  # by hash, as names are
     if not len(best):
         return flat
     model = OrdinalModel(names[best], np.zeros(len(best)), np.zeros(GRADES - 1), _known(names[best]))
-    doc, feature = model.present(pa.array(texts, pa.string()))
+    at = [np.flatnonzero(np.isin(names[best], r, assume_unique=True)) for r in rows]
+    doc, feature = np.repeat(np.arange(len(rows)), list(map(len, at))), np.concatenate(at)
     # grades of toxic texts: equal parts by the number of different marking features
     marking = z[best] > 0
     markers = np.bincount(doc, weights=marking[feature], minlength=len(y))
@@ -161,16 +152,26 @@ def _trained(docs: DataFrame, labels: DataFrame, learn: Column | None = None, te
     """The model, broadcast."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1)")
     base = _pick(docs if texts_from is None else texts_from, id_col, text_col)
-    texts, marks = sample((base if learn is None else base.where(learn)).join(known, "doc_id"), "label", TRAIN_ROWS, TRAIN_BYTES)
-    return docs.sparkSession.sparkContext.broadcast(train(texts, marks))
+    taken = drawn(base if learn is None else base.where(learn), known, "label", TRAIN_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            found = distinct_features(batch.column(1))
+            values = ragged(np.concatenate(found).view(np.int64), np.array(list(map(len, found))), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), values], names=["h", "label", "features"])
+
+    spark = docs.sparkSession
+    table = taken.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "h long, label int, features array<long>").toArrow().sort_by([("h", "ascending"), ("label", "ascending")]).combine_chunks()
+    rows = [table.column("features")[i].values.to_numpy().view(np.uint64) for i in range(table.num_rows)]
+    return spark.sparkContext.broadcast(train(rows, table.column("label").to_pylist()))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, texts_from: DataFrame | None = None, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, severity (expected grade), grade (likeliest), toxic_score (chance of a grade
     over 0), toxic (whether that reaches the model's threshold).
 
-    Learns from at most TRAIN_ROWS labelled rows of ``texts_from`` (docs unless given) that meet ``learn``, a
-    condition on doc_id. Null and empty texts have no features and get the base rate; null ids are scored and
+    Learns from about TRAIN_ROWS labelled rows at most, of any length, of ``texts_from`` (docs unless given) that meet
+    ``learn``, a condition on doc_id. Ids are cast to long. Null and empty texts have no features and get the base rate; null ids are scored and
     not learned from; labels other than 0 and 1 are not learned; without labels of both kinds every text is
     held to be clean. Repeated rows are scored each; other columns are not read.
     """
