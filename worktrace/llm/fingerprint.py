@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ WINDOW, RUN, VOTES = 64, 64, 16
 FILTER_BITS, PER_FILTER, HASHES = 2048, 160, 5
 #: Entropy of a window of running text, in bits: the least rare.
 TYPICAL = 4.2
+#: Text of one range of ids, on average.
+RANGE_BYTES = 64 << 20
 #: Windows that are slid over in one lane.
 _LANE = 256
 
@@ -155,14 +159,17 @@ def _with_next(docs: DataFrame) -> DataFrame:
     The last row of a bucket is a guest: the first row of the next one. Only ids are looked at to find the ranges; one shuffle moves the texts."""
     spark = docs.sparkSession
     keys = docs.select("key")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted({int(x) for x in keys.approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts)})
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda c: c <= F.col("key"))) if cuts else F.lit(0)
-    heads = {r["b"]: r["k"] for r in keys.groupBy(bucket.alias("b")).agg(F.min("key").alias("k")).collect()}
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    cuts = sorted({float(x) for x in keys.approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts)}) or [0.0]
+    # a range's number, by a search among the cuts
+    ranges_of = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="key_double", outputCol="bucket_double")
+    numbered = lambda df: ranges_of.transform(df.withColumn("key_double", F.col("key").cast("double"))).withColumn("bucket", F.col("bucket_double").cast("int")).drop("key_double", "bucket_double")
+    heads = {r["bucket"]: r["k"] for r in numbered(keys).groupBy("bucket").agg(F.min("key").alias("k")).collect()}
     order = sorted(heads)
     before = {b: order[i - 1] for i, b in enumerate(order)}  # the first one's guest row goes to the last
     guests = spark.createDataFrame([(heads[b], before[b]) for b in order], "key long, host int")
-    placed = docs.withColumn("bucket", bucket.cast("int")).join(F.broadcast(guests), "key", "left")
+    placed = numbered(docs).join(F.broadcast(guests), "key", "left")
     copies = F.when(F.col("host").isNull(), F.array(F.struct("bucket", F.lit(0).alias("guest")))).otherwise(
         F.array(F.struct("bucket", F.lit(0).alias("guest")), F.struct(F.col("host").alias("bucket"), F.lit(1).alias("guest")))
     )

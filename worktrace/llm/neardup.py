@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worktrace.llm.components import components
-from worktrace.llm.store import BROADCAST_IDS, forget, keep, semi_by_id
+from worktrace.llm.store import fits, forget, keep, semi_by_id
 from worktrace.llm.text import SPACED, chunks, mix, ragged, ranges, sums, word_windows, words_of
 
 HALVES, ROWS = 16, 2
@@ -292,4 +292,4 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col:
     document with the least id stays, as do rows without words or without an id."""
     found = near_duplicates(docs, k, percent, id_col, text_col)
     gone = keep(found.where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct(), "removed")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, id_col, "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(gone) if fits(gone.count()) else gone, id_col, "left_anti").select(*docs.columns)

@@ -8,8 +8,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a list of ids that may be broadcast (8 bytes each); a longer list is joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Bytes of a table of whole numbers that may be broadcast; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+
+
+def fits(rows: int, columns: int = 1) -> bool:
+    """Whether so many rows of 8-byte columns may be broadcast: a hashed row takes about 48 bytes more."""
+    return rows * (48 + 8 * columns) <= BROADCAST_BYTES
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,8 +47,8 @@ def forget(df: DataFrame) -> None:
 
 
 def semi_by_id(docs: DataFrame, ids: DataFrame, n_ids: int, key: str) -> DataFrame:
-    """Rows of docs whose key is in ids: a broadcast behind a check of its length, else a shuffled join."""
-    return docs.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, key, "left_semi")
+    """Rows of docs whose key is in ids: a broadcast behind a check of its bytes, else a shuffled join."""
+    return docs.join(F.broadcast(ids) if fits(n_ids) else ids, key, "left_semi")
 
 
 def pick(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worktrace.llm.store import BROADCAST_IDS, forget, keep
+from worktrace.llm.store import fits, forget, keep
 from worktrace.llm.text import SPACED, Words, chunks, mix, ragged, ranges, word_windows, words_of
 
 _U = np.uint64
@@ -147,7 +147,7 @@ def _find(docs: DataFrame, length: int, text: bool, id_col: str, text_col: str)
     repeated = keep(occurring.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeated")
     hits = keep(occurring.join(repeated, "anchor").groupBy(*row).agg(F.collect_set("place").alias("places")), "hits")
     n_hits = hits.count()
-    few = F.broadcast(hits.select(*row)) if n_hits <= BROADCAST_IDS else None
+    few = F.broadcast(hits.select(*row)) if fits(n_hits, 2) else None
     candidates = source.select("key", "text", "t")
     if few is not None:  # else the join below shuffles all texts
         candidates = candidates.join(few, row, "left_semi").select("key", "text", "t")
