@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return the
 columns of ``documents``; n_chars follows the text.
+
+Nulls, empty texts and repeated rows: a document without text is clean, alone, and keeps its null to the end, where it
+has no tokens. Rows that repeat are one document to near-dedup, which keeps all rows of an id or none. The other stages
+judge each row. Columns besides doc_id and text are passed on.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worktrace.llm.store import keep
+from worktrace.llm.store import forget, keep
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,9 +70,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = keep(docs, name)
-    return docs
+    """The stages in their order over documents. A stage's table is deleted when the next one's is written."""
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir), name)
+        if held is not None:
+            forget(held)
+        held = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
