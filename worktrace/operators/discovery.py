@@ -136,25 +136,60 @@ def summary(rows: DataFrame, step_rows: DataFrame, top: int) -> DataFrame:
     return ranked.groupBy("process_id").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("r", "system"))), lambda x: x["system"])).alias("top_systems"))
 
 
-def similarities(groups: DataFrame) -> DataFrame:
-    """Trace similarity within and between processes, on distinct signatures weighted by frequency.
+#: Activities that can be coded by one letter each: the code points from 256 on, without the surrogates.
+MOST_LETTERS = 0x10FFFF - 0x100 - 0x800
 
-    groups: (process_id, signature, frequency). Tokens become one character each, so the built-in edit distance
-    counts steps. Only distinct signatures of processes meet, not executions."""
+
+def _letter(number: Column) -> Column:
+    """The letter of an activity's number (from 0 on); more activities than letters are an error, not a wrong distance."""
+    point = number + 0x100 + F.when(number + 0x100 >= 0xD800, 0x800).otherwise(0)
+    bad = F.raise_error(F.lit("more activities than letters"))
+    return F.when(number >= MOST_LETTERS, bad).otherwise(F.decode(F.unhex(F.lpad(F.hex(point.cast("long")), 8, "0")), "UTF-32"))
+
+
+def coded(groups: DataFrame) -> DataFrame:
+    """groups (.., signature) with ``code``: the signature with one letter for each step."""
     tokens = groups.select(F.explode(F.split("signature", ">")).alias("t")).distinct()
-    letters = tokens.withColumn("c", F.chr(F.row_number().over(Window.orderBy("t")) + 47))  # one row per distinct activity
-    coded = (
-        groups.select("process_id", "signature", "frequency", F.posexplode(F.split("signature", ">")).alias("i", "t"))
-        .join(F.broadcast(letters), "t")
-        .groupBy("process_id", "signature", "frequency")
-        .agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"])).alias("code"))
+    letters = tokens.withColumn("c", _letter(F.row_number().over(Window.orderBy("t")) - 1))  # one row per distinct activity
+    steps = groups.select("*", F.posexplode(F.split("signature", ">")).alias("i", "t")).join(F.broadcast(letters), "t")
+    return steps.groupBy(*groups.columns).agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"])).alias("code"))
+
+
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two arrays: a's steps are folded over b's row of lengths; a row is the
+    running maximum of its cells, so no cell waits for its neighbour."""
+    start = F.transform(b, lambda x: F.lit(0))
+
+    def fold(row: Column, step: Column) -> Column:
+        cells = F.transform(b, lambda x, j: F.when(x == step, F.coalesce(F.get(row, j - 1), F.lit(0)) + 1).otherwise(F.get(row, j)))
+        return F.transform(cells, lambda x, j: F.array_max(F.slice(cells, 1, j + 1)))
+
+    return F.coalesce(F.array_max(F.aggregate(a, start, fold)), F.lit(0))
+
+
+def similar_pairs(groups: DataFrame) -> DataFrame:
+    """Pairs of distinct signatures of one process, each once (a <= b), with the edit, subsequence and set similarity of their steps. groups:
+    (process_id, signature, path_class, frequency). Executions do not meet: their numbers are weights."""
+    rows = coded(groups)
+    side = lambda n: rows.select("process_id", *(F.col(c).alias(x) for c, x in (("signature", n), ("path_class", f"c{n}"), ("frequency", f"f{n}"), ("code", f"k{n}"))))
+    pairs = side("a").join(side("b"), "process_id").where("a <= b")
+    p, q = F.split("a", ">"), F.split("b", ">")
+    return pairs.select(
+        "process_id",
+        F.least("ca", "cb").alias("class_a"),
+        F.greatest("ca", "cb").alias("class_b"),
+        "a",
+        "b",
+        "fa",
+        "fb",
+        (1 - F.levenshtein("ka", "kb") / F.greatest(F.length("ka"), F.length("kb"))).alias("levenshtein"),
+        (2 * lcs_length(p, q) / (F.size(p) + F.size(q))).alias("lcs"),
+        (F.size(F.array_intersect(p, q)) / F.size(F.array_union(p, q))).alias("jaccard"),
     )
-    a = coded.select(F.col("process_id").alias("pa"), F.col("signature").alias("sa"), F.col("frequency").alias("fa"), F.col("code").alias("ca"))
-    b = coded.select(F.col("process_id").alias("pb"), F.col("signature").alias("sb"), F.col("frequency").alias("fb"), F.col("code").alias("cb"))
-    pairs = a.join(b, F.col("pa") == F.col("pb"))
-    distance = F.levenshtein("ca", "cb")
-    longest = F.greatest(F.length("ca"), F.length("cb"))
-    weight = F.when(F.col("sa") == F.col("sb"), F.col("fa") * (F.col("fa") - 1)).otherwise(F.col("fa") * F.col("fb"))
-    jac = F.size(F.array_intersect(F.split("sa", ">"), F.split("sb", ">"))) / F.size(F.array_union(F.split("sa", ">"), F.split("sb", ">")))
-    rows = pairs.select(F.col("pa").alias("process_id"), weight.alias("w"), (1 - distance / longest).alias("lev"), jac.alias("jac"))
-    return rows.groupBy("process_id").agg(F.try_divide(F.sum(F.col("w") * F.col("lev")), F.sum("w")).alias("mean_levenshtein"), F.try_divide(F.sum(F.col("w") * F.col("jac")), F.sum("w")).alias("mean_jaccard"), F.sum("w").alias("pairs"))
+
+
+def mean_similarities(pairs: DataFrame) -> DataFrame:
+    """Means over ordered pairs of different executions, by process and pair of path classes."""
+    weight = F.when(F.col("a") == F.col("b"), F.col("fa") * (F.col("fa") - 1)).otherwise(2 * F.col("fa") * F.col("fb"))
+    mean = lambda c: F.try_divide(F.sum(F.col("w") * F.col(c)), F.sum("w")).alias(f"mean_{c}")
+    return pairs.withColumn("w", weight).groupBy("process_id", "class_a", "class_b").agg(mean("levenshtein"), mean("lcs"), mean("jaccard"), F.sum("w").alias("pairs"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 FIRST = ("log1p_delta_t_ms", "density_before", "density_after", "application_changed", "window_title_changed", "browser_domain_changed", "interaction_category_changed", "extracted_text_at_transition", "chunk_boundary")
 SECOND = ("types_jaccard", "apps_jaccard", "domains_jaccard", "duration_before", "duration_after", "text_before", "text_after", "log1p_delta_t_ms")
@@ -21,8 +20,12 @@ def vectors(rows: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> Dat
 
 def standardised(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Mean 0 and population deviation 1 over all rows or within keys; a constant column becomes 0."""
-    stats = rows.groupBy(*by).agg(*(x for c in columns for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"d_{c}"))))
-    joined = rows.join(F.broadcast(stats), list(by)) if by else rows.crossJoin(F.broadcast(stats))  # one row of statistics (per key)
+    if by:
+        w = Window.partitionBy(*by)
+        joined = rows.withColumns({f"{p}_{c}": f(c).over(w) for c in columns for p, f in (("m", F.avg), ("d", F.stddev_pop))})
+    else:
+        stats = rows.agg(*(x for c in columns for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"d_{c}"))))
+        joined = rows.crossJoin(F.broadcast(stats))  # one row
     return joined.withColumns({c: F.coalesce(F.try_divide(F.col(c) - F.col(f"m_{c}"), F.col(f"d_{c}")), F.lit(0.0)) for c in columns}).drop(*(f"{p}_{c}" for c in columns for p in "md"))
 
 
@@ -218,22 +221,3 @@ def clusters(rows: DataFrame, columns: Sequence[str], sizes: Sequence[int], keep
         part = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(ready).transform(ready).select(*keep, F.lit(k).alias("k"), "cluster")
         out = part if out is None else out.unionByName(part)
     return out
-
-
-def lcs_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Dice similarity by longest common subsequence of two step strings, in Arrow batches."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            scores = []
-            for x, y in zip(f[a], f[b], strict=True):
-                p, q = x.split(">"), y.split(">")
-                row = [0] * (len(q) + 1)
-                for i in p:
-                    last = 0
-                    for j, step in enumerate(q, 1):
-                        last, row[j] = row[j], last + 1 if i == step else max(row[j], row[j - 1])
-                scores.append(2 * row[-1] / (len(p) + len(q)))
-            yield f.assign(lcs=scores)
-
-    return pairs.mapInPandas(run, StructType([*pairs.schema.fields, StructField("lcs", DoubleType())]))

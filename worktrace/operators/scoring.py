@@ -108,7 +108,31 @@ def priority(parts: DataFrame, plus: Sequence[str], minus: Sequence[str], weight
     return rows.select("weight_set", "process_id", F.round(total, 9).alias("score"))
 
 
+def top_names(k: int) -> Column:
+    """Aggregate: the first k processes by rank, joined by >."""
+    first = F.array_sort(F.collect_list(F.when(F.col("rank") <= k, F.struct("rank", "process_id"))))
+    return F.concat_ws(">", F.transform(first, lambda x: x["process_id"]))
+
+
+def top_and_stable(ranked: DataFrame, over: str, k: int) -> DataFrame:
+    """Per weight set the first k processes, and whether one process wins them all."""
+    winners = ranked.where("rank = 1").agg((F.count_distinct("process_id") == 1).alias("winner_stable"))
+    return ranked.groupBy(over).agg(top_names(k).alias("top_three")).crossJoin(F.broadcast(winners))  # one row
+
+
+def stability(ranked: DataFrame, n: int) -> DataFrame:
+    """(k, process_id, rank) at n thresholds: best and worst rank and the class of each process."""
+    moved = F.max("rank") - F.min("rank")
+    kind = F.when(F.count("*") < n, "absent").when(moved <= 1, "stable").when(moved <= 3, "shifting").otherwise("unstable")
+    return ranked.groupBy("process_id").agg(F.count("*").alias("n_thresholds"), F.min("rank").alias("best"), F.max("rank").alias("worst"), F.max(F.when(F.col("k") == 5, F.col("rank"))).alias("rank_at_5"), kind.alias("stability"))
+
+
+def checked(expected: DataFrame, metrics: DataFrame, tolerance: float) -> DataFrame:
+    """Expected (name, value) beside the actual value; holds is null where the metrics lack the name."""
+    both = expected.join(metrics.withColumnRenamed("value", "actual"), "name", "left")
+    return both.withColumn("holds", F.abs(F.col("actual") - F.col("value")) <= tolerance)
+
+
 def expectations(expected: DataFrame, metrics: DataFrame, tolerance: float) -> DataFrame:
     """Expected (name, value) that the metrics table lacks or differs from."""
-    both = expected.join(metrics.withColumnRenamed("value", "actual"), "name", "left")
-    return both.where(F.col("actual").isNull() | (F.abs(F.col("actual") - F.col("value")) > tolerance))
+    return checked(expected, metrics, tolerance).where("holds IS NULL OR NOT holds").drop("holds")

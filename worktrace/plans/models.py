@@ -112,11 +112,9 @@ def _(s, d):
     return ln.best_cuts(sums.where("c OR last").drop("c", "last"), 2.0)
 
 
-@plan("p17_lcs")
+@plan("p17_lcs", f"SELECT process_id, a, b, round(2 * {processes.LCS} / (len(string_split(a, '>')) + len(string_split(b, '>'))), 9) AS lcs FROM ({processes.PAIRED}) WHERE a < b")
 def _(s, d):
-    kinds = dc.variants(processes.rows(s, d)).where("signature <> ''").select("process_id", F.col("signature").alias("a"))
-    other = kinds.withColumnRenamed("a", "b")
-    return ln.lcs_similarity(kinds.join(other, "process_id").where("a < b"), "a", "b")
+    return _r(processes.path_pairs(s, d).where("a < b").select("process_id", "a", "b", "lcs"), "lcs")
 
 
 @plan("v16_fragmentation_diff", "SELECT x.c > 1 AS first, y.c > 1 AS second, count(*) AS n FROM (SELECT case_id, count(o.seg_no) AS c FROM gt LEFT JOIN over o USING (session_id, case_id) GROUP BY 1) x JOIN (SELECT g.case_id, count(s.g) AS c FROM gt g LEFT JOIN (SELECT session_id, g, min(timestamp_ms) AS a, max(timestamp_ms) AS b FROM (SELECT *, coalesce(sum(CAST(p AS INTEGER)) OVER (PARTITION BY session_id ORDER BY idx), 0) AS g FROM (SELECT c.*, lag(delta_t_ms > 86400000) OVER (PARTITION BY c.session_id ORDER BY c.idx) AS p FROM canon c LEFT JOIN trans t USING (session_id, idx))) GROUP BY 1, 2) s ON s.session_id = g.session_id AND s.a < g.end_ms AND g.start_ms < s.b GROUP BY 1) y USING (case_id) GROUP BY ALL")

@@ -35,8 +35,11 @@ def _r(df: DataFrame, *names: str, places: int = 9) -> DataFrame:
 
 
 def rows(s: SparkSession, d: str) -> DataFrame:
+    return rows_of(base.segmented(s, d))
+
+
+def rows_of(seg: DataFrame) -> DataFrame:
     """Executions with process_id, signature, manual share and number of systems."""
-    seg = base.segmented(s, d)
     step_rows = ex.steps(seg)
     keys = ["session_id", "seg_no"]
     sig = dc.signatures(dc.trace_steps(step_rows, F.col("system")))
@@ -156,11 +159,31 @@ def _(s, d):
     return dc.summary(rows(s, d), step_rows(s, d), 3)
 
 
-@plan("p18_trace_similarity", f"""SELECT a.process_id, round(sum(w * jac) / nullif(sum(w), 0), 9) AS mean_jaccard, CAST(sum(w) AS BIGINT) AS pairs FROM (SELECT a.process_id, CASE WHEN a.signature = b.signature THEN a.frequency * (a.frequency - 1) ELSE a.frequency * b.frequency END AS w,
-  len(list_intersect(string_split(a.signature, '>'), string_split(b.signature, '>'))) / len(list_distinct(list_concat(string_split(a.signature, '>'), string_split(b.signature, '>')))) AS jac FROM ({VAR}) a JOIN ({VAR}) b ON a.process_id = b.process_id WHERE a.signature <> '' AND b.signature <> '') a GROUP BY 1""")
+#: Names are coded by one letter each, so that an edit distance of letters counts steps.
+LETTERS = "SELECT t, chr(CAST(32 + row_number() OVER (ORDER BY t) AS INTEGER)) AS c FROM (SELECT DISTINCT unnest(string_split(signature, '>')) AS t FROM sigs)"
+PATHS = f"SELECT dominant_context AS process_id, signature, count(*) AS frequency, min(CASE WHEN signature = dominant THEN 'dominant' WHEN list_has_all(string_split(signature, '>'), string_split(dominant, '>')) THEN 'detour' ELSE 'other' END) AS path_class FROM ex JOIN ({TOP}) t ON t.process_id = ex.dominant_context WHERE signature <> '' GROUP BY 1, 2"
+CODED = f"SELECT process_id, path_class, signature, frequency, string_agg(c, '' ORDER BY i) AS code FROM (SELECT process_id, path_class, signature, frequency, unnest(string_split(signature, '>')) AS t, unnest(range(len(string_split(signature, '>')))) AS i FROM ({PATHS})) JOIN ({LETTERS}) USING (t) GROUP BY ALL"
+PAIRED = f"SELECT a.process_id, least(a.path_class, b.path_class) AS class_a, greatest(a.path_class, b.path_class) AS class_b, a.signature AS a, b.signature AS b, a.frequency AS fa, b.frequency AS fb, 1 - levenshtein(a.code, b.code) / greatest(length(a.code), length(b.code)) AS lev, len(list_intersect(string_split(a.signature, '>'), string_split(b.signature, '>'))) / len(list_distinct(list_concat(string_split(a.signature, '>'), string_split(b.signature, '>')))) AS jac FROM ({CODED}) a JOIN ({CODED}) b ON a.process_id = b.process_id AND a.signature <= b.signature"
+
+
+LCS = "CAST(list_reduce(list_transform(string_split(a, '>'), lambda x: [x]), lambda acc, e: list_transform(range(1, len(string_split(b, '>')) + 1), lambda k: CAST(list_max(list_transform(range(1, k + 1), lambda j: CASE WHEN string_split(b, '>')[j] = e[1] THEN (CASE WHEN j > 1 THEN CAST(acc[j - 1] AS INTEGER) ELSE 0 END) + 1 ELSE CAST(acc[j] AS INTEGER) END)) AS VARCHAR)), list_transform(string_split(b, '>'), lambda x: '0'))[-1] AS INTEGER)"
+
+
+def path_pairs(s: SparkSession, d: str) -> DataFrame:
+    classed = dc.classify(rows(s, d)).where("signature <> ''")
+    kinds = classed.groupBy("process_id", "signature", "path_class").agg(F.count("*").alias("frequency"))
+    return dc.similar_pairs(kinds)
+
+
+@plan("p17_pair_similarity", f"SELECT process_id, a, b, round(lev, 9) AS levenshtein, round(2 * {LCS} / (len(string_split(a, '>')) + len(string_split(b, '>'))), 9) AS lcs, round(jac, 9) AS jaccard FROM ({PAIRED}) WHERE a < b")
+def _(s, d):
+    return _r(path_pairs(s, d).where("a < b").select("process_id", "a", "b", "levenshtein", "lcs", "jaccard"), "levenshtein", "lcs", "jaccard")
+
+
+@plan("p18_trace_similarity", f"SELECT process_id, class_a, class_b, round(sum(w * lev) / nullif(sum(w), 0), 9) AS mean_levenshtein, round(sum(w * 2 * {LCS} / (len(string_split(a, '>')) + len(string_split(b, '>')))) / nullif(sum(w), 0), 9) AS mean_lcs, round(sum(w * jac) / nullif(sum(w), 0), 9) AS mean_jaccard, CAST(sum(w) AS BIGINT) AS pairs FROM (SELECT *, CASE WHEN a = b THEN fa * (fa - 1) ELSE 2 * fa * fb END AS w FROM ({PAIRED})) GROUP BY 1, 2, 3")
 def _(s, d):
-    kinds = dc.variants(rows(s, d)).where("signature <> ''").select("process_id", "signature", "frequency")
-    return _r(dc.similarities(kinds).drop("mean_levenshtein"), "mean_jaccard")
+    """Means within (class_a = class_b) and between the path classes of each process, over ordered pairs of executions."""
+    return _r(dc.mean_similarities(path_pairs(s, d)), "mean_levenshtein", "mean_lcs", "mean_jaccard")
 
 
 @plan("p19_correlation", "SELECT round(corr(n, total_ms), 9) AS correlation FROM prof")
@@ -168,12 +191,15 @@ def _(s, d):
     return _r(dc.profiles(rows(s, d)).agg(F.corr("n", "total_ms").alias("correlation")), "correlation")
 
 
-def profile(s: SparkSession, d: str) -> DataFrame:
-    base_rows = rows(s, d)
+def profile_of(base_rows: DataFrame) -> DataFrame:
     p = dc.profiles(base_rows)
     return p.join(dc.process_metrics(p), "process_id").join(sc.entropies(dc.variants(base_rows)), "process_id")
 
 
+def profile(s: SparkSession, d: str) -> DataFrame:
+    return profile_of(rows(s, d))
+
+
 def parts(s: SparkSession, d: str) -> DataFrame:
     return sc.normalised(profile(s, d))
 
@@ -182,15 +208,22 @@ def scored(s: SparkSession, d: str) -> DataFrame:
     return sc.scores(parts(s, d))
 
 
-SCEN = ("default", 1, 1, 1), ("freq2", 2, 1, 1), ("time2", 1, 2, 1), ("manual0", 1, 1, 0), ("time0", 1, 0, 1), ("freq0", 0, 1, 1)
-SCEN_SQL = "(VALUES " + ", ".join(f"('{n}', {a}, {b}, {c})" for n, a, b, c in SCEN) + ") AS w(scenario, wf, wt, wm)"
-SSQL = f"SELECT *, impact * feasibility AS opportunity FROM (SELECT scenario, process_id, round((wf * nf + wt * nt + wm * nm) / (wf + wt + wm), 9) AS impact, round((nd + (1 - ne) + nsf + (1 - nc)) / 4, 9) AS feasibility FROM norm, {SCEN_SQL})"
+#: Weights of frequency, time, manual share; and of determinism, stability, surface, risk. Fixed values.
+IMPACT_NAMED = {"default": (1.0, 1.0, 1.0), "frequency_heavy": (3.0, 1.0, 1.0), "time_heavy": (1.0, 3.0, 1.0), "manual_effort_heavy": (1.0, 1.0, 3.0), "volume_deemphasized": (0.3, 0.3, 3.0), "correlation_aware": (0.5, 0.5, 1.0)}
+IMPACT_GRID = {"balanced": (1.0, 1.0, 1.0), "frequency_heavy": (3.0, 1.0, 1.0), "time_heavy": (1.0, 3.0, 1.0), "volume_deemphasized": (0.2, 0.2, 3.0)}
+FEASIBILITY = {"balanced": (1.0, 1.0, 1.0, 1.0), "feasibility_heavy": (2.0, 2.0, 2.0, 1.0), "risk_averse": (3.0, 1.0, 1.0, 3.0)}
+SCEN = (
+    [(n, *w, *FEASIBILITY["balanced"]) for n, w in IMPACT_NAMED.items()]
+    + [(f"feasibility_{n}", *IMPACT_NAMED["default"], *w) for n, w in FEASIBILITY.items() if n != "balanced"]
+    + [(f"{a}|{b_}", *wa, *wb) for a, wa in IMPACT_GRID.items() for b_, wb in FEASIBILITY.items()]
+)
+SCEN_SQL = "(VALUES " + ", ".join("('" + r[0] + "', " + ", ".join(f"CAST({x} AS DOUBLE)" for x in r[1:]) + ")" for r in SCEN) + ") AS w(scenario, wf, wt, wm, wd, we, ws, wc)"
+SSQL = f"SELECT *, impact * feasibility AS opportunity FROM (SELECT scenario, process_id, round((wf * nf + wt * nt + wm * nm) / (wf + wt + wm), 9) AS impact, round((wd * nd + we * (1 - ne) + ws * nsf + wc * (1 - nc)) / (wd + we + ws + wc), 9) AS feasibility FROM norm, {SCEN_SQL})"
 SRANK = f"SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY opportunity DESC, process_id) AS rank FROM ({SSQL})"
 
 
 def scenarios(s: SparkSession) -> DataFrame:
-    table = [(n, float(a), float(b_), float(c), 1.0, 1.0, 1.0, 1.0) for n, a, b_, c in SCEN]
-    return s.createDataFrame(table, "scenario string, w_nf double, w_nt double, w_nm double, w_nd double, w_ne double, w_ns double, w_nc double")
+    return s.createDataFrame(SCEN, "scenario string, w_nf double, w_nt double, w_nm double, w_nd double, w_ne double, w_ns double, w_nc double")
 
 
 def scenario_ranks(s: SparkSession, d: str) -> DataFrame:
@@ -202,12 +235,49 @@ def _(s, d):
     return _r(parts(s, d), "nf", "nt", "nm", "nd", "ne", "ns", "nc")
 
 
-@plan("s02_priority", "SELECT k AS weight_set, process_id, round(nf * a + nt * b + nm + nd + nsf - ne - nc, 9) AS score FROM norm, (VALUES ('equal', 1, 1), ('time', 1, 3), ('frequency', 3, 1)) AS w(k, a, b)")
+#: Weight sets of the priority score: what differs from 1. Fixed values.
+PRIORITY_SETS = {"equal": {}, "time_heavy": {"time_impact": 3.0}, "frequency_heavy": {"frequency": 3.0}, "risk_averse": {"risk": 3.0, "complexity": 2.0}, "no_business_impact_proxy": {"business_impact": 0.0}}
+PRIORITY_PLUS, PRIORITY_MINUS = ("frequency", "time_impact", "manual_effort", "repetitiveness", "feasibility", "business_impact"), ("risk", "complexity")
+#: Processes that count as core systems here.
+CORE = "browser:"
+FACTORS = """SELECT process_id, n AS frequency, total_ms AS time_impact, manual_share AS manual_effort, dominant_share AS repetitiveness, dominant_share AS feasibility, CASE WHEN starts_with(process_id, 'browser:') THEN 1.0 ELSE 0.6 END AS business_impact,
+  CASE WHEN starts_with(process_id, 'browser:') THEN 1.0 ELSE 0.3 END + n_variants AS risk, systems + n_categories AS complexity
+FROM prof JOIN (SELECT dominant_context AS process_id, count(DISTINCT interaction_category) AS n_categories FROM seg JOIN ctx USING (session_id, seg_no) GROUP BY 1) USING (process_id)"""
+PRIORITY = f"SELECT k AS weight_set, process_id, round({' + '.join(f'w_{c} * {c}' for c in PRIORITY_PLUS)} - {' - '.join(f'w_{c} * {c}' for c in PRIORITY_MINUS)}, 9) AS score FROM (SELECT process_id, {', '.join(f'CASE WHEN max({c}) OVER () = min({c}) OVER () THEN 0.5 ELSE ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) END AS {c}' for c in (*PRIORITY_PLUS, *PRIORITY_MINUS))} FROM ({FACTORS})), (VALUES {', '.join('(' + repr(k) + ', ' + ', '.join(str(w.get(c, 1.0)) for c in (*PRIORITY_PLUS, *PRIORITY_MINUS)) + ')' for k, w in PRIORITY_SETS.items())}) AS w(k, {', '.join(f'w_{c}' for c in (*PRIORITY_PLUS, *PRIORITY_MINUS))})"
+PRIORITY = f"SELECT *, row_number() OVER (PARTITION BY weight_set ORDER BY score DESC, process_id) AS rank FROM ({PRIORITY})"
+
+
+def priorities(s: SparkSession, d: str) -> DataFrame:
+    """All processes under all weight sets, ranked."""
+    base_rows = rows(s, d)
+    categories = base.segmented(s, d).join(base_rows.select("session_id", "seg_no", "process_id"), ["session_id", "seg_no"]).groupBy("process_id").agg(F.count_distinct("interaction_category").alias("n_categories"))
+    core = F.col("process_id").startswith(CORE)
+    factors = dc.profiles(base_rows).join(categories, "process_id").select(
+        "process_id",
+        F.col("n").alias("frequency"),
+        F.col("total_ms").alias("time_impact"),
+        F.col("manual_share").alias("manual_effort"),
+        F.col("dominant_share").alias("repetitiveness"),
+        F.col("dominant_share").alias("feasibility"),
+        F.when(core, 1.0).otherwise(0.6).alias("business_impact"),
+        (F.when(core, 1.0).otherwise(0.3) + F.col("n_variants")).alias("risk"),
+        (F.col("systems") + F.col("n_categories")).alias("complexity"),
+    )
+    every = (*PRIORITY_PLUS, *PRIORITY_MINUS)
+    parts_ = factors.select("process_id", *(sc.min_max(c).alias(c) for c in every))
+    table = [(k, *(w.get(c, 1.0) for c in every)) for k, w in PRIORITY_SETS.items()]
+    weights = s.createDataFrame(table, "weight_set string, " + ", ".join(f"w_{c} double" for c in every))
+    return sc.ranks(sc.priority(parts_, PRIORITY_PLUS, PRIORITY_MINUS, weights), "score", ["weight_set"])
+
+
+@plan("s02_priority", f"SELECT weight_set, process_id, score, rank FROM ({PRIORITY})")
+def _(s, d):
+    return priorities(s, d)
+
+
+@plan("s02_top_three", f"SELECT weight_set, top_three, (SELECT count(DISTINCT process_id) = 1 FROM ({PRIORITY}) WHERE rank = 1) AS winner_stable FROM (SELECT weight_set, string_agg(process_id, '>' ORDER BY rank) AS top_three FROM ({PRIORITY}) WHERE rank <= 3 GROUP BY 1)")
 def _(s, d):
-    plus, minus = ["nf", "nt", "nm", "nd", "ns"], ["ne", "nc"]
-    table = [(k, float(a), float(b_), *[1.0] * 5) for k, a, b_ in (("equal", 1, 1), ("time", 1, 3), ("frequency", 3, 1))]
-    weights = s.createDataFrame(table, "weight_set string, " + ", ".join(f"w_{c} double" for c in [*plus, *minus]))
-    return sc.priority(parts(s, d), plus, minus, weights)
+    return sc.top_and_stable(priorities(s, d), "weight_set", 3)
 
 
 @plan("s03_entropies", "SELECT process_id, round(entropy, 9) AS entropy, round(norm_entropy, 9) AS norm_entropy FROM ent")
@@ -238,6 +308,15 @@ def _(s, d):
     return _r(scenario_ranks(s, d), "opportunity").select("scenario", "process_id", "opportunity", "rank")
 
 
+@plan("s06_winners", f"SELECT a.scenario, a.top AS top_three, b.rank AS target_rank, a.first <> t.first AS winner_changed FROM (SELECT scenario, string_agg(process_id, '>' ORDER BY rank) AS top, min(process_id) FILTER (rank = 1) AS first FROM ({SRANK}) WHERE rank <= 3 GROUP BY 1) a, (SELECT process_id AS first FROM ({SRANK}) WHERE scenario = 'default' AND rank = 1) t JOIN ({SRANK}) b ON b.scenario = a.scenario AND b.process_id = t.first")
+def _(s, d):
+    ranked = scenario_ranks(s, d)
+    target = ranked.where("scenario = 'default' AND rank = 1").select(F.col("process_id").alias("target"))  # one row
+    first = F.max(F.when(F.col("rank") == 1, F.col("process_id")))
+    out = ranked.crossJoin(F.broadcast(target)).groupBy("scenario").agg(sc.top_names(3).alias("top_three"), F.max(F.when(F.col("process_id") == F.col("target"), F.col("rank"))).alias("target_rank"), (first != F.max("target")).alias("winner_changed"))
+    return out
+
+
 @plan("s07_spearman", f"SELECT a.scenario, round(coalesce(corr(a.rank, b.rank), 1), 9) AS rho FROM ({SRANK}) a JOIN ({SRANK}) b ON b.scenario = 'default' AND a.process_id = b.process_id GROUP BY 1")
 def _(s, d):
     return _r(sc.spearman(scenario_ranks(s, d), sc.ranks(scored(s, d))), "rho")
@@ -253,12 +332,18 @@ def _(s, d):
     return sc.winsorised(dc.profiles(rows(s, d)), "total_ms", 0.1).select("process_id", "total_ms")
 
 
-@plan("s10_ablation", "SELECT out, process_id, row_number() OVER (PARTITION BY out ORDER BY round(v, 9) DESC, process_id) AS rank FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS out, process_id, {e} AS v FROM norm" for c, e in (("nf", "(nt + nm) / 2 * ((nd + (1 - ne) + nsf + (1 - nc)) / 4)"), ("nt", "(nf + nm) / 2 * ((nd + (1 - ne) + nsf + (1 - nc)) / 4)"), ("ne", "(nf + nt + nm) / 3 * ((nd + nsf + (1 - nc)) / 3)"))) + ")")
+ABLATED = {
+    "nf": ("(nt + nm) / 2", None), "nt": ("(nf + nm) / 2", None), "nm": ("(nf + nt) / 2", None),
+    "nd": (None, "((1 - ne) + nsf + (1 - nc)) / 3"), "ne": (None, "(nd + nsf + (1 - nc)) / 3"), "ns": (None, "(nd + (1 - ne) + (1 - nc)) / 3"), "nc": (None, "(nd + (1 - ne) + nsf) / 3"),
+}
+
+
+@plan("s10_ablation", "SELECT out, process_id, row_number() OVER (PARTITION BY out ORDER BY round(v, 9) DESC, process_id) AS rank FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS out, process_id, round({a or '(nf + nt + nm) / 3'}, 12) * round({e or '(nd + (1 - ne) + nsf + (1 - nc)) / 4'}, 12) AS v FROM norm" for c, (a, e) in ABLATED.items()) + ")")
 def _(s, d):
     cols = ["nf", "nt", "nm", "nd", "ne", "ns", "nc"]
-    table = [(out, *[0.0 if c == out else 1.0 for c in cols]) for out in ("nf", "nt", "ne")]
+    table = [(out, *[0.0 if c == out else 1.0 for c in cols]) for out in ABLATED]
     weights = s.createDataFrame(table, "scenario string, " + ", ".join(f"w_{c} double" for c in cols))
-    found = sc.scores(parts(s, d), weights, None).withColumn("opportunity", F.round("opportunity", 9))
+    found = sc.scores(parts(s, d), weights, 12).withColumn("opportunity", F.round("opportunity", 9))
     return sc.ranks(found, over=["scenario"]).select(F.col("scenario").alias("out"), "process_id", "rank")
 
 
@@ -267,21 +352,57 @@ def _(s, d):
     return sc.rank_robustness(scenario_ranks(s, d))
 
 
-@plan("s15_without_degraded", "SELECT process_id, a.rank - b.rank AS delta FROM (SELECT process_id, row_number() OVER (ORDER BY n DESC, process_id) AS rank FROM prof) a JOIN (SELECT dominant_context AS process_id, row_number() OVER (ORDER BY count(*) DESC, dominant_context) AS rank FROM ex WHERE session_id IN (SELECT session_id FROM canon GROUP BY 1 HAVING count(browser_domain) / count(*) >= 0.45) GROUP BY 1) b USING (process_id)")
+RANKED = "SELECT process_id, row_number() OVER (ORDER BY opportunity DESC, process_id) AS rank FROM scored"
+GOOD = "SELECT session_id FROM canon GROUP BY 1 HAVING count(browser_domain) / count(*) >= 0.45"
+
+
+def _only(body: str) -> str:
+    """The SQL with executions of healthy sessions only."""
+    found = sql(body)
+    return found.replace("FROM exec e LEFT JOIN sigs s USING (session_id, seg_no)", f"FROM exec e LEFT JOIN sigs s USING (session_id, seg_no) WHERE e.session_id IN ({GOOD})")
+
+
+@plan("s15_without_degraded")
 def _(s, d):
+    """Ranks by opportunity over all sessions and without the degraded ones."""
     good = base.canon(s, d).groupBy("session_id").agg((F.count("browser_domain") / F.count("*")).alias("c")).where("c >= 0.45")
-    every = rows(s, d).groupBy("process_id").agg(F.count("*").alias("n"))
-    kept = rows(s, d).join(good, "session_id", "left_semi").groupBy("process_id").agg(F.count("*").alias("n"))
-    a, c = sc.ranks(every, "n").select("process_id", F.col("rank").alias("a")), sc.ranks(kept, "n").select("process_id", F.col("rank").alias("b"))
-    return a.join(c, "process_id").select("process_id", (F.col("a") - F.col("b")).alias("delta"))
 
+    def ranked(rows_: DataFrame, name: str) -> DataFrame:
+        return sc.ranks(sc.scores(sc.normalised(profile_of(rows_)))).select("process_id", F.col("rank").alias(name))
+
+    every = rows(s, d)
+    both = ranked(every, "all_rank").join(ranked(every.join(good, "session_id", "left_semi"), "healthy_rank"), "process_id", "full")
+    return both.withColumn("delta", F.col("all_rank") - F.col("healthy_rank"))
+
+
+ORACLE["s15_without_degraded"] = f"SELECT process_id, a.rank AS all_rank, b.rank AS healthy_rank, a.rank - b.rank AS delta FROM ({sql(RANKED)}) a FULL JOIN ({_only(RANKED)}) b USING (process_id)"
 
-@plan("s16_expectations", "SELECT 'events' AS name, CAST(0 AS DOUBLE) AS value, CAST(count(*) AS DOUBLE) AS actual FROM canon HAVING count(*) > 0")
+
+@plan("s16_expectations", "SELECT name, value, actual, value = actual AS holds FROM (SELECT 'events' AS name, (SELECT count(*) FROM events)::DOUBLE AS value, (SELECT sum(event_count) FROM exec)::DOUBLE AS actual UNION ALL SELECT 'executions', (SELECT count(*) FROM exec), (SELECT sum(n) FROM prof) UNION ALL SELECT 'recorded_ms', (SELECT sum(duration_ms) FROM exec), (SELECT sum(total_ms) FROM prof) UNION ALL SELECT 'processes', (SELECT count(DISTINCT dominant_context) FROM ctx), (SELECT count(*) FROM prof) UNION ALL SELECT 'sessions', (SELECT count(DISTINCT user_id) FROM events), (SELECT count(DISTINCT session_id) FROM exec) UNION ALL SELECT 'cut_sessions', (SELECT count(*) FROM cut WHERE boundary) + (SELECT count(DISTINCT session_id) FROM canon), (SELECT count(*) FROM exec))")
 def _(s, d):
-    metrics = base.canon(s, d).agg(F.count("*").cast("double").alias("events"), F.count_if(F.expr("event_id IS NULL")).cast("double").alias("nulls"))
-    long = metrics.unpivot([], ["events", "nulls"], "name", "value")
-    expected = metrics.limit(1).select(F.explode(F.create_map(F.lit("events"), F.lit(0.0), F.lit("nulls"), F.lit(0.0)))).toDF("name", "value")
-    return sc.expectations(expected, long, 1e-9)
+    """Do the figures of the published tables equal those of the tables that they come from?"""
+    executions = rows(s, d)
+    events, view, cut = s.read.parquet(f"{d}/events.parquet"), dc.profiles(executions), base.cuts(s, d)
+    num = lambda c: c.cast("double")
+    source = [
+        events.agg(num(F.count("*")).alias("events"), num(F.count_distinct("user_id")).alias("sessions")),
+        ex.segment_spans(base.segmented(s, d)).agg(num(F.count("*")).alias("executions"), num(F.sum(F.col("end_ms") - F.col("start_ms"))).alias("recorded_ms")),
+        ex.dominant_context(base.segmented(s, d), fx.SUFFIXES).agg(num(F.count_distinct("dominant_context")).alias("processes")),
+        cut.where("boundary").agg(num(F.count("*")).alias("cuts")).crossJoin(base.canon(s, d).agg(num(F.count_distinct("session_id")).alias("s"))).select((F.col("cuts") + F.col("s")).alias("cut_sessions")),  # one row each
+    ]
+    shown = [
+        executions.agg(num(F.sum("event_count")).alias("events"), num(F.count_distinct("session_id")).alias("sessions"), num(F.count("*")).alias("cut_sessions")),
+        view.agg(num(F.sum("n")).alias("executions"), num(F.sum("total_ms")).alias("recorded_ms"), num(F.count("*")).alias("processes")),
+    ]
+
+    def long(tables: list[DataFrame]) -> DataFrame:
+        parts_ = [t.unpivot([], t.columns, "name", "value") for t in tables]
+        out = parts_[0]
+        for t in parts_[1:]:
+            out = out.unionByName(t)
+        return out
+
+    return sc.checked(long(source), long(shown), 0.0)
 
 
 # evaluation
@@ -419,29 +540,56 @@ def _(s, d):
     return _r(ev.held_out_choice(counts), "f1")
 
 
-@plan("s11_impact_variants", "SELECT variant, process_id, round(v, 9) AS impact FROM (SELECT 'all' AS variant, process_id, (nf + nt + nm) / 3 AS v FROM norm UNION ALL SELECT 'no_time', process_id, (nf + nm) / 2 FROM norm UNION ALL SELECT 'no_manual', process_id, (nf + nt) / 2 FROM norm)")
+IMPACTS = {"A_frequency_total": ("nf", "nt", "nm"), "B_frequency_average": ("nf", "na", "nm"), "C_total_average": ("nt", "na", "nm"), "D_frequency_manual": ("nf", "nm")}
+AVERAGED = "SELECT norm.*, CASE WHEN max(total_ms / n) OVER () = min(total_ms / n) OVER () THEN 0.5 ELSE (total_ms / n - min(total_ms / n) OVER ()) / (max(total_ms / n) OVER () - min(total_ms / n) OVER ()) END AS na FROM norm JOIN (SELECT process_id, n, total_ms FROM prof) USING (process_id)"
+
+
+@plan("s11_impact_variants", "SELECT variant, process_id, round(impact, 9) AS impact, row_number() OVER (PARTITION BY variant ORDER BY round(round(impact, 9) * feasibility, 9) DESC, process_id) AS rank FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS variant, process_id, ({' + '.join(cs)}) / {len(cs)} AS impact FROM ({AVERAGED})" for k, cs in IMPACTS.items()) + ") JOIN (SELECT process_id, feasibility FROM scored) USING (process_id)")
 def _(s, d):
-    p = parts(s, d)
-    kinds = {"all": ["nf", "nt", "nm"], "no_time": ["nf", "nm"], "no_manual": ["nf", "nt"]}
-    cells = F.array(*(F.struct(F.lit(k).alias("variant"), (sum((F.col(c) for c in cs), F.lit(0.0)) / len(cs)).alias("impact")) for k, cs in kinds.items()))
-    return _r(p.select("process_id", F.explode(cells).alias("x")).select("x.variant", "process_id", "x.impact"), "impact")
+    prof = profile(s, d).withColumn("average_ms", F.col("total_ms") / F.col("n"))
+    every = sc.normalised(prof).join(prof.select("process_id", sc.min_max("average_ms").alias("na")), "process_id").join(sc.scores(sc.normalised(prof)).select("process_id", "feasibility"), "process_id")
+    cells = F.array(*(F.struct(F.lit(k).alias("variant"), F.round(sum((F.col(c) for c in cs), F.lit(0.0)) / len(cs), 9).alias("impact")) for k, cs in IMPACTS.items()))
+    long = every.select("process_id", "feasibility", F.explode(cells).alias("x")).select("process_id", "x.variant", "x.impact", F.round(F.col("x.impact") * F.col("feasibility"), 9).alias("opportunity"))
+    return sc.ranks(long, over=["variant"]).select("variant", "process_id", "impact", "rank")
+
 
+CLIPPED = "SELECT process_id, {v}, CASE WHEN n < 3 THEN {v} ELSE least(greatest({v}, max(CASE WHEN r = k THEN {v} END) OVER ()), max(CASE WHEN r = n - 1 - k THEN {v} END) OVER ()) END AS w FROM (SELECT process_id, {v}, row_number() OVER (ORDER BY {v}, process_id) - 1 AS r, count(*) OVER () AS n, CAST(floor(count(*) OVER () * 0.1) AS BIGINT) AS k FROM ({src}))"
+SHARES = "SELECT process_id, n / sum(n) OVER () AS frequency_share, total_ms / sum(total_ms) OVER () AS time_share, manual_share FROM prof"
+CLIPPED_NORM = "SELECT process_id, CASE WHEN max(w) OVER () = min(w) OVER () THEN 0.5 ELSE (w - min(w) OVER ()) / (max(w) OVER () - min(w) OVER ()) END AS x FROM ({c})"
 
-@plan("s12_winsorised_ranks")
+
+@plan("s12_winsorised_ranks", f"SELECT process_id, d.rank AS default_rank, row_number() OVER (ORDER BY round((a.x + b.x + c.x) / 3, 9) * feasibility DESC, process_id) AS winsorised_rank FROM ({CLIPPED_NORM.format(c=CLIPPED.format(v='frequency_share', src=SHARES))}) a JOIN ({CLIPPED_NORM.format(c=CLIPPED.format(v='time_share', src=SHARES))}) b USING (process_id) JOIN ({CLIPPED_NORM.format(c=CLIPPED.format(v='manual_share', src=SHARES))}) c USING (process_id) JOIN scored USING (process_id) JOIN (SELECT process_id, row_number() OVER (ORDER BY opportunity DESC, process_id) AS rank FROM scored) d USING (process_id)")
 def _(s, d):
-    """Ranks with the time share winsorised, beside the default ones."""
+    """Ranks with the three parts of the impact winsorised, beside the default ones."""
     base_profile = profile(s, d)
-    held = sc.winsorised(base_profile, "time_share", 0.1)
-    a = sc.ranks(sc.scores(sc.normalised(base_profile))).select("process_id", F.col("rank").alias("default_rank"))
-    return a.join(sc.ranks(sc.scores(sc.normalised(held))).select("process_id", F.col("rank").alias("winsorised_rank")), "process_id")
+    held = base_profile
+    for c in ("frequency_share", "time_share", "manual_share"):
+        held = sc.winsorised(held, c, 0.1)
+    default = sc.ranks(sc.scores(sc.normalised(base_profile)))
+    impact = sc.scores(sc.normalised(held)).select("process_id", F.col("impact").alias("held_impact"))
+    both = default.join(impact, "process_id").withColumn("held", F.col("held_impact") * F.col("feasibility"))
+    return sc.ranks(both.withColumnRenamed("rank", "default_rank"), "held").select("process_id", "default_rank", F.col("rank").alias("winsorised_rank"))
+
+
+MERGES = (0, 5, 11, 36)
+BY_MERGE = " UNION ALL ".join(f"SELECT {k} AS k, process_id, rank FROM ({sql(RANKED).replace('start_idx - left_end - 1 <= 2', f'start_idx - left_end - 1 <= {k}')})" for k in MERGES)
 
 
-@plan("s14_merge_sensitivity", "SELECT 0 AS k, count(*) FILTER (boundary) AS n_cuts FROM cut0 UNION ALL SELECT 2, count(*) FILTER (boundary) FROM cut")
+@plan("s14_merge_sensitivity")
 def _(s, d):
+    """Ranks by opportunity at each merge threshold, and each process's class: stable where its rank moves by one at most,
+    absent where some threshold lacks it."""
     events = base.canon(s, d)
     raw = b.system_change(events)
-    each = [b.merge_leave_and_return(events, raw, k).agg(F.count_if("boundary").alias("n_cuts")).select(F.lit(k).alias("k"), "n_cuts") for k in (0, 2)]
-    return each[0].unionAll(each[1])
+    out = None
+    for k in MERGES:
+        seg = sq.segments(events, b.merge_leave_and_return(events, raw, k))
+        ranked = sc.ranks(sc.scores(sc.normalised(profile_of(rows_of(seg))))).select(F.lit(k).alias("k"), "process_id", "rank")
+        out = ranked if out is None else out.unionByName(ranked)
+    return sc.stability(out, len(MERGES))
+
+
+ORACLE["s14_merge_sensitivity"] = f"SELECT process_id, count(*) AS n_thresholds, min(rank) AS best, max(rank) AS worst, max(rank) FILTER (k = 5) AS rank_at_5, CASE WHEN count(*) < {len(MERGES)} THEN 'absent' WHEN max(rank) - min(rank) <= 1 THEN 'stable' WHEN max(rank) - min(rank) <= 3 THEN 'shifting' ELSE 'unstable' END AS stability FROM ({BY_MERGE}) GROUP BY 1"
 
 
 @plan("v04_signal_evaluation", """SELECT count(*) AS n_points, count(*) FILTER (d <= 86400000) AS covered, round(avg(d), 3) AS mean_distance_ms FROM (SELECT p.session_id, p.at_ms, min(abs(c.timestamp_ms - p.at_ms)) AS d FROM points p JOIN canon c ON c.session_id = p.session_id AND c.event_type = 'error' GROUP BY ALL)""")
