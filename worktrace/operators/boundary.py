@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,3 +133,12 @@ def sampling_points(spans: DataFrame, min_events: int, per_kind: int, seed: str)
     mids = spans.where(F.col("n_events") >= min_events).select(F.concat_ws("|", F.lit("control"), "session_id", "case_id").alias("point_id"), F.lit("control").alias("kind"), "session_id", F.floor((F.col("start_ms") + F.col("end_ms")) / 2).alias("at_ms"))
     rank = F.row_number().over(ordered("kind", by="_h"))
     return gaps.unionByName(mids).withColumn("_h", F.md5(F.concat("point_id", F.lit(seed)))).withColumn("_r", rank).where(F.col("_r") <= per_kind).drop("_h", "_r")
+
+
+def debounced_counts(events: DataFrame, lasting: Sequence[int]) -> DataFrame:
+    """Cuts of ``debounced_change`` for each number of events that a new identity must last: (k, n_cuts)."""
+    out = None
+    for k in lasting:
+        part = debounced_change(events, k).agg(F.count_if("boundary").alias("n_cuts")).select(F.lit(k).alias("k"), "n_cuts")
+        out = part if out is None else out.unionAll(part)
+    return out

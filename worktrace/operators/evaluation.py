@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,10 +43,21 @@ def execution_metrics(segments: DataFrame, spans: DataFrame, overlap: DataFrame,
     )
 
 
-def threshold_grid(scored: DataFrame, score: str, parts: Sequence[float]) -> DataFrame:
-    """Distinct exact percentiles of a score, rounded to four places."""
+def threshold_grid(scored: DataFrame, score: str, parts: Sequence[float], fixed: Sequence[float] = ()) -> DataFrame:
+    """Distinct exact percentiles of a score, rounded to four places, and fixed points beside them."""
     grid = scored.agg(F.percentile(score, F.array(*map(F.lit, parts))).alias("g"))
-    return grid.select(F.explode(F.array_distinct(F.transform("g", lambda x: F.round(x, 4)))).alias("threshold"))
+    rounded = F.transform("g", lambda x: F.round(x, 4))
+    points = F.array_union(rounded, F.array(*map(F.lit, fixed))) if fixed else F.array_distinct(rounded)
+    return grid.select(F.explode(points).alias("threshold"))
+
+
+def swept_metrics(rows: DataFrame, truth: str, flags: Mapping[tuple[int, str], Column]) -> DataFrame:
+    """tp, fp, fn, precision, recall and f1 of each flag, by its (tau, rule), from one pass over the rows."""
+    t, cells, keys = F.col(truth), [], list(flags)
+    for i, key in enumerate(keys):
+        cells += [F.count_if(t & flags[key]).alias(f"tp_{i}"), F.count_if(~t & flags[key]).alias(f"fp_{i}"), F.count_if(t & ~flags[key]).alias(f"fn_{i}")]
+    each = F.array(*(F.struct(F.lit(tau).cast("long").alias("tau"), F.lit(rule).alias("rule"), *(F.col(f"{c}_{i}").alias(c) for c in ("tp", "fp", "fn"))) for i, (tau, rule) in enumerate(keys)))
+    return rows.agg(*cells).select(F.explode(each).alias("x")).select("x.*").withColumns(_prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
 def score_curve(scored: DataFrame, truth: str, score: str) -> DataFrame:

@@ -33,14 +33,22 @@ def missing_fields(records: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def missingness(records: DataFrame, paths: Sequence[str]) -> DataFrame:
-    """Per path: absent, null and empty counts, from one pass."""
+    """Per path: absent, null and empty counts and their percentages, from one pass."""
     cells = []
     for i, p in enumerate(paths):
         at = F.try_variant_get("v", p, "variant")
         text = F.try_variant_get("v", p, "string")
         cells += [F.count_if(at.isNull()).alias(f"a{i}"), F.count_if(F.is_variant_null(at)).alias(f"n{i}"), F.count_if(text.isin("", "{}", "[]")).alias(f"e{i}")]
-    one = records.agg(*cells)
-    rows = F.array(*(F.struct(F.lit(p).alias("path"), F.col(f"a{i}").alias("absent"), F.col(f"n{i}").alias("nulls"), F.col(f"e{i}").alias("empty")) for i, p in enumerate(paths)))
+    one = records.agg(F.count("*").alias("n"), *cells)
+    pct = lambda c: F.try_divide(100 * F.col(c), "n")
+    rows = F.array(
+        *(
+            F.struct(
+                F.lit(p).alias("path"), F.col(f"a{i}").alias("absent"), F.col(f"n{i}").alias("nulls"), F.col(f"e{i}").alias("empty"), pct(f"a{i}").alias("pct_absent"), pct(f"n{i}").alias("pct_null"), pct(f"e{i}").alias("pct_empty")
+            )
+            for i, p in enumerate(paths)
+        )
+    )
     return one.select(F.explode(rows).alias("x")).select("x.*")
 
 
@@ -100,8 +108,14 @@ def text_profile(rows: DataFrame, text: str, by: str) -> DataFrame:
 
 
 def identity_checks(events: DataFrame) -> DataFrame:
-    """Sessions seen from more than one machine."""
-    return events.groupBy("session_id").agg(F.count_distinct("machine").alias("machines")).where("machines > 1")
+    """Sessions seen from more than one machine, or with records that name another session or chunk than the folder that they lie
+    in. events: session_id, chunk_id, machine, session_dir, chunk_dir; a session is its folder's records and its own."""
+    out = events.groupBy("session_id").agg(
+        F.count_distinct("machine").alias("machines"),
+        F.count_if(~F.col("session_id").eqNullSafe(F.col("session_dir"))).alias("other_session"),
+        F.count_if(~F.col("chunk_id").eqNullSafe(F.col("chunk_dir"))).alias("other_chunk"),
+    )
+    return out.where("machines > 1 OR other_session > 0 OR other_chunk > 0")
 
 
 def gt_coverage(events: DataFrame, spans: DataFrame, slack_ms: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -212,3 +214,14 @@ def surrounding(events: DataFrame, spans: DataFrame) -> DataFrame:
         F.max(F.when(F.col("kind") == 0, F.col("before")["timestamp_ms"])).alias("before_ms"),
         F.max(F.when(F.col("kind") == 2, F.col("after")["timestamp_ms"])).alias("after_ms"),
     )
+
+
+def numbered(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """With each row's place from 1 on in the global order: ranges are numbered by themselves and the rows of the ranges before
+    are added, so that no task sees more than its range. order: columns that hold no tie."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    own = Window.partitionBy("_part").orderBy(*order)
+    placed = ranged.withColumn("_n", F.row_number().over(own))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")  # one row a range
+    return placed.join(F.broadcast(before), "_part").withColumn(name, (F.col("_n") + F.col("_before")).cast("long")).drop("_part", "_n", "_before")

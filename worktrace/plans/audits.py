@@ -28,9 +28,25 @@ def plan(name: str, oracle: str | None = None):
 
 
 def lines(s: SparkSession, d: str) -> DataFrame:
-    """Raw JSON lines of the events: some malformed (k = 13), some without a type (k = 17)."""
-    record = F.to_json(F.struct("event_id", "session_id", F.when(F.col("k") != 17, F.col("event_type")).alias("event_type"), "timestamp_ms", F.when(F.col("k") % 5 == 0, F.lit("")).otherwise(F.col("chunk_id")).alias("note")))
-    return fx.raw_events(s, d).select("event_id", "k", F.when(F.col("k") == 13, F.concat(F.lit("{"), record)).otherwise(record).alias("raw"))
+    """Raw JSON lines of the events: some malformed (k = 13), some without a type (k = 17); fields absent, null and empty."""
+    k = F.col("k")
+    body = F.to_json(
+        F.struct(
+            "event_id",
+            "session_id",
+            F.when(k != 17, F.col("event_type")).alias("event_type"),
+            "timestamp_ms",
+            F.when(k % 5 == 0, F.lit("")).otherwise(F.col("chunk_id")).alias("note"),
+            F.struct(F.when(k % 10 != 9, F.concat(F.lit("app"), (k % 4).cast("string"))).alias("app"), F.when(k % 2 == 0, F.struct(F.concat(F.lit("/r"), (k % 6).cast("string")).alias("url"))).alias("tab")).alias("context"),
+            F.struct(F.col("value").alias("amount"), F.when(k % 6 == 0, F.lit("")).otherwise(F.lit("text")).alias("text")).alias("payload"),
+            F.map_filter(F.create_map(F.lit("v"), F.lit("1")), lambda a, b: k % 3 != 0).alias("metadata"),
+            F.filter(F.array(F.lit("x")), lambda a: k % 4 != 0).alias("tags"),
+            F.struct(F.col("chunk_id").alias("chunk_id")).alias("correlation"),
+        )
+    )
+    title = F.when(k % 7 == 0, F.lit(',"title":null}')).otherwise(F.lit(',"title":"t"}'))
+    made = fx.raw_events(s, d).select("event_id", "k", body.alias("body")).select("event_id", "k", F.concat(F.expr("left(body, length(body) - 1)"), title).alias("whole"))
+    return made.select("event_id", "k", F.when(k == 13, F.concat(F.lit("{"), "whole")).otherwise(F.col("whole")).alias("raw"))
 
 
 @plan("a02_malformed_lines", "SELECT event_id FROM raw WHERE k = 13")
@@ -76,9 +92,19 @@ def _(s, d):
     return fx.ground_truth(s, d).join(apps, "case_id", "left").select("session_id", "case_id", "process_code", "start_ms", "end_ms", "apps")
 
 
-@plan("q01_missingness", "SELECT path, absent, nulls, empty FROM (SELECT '$.event_type' AS path, count(*) FILTER (k = 17) AS absent, CAST(0 AS BIGINT) AS nulls, CAST(0 AS BIGINT) AS empty FROM raw WHERE k <> 13 UNION ALL SELECT '$.note', 0, 0, count(*) FILTER (k % 5 = 0) FROM raw WHERE k <> 13)")
+#: Paths with the condition under which each is absent, null or empty in ``lines``.
+PATHS = {
+    "$.event_id": ("false", "false", "false"), "$.session_id": ("false", "false", "false"), "$.event_type": ("k = 17", "false", "false"), "$.timestamp_ms": ("false", "false", "false"),
+    "$.note": ("false", "false", "k % 5 = 0"), "$.title": ("false", "k % 7 = 0", "false"), "$.context.app": ("k % 10 = 9", "false", "false"), "$.context.tab": ("k % 2 = 1", "false", "false"),
+    "$.context.tab.url": ("k % 2 = 1", "false", "false"), "$.payload.amount": ("false", "false", "false"), "$.payload.text": ("false", "false", "k % 6 = 0"), "$.metadata": ("false", "false", "k % 3 = 0"),
+    "$.tags": ("false", "false", "k % 4 = 0"), "$.correlation.chunk_id": ("false", "false", "false"),
+}
+
+
+@plan("q01_missingness", "SELECT path, absent, nulls, empty, round(100 * absent / n, 6) AS pct_absent, round(100 * nulls / n, 6) AS pct_null, round(100 * empty / n, 6) AS pct_empty FROM (" + " UNION ALL ".join(f"SELECT '{p}' AS path, count(*) FILTER ({a}) AS absent, count(*) FILTER ({z}) AS nulls, count(*) FILTER ({e}) AS empty, count(*) AS n FROM raw WHERE k <> 13" for p, (a, z, e) in PATHS.items()) + ")")
 def _(s, d):
-    return qa.missingness(qa.parsed(lines(s, d)).where("v IS NOT NULL"), ["$.event_type", "$.note"])
+    out = qa.missingness(qa.parsed(lines(s, d)).where("v IS NOT NULL"), list(PATHS))
+    return out.withColumns({c: F.round(c, 6) for c in ("pct_absent", "pct_null", "pct_empty")})
 
 
 @plan("q02_exact_duplicates", "SELECT count(*) AS n, min(doc_id) AS first_doc_id FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1")
@@ -118,9 +144,11 @@ def _(s, d):
     return qa.text_profile(s.read.parquet(f"{d}/documents.parquet"), "text", "lang").withColumn("mean_length", F.round("mean_length", 6))
 
 
-@plan("q10_identity", "SELECT session_id, count(DISTINCT application) AS machines FROM canon GROUP BY 1 HAVING count(DISTINCT application) > 1")
+@plan("q10_identity", "SELECT session_id, count(DISTINCT application) AS machines, count(*) FILTER (idx % 11 = 5) AS other_session, count(*) FILTER (idx % 13 = 7) AS other_chunk FROM canon GROUP BY 1 HAVING count(DISTINCT application) > 1 OR count(*) FILTER (idx % 11 = 5) > 0 OR count(*) FILTER (idx % 13 = 7) > 0")
 def _(s, d):
-    return qa.identity_checks(base.canon(s, d).withColumnRenamed("application", "machine"))
+    """Records against the folders that they lie in; a few are laid into other folders on purpose."""
+    placed = base.canon(s, d).withColumns({"session_dir": F.when(F.col("idx") % 11 == 5, "elsewhere").otherwise(F.col("session_id")), "chunk_dir": F.when(F.col("idx") % 13 == 7, "elsewhere").otherwise(F.col("chunk_id"))})
+    return qa.identity_checks(placed.withColumnRenamed("application", "machine"))
 
 
 @plan("q11_gt_coverage", "SELECT session_id, last_ms, gt_end_ms FROM (SELECT session_id, max(end_ms) AS gt_end_ms FROM gt GROUP BY 1) LEFT JOIN (SELECT session_id, max(timestamp_ms) AS last_ms FROM canon WHERE event_type = 'error' GROUP BY 1) USING (session_id) WHERE coalesce(last_ms, 0) < gt_end_ms - 86400000")
@@ -336,7 +364,7 @@ def _(s, d):
     from worktrace.operators import executions as ex
 
     rows = ex.segment_spans(base.segmented(s, d)).where("event_count > 3")
-    return rows.select("session_id", "seg_no", F.row_number().over(sq.Window.orderBy("session_id", "seg_no")).alias("place"))
+    return sq.numbered(rows.select("session_id", "seg_no"), ["session_id", "seg_no"], "place")
 
 
 @plan("k02_top_k", "SELECT operator, application, n FROM (SELECT operator, application, count(*) AS n FROM canon WHERE application IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY operator ORDER BY n DESC, application) <= 2")

@@ -442,9 +442,16 @@ def _(s, d):
     return _metrics(s, d, [])
 
 
-@plan("v05_threshold_grid", "SELECT DISTINCT round(unnest(quantile_cont(log1p_delta_t_ms, [0.5, 0.75, 0.9, 0.95, 0.99])), 4) AS threshold FROM trans")
+#: The threshold grid: coarse and high points, and 40 percentiles of the upper quarter. Fixed values.
+COARSE, HIGH = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7], [0.8, 0.9, 0.95, 0.99, 0.999]
+DENSE = [round((75 + k * 24.9 / 39) / 100, 12) for k in range(40)]
+
+
+@plan("v05_threshold_grid", f"SELECT DISTINCT unnest(list_concat({COARSE}::DOUBLE[], list_concat(list_transform(quantile_cont(delta_t_ms / (delta_t_ms + 43200000), {DENSE}), lambda x: round(x, 4)), {HIGH}::DOUBLE[]))) AS threshold FROM trans")
 def _(s, d):
-    return ev.threshold_grid(base.trans(s, d), "log1p_delta_t_ms", [0.5, 0.75, 0.9, 0.95, 0.99])
+    """The score is the gap's part of itself and half a day."""
+    scored_ = base.trans(s, d).select((F.col("delta_t_ms") / (F.col("delta_t_ms") + base.HALF_DAY)).alias("score"))
+    return ev.threshold_grid(scored_, "score", DENSE, [*COARSE, *HIGH])
 
 
 @plan("v06_threshold_metrics", "SELECT t.threshold, count(*) FILTER (is_boundary AND density_before >= t.threshold) AS tp, count(*) FILTER (NOT is_boundary AND density_before >= t.threshold) AS fp FROM labelled, (VALUES (1), (2), (3), (5)) AS t(threshold) GROUP BY 1")
@@ -522,11 +529,16 @@ def _(s, d):
     return _r(ev.co_occurrence(base.trans(s, d), CO), "jaccard")
 
 
-@plan("v26_pause_sweep", "SELECT tau, count(*) FILTER (is_boundary AND delta_t_ms > tau) AS tp, count(*) FILTER (NOT is_boundary AND delta_t_ms > tau) AS fp, count(*) FILTER (is_boundary AND NOT delta_t_ms > tau) AS fn FROM labelled, (VALUES (21600000), (43200000), (86400000), (172800000)) AS t(tau) GROUP BY 1")
+#: 17 pauses, in hours: the reference's are in milliseconds, of denser logs.
+PAUSES = (1, 2, 3, 4, 6, 8, 10, 12, 16, 20, 24, 30, 36, 48, 60, 72, 96)
+CHANGED = "(application_changed OR window_title_changed OR browser_domain_changed OR interaction_category_changed)"
+
+
+@plan("v26_pause_sweep", "SELECT tau, rule, tp, fp, fn, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f1 FROM (SELECT *, " + PRF + " FROM (" + " UNION ALL ".join(f"SELECT tau, '{n}' AS rule, count(*) FILTER (is_boundary AND {x}) AS tp, count(*) FILTER (NOT is_boundary AND {x}) AS fp, count(*) FILTER (is_boundary AND NOT {x}) AS fn FROM labelled, (SELECT unnest({[h * fx.HOUR for h in PAUSES]}) AS tau) GROUP BY 1" for n, x in (("pause", "(delta_t_ms > tau)"), ("pause_and_change", f"(delta_t_ms > tau AND {CHANGED})"), ("pause_or_change", f"(delta_t_ms > tau OR {CHANGED})"))) + "))")
 def _(s, d):
-    taus = F.explode(F.array(*(F.lit(h * fx.HOUR) for h in (6, 12, 24, 48)))).alias("tau")
-    swept = base.labelled(s, d).select("is_boundary", "delta_t_ms", taus).withColumn("p", F.col("delta_t_ms") > F.col("tau"))
-    return swept.groupBy("tau").agg(F.count_if(F.expr("is_boundary AND p")).alias("tp"), F.count_if(F.expr("NOT is_boundary AND p")).alias("fp"), F.count_if(F.expr("is_boundary AND NOT p")).alias("fn"))
+    """Every rule at every pause from one pass of conditional counts; no row is multiplied."""
+    rules = {"pause": b.pause, "pause_and_change": b.pause_and_change, "pause_or_change": b.pause_or_change}
+    return _r(ev.swept_metrics(base.labelled(s, d), "is_boundary", {(h * fx.HOUR, n): f(h * fx.HOUR) for h in PAUSES for n, f in rules.items()}), "precision", "recall", "f1")
 
 
 SWEEP = "SELECT session_id, param, count(*) FILTER (is_boundary AND delta_t_ms > param) AS tp, count(*) FILTER (NOT is_boundary AND delta_t_ms > param) AS fp, count(*) FILTER (is_boundary AND NOT delta_t_ms > param) AS fn FROM labelled, (VALUES (21600000), (43200000), (86400000)) AS t(param) GROUP BY ALL"

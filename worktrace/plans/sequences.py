@@ -368,11 +368,12 @@ def _(s, d):
     return b.system_change(canon(s, d))
 
 
-@plan("b07_debounced_sweep", " UNION ALL ".join(f"SELECT {k} AS k, count(*) FILTER (boundary) AS n_cuts FROM ({DEB.format(k=k)})" for k in (2, 3, 5)))
+LASTING = (2, 3, 5, 8, 12)
+
+
+@plan("b07_debounced_sweep", " UNION ALL ".join(f"SELECT {k} AS k, count(*) FILTER (boundary) AS n_cuts FROM ({DEB.format(k=k)})" for k in LASTING))
 def _(s, d):
-    events = canon(s, d)
-    each = [b.debounced_change(events, k).agg(F.count_if("boundary").alias("n_cuts")).select(F.lit(k).alias("k"), "n_cuts") for k in (2, 3, 5)]
-    return each[0].unionAll(each[1]).unionAll(each[2])
+    return b.debounced_counts(canon(s, d), LASTING)
 
 
 RULE = "((application_changed OR browser_domain_changed) AND delta_t_ms > 21600000 OR delta_t_ms > 86400000)"
@@ -486,11 +487,29 @@ def _(s, d):
     return count(raw, "raw_cuts").join(count(b.merge_leave_and_return(events, raw, 2), "merged_cuts"), "session_id")
 
 
+E06_ROWS = "SELECT c.session_id, c.idx, c.timestamp_ms, t.* EXCLUDE (session_id, idx, timestamp_ms), k.boundary AS system_cut, p90, p95, p99 FROM canon c LEFT JOIN trans t USING (session_id, idx) LEFT JOIN cut0 k USING (session_id, idx), (SELECT quantile_cont(delta_t_ms, 0.9) AS p90, quantile_cont(delta_t_ms, 0.95) AS p95, quantile_cont(delta_t_ms, 0.99) AS p99 FROM trans)"
+#: Ten methods: fixed gaps, percentiles of the gaps, changes and rules.
+E06 = ("gap6", "gap12", "gap24", "p90", "p95", "p99", "app", "system", "pause_and_change", "two_thresholds")
+E06_SQL = {"gap6": "delta_t_ms >= 21600000", "gap12": "delta_t_ms >= 43200000", "gap24": "delta_t_ms >= 86400000", "p90": "delta_t_ms >= p90", "p95": "delta_t_ms >= p95", "p99": "delta_t_ms >= p99", "app": "application_changed", "system": "system_cut", "pause_and_change": "delta_t_ms > 43200000 AND (application_changed OR window_title_changed OR browser_domain_changed OR interaction_category_changed)", "two_thresholds": RULE}
+
+
 @plan("e06_methods_compared", " UNION ALL ".join(f"""SELECT '{m}' AS method, count(*) AS n_segments, count(*) - count(DISTINCT session_id) AS n_cuts, round(avg(n), 6) AS mean_events, round(avg(ms), 3) AS mean_ms, max(n) AS max_events FROM (
-  SELECT session_id, g, count(*) AS n, max(timestamp_ms) - min(timestamp_ms) AS ms FROM (SELECT *, coalesce(sum(CAST(p AS INTEGER)) OVER (PARTITION BY session_id ORDER BY idx), 0) AS g FROM (SELECT c.session_id, c.idx, c.timestamp_ms, lag({e}) OVER (PARTITION BY c.session_id ORDER BY c.idx) AS p FROM canon c LEFT JOIN trans t USING (session_id, idx))) GROUP BY session_id, g)""" for m, e in (("gap6", "delta_t_ms >= 21600000"), ("gap24", "delta_t_ms >= 86400000"), ("app", "application_changed"))))
-def _(s, d):
-    flags = trans(s, d).select("session_id", "idx", b.gap_at_least(6 * fx.HOUR).alias("gap6"), b.gap_at_least(24 * fx.HOUR).alias("gap24"), F.col("application_changed").alias("app"))
-    return ex.methods_compared(flags, canon(s, d), ["gap6", "gap24", "app"]).withColumn("mean_events", F.round("mean_events", 6)).withColumn("mean_ms", F.round("mean_ms", 3))
+  SELECT session_id, g, count(*) AS n, max(timestamp_ms) - min(timestamp_ms) AS ms FROM (SELECT *, coalesce(sum(CAST(p AS INTEGER)) OVER (PARTITION BY session_id ORDER BY idx), 0) AS g FROM (SELECT session_id, idx, timestamp_ms, lag({E06_SQL[m]}) OVER (PARTITION BY session_id ORDER BY idx) AS p FROM ({E06_ROWS}))) GROUP BY session_id, g)""" for m in E06))
+def _(s, d):
+    t, events = trans(s, d), canon(s, d)
+    cuts_at = t.agg(F.percentile("delta_t_ms", F.array(F.lit(0.9), F.lit(0.95), F.lit(0.99))).alias("p")).select(*(F.col("p")[i].alias(n) for i, n in enumerate(("p90", "p95", "p99"))))
+    both = t.join(b.system_change(events).withColumnRenamed("boundary", "system_cut"), ["session_id", "idx"]).crossJoin(F.broadcast(cuts_at))  # one row
+    at_least = lambda c: F.col("delta_t_ms") >= F.col(c)
+    methods = {
+        **{f"gap{h}": b.gap_at_least(h * fx.HOUR) for h in (6, 12, 24)},
+        **{n: at_least(n) for n in ("p90", "p95", "p99")},
+        "app": F.col("application_changed"),
+        "system": F.col("system_cut"),
+        "pause_and_change": b.pause_and_change(HALF_DAY),
+        "two_thresholds": b.two_thresholds(6 * fx.HOUR, 24 * fx.HOUR),
+    }
+    flags = both.select("session_id", "idx", *(c.alias(n) for n, c in methods.items()))
+    return ex.methods_compared(flags, events, list(E06)).withColumn("mean_events", F.round("mean_events", 6)).withColumn("mean_ms", F.round("mean_ms", 3))
 
 
 @plan("e07_coherence", """SELECT session_id, seg_no, n, ms, nn AS next_n, nms AS next_ms, round(least(r, nr) / greatest(r, nr), 9) AS rate_ratio, round(len(list_intersect(t, nt)) / nullif(len(list_distinct(list_concat(t, nt))), 0), 9) AS types_jaccard
