@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worktrace.functions import scalar
@@ -142,3 +142,12 @@ def debounced_counts(events: DataFrame, lasting: Sequence[int]) -> DataFrame:
         part = debounced_change(events, k).agg(F.count_if("boundary").alias("n_cuts")).select(F.lit(k).alias("k"), "n_cuts")
         out = part if out is None else out.unionAll(part)
     return out
+
+
+def motifs(events: DataFrame, least: int) -> DataFrame:
+    """For each session the application hops (a, b) of its own that the other sessions make at least so often: total less own."""
+    w = Window.partitionBy("session_id").orderBy("idx")
+    hops = events.select("session_id", F.col("application").alias("a"), F.lead("application").over(w).alias("b")).where("a <> b")
+    own = hops.groupBy("session_id", "a", "b").agg(F.count("*").alias("own"))
+    total = own.groupBy("a", "b").agg(F.sum("own").alias("total"))
+    return own.join(total, ["a", "b"]).select("session_id", "a", "b", (F.col("total") - F.col("own")).alias("n_elsewhere")).where(F.col("n_elsewhere") >= least)

@@ -141,3 +141,35 @@ def executions_of(events: DataFrame, cuts: DataFrame, noise_apps: Sequence[str],
     """(executions with dominant_context, segmented events)."""
     segmented = segments(events, cuts)
     return executions(segmented, noise_apps).join(dominant_context(segmented, suffixes), list(SEG)), segmented
+
+
+def with_neighbour(segmented: DataFrame) -> DataFrame:
+    """Events of each segment and the next one as one merged segment, by the first one's seg_no: an event counts in two."""
+    last = F.max("seg_no").over(Window.partitionBy("session_id"))
+    both = segmented.withColumn("_last", last).withColumn("seg_no", F.explode(F.array(F.col("seg_no") - 1, F.col("seg_no"))))
+    return both.where("seg_no >= 0 AND seg_no < _last").drop("_last")
+
+
+def split_gaps(segmented: DataFrame, parts: Sequence[str] = ("switch_rate", "gap_cv", "type_entropy")) -> DataFrame:
+    """For each cut between a segment and the next: cost of the merged segment less the costs of both, where a cost is the sum of
+    its parts' z-values over all segments (a missing part is average)."""
+    own = costs(segmented)
+    stats = own.agg(*(x for c in parts for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"d_{c}"))))
+
+    def z(df: DataFrame) -> DataFrame:
+        total = sum((F.coalesce(F.try_divide(F.col(c) - F.col(f"m_{c}"), F.col(f"d_{c}")), F.lit(0.0)) for c in parts), F.lit(0.0))
+        return df.crossJoin(F.broadcast(stats)).select(*SEG, total.alias("z"))  # one row
+
+    after = Window.partitionBy("session_id").orderBy("seg_no")
+    halves = z(own).select(*SEG, (F.col("z") + F.lead("z").over(after)).alias("split_z")).where("split_z IS NOT NULL")
+    return z(costs(with_neighbour(segmented))).withColumnRenamed("z", "merged_z").join(halves, list(SEG)).withColumn("gap", F.col("merged_z") - F.col("split_z"))
+
+
+def around_points(points: DataFrame, executions_: DataFrame) -> DataFrame:
+    """Each point (point_id, session_id, at_ms) with the execution that holds it, the last one that ended before it and the first one
+    that starts after it; points are a sample of a stated size, so they are what is broadcast."""
+    both = executions_.join(F.broadcast(points.select("point_id", "session_id", "at_ms")), "session_id")
+    holds = F.col("at_ms").between(F.col("start_ms"), F.col("end_ms"))
+    pick = lambda f, c, name: f(F.when(c, F.col("execution_id")), F.when(c, F.col("start_ms"))).alias(name)
+    found = both.groupBy("point_id").agg(pick(F.min_by, holds, "inside_id"), pick(F.max_by, F.col("end_ms") < F.col("at_ms"), "before_id"), pick(F.min_by, F.col("start_ms") > F.col("at_ms"), "after_id"))
+    return points.join(found, "point_id", "left")

@@ -57,6 +57,35 @@ def held_out_scores(rows: DataFrame, columns: Sequence[str], label: str, group:
     return out
 
 
+def fitted(rows: DataFrame, columns: Sequence[str], label: str, cost: float = 1.0) -> tuple[DataFrame, list[float]]:
+    """(standardised rows, coefficients in the columns' order) of one balanced logistic regression over all rows."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    ready = standardised(rows, columns)
+    known = ready.where(F.col(label).isNotNull()).withColumn("y", F.col(label).cast("double"))
+    n = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    if len(n) < 2:
+        return ready, [0.0] * len(columns)
+    total = sum(n.values())
+    weighted = VectorAssembler(inputCols=list(columns), outputCol="features").transform(known).withColumn("w", F.when(F.col("y") == 1, total / (2 * n[1.0])).otherwise(total / (2 * n[0.0])))
+    model = LogisticRegression(featuresCol="features", labelCol="y", weightCol="w", regParam=1 / (cost * total), standardization=False, maxIter=100, tol=1e-9).fit(weighted)
+    return ready, [float(x) for x in model.coefficients]
+
+
+def importance(rows: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
+    """(feature, coefficient, rank) of the standardised features, largest size first."""
+    _, found = fitted(rows, columns, label)
+    order = sorted(range(len(columns)), key=lambda i: (-abs(found[i]), columns[i]))
+    return rows.sparkSession.createDataFrame([(columns[i], found[i], k + 1) for k, i in enumerate(order)], "feature string, coefficient double, rank int")
+
+
+def contributions(rows: DataFrame, columns: Sequence[str], label: str, keep: Sequence[str]) -> DataFrame:
+    """Each row's part of its score by feature: z-value times coefficient."""
+    ready, found = fitted(rows, columns, label)
+    return ready.select(*keep, *((F.col(c) * F.lit(x)).alias(f"part_{c}") for c, x in zip(columns, found, strict=True)))
+
+
 def operator_baselines(transitions: DataFrame, least: int) -> DataFrame:
     """Median and median absolute deviation of the log gap per operator; the global ones where it has fewer than ``least``
     gaps. Deviation is at least 1e-6. transitions: operator, log1p_delta_t_ms."""

@@ -446,14 +446,21 @@ def _(s, d):
     return b.demote_coherent(b.reconstruct(evidence(s, d), 0.6), F.col("jaccard"), 0.4).select("session_id", "idx", "final")
 
 
-@plan("b20_sampling_points", """SELECT point_id, kind, session_id, at_ms FROM (
+SAMPLED = """SELECT point_id, kind, session_id, at_ms FROM (
   SELECT concat_ws('|', 'boundary', session_id, case_id) AS point_id, 'boundary' AS kind, session_id, CAST(floor((end_ms + n) / 2) AS BIGINT) AS at_ms FROM (SELECT *, lead(start_ms) OVER (PARTITION BY session_id ORDER BY start_ms) AS n FROM gt) WHERE n IS NOT NULL
-  UNION ALL SELECT concat_ws('|', 'control', session_id, case_id), 'control', session_id, CAST(floor((start_ms + end_ms) / 2) AS BIGINT) FROM gt WHERE n_events >= 4) QUALIFY row_number() OVER (PARTITION BY kind ORDER BY md5(concat(point_id, 'seed'))) <= 50""")
-def _(s, d):
+  UNION ALL SELECT concat_ws('|', 'control', session_id, case_id), 'control', session_id, CAST(floor((start_ms + end_ms) / 2) AS BIGINT) FROM gt WHERE n_events >= 4) QUALIFY row_number() OVER (PARTITION BY kind ORDER BY md5(concat(point_id, 'seed'))) <= 50"""
+
+
+def sampled(s: SparkSession, d: str) -> DataFrame:
     n = cased(s, d).where("case_id IS NOT NULL").groupBy("case_id").agg(F.count("*").alias("n_events"))
     return b.sampling_points(fx.ground_truth(s, d).join(n, "case_id"), 4, 50, "seed")
 
 
+@plan("b20_sampling_points", SAMPLED)
+def _(s, d):
+    return sampled(s, d)
+
+
 @plan("e01_segments", "SELECT session_id, seg_no, min(timestamp_ms) AS start_ms, max(timestamp_ms) AS end_ms, count(*) AS event_count FROM seg GROUP BY ALL")
 def _(s, d):
     return ex.segment_spans(segmented(s, d))
