@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from worktrace.operators.sequence import running_sums
+
 
 def _prf(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
     p, r = F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0)), F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0))
@@ -64,8 +66,9 @@ def score_curve(scored: DataFrame, truth: str, score: str) -> DataFrame:
     """tp, fp, fn and f1 at each distinct score taken as threshold (score >= threshold): cumulative counts over the
     aggregated scores."""
     each = scored.groupBy(F.col(score).alias("threshold")).agg(F.count_if(truth).alias("pos"), F.count_if(~F.col(truth)).alias("neg"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    out = each.select("threshold", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), (F.sum("pos").over(Window.partitionBy()) - F.sum("pos").over(down)).alias("fn"))
+    total = each.agg(F.sum("pos").alias("all_pos"))
+    summed = running_sums(each, (), "threshold", {"tp": "pos", "fp": "neg"}, descending=True)
+    out = summed.crossJoin(F.broadcast(total)).select("threshold", "tp", "fp", (F.col("all_pos") - F.col("tp")).alias("fn"))  # one row
     return out.withColumns(_prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
@@ -89,8 +92,7 @@ def auc(values: DataFrame, value: str, truth: str, by: Sequence[str] = ()) -> Da
     """ROC-AUC of a raw value by Mann-Whitney on distinct values; null if one side is empty or the value constant."""
     known = values.where(F.col(value).isNotNull())
     each = known.groupBy(*by, value).agg(F.count_if(truth).alias("pos"), F.count_if(~F.col(truth)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = each.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2))
+    wins = running_sums(each, by, value, {"below": "neg"}, own=False).withColumn("wins", F.col("pos") * (F.col("below") + F.col("neg") / 2))
     out = wins.groupBy(*by).agg(F.sum("wins").alias("w"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.count("*").alias("k"))
     return out.withColumn("auc", F.when(F.col("k") > 1, F.try_divide("w", F.col("n_pos") * F.col("n_neg")))).drop("w", "k")
 
@@ -105,12 +107,12 @@ def direction_consistency(values: DataFrame, value: str, truth: str) -> DataFram
 
 def nearest_rank(rows: DataFrame, value: str, parts: Sequence[float], by: Sequence[str]) -> DataFrame:
     """n, mean, population deviation, minimum, maximum and nearest-rank percentiles sorted[min(int(n p), n - 1)] of each key."""
-    w = Window.partitionBy(*by)
-    placed = rows.where(F.col(value).isNotNull()).withColumns({"_r": F.row_number().over(w.orderBy(value)) - 1, "_n": F.count("*").over(w)})
-    at = lambda p: F.max(F.when(F.col("_r") == F.least(F.floor(F.col("_n") * p), F.col("_n") - 1), F.col(value)))
-    return placed.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_pop(value).alias("deviation"), F.min(value).alias("low"), F.max(value).alias("high"), *(at(p).alias(f"p{round(100 * p)}") for p in parts)
-    )
+    known = rows.where(F.col(value).isNotNull())
+    each = known.groupBy(*by, value).agg(F.count("*").alias("_c"))
+    whole = known.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_pop(value).alias("deviation"), F.min(value).alias("low"), F.max(value).alias("high"))
+    placed = running_sums(each, by, value, {"_r": "_c"}).join(whole.select(*by, "n"), list(by))
+    at = lambda p: F.min(F.when(F.col("_r") > F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col(value)))
+    return whole.join(placed.groupBy(*by).agg(*(at(p).alias(f"p{round(100 * p)}") for p in parts)), list(by))
 
 
 def compared(base: DataFrame, candidate: DataFrame, metric: str, margin: float) -> DataFrame:

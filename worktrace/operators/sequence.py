@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -216,12 +216,40 @@ def surrounding(events: DataFrame, spans: DataFrame) -> DataFrame:
     )
 
 
-def numbered(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """With each row's place from 1 on in the global order: ranges are numbered by themselves and the rows of the ranges before
-    are added, so that no task sees more than its range. order: columns that hold no tie."""
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    own = Window.partitionBy("_part").orderBy(*order)
-    placed = ranged.withColumn("_n", F.row_number().over(own))
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")  # one row a range
-    return placed.join(F.broadcast(before), "_part").withColumn(name, (F.col("_n") + F.col("_before")).cast("long")).drop("_part", "_n", "_before")
+def running_sums(rows: DataFrame, by: Sequence[str], order: str, sums: Mapping[str, str], descending: bool = False, own: bool = True) -> DataFrame:
+    """With the running sum of each column (new name -> column) over a number's order, within keys; with ``own`` the row itself counts.
+
+    No task sees a key's whole order: values go to steps of their logarithm, each step is summed by itself, and the sums of the
+    steps before (some thousands a key at most) are added. Nulls come first."""
+    v = F.col(order).cast("double")
+    rows = rows.withColumn("_b", F.floor(F.signum(v) * F.log2(1 + F.abs(v)) * 64))
+    turn = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
+    inside = Window.partitionBy(*by, "_b").orderBy(turn(order)).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    earlier = Window.partitionBy(*by).orderBy(turn("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    steps = rows.groupBy(*by, "_b").agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()))
+    steps = steps.select(*by, F.col("_b").alias("_step"), *(F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_p_{n}") for n in sums))
+    local = rows.withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
+    keys = [f"_k_{k}" for k in by]
+    steps = steps.withColumnsRenamed(dict(zip(by, keys, strict=True)))
+    same = F.col("_b").eqNullSafe(F.col("_step"))
+    for k, other in zip(by, keys, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(other))
+    joined = local.join(steps, same)
+    return joined.withColumns({n: F.col(n) + F.col(f"_p_{n}") for n in sums}).drop("_b", "_step", *keys, *(f"_p_{n}" for n in sums))
+
+
+#: Letters of a key by which its order is cut into pieces.
+_PREFIX = 4
+
+
+def numbered(rows: DataFrame, key: str, rest: Sequence[str], name: str) -> DataFrame:
+    """With each row's place from 1 on in the global order by (key, rest): a row's place in its key, the keys before it that begin
+    with the same letters, and the rows of all earlier beginnings. No task sees more than one key or one beginning's keys."""
+    start = F.substring(key, 1, _PREFIX)
+    keys = rows.groupBy(key).agg(F.count("*").alias("_n")).withColumn("_s", start)
+    firsts = keys.groupBy("_s").agg(F.sum("_n").alias("_t"))
+    firsts = firsts.select("_s", F.coalesce(F.sum("_t").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_p"))  # one row a beginning
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_s").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    keys = keys.join(firsts, "_s").select(key, (before + F.col("_p")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(key).orderBy(*rest))
+    return rows.join(keys, key).withColumn(name, (own + F.col("_before")).cast("long")).drop("_before")

@@ -364,7 +364,7 @@ def _(s, d):
     from worktrace.operators import executions as ex
 
     rows = ex.segment_spans(base.segmented(s, d)).where("event_count > 3")
-    return sq.numbered(rows.select("session_id", "seg_no"), ["session_id", "seg_no"], "place")
+    return sq.numbered(rows.select("session_id", "seg_no"), "session_id", ["seg_no"], "place")
 
 
 @plan("k02_top_k", "SELECT operator, application, n FROM (SELECT operator, application, count(*) AS n FROM canon WHERE application IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY operator ORDER BY n DESC, application) <= 2")

@@ -11,6 +11,7 @@ from worktrace.operators import discovery as dc
 from worktrace.operators import evaluation as ev
 from worktrace.operators import executions as ex
 from worktrace.operators import joins as jn
+from worktrace.operators import learning as ln
 from worktrace.operators import scoring as sc
 from worktrace.operators import sequence as sq
 from worktrace.plans import sequences as base
@@ -481,12 +482,27 @@ def _(s, d):
     return _r(ev.auc(base.labelled(s, d), "delta_t_ms", "is_boundary"), "auc").select("n_pos", "n_neg", "auc")
 
 
-FEATS = ("delta_t_ms", "density_before", "density_after")
+#: 35 features: nine of the transition, eight of the windows of 3, 5 and 10 events, two forms of the gap.
+WINDOWED = ("types_jaccard", "apps_jaccard", "domains_jaccard", "duration_before", "duration_after", "text_before", "text_after", "before_share")
+FEATS = (*ln.FIRST, *(f"{c}_{n}" for n in (3, 5, 10) for c in WINDOWED), "delta_t_ms", "gap_to_median")
 
 
-@plan("v09_feature_aucs", "SELECT feature, n_pos, n_neg, round(u / (n_pos * n_neg), 9) AS auc FROM (SELECT feature, sum(pos * (below + neg / 2)) AS u, CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY feature ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT feature, v, count(*) FILTER (is_boundary) AS pos, count(*) FILTER (NOT is_boundary) AS neg FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS v, is_boundary FROM labelled" for f in FEATS) + ") GROUP BY 1, 2)) GROUP BY 1)")
+def _win_sql(n: int) -> str:
+    found = sql("SELECT session_id, idx, * EXCLUDE (session_id, idx), duration_before / nullif(duration_before + duration_after, 0) AS before_share FROM traj")
+    return found.replace("4 FOLLOWING", f"{n - 1} FOLLOWING").replace("4 PRECEDING", f"{n - 1} PRECEDING")
+
+
+FEAT_ROWS = "SELECT l.*, delta_t_ms / nullif(median(delta_t_ms) OVER (PARTITION BY l.session_id), 0) AS gap_to_median, " + ", ".join(f"w{n}.{c} AS {c}_{n}" for n in (3, 5, 10) for c in WINDOWED) + " FROM labelled l " + " ".join(f"JOIN ({_win_sql(n)}) w{n} ON w{n}.session_id = l.session_id AND w{n}.idx = l.idx" for n in (3, 5, 10))
+
+
+@plan("v09_feature_aucs", "SELECT feature, n_pos, n_neg, CASE WHEN k > 1 THEN round(u / nullif(n_pos * n_neg, 0), 9) END AS auc FROM (SELECT feature, sum(pos * (below + neg / 2)) AS u, CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg, count(*) AS k FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY feature ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT feature, v, count(*) FILTER (is_boundary) AS pos, count(*) FILTER (NOT is_boundary) AS neg FROM (SELECT is_boundary, unnest([" + ", ".join(f"{{'feature': '{f}', 'v': round(CAST({f} AS DOUBLE), 9)}}" for f in FEATS) + f"], recursive := true) FROM ({FEAT_ROWS})) WHERE v IS NOT NULL GROUP BY 1, 2)) GROUP BY 1)")
 def _(s, d):
-    long = base.labelled(s, d).select("is_boundary", *FEATS).unpivot(["is_boundary"], list(FEATS), "feature", "v")
+    events, t = base.canon(s, d), base.labelled(s, d)
+    for n in (3, 5, 10):
+        w = sq.trajectories(sq.windows(events, n)).withColumn("before_share", F.try_divide("duration_before", F.col("duration_before") + F.col("duration_after")))
+        t = t.join(w.select("session_id", "idx", *(F.col(c).alias(f"{c}_{n}") for c in WINDOWED)), ["session_id", "idx"])
+    t = t.withColumn("gap_to_median", F.try_divide("delta_t_ms", F.median("delta_t_ms").over(Window.partitionBy("session_id"))))
+    long = t.select("is_boundary", *(F.round(F.col(f).cast("double"), 9).alias(f) for f in FEATS)).unpivot(["is_boundary"], list(FEATS), "feature", "v")
     return _r(ev.auc(long, "v", "is_boundary", ["feature"]), "auc").select("feature", "n_pos", "n_neg", "auc")
 
 
