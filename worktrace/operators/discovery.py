@@ -119,14 +119,28 @@ def classify(rows: DataFrame) -> DataFrame:
     return rows.join(top, "process_id").withColumn("path_class", kind).drop("dominant")
 
 
-def route(rows: DataFrame, allowed: list[str], most_ms: int) -> DataFrame:
-    """Automation routing: the first reason that applies; refused unless eligible."""
+def routed(rows: DataFrame, allowed: list[str], most_ms: int) -> DataFrame:
+    """With the automation routing of each execution: the first reason that applies; refused unless eligible."""
     systems = F.split("signature", ">")
     known = F.array(*map(F.lit, allowed))
     reason = (
         F.when(F.col("signature") == "", "no_evidence").when(F.size(F.array_except(systems, known)) > 0, "unknown_system").when(F.col("duration_ms") > most_ms, "too_long").when(F.size(systems) > 3, "too_many_steps").otherwise("eligible")
     )
-    return rows.withColumn("reason", reason).groupBy("reason").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("ms"))
+    return rows.withColumn("reason", reason)
+
+
+def route(rows: DataFrame, allowed: list[str], most_ms: int) -> DataFrame:
+    return routed(rows, allowed, most_ms).groupBy("reason").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("ms"))
+
+
+def top_aspects(events: DataFrame, keys: list[str], aspects: dict[str, tuple[str, str]], most: int) -> DataFrame:
+    """(keys, aspect, value, n): the most frequent values of each aspect (condition, value). An event is counted into its aspects in
+    one pass; only the counts are ranked."""
+    cells = F.array(*(F.when(F.expr(c), F.struct(F.lit(a).alias("aspect"), F.expr(v).alias("value"))) for a, (c, v) in aspects.items()))
+    long = events.select(*keys, F.explode(F.array_compact(cells)).alias("x")).select(*keys, "x.aspect", "x.value").where("value IS NOT NULL")
+    counted = long.groupBy(*keys, "aspect", "value").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy(*keys, "aspect").orderBy(F.desc("n"), "value"))
+    return counted.withColumn("_r", place).where(F.col("_r") <= most).drop("_r")
 
 
 def summary(rows: DataFrame, step_rows: DataFrame, top: int) -> DataFrame:

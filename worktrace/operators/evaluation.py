@@ -137,3 +137,43 @@ def held_out_choice(counts: DataFrame) -> DataFrame:
     rest = counts.select("session_id", "param", *((F.sum(c).over(w) - F.col(c)).alias(c) for c in ("tp", "fp", "fn"))).withColumns(_prf(F.col("tp"), F.col("fp"), F.col("fn")))
     rank = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc(F.round("f1", 12)), "param"))
     return rest.withColumn("_r", rank).where("_r = 1").select("session_id", "param", "f1")
+
+
+def extremes(rows: DataFrame, value: str, k: int) -> DataFrame:
+    """The k sessions with the highest and the k with the lowest value: (side, session_id, value, place). Each end is a top-k, so
+    partitions send k rows each."""
+    parts = []
+    for side, order in (("best", F.desc(value)), ("worst", F.asc(value))):
+        top = rows.orderBy(order, "session_id").limit(k)
+        parts.append(top.select(F.lit(side).alias("side"), "session_id", value, F.row_number().over(Window.orderBy(order, "session_id")).alias("place")))  # k rows
+    return parts[0].unionByName(parts[1])
+
+
+def gain_survival(gains: DataFrame, top: int, margin: float = 0.01) -> DataFrame:
+    """gains(session_id, operator, gain): the mean gain, without the ``top`` sessions that gain most, the mean over operators without
+    the one that gains most, and the part of sessions that lose more than the margin."""
+    first = gains.orderBy(F.desc(F.round("gain", 9)), "session_id").limit(top).agg(F.sum("gain").alias("top_sum"), F.count("*").alias("top_n"))
+    whole = gains.agg(F.count("*").alias("n_sessions"), F.sum("gain").alias("total"), F.avg((F.col("gain") < -margin).cast("double")).alias("degraded"))
+    people = gains.groupBy("operator").agg(F.avg("gain").alias("g"))
+    best = people.orderBy(F.desc(F.round("g", 9)), "operator").limit(1).select(F.col("operator").alias("best"))
+    others = people.join(best, people["operator"] == best["best"], "left_anti").agg(F.avg("g").alias("without_best_operator"))
+    one = whole.crossJoin(first).crossJoin(others)  # one row each
+    return one.select("n_sessions", F.try_divide("total", "n_sessions").alias("mean_gain"), F.try_divide(F.col("total") - F.col("top_sum"), F.col("n_sessions") - F.col("top_n")).alias("without_top_three"), "without_best_operator", "degraded")
+
+
+def gates(one: DataFrame, caps: Mapping[str, float]) -> DataFrame:
+    """The eight promotion gates g1 .. g8 of one row of figures, and whether all hold."""
+    checks = {
+        "g1": F.col("new_f1") - F.col("old_f1") >= caps["least_gain"],
+        "g2": F.col("new_recall") >= caps["least_recall"],
+        "g3": F.col("new_pct_fragmented") <= F.col("old_pct_fragmented") + caps["more_fragmented"],
+        "g4": F.col("new_under_rate") <= F.col("old_under_rate") * caps["times_under"],
+        "g5": F.col("new_over_rate") <= F.col("old_over_rate") * caps["times_over"],
+        "g6": F.col("degraded") <= caps["most_degraded"],
+        "g7": F.col("without_top_three") > 0,
+        "g8": F.col("without_best_operator") > 0,
+    }
+    every = F.lit(True)
+    for c in checks:
+        every = every & F.col(c)
+    return one.select(*(c.alias(n) for n, c in checks.items())).withColumn("promoted", every)

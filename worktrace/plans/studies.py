@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from worktrace import fixtures as fx
 from worktrace.operators import boundary as b
 from worktrace.operators import discovery as dc
+from worktrace.operators import evaluation as ev
 from worktrace.operators import executions as ex
+from worktrace.operators import joins as jn
 from worktrace.operators import learning as ln
+from worktrace.operators import sequence as sq
 from worktrace.plans import audits, models, processes
 from worktrace.plans import sequences as base
 from worktrace.plans.oracle import sql
@@ -172,3 +175,145 @@ def _(s, d):
 def _(s, d):
     found = st.quality_counters(base.canon(s, d).withColumn("at", F.timestamp_millis("timestamp_ms")), "at", "1 day")
     return found.select(F.unix_millis("start").alias("start_ms"), "n", "no_app", F.round("coverage", 9).alias("coverage"))
+
+
+# promotion of a candidate detector over the one in use
+
+
+#: Gates of a promotion: least gain of F1 and recall; what may be added to, or times, the figures of the detector in use. Fixed values.
+GATES = {"least_gain": 0.02, "least_recall": 0.55, "more_fragmented": 2.0, "times_under": 2.0, "times_over": 1.25, "most_degraded": 0.4}
+IN_USE, CANDIDATE = "(delta_t_ms > 43200000)", "(delta_t_ms > 21600000 OR application_changed)"
+GAINS = f"SELECT session_id, x.f1 AS a, y.f1 AS b, y.f1 - x.f1 AS gain, operator FROM ({processes.SF1.format(prf=processes.PRF, x=IN_USE)}) x JOIN ({processes.SF1.format(prf=processes.PRF, x=CANDIDATE)}) y USING (session_id) JOIN (SELECT DISTINCT session_id, operator FROM canon) USING (session_id)"
+
+
+def _flagged(s: SparkSession, d: str) -> DataFrame:
+    wider = b.pause(6 * fx.HOUR) | F.col("application_changed")
+    return base.labelled(s, d).withColumns({"in_use": b.pause(base.HALF_DAY), "candidate": wider})
+
+
+def _gains(s: SparkSession, d: str) -> DataFrame:
+    rows, who = _flagged(s, d), base.canon(s, d).select("session_id", "operator").distinct()
+    per = lambda c, n: ev.boundary_metrics(rows, "is_boundary", c, ["session_id"]).where("session_id IS NOT NULL").select("session_id", F.col("f1").alias(n))
+    return per("in_use", "a").join(per("candidate", "b"), "session_id").join(who, "session_id").withColumn("gain", F.col("b") - F.col("a"))
+
+
+@plan("v12_extreme_sessions", f"SELECT * FROM (SELECT 'best' AS side, session_id, round(gain, 9) AS gain, row_number() OVER (ORDER BY round(gain, 9) DESC, session_id) AS place FROM ({GAINS}) UNION ALL SELECT 'worst', session_id, round(gain, 9), row_number() OVER (ORDER BY round(gain, 9), session_id) FROM ({GAINS})) WHERE place <= 5")
+def _(s, d):
+    """The five sessions that gain most and the five that lose most."""
+    return ev.extremes(_gains(s, d).withColumn("gain", F.round("gain", 9)), "gain", 5)
+
+
+SURVIVAL = f"SELECT count(*) AS n_sessions, round(avg(gain), 9) AS mean_gain, round(avg(gain) FILTER (place > 3), 9) AS without_top_three, round((SELECT avg(g) FROM (SELECT avg(gain) AS g, row_number() OVER (ORDER BY round(avg(gain), 9) DESC, operator) AS place FROM ({GAINS}) GROUP BY operator) WHERE place > 1), 9) AS without_best_operator, round(avg(CAST(gain < -0.01 AS INTEGER)), 9) AS degraded FROM (SELECT *, row_number() OVER (ORDER BY round(gain, 9) DESC, session_id) AS place FROM ({GAINS}))"
+
+
+@plan("v13_gain_survival", SURVIVAL)
+def _(s, d):
+    """Mean gain of F1, without the three sessions that gain most, and over operators without the one that gains most."""
+    return ev.gain_survival(_gains(s, d), 3).withColumns({c: F.round(c, 9) for c in ("mean_gain", "without_top_three", "without_best_operator", "degraded")})
+
+
+CUT_BY = "SELECT session_id, g AS seg_no, min(timestamp_ms) AS start_ms, max(timestamp_ms) AS end_ms FROM (SELECT *, coalesce(sum(CAST(p AS INTEGER)) OVER (PARTITION BY session_id ORDER BY idx), 0) AS g FROM (SELECT c.session_id, c.idx, c.timestamp_ms, lag({x}) OVER (PARTITION BY c.session_id ORDER BY c.idx) AS p FROM canon c LEFT JOIN trans t USING (session_id, idx))) GROUP BY 1, 2"
+OVER_BY = "SELECT s.session_id, s.seg_no, g.case_id FROM ({spans}) s JOIN gt g ON s.session_id = g.session_id AND s.start_ms < g.end_ms AND g.start_ms < s.end_ms"
+
+
+def _segmentation_sql(x: str) -> str:
+    spans = CUT_BY.format(x=x)
+    over = OVER_BY.format(spans=spans)
+    m = processes.EM.format(k="", g="").replace("FROM over", f"FROM ({over})")
+    n = processes.ES.format(k="", g="").replace("FROM over", f"FROM ({over})").replace("FROM spans s", f"FROM ({spans}) s")
+    return f"SELECT *, {processes.RATES} FROM ({m}), ({n})"
+
+
+def _pooled_sql(x: str) -> str:
+    return f"SELECT r, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM (SELECT {processes.PRF} FROM (SELECT count(*) FILTER (is_boundary AND {x}) AS tp, count(*) FILTER (NOT is_boundary AND {x}) AS fp, count(*) FILTER (is_boundary AND NOT {x}) AS fn FROM labelled))"
+
+
+@plan("v14_eight_gates", f"SELECT *, g1 AND g2 AND g3 AND g4 AND g5 AND g6 AND g7 AND g8 AS promoted FROM (SELECT c.f1 - a.f1 >= {GATES['least_gain']} AS g1, c.r >= {GATES['least_recall']} AS g2, n.pct_fragmented <= o.pct_fragmented + {GATES['more_fragmented']} AS g3, n.under_rate <= o.under_rate * {GATES['times_under']} AS g4, n.over_rate <= o.over_rate * {GATES['times_over']} AS g5, degraded <= {GATES['most_degraded']} AS g6, without_top_three > 0 AS g7, without_best_operator > 0 AS g8 FROM ({_pooled_sql(IN_USE)}) a, ({_pooled_sql(CANDIDATE)}) c, ({_segmentation_sql(IN_USE)}) o, ({_segmentation_sql(CANDIDATE)}) n, ({SURVIVAL}))")
+def _(s, d):
+    """Gain of F1, recall, fragmentation, under- and over-segmentation, degraded sessions, and whether the gain survives without its
+    best sessions and without its best operator."""
+    rows, gt = _flagged(s, d), fx.ground_truth(s, d)
+    figures = ("pct_fragmented", "under_rate", "over_rate")
+
+    def segmentation(c: str, name: str) -> DataFrame:
+        spans = ex.segment_spans(sq.segments(base.canon(s, d), rows.select("session_id", "idx", F.col(c).alias("boundary"))))
+        found = ev.execution_metrics(spans, gt, jn.overlaps(spans, gt, 30 * 24 * fx.HOUR))
+        return found.select(*(F.col(f).alias(f"{name}_{f}") for f in figures))
+
+    pooled = lambda c, n: ev.boundary_metrics(rows, "is_boundary", c).select(F.col("f1").alias(f"{n}_f1"), F.col("recall").alias(f"{n}_recall"))
+    one = pooled("in_use", "old")
+    for part in (pooled("candidate", "new"), segmentation("in_use", "old"), segmentation("candidate", "new"), ev.gain_survival(_gains(s, d), 3)):
+        one = one.crossJoin(part)  # one row each
+    return ev.gates(one, GATES)
+
+
+# what happens on the paths of a process
+
+
+def _classed(s: SparkSession, d: str) -> DataFrame:
+    """Events with the process and the path class of their execution, and the applications before and after it."""
+    classes = dc.classify(processes.rows(s, d)).select("session_id", "seg_no", "process_id", "path_class", "duration_ms")
+    w = sq.ordered()
+    events = base.segmented(s, d).withColumns({"app_before": F.lag("application").over(w), "app_after": F.lead("application").over(w), "edge_before": F.lag("seg_no").over(w) != F.col("seg_no"), "edge_after": F.lead("seg_no").over(w) != F.col("seg_no")})
+    own = sq.ordered("session_id", "seg_no")
+    events = events.withColumns({"entry": F.lag("idx").over(own).isNull(), "exit": F.lead("idx").over(own).isNull()})
+    return events.join(classes, ["session_id", "seg_no"])
+
+
+CLASSED = f"SELECT e.*, lag(idx) OVER o IS NULL AS entry, lead(idx) OVER o IS NULL AS exit, process_id, path_class, duration_ms FROM (SELECT *, lag(application) OVER w AS app_before, lead(application) OVER w AS app_after, lag(seg_no) OVER w <> seg_no AS edge_before, lead(seg_no) OVER w <> seg_no AS edge_after FROM seg WINDOW w AS (PARTITION BY session_id ORDER BY idx)) e JOIN (SELECT session_id, seg_no, dominant_context AS process_id, duration_ms, CASE WHEN signature = dominant THEN 'dominant' WHEN list_has_all(string_split(signature, '>'), string_split(dominant, '>')) THEN 'detour' ELSE 'other' END AS path_class FROM ex JOIN ({processes.TOP}) t ON t.process_id = ex.dominant_context) c USING (session_id, seg_no) WINDOW o AS (PARTITION BY e.session_id, e.seg_no ORDER BY idx)"
+#: Aspect: (condition, value), the same in both languages.
+FORENSICS = {
+    "event_type": ("true", "event_type"),
+    "click_target": ("event_type = 'click'", "application"),
+    "field": ("interaction_category = 'input'", "window_title"),
+    "input_method": ("interaction_category IN ('input', 'clipboard')", "event_type"),
+    "route": ("browser_url IS NOT NULL", "substring(browser_url, 23, 9)"),
+    "entry_type": ("entry", "event_type"),
+    "exit_type": ("exit", "event_type"),
+    "app_before": ("entry AND edge_before", "app_before"),
+    "app_after": ("exit AND edge_after", "app_after"),
+    "detour_document": ("path_class = 'detour'", "window_title"),
+}
+
+
+@plan("p14_path_forensics", "SELECT path_class, aspect, value, n FROM (SELECT *, row_number() OVER (PARTITION BY path_class, aspect ORDER BY n DESC, value) AS place FROM (" + " UNION ALL ".join(f"SELECT path_class, '{a}' AS aspect, {v} AS value, count(*) AS n FROM ({CLASSED}) WHERE {c} AND {v} IS NOT NULL GROUP BY 1, 3" for a, (c, v) in FORENSICS.items()) + ")) WHERE place <= 20")
+def _(s, d):
+    """The twenty most frequent values of each aspect by path class, from one pass."""
+    return dc.top_aspects(_classed(s, d), ["path_class"], FORENSICS, 20)
+
+
+#: Aspects of a process summary and profile.
+SUMMARY = {"application": ("true", "application"), "system": ("true", "system"), "category": ("true", "interaction_category"), "event_type": ("true", "event_type")}
+SPREAD = {"operator": ("entry", "operator"), "category": ("true", "interaction_category"), "day": ("entry", "chunk_id"), "path_class": ("entry", "path_class")}
+
+
+def _aspects_sql(aspects: dict, most: int) -> str:
+    return "SELECT process_id, aspect, value, n FROM (SELECT *, row_number() OVER (PARTITION BY process_id, aspect ORDER BY n DESC, value) AS place FROM (" + " UNION ALL ".join(f"SELECT process_id, '{a}' AS aspect, {v} AS value, count(*) AS n FROM ({CLASSED}) WHERE {c} AND {v} IS NOT NULL GROUP BY 1, 3" for a, (c, v) in aspects.items()) + f")) WHERE place <= {most}"
+
+
+@plan("p16_top_values", _aspects_sql(SUMMARY, 5))
+def _(s, d):
+    return dc.top_aspects(_classed(s, d), ["process_id"], SUMMARY, 5)
+
+
+@plan("p06_distributions", _aspects_sql(SPREAD, 1_000_000))
+def _(s, d):
+    """Executions by operator, day and path class, and events by category, of each process."""
+    return dc.top_aspects(_classed(s, d), ["process_id"], SPREAD, 1_000_000)
+
+
+@plan("p09_process_inputs", f"SELECT process_id, count(DISTINCT operator) AS n_users, string_agg(DISTINCT application, ',' ORDER BY application) AS applications, count(*) FILTER (interaction_category IN ('input', 'pointer', 'clipboard')) AS n_manual, round(sum(CASE WHEN entry THEN duration_ms END) / 3600000.0, 6) AS hours FROM ({CLASSED}) GROUP BY 1")
+def _(s, d):
+    apps = F.concat_ws(",", F.array_sort(F.collect_set("application")))
+    manual = F.col("interaction_category").isin(*fx.MANUAL)
+    return _classed(s, d).groupBy("process_id").agg(F.count_distinct("operator").alias("n_users"), F.nullif(apps, F.lit("")).alias("applications"), F.count_if(manual).alias("n_manual"), F.round(F.sum(F.when(F.col("entry"), F.col("duration_ms"))) / 3_600_000, 6).alias("hours"))
+
+
+KNOWN = ["app:app0", "app:app1", "app:app2", "browser:127.0.0.1:5130", "browser:127.0.0.1:5131"]
+
+
+@plan("p15_coverage", f"SELECT reason, path_class, count(*) AS n, CAST(sum(duration_ms) AS BIGINT) AS ms, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM (SELECT duration_ms, CASE WHEN signature = '' THEN 'no_evidence' WHEN NOT list_has_all({KNOWN}, string_split(signature, '>')) THEN 'unknown_system' WHEN duration_ms > 432000000 THEN 'too_long' WHEN len(string_split(signature, '>')) > 3 THEN 'too_many_steps' ELSE 'eligible' END AS reason, CASE WHEN signature = dominant THEN 'dominant' WHEN list_has_all(string_split(signature, '>'), string_split(dominant, '>')) THEN 'detour' ELSE 'other' END AS path_class FROM ex JOIN ({processes.TOP}) t ON t.process_id = ex.dominant_context) GROUP BY 1, 2")
+def _(s, d):
+    routed = dc.routed(dc.classify(processes.rows(s, d)), KNOWN, 120 * fx.HOUR)
+    out = routed.groupBy("reason", "path_class").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("ms"))
+    return out.withColumn("share", F.round(F.col("n") / F.sum("n").over(sq.Window.partitionBy()), 9))  # few rows
