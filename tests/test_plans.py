@@ -1,4 +1,4 @@
-"""Every registered plan against its DuckDB SQL on the smallest tables; invariants."""
+"""Registered plans against their DuckDB SQL on the smallest tables (FAST: those that take seconds; the driver compares all); invariants."""
 
 import os
 
@@ -38,7 +38,7 @@ def _rows(names, rows):
     return sorted((tuple(_plain(r[i]) for i in order) for r in rows), key=repr)
 
 
-FAST = [n for n in registry.ORACLE if n[0] in "fwjbelk" or n in ("p03_follows", "p05_variants", "s04_opportunity", "s05_pareto", "v01_boundary_metrics", "v02_execution_metrics", "v08_auc", "g01_executions_from_log", "g04_continuity_labels", "q01_missingness", "q16_cleaning", "q20_health", "m06_held_out_choice", "m14_agreement")]
+FAST = [n for n in registry.ORACLE if n[0] in "fwjbelkax" or n in ("v14_eight_gates", "v24_split_gaps", "p18_trace_similarity", "m07_motifs", "p03_follows", "p05_variants", "s04_opportunity", "s05_pareto", "v01_boundary_metrics", "v02_execution_metrics", "v08_auc", "g01_executions_from_log", "g04_continuity_labels", "q01_missingness", "q16_cleaning", "q20_health", "m06_held_out_choice", "m14_agreement")]
 
 
 @pytest.mark.parametrize("name", FAST)
