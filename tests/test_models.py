@@ -104,3 +104,30 @@ def test_sums_over_steps_and_places_equal_plain_ones(spark):
     placed = numbered(spark.createDataFrame(keys, "key string, i long").repartition(4), "key", ["i"], "place").collect()
     assert [(r.key, r.i) for r in sorted(placed, key=lambda r: r.place)] == sorted(keys)
     assert sorted(r.place for r in placed) == list(range(1, 201))
+
+
+def test_long_sessions_are_fitted_in_pieces(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(6 * (k % 2), 0.3, 30) for k in range(10)])
+    rows = spark.createDataFrame([(s, i, float(v)) for s in ("u1", "u2") for i, v in enumerate(x)], "session_id string, idx long, gap double")
+    got = learning.hmm_boundaries(rows, ["gap"], [2], most=100, lead=20).collect()
+    assert sorted((r.session_id, r.idx) for r in got) == [(s, i) for s in ("u1", "u2") for i in range(300)]
+    assert sorted((r.session_id, r.idx) for r in got if r.boundary) == [(s, i) for s in ("u1", "u2") for i in range(30, 300, 30)]
+    spread = learning.pieces(rows.where("session_id = 'u1'"), 100, 20).groupBy("piece", "own").count().collect()
+    assert sorted(map(tuple, spread)) == [(0, True, 100), (1, False, 20), (1, True, 100), (2, False, 20), (2, True, 100), (3, False, 20)]
+
+
+def test_cuts_of_long_sessions_are_optimal_in_each_piece(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(5 * rng.integers(0, 2), 0.5, 7) for _ in range(12)])
+    s, q, n = np.cumsum(x), np.cumsum(x * x), np.arange(1, len(x) + 1)
+    table = [("u", i, float(s[i]), float(q[i]), int(n[i])) for i in range(len(x))]
+    got = sorted(r.place for r in learning.best_cuts(spark.createDataFrame(table, "session_id string, place long, s double, q double, n long"), 2.0, most=25).collect())
+    want = []
+    for a in range(0, len(x), 25):
+        part = x[a : a + 25]
+        best = [(0.0, ())]
+        for j in range(1, len(part) + 1):
+            best.append(min((best[i][0] + ((part[i:j] - part[i:j].mean()) ** 2).sum() + 2.0, (*best[i][1], a + j - 1)) for i in range(j)))
+        want += best[-1][1]
+    assert got == want

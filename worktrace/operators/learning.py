@@ -195,18 +195,30 @@ def _gaussian_hmm(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return states
 
 
-def hmm_boundaries(rows: DataFrame, columns: Sequence[str], states: Sequence[int], rounds: int = 30, seed: int = 7) -> DataFrame:
+def pieces(rows: DataFrame, most: int, lead: int = 0) -> DataFrame:
+    """Rows (session_id, idx, ...) by ``piece`` of ``most`` places of their session, so that a long session spreads over many groups.
+    The last ``lead`` places of a piece stand before the next one too, with ``own`` false there."""
+    at, own = F.floor(F.col("idx") / most), F.lit(True).alias("own")
+    here = F.struct(at.alias("piece"), own)
+    both = F.array(here, F.struct((at + 1).alias("piece"), F.lit(False).alias("own")))
+    spread = F.when(F.col("idx") % most >= most - lead, both).otherwise(F.array(here))
+    return rows.withColumn("_at", F.explode(spread)).select(*rows.columns, "_at.piece", "_at.own")
+
+
+def hmm_boundaries(rows: DataFrame, columns: Sequence[str], states: Sequence[int], rounds: int = 30, seed: int = 7, most: int = 4096, lead: int = 64) -> DataFrame:
     """State changes of a Gaussian HMM per session, for each number of states: (session_id, k, idx, boundary). Sessions and
-    numbers of states are fitted in parallel; one session's transitions are one task's rows."""
+    numbers of states are fitted in parallel. A session of more than ``most`` places is fitted in pieces of that length, each
+    from ``lead`` places before its own ones; the columns are standardised over the whole session."""
     ready = standardised(vectors(rows, columns, ["session_id", "idx"]), columns, ["session_id"])
-    swept = ready.withColumn("k", F.explode(F.array(*map(F.lit, states))))
+    swept = pieces(ready, most, lead).withColumn("k", F.explode(F.array(*map(F.lit, states))))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("idx")
         found = _gaussian_hmm(group[list(columns)].to_numpy(float), int(group["k"].iloc[0]), rounds, seed)
-        return pd.DataFrame({"session_id": group["session_id"], "k": group["k"].astype("int32"), "idx": group["idx"], "boundary": np.concatenate(([False], found[1:] != found[:-1]))})
+        out = pd.DataFrame({"session_id": group["session_id"], "k": group["k"].astype("int32"), "idx": group["idx"], "boundary": np.concatenate(([False], found[1:] != found[:-1]))})
+        return out[group["own"].to_numpy()]
 
-    return swept.groupBy("session_id", "k").applyInPandas(fit, "session_id string, k int, idx long, boundary boolean")
+    return swept.groupBy("session_id", "k", "piece").applyInPandas(fit, "session_id string, k int, idx long, boundary boolean")
 
 
 def _cuts(s: np.ndarray, q: np.ndarray, n: np.ndarray, penalty: float) -> list[int]:
@@ -227,16 +239,19 @@ def _cuts(s: np.ndarray, q: np.ndarray, n: np.ndarray, penalty: float) -> list[i
     return kept[::-1]
 
 
-def best_cuts(candidates: DataFrame, penalty: float) -> DataFrame:
+def best_cuts(candidates: DataFrame, penalty: float, most: int = 16384) -> DataFrame:
     """Optimal choice among candidate cuts: least sum of segment costs plus a penalty per segment. candidates: (session_id, place,
-    value): cumulative sums s and squares q and counts n of the signal up to each candidate place, in order."""
+    value): cumulative sums s and squares q and counts n of the signal up to each candidate place, in order. A session is solved
+    in pieces of ``most`` places; the last candidate of each piece is always a cut, as is a session's last one."""
+    w = Window.partitionBy("session_id").orderBy("place")
+    known = candidates.withColumns({f"{c}0": F.coalesce(F.lag(c).over(w), F.lit(0)).cast("double") for c in ("s", "q", "n")})
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("place")
-        s, q, n = (np.concatenate(([0.0], g[c].to_numpy(float))) for c in ("s", "q", "n"))
-        return g.iloc[[k - 1 for k in _cuts(s, q, n, penalty)]][["session_id", "place"]]
+        s, q, n = (np.concatenate((g[f"{c}0"].to_numpy(float)[:1], g[c].to_numpy(float))) for c in ("s", "q", "n"))
+        return g.iloc[[k - 1 for k in _cuts(s - s[0], q - q[0], n - n[0], penalty)]][["session_id", "place"]]
 
-    return candidates.groupBy("session_id").applyInPandas(solve, "session_id string, place long")
+    return known.withColumn("piece", F.floor(F.col("place") / most)).groupBy("session_id", "piece").applyInPandas(solve, "session_id string, place long")
 
 
 def clusters(rows: DataFrame, columns: Sequence[str], sizes: Sequence[int], keep: Sequence[str], seed: int = 5) -> DataFrame:
