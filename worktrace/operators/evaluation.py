@@ -177,3 +177,43 @@ def gates(one: DataFrame, caps: Mapping[str, float]) -> DataFrame:
     for c in checks:
         every = every & F.col(c)
     return one.select(*(c.alias(n) for n, c in checks.items())).withColumn("promoted", every)
+
+
+def unpivoted(rows: DataFrame, keys: Sequence[str], signals: Sequence[str]) -> DataFrame:
+    """(keys, signal, v): one row a signal, its value as a double; flags as 0 and 1, so that their mean is a rate."""
+    each = F.array(*(F.struct(F.lit(c).alias("signal"), F.col(c).cast("double").alias("v")) for c in signals))
+    return rows.withColumn("_s", F.explode(each)).select(*keys, "_s.signal", "_s.v")
+
+
+def rates(rows: DataFrame, of: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """n and rate of each combination of ``values`` among the rows of its ``of``."""
+    counted = rows.groupBy(*of, *values).agg(F.count("*").alias("n"))
+    return counted.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy(*of)))
+
+
+def most_common(rows: DataFrame, of: Sequence[str], value: str, among: DataFrame, share_of: str, k: int = 15) -> DataFrame:
+    """The k most common values of each ``of`` with n and their rate among all rows of ``share_of`` in ``among``; the lesser value
+    on a tie."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*of, value).agg(F.count("*").alias("n"))
+    first = counted.withColumn("place", F.row_number().over(Window.partitionBy(*of).orderBy(F.desc("n"), value))).where(F.col("place") <= k)
+    whole = among.groupBy(share_of).agg(F.count("*").alias("_all"))
+    return first.join(whole, share_of).withColumn("rate", F.col("n") / F.col("_all")).drop("_all")
+
+
+def concentration(rows: DataFrame, of: str, by: str, top: int = 3) -> DataFrame:
+    """Per ``of``: n, number of ``by``, the share of the largest one and of the ``top`` largest, and the sum of squared shares."""
+    each = rows.groupBy(of, by).agg(F.count("*").alias("c"))
+    whole = each.groupBy(of).agg(F.sum("c").alias("n"), F.count("*").alias("n_groups"), F.max("c").alias("most"), F.sum(F.col("c") * F.col("c")).alias("squares"))
+    largest = each.withColumn("place", F.row_number().over(Window.partitionBy(of).orderBy(F.desc("c"), by))).where(F.col("place") <= top)
+    n = F.col("n")
+    return whole.join(largest.groupBy(of).agg(F.sum("c").alias("head")), of).select(
+        of, "n", "n_groups", (F.col("most") / n).alias("largest_share"), (F.col("head") / n).alias("top_share"), (F.col("squares") / n / n).alias("herfindahl")
+    )
+
+
+def average_precision(values: DataFrame, value: str, truth: str, by: Sequence[str] = ()) -> DataFrame:
+    """Precision at each distinct value taken as threshold, from the highest down, weighted by the share of true rows at it."""
+    each = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count_if(truth).alias("pos"), F.count_if(~F.col(truth)).alias("neg"))
+    summed = running_sums(each, by, value, {"tp": "pos", "fp": "neg"}, descending=True)
+    part = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    return summed.groupBy(*by).agg(F.try_divide(part, F.sum("pos")).alias("average_precision"))

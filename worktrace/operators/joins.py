@@ -88,15 +88,18 @@ def containing_spans(points: DataFrame, spans: DataFrame, at: str) -> DataFrame:
     return seen.select("row.*", "span.case_id", "span.end_ms")
 
 
-def offset_pairs(events: DataFrame, label: str, gaps: list[int], most: int | None = None) -> DataFrame:
-    """Pairs (i, i + gap) of labelled events: all, or at most ``most`` a session: those with the least md5 of their keys."""
-    left = events.where(F.col(label).isNotNull()).select("session_id", F.col("idx").alias("i"), F.col(label).alias("a"), F.explode(F.array(*map(F.lit, gaps))).alias("gap"))
-    right = events.where(F.col(label).isNotNull()).select("session_id", F.col("idx").alias("j"), F.col(label).alias("b"))
+def offset_pairs(events: DataFrame, label: str, gaps: list[int], most: int | None = None, at: str | None = None) -> DataFrame:
+    """Pairs (i, i + gap) of labelled events: all, or at most ``most`` a session: those with the least md5 of their keys. With
+    ``at``, a time, the pair's distance in it is added as ``apart``."""
+    times = [F.col(at)] if at else []
+    left = events.where(F.col(label).isNotNull()).select("session_id", F.col("idx").alias("i"), F.col(label).alias("a"), *(c.alias("t_i") for c in times), F.explode(F.array(*map(F.lit, gaps))).alias("gap"))
+    right = events.where(F.col(label).isNotNull()).select("session_id", F.col("idx").alias("j"), F.col(label).alias("b"), *(c.alias("t_j") for c in times))
     pairs = left.withColumn("j", F.col("i") + F.col("gap")).join(right, ["session_id", "j"])
     if most is not None:
         rank = F.row_number().over(Window.partitionBy("session_id").orderBy(F.md5(F.concat_ws("|", "session_id", F.col("i").cast("string"), F.col("j").cast("string")))))
         pairs = pairs.withColumn("rank", rank).where(F.col("rank") <= most)
-    return pairs.select("session_id", "i", "j", "gap", (F.col("a") == F.col("b")).alias("same"))
+    apart = [(F.col("t_j") - F.col("t_i")).alias("apart")] if at else []
+    return pairs.select("session_id", "i", "j", "gap", (F.col("a") == F.col("b")).alias("same"), *apart)
 
 
 def count_mismatches(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worktrace.operators import discovery
-from worktrace.plans import audits, models, processes, sequences, studies
+from worktrace.plans import audits, comparisons, models, processes, sequences, studies
 
-MODULES = [sequences, processes, audits, models, studies]
+MODULES = [sequences, processes, audits, models, studies, comparisons]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
 
