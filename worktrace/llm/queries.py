@@ -92,6 +92,28 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from worktrace.llm.whitening import whiten
+
+    return whiten(_vectors(spark, sf_dir))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from worktrace.llm.simhash import simhash_components
+
+    return simhash_components(_docs(spark, sf_dir), k=4)
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from worktrace.llm.centroids import cluster_centroids
+
+    return cluster_centroids(_vectors(spark, sf_dir), k=16, rounds=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -103,9 +125,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shards": op8_shards,
     "op9_langid": op9_langid,
     "op10_html": op10_html,
+    "op11_whitening": op11_whitening,
+    "op12_simhash": op12_simhash,
+    "op13_clusters": op13_clusters,
 }
 
+
+
+def _placed(r: int) -> str:
+    """Each vector's nearest centroid of round r: squared distances from products of whole numbers."""
+    product = lambda a, b: f"list_inner_product({a}, {b})"
+    return f"""a{r} AS MATERIALIZED (SELECT rid, vec_id, x, c, CAST(d AS BIGINT) AS distance FROM (
+    SELECT rid, vec_id, x, c, {product("x", "x")} - 2 * {product("x", "m")} + {product("m", "m")} AS d FROM kept CROSS JOIN c{r})
+    QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1)"""
+
+
+def _moved(r: int) -> str:
+    """The centroids of round r: floors of the means; those without vectors stay."""
+    return f"""c{r} AS MATERIALIZED (SELECT o.c, coalesce(n.m, o.m) AS m FROM c{r - 1} o LEFT JOIN (
+    SELECT c, list(v ORDER BY j) AS m FROM (SELECT c, j, floor(sum(e) / count(*)) AS v FROM (SELECT c, unnest(x) AS e, unnest(range(1, 65)) AS j FROM a{r - 1}) GROUP BY c, j) GROUP BY c) n USING (c))"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_clusters": f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda v: floor(64 * CAST(v AS DOUBLE))) AS x FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, x AS m FROM kept QUALIFY c < 16),
+{_placed(0)}, {_moved(1)}, {_placed(1)}, {_moved(2)}, {_placed(2)}, {_moved(3)}, {_placed(3)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+    sha256(array_to_string(list_transform(m, lambda v: CAST(v AS BIGINT)), ',')) AS centroid_sha256 FROM a3 JOIN c3 USING (c)""",
     "op5_neardup": r"""
 WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 sh AS (SELECT DISTINCT doc_id, x FROM (
