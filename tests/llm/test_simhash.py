@@ -58,8 +58,26 @@ def test_hash_is_that_of_spark(spark):
 
 
 def test_variants_are_all_within_half_the_radius():
-    assert len(simhash.MASKS) == len(set(simhash.MASKS.tolist())) == 1 + 64 + 2016
-    assert np.bitwise_count(simhash.MASKS).max() == 2
+    masks = simhash.flips(list(range(64)))
+    assert len(masks) == len(set(masks.tolist())) == 1 + 64 + 2016
+    assert np.bitwise_count(masks).max() == 2
+
+
+@pytest.mark.parametrize("unpacked", [1 << 21, 500])
+def test_every_variant_is_unpacked_once_where_it_belongs(monkeypatch, unpacked):
+    monkeypatch.setattr(simhash, "UNPACKED", unpacked)
+    rng = random.Random(9)
+    fps, bits = [rng.getrandbits(64) for _ in range(3)], [3, 17, 40, 41, 63]
+    got = []
+    sent = pa.record_batch([pa.array(np.array(fps, np.uint64).view(np.int64))], names=["fp"])
+    for batch in simhash._emit(bits)([sent]):
+        for row in batch.to_pylist():
+            own = np.frombuffer(row["fps"], np.uint64)
+            for variants, owners in simhash._unpacked(row["place"], own, bits):
+                got += [(int(own[o]), int(v)) for v, o in zip(variants, owners, strict=True)]
+                assert all(sum((int(v) >> b & 1) << k for k, b in enumerate(bits)) == row["place"] for v in variants)
+    want = [(f, f ^ int(m)) for f in fps for m in simhash.flips(list(range(64)))]
+    assert sorted(got) == sorted(want)
 
 
 def test_links_connect_what_is_near(spark):

@@ -2,9 +2,10 @@
 
 Two fingerprints within ``RADIUS`` = 4 bits have a variant in common that is within 2 bits of both. So every distinct fingerprint emits
 all its 1 + 64 + 2016 variants within half the radius, variants are shuffled, and fingerprints that meet at a variant are
-verified and linked. Variants travel packed: 8 bytes and the 2-byte number of the flipped bits, in one value per task's step and
-group of variants, so that a shuffled row holds thousands of them. What meets at one variant is linked to its least member, never pair
-by pair: all of it is within the radius of each other. A task sends on its links as the stars of what they connect.
+verified and linked. Variants are shuffled by ``g`` of their bits, those in which the fingerprints are most evenly divided. Of one fingerprint's
+variants, many go to one place (all 2081 to 37 places for g = 8); they travel packed, as the fingerprint itself, and are unpacked there, so that
+a fingerprint costs 8 * (1 + g + g * (g - 1) / 2) bytes instead of 20,000. What meets at one variant is linked to its least
+member, never pair by pair: all of it is within the radius of each other. A task sends on its links as the stars of what they connect.
 """
 
 from __future__ import annotations
@@ -19,21 +20,20 @@ from pyspark.sql import functions as F
 
 from worktrace.llm.components import components
 from worktrace.llm.store import forget, keep
-from worktrace.llm.text import SPACED, Words, chunks, mix, words_of
+from worktrace.llm.text import SPACED, Words, chunks, words_of
 
 BITS, RADIUS, SEED = 64, 4, 42
-#: Shingles whose bits are counted at once, fingerprints whose variants are made at once, variants of a group on average.
-SHINGLES, STEP, GROUP = 1 << 16, 2048, 1 << 22
+#: Shingles whose bits are counted at once, fingerprints sent on at once, and variants unpacked at once.
+SHINGLES, STEP, UNPACKED = 1 << 16, 1 << 14, 1 << 21
+#: Bits by which variants are shuffled, at least, and fingerprints that one place receives on average, at most.
+LEAST_BITS, PLACE = 8, 1 << 21
 
 
-def _balls() -> np.ndarray:
-    """The bits to flip for every variant within half the radius, none first."""
-    one = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
-    i, j = np.triu_indices(BITS, 1)
-    return np.concatenate((np.zeros(1, np.uint64), one, one[i] ^ one[j]))
-
-
-MASKS = _balls()
+def flips(bits: list[int], radius: int = RADIUS // 2) -> np.ndarray:
+    """Every choice of at most ``radius`` (0, 1 or 2) of the bits, as a number, none first."""
+    one = np.uint64(1) << np.array(bits, dtype=np.uint64)
+    i, j = np.triu_indices(len(bits), 1)
+    return np.concatenate([np.zeros(1, np.uint64), one, one[i] ^ one[j]][: radius + 1])
 
 
 def _spaced(words: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -77,24 +77,37 @@ def _sketch(k: int) -> Callable:
     return run
 
 
-def _emit(groups: int) -> Callable:
-    """Rows (g, variants, flips): the variants of a step's fingerprints that fall into one group."""
+def _gathered(x: np.ndarray, bits: list[int]) -> np.ndarray:
+    """The bits of each number, side by side."""
+    out = np.zeros(len(x), np.uint64)
+    for k, b in enumerate(bits):
+        out |= ((x >> np.uint64(b)) & np.uint64(1)) << np.uint64(k)
+    return out
+
+
+def _spread(x: np.ndarray, bits: list[int]) -> np.ndarray:
+    out = np.zeros(len(x), np.uint64)
+    for k, b in enumerate(bits):
+        out |= ((x >> np.uint64(k)) & np.uint64(1)) << np.uint64(b)
+    return out
+
+
+def _emit(bits: list[int]) -> Callable:
+    """Rows (place, fps): the fingerprints of a step that have variants with these ``bits``."""
+    near = flips(list(range(len(bits))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_fps = batch.column(0).to_numpy().view(np.uint64)
             for lo in range(0, len(all_fps), STEP):
                 fps = all_fps[lo : lo + STEP]
-                variants = (fps[:, None] ^ MASKS).ravel()
-                group = (mix(variants) >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)
-                order = np.argsort(group.astype(np.uint16 if groups <= 1 << 16 else np.uint32), kind="stable")
-                ordered = group[order]
+                place = (_gathered(fps, bits)[:, None] ^ near).ravel()
+                order = np.argsort(place, kind="stable")
+                ordered = place[order]
                 begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-                found = ordered[begin]
-                flips = (order % len(MASKS)).astype(np.uint16)
-                edges = np.append(begin, len(order)).astype(np.int64)
-                packed = [pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(found), [None, pa.py_buffer(edges * w), pa.py_buffer(data)]).cast(pa.binary()) for w, data in ((8, variants[order]), (2, flips))]
-                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), *packed], names=["g", "variants", "flips"])
+                edges = 8 * np.append(begin, len(order)).astype(np.int64)
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(edges), pa.py_buffer(fps[order // len(near)])])
+                yield pa.RecordBatch.from_arrays([pa.array(ordered[begin].astype(np.int32)), packed.cast(pa.binary())], names=["place", "fps"])
 
     return run
 
@@ -116,31 +129,72 @@ def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[top[moved]]
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Links among the fingerprints that meet at the variants of one group."""
-    variants = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("variants")])
-    flips = np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in table.column("flips")])
-    order = np.argsort(variants)
-    same = np.flatnonzero(variants[order][1:] == variants[order][:-1])
-    together = np.zeros(len(order), bool)
-    together[same] = together[same + 1] = True
-    met = order[together]
-    fps = variants[met] ^ MASKS[flips[met]]
-    ordered = variants[met]
-    begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    least = np.repeat(np.minimum.reduceat(fps, begin), np.diff(np.append(begin, len(fps)))) if len(fps) else fps
-    pairs = np.unique(np.column_stack((least, fps))[least != fps], axis=0)
-    pairs = pairs[np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= RADIUS]
-    u, v = stars(pairs[:, 0], pairs[:, 1])
-    return pa.table({"u": pa.array(u.view(np.int64)), "v": pa.array(v.view(np.int64))})
+#: Numbers that cut variants into slices: a slice is given by the parities of the bits that a variant shares with them.
+_PARITIES = [(0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) for k in range(20)]
+
+
+def _slice_of(x: np.ndarray, r: int) -> np.ndarray:
+    """A number of r bits; that of x ^ y is the one of x ^ the one of y."""
+    out = np.zeros(len(x), np.int64)
+    for k in range(r):
+        out |= (np.bitwise_count(x & np.uint64(_PARITIES[k])).astype(np.int64) & 1) << k
+    return out
+
+
+def _unpacked(place: int, fps: np.ndarray, bits: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(variants, number of their fingerprint) of one place, slice by slice: what meets is in one slice."""
+    rest = [b for b in range(BITS) if b not in bits]
+    own = _gathered(fps, bits) ^ np.uint64(place)
+    base, used = fps ^ _spread(own, bits), np.bitwise_count(own)
+    kinds = [(np.flatnonzero(used == w), flips(rest, RADIUS // 2 - w)) for w in range(RADIUS // 2 + 1)]
+    r = min(len(_PARITIES), (sum(len(at) * len(m) for at, m in kinds) // UNPACKED).bit_length())
+    sliced = [(at, _slice_of(base[at], r), m, _slice_of(m, r)) for at, m in kinds]
+    for s in range(1 << r):
+        variants, owners = [], []
+        for at, of_base, masks, of_mask in sliced:
+            for a in np.unique(of_base):
+                one, two = at[of_base == a], masks[of_mask == a ^ s]
+                variants.append((base[one][:, None] ^ two).ravel())
+                owners.append(np.repeat(one, len(two)))
+        yield np.concatenate(variants), np.concatenate(owners)
+
+
+def _meet(bits: list[int]) -> Callable:
+    """Links among the fingerprints that meet at the variants of one place."""
+
+    def run(table: pa.Table) -> pa.Table:
+        fps = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("fps")])
+        found = [np.zeros((0, 2), np.uint64)]
+        for variants, owners in _unpacked(table.column("place")[0].as_py(), fps, bits):
+            order = np.argsort(variants)
+            variants = variants[order]
+            same = np.flatnonzero(variants[1:] == variants[:-1])
+            together = np.zeros(len(order), bool)
+            together[same] = together[same + 1] = True
+            met, ordered = fps[owners[order[together]]], variants[together]
+            if len(met):
+                begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+                least = np.repeat(np.minimum.reduceat(met, begin), np.diff(np.append(begin, len(met))))
+                pairs = np.unique(np.column_stack((least, met))[least != met], axis=0)
+                found.append(pairs[np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= RADIUS])
+        pairs = np.concatenate(found)
+        u, v = stars(pairs[:, 0], pairs[:, 1])
+        return pa.table({"u": pa.array(u.view(np.int64)), "v": pa.array(v.view(np.int64))})
+
+    return run
 
 
 def near_links(fps: DataFrame, n: int) -> DataFrame:
     """Distinct fingerprints (fp), n of them -> links (u, v) that connect what is within the radius, and nothing else."""
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(4 * parts, -(-n * len(MASKS) // GROUP))
-    spread = fps.repartition(max(parts, n // 50_000), "fp")
-    return spread.mapInArrow(_emit(groups), "g int, variants binary, flips binary").groupBy("g").applyInArrow(_meet, "u long, v long")
+    ones = fps.agg(*(F.sum(F.shiftright("fp", b).bitwiseAND(1)).alias(f"b{b}") for b in range(BITS))).first()
+    even = sorted(range(BITS), key=lambda b: (abs(2 * (ones[b] or 0) - n), b))
+    g = max(LEAST_BITS, (2 * parts - 1).bit_length())
+    while g < 24 and n * (1 + g + g * (g - 1) // 2) > PLACE << g:
+        g += 1
+    bits = even[: min(g, 24)]
+    spread = fps.repartition(max(parts, n // 1_000_000), "fp")
+    return spread.mapInArrow(_emit(bits), "place int, fps binary").groupBy("place").applyInArrow(_meet(bits), "u long, v long")
 
 
 def simhash_components(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
