@@ -219,10 +219,10 @@ def surrounding(events: DataFrame, spans: DataFrame) -> DataFrame:
 def running_sums(rows: DataFrame, by: Sequence[str], order: str, sums: Mapping[str, str], descending: bool = False, own: bool = True) -> DataFrame:
     """With the running sum of each column (new name -> column) over a number's order, within keys; with ``own`` the row itself counts.
 
-    No task sees a key's whole order: values go to steps of their logarithm, each step is summed by itself, and the sums of the
-    steps before (some thousands a key at most) are added. Nulls come first."""
+    No task sees a key's whole order: values go to steps of 1/256 of a doubling of their size (scores between 0.5 and 1 to 256, between
+    0 and 1 to some thousand), each step is summed by itself, and the sums of the steps before are added. Nulls come first."""
     v = F.col(order).cast("double")
-    rows = rows.withColumn("_b", F.floor(F.signum(v) * F.log2(1 + F.abs(v)) * 64))
+    rows = rows.withColumn("_b", F.when(v == 0, 0).otherwise(F.floor(F.signum(v) * (F.log2(F.abs(v)) + 1100) * 256)))
     turn = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
     inside = Window.partitionBy(*by, "_b").orderBy(turn(order)).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
     earlier = Window.partitionBy(*by).orderBy(turn("_b")).rowsBetween(Window.unboundedPreceding, -1)
