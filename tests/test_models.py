@@ -106,28 +106,52 @@ def test_sums_over_steps_and_places_equal_plain_ones(spark):
     assert sorted(r.place for r in placed) == list(range(1, 201))
 
 
-def test_long_sessions_are_fitted_in_pieces(spark):
-    rng = np.random.default_rng(4)
-    x = np.concatenate([rng.normal(6 * (k % 2), 0.3, 30) for k in range(10)])
-    rows = spark.createDataFrame([(s, i, float(v)) for s in ("u1", "u2") for i, v in enumerate(x)], "session_id string, idx long, gap double")
-    got = learning.hmm_boundaries(rows, ["gap"], [2], most=100, lead=20).collect()
-    assert sorted((r.session_id, r.idx) for r in got) == [(s, i) for s in ("u1", "u2") for i in range(300)]
-    assert sorted((r.session_id, r.idx) for r in got if r.boundary) == [(s, i) for s in ("u1", "u2") for i in range(30, 300, 30)]
-    spread = learning.pieces(rows.where("session_id = 'u1'"), 100, 20).groupBy("piece", "own").count().collect()
-    assert sorted(map(tuple, spread)) == [(0, True, 100), (1, False, 20), (1, True, 100), (2, False, 20), (2, True, 100), (3, False, 20)]
+def _changing(spark, n=300, seed=4):
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(3 * (k % 3), 1.0, n // 10) for k in range(10)])
+    y = rng.normal(0, 1, n)
+    return spark.createDataFrame([(s, 2 * i, float(x[i] + j), float(y[i])) for j, s in enumerate(("u1", "u2")) for i in range(n - 7 * j)], "session_id string, idx long, gap double, pace double").repartition(5)
+
 
+@pytest.mark.parametrize("most", [37, 100, 150])
+def test_a_session_in_pieces_has_the_states_of_one_piece(spark, most):
+    rows = _changing(spark)
+    whole, pieces = ({(r.session_id, r.k, r.idx): r.boundary for r in learning.hmm_boundaries(rows, ["gap", "pace"], [2, 3], rounds=12, most=m).collect()} for m in (10_000, most))
+    assert len(whole) == 2 * (300 + 293) and whole == pieces
+    assert 10 < sum(whole.values()) < 200
 
-def test_cuts_of_long_sessions_are_optimal_in_each_piece(spark):
+
+def test_counts_of_pieces_add_up():
+    """Expected counts and likelihood of two halves, with messages over the border, are those of the whole."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(50, 2))
+    m = learning._Hmm.first(x[:3], x.var(axis=0), 1)
+    want, likelihood = m.counts(x, None, np.ones(3))
+    b, _ = m.emission(x)
+    a = m.start * b[0]
+    for t in range(1, 20):
+        a = a / a.sum() @ m.step * b[t]
+    one, l1 = m.counts(x[:20], None, m.carried(x[20:]) @ np.ones(3))
+    two, l2 = m.counts(x[20:], a / a.sum(), np.ones(3))
+    assert one + two == pytest.approx(want) and l1 + l2 == pytest.approx(likelihood)
+    assert (learning._gaussian_hmm(x, 3, 5, 1) == learning._gaussian_hmm(x, 3, 5, 1)).all()
+
+
+@pytest.mark.parametrize("most", [5, 25, 1000])
+def test_cuts_of_long_sessions_are_those_of_the_whole(spark, most):
     rng = np.random.default_rng(8)
-    x = np.concatenate([rng.normal(5 * rng.integers(0, 2), 0.5, 7) for _ in range(12)])
-    s, q, n = np.cumsum(x), np.cumsum(x * x), np.arange(1, len(x) + 1)
-    table = [("u", i, float(s[i]), float(q[i]), int(n[i])) for i in range(len(x))]
-    got = sorted(r.place for r in learning.best_cuts(spark.createDataFrame(table, "session_id string, place long, s double, q double, n long"), 2.0, most=25).collect())
-    want = []
-    for a in range(0, len(x), 25):
-        part = x[a : a + 25]
-        best = [(0.0, ())]
-        for j in range(1, len(part) + 1):
-            best.append(min((best[i][0] + ((part[i:j] - part[i:j].mean()) ** 2).sum() + 2.0, (*best[i][1], a + j - 1)) for i in range(j)))
-        want += best[-1][1]
-    assert got == want
+    table, want = [], set()
+    for name, n in (("u", 84), ("v", 12), ("w", 1)):
+        x = np.concatenate([rng.normal(5 * rng.integers(0, 2), 0.5, 7) for _ in range(12)])[:n]
+        s, q = np.cumsum(x), np.cumsum(x * x)
+        table += [(name, 3 * i, float(s[i]), float(q[i]), i + 1) for i in range(n)]
+        for penalty in (0.5, 2.0, 50.0):
+            best = [(0.0, ())]
+            for j in range(1, n + 1):
+                best.append(min((best[i][0] + ((x[i:j] - x[i:j].mean()) ** 2).sum() + penalty, (*best[i][1], 3 * (j - 1))) for i in range(j)))
+            want |= {(name, penalty, p) for p in best[-1][1]}
+    rows = spark.createDataFrame(table, "session_id string, place long, s double, q double, n long").repartition(4)
+    got = learning.best_cuts(rows, [0.5, 2.0, 50.0], most=most).collect()
+    assert len(got) == len(want) and {(r.session_id, r.penalty, r.place) for r in got} == want
+    alone = learning.best_cuts(rows, 2.0, most=most).collect()
+    assert {(r.session_id, r.place) for r in alone} == {(n, p) for n, c, p in want if c == 2.0}

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from worktrace.operators.tables import written
+
 FIRST = ("log1p_delta_t_ms", "density_before", "density_after", "application_changed", "window_title_changed", "browser_domain_changed", "interaction_category_changed", "extracted_text_at_transition", "chunk_boundary")
 SECOND = ("types_jaccard", "apps_jaccard", "domains_jaccard", "duration_before", "duration_after", "text_before", "text_after", "log1p_delta_t_ms")
 
@@ -146,112 +149,365 @@ def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
     return one.select(F.coalesce(ari, F.lit(1.0)).alias("ari"), F.coalesce(nmi, F.lit(1.0)).alias("nmi"))
 
 
-def _gaussian_hmm(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
-    """Viterbi states of a diagonal Gaussian HMM fitted by Baum-Welch, in scaled arithmetic, until the likelihood stands still
-    (a ten-thousandth) or the rounds are over."""
-    n, d = x.shape
-    if n < 2 * k:
-        return np.zeros(n, dtype=int)
-    rng = np.random.default_rng(seed)
-    mean = x[np.linspace(0, n - 1, k).astype(int)] + rng.normal(0, 1e-3, (k, d))
-    var, start, step = np.tile(x.var(axis=0) + 1e-3, (k, 1)), np.full(k, 1 / k), np.full((k, k), 0.1 / max(1, k - 1))
-    np.fill_diagonal(step, 0.9)
-
-    def emission() -> np.ndarray:
-        return -0.5 * (((x[:, None] - mean) ** 2 / var).sum(axis=2) + np.log(var).sum(axis=1))
-
-    likelihood = -np.inf
-    for _ in range(rounds):
-        log_b = emission()
-        b = np.exp(log_b - log_b.max(axis=1, keepdims=True)) + 1e-12
-        alpha, beta, scale = np.empty((n, k)), np.ones((n, k)), np.empty(n)
+@dataclass
+class _Hmm:
+    """A diagonal Gaussian HMM and what a run of places adds to its next estimate."""
+
+    start: np.ndarray
+    step: np.ndarray
+    mean: np.ndarray
+    var: np.ndarray
+
+    @classmethod
+    def first(cls, points: np.ndarray, var: np.ndarray, seed: int) -> _Hmm:
+        """Means at the given places (all but equal ones apart by a little noise), the whole deviation, states that mostly stay."""
+        k, d = points.shape
+        step = np.full((k, k), 0.1 / max(1, k - 1))
+        np.fill_diagonal(step, 0.9)
+        return cls(np.full(k, 1 / k), step, points + np.random.default_rng(seed).normal(0, 1e-3, (k, d)), np.tile(var + 1e-3, (k, 1)))
+
+    @classmethod
+    def of(cls, flat: np.ndarray, k: int, d: int) -> _Hmm:
+        start, step, mean, var = np.split(flat, np.cumsum([k, k * k, k * d]))
+        return cls(start, step.reshape(k, k), mean.reshape(k, d), var.reshape(k, d))
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate((self.start, self.step.ravel(), self.mean.ravel(), self.var.ravel()))
+
+    def log_emission(self, x: np.ndarray) -> np.ndarray:
+        return -0.5 * (((x[:, None] - self.mean) ** 2 / self.var).sum(axis=2) + np.log(self.var).sum(axis=1))
+
+    def emission(self, x: np.ndarray) -> tuple[np.ndarray, float]:
+        """(chances up to a factor a place, sum of the factors' logarithms)."""
+        log_b = self.log_emission(x)
+        top = log_b.max(axis=1)
+        return np.exp(log_b - top[:, None]) + 1e-12, float(top.sum())
+
+    def carried(self, x: np.ndarray) -> np.ndarray:
+        """K x K: how chances before the places become chances after them, up to a factor."""
+        b, _ = self.emission(x)
+        out = np.eye(len(self.start))
+        for t in range(len(x)):
+            out = (out @ self.step) * b[t]
+            out /= out.sum()
+        return out
+
+    def carried_best(self, x: np.ndarray) -> np.ndarray:
+        """K x K: logarithm of the best path from a state before the places to a state at their end."""
+        log_b, log_step = self.log_emission(x), np.log(self.step)
+        out = np.where(np.eye(len(self.start), dtype=bool), 0.0, -np.inf)
+        for t in range(len(x)):
+            out = (out[:, :, None] + log_step).max(axis=1) + log_b[t]
+        return out
+
+    def counts(self, x: np.ndarray, before: np.ndarray | None, after: np.ndarray) -> tuple[np.ndarray, float]:
+        """Expected counts of the places, flattened (start, step, weight, sums, squares), and their log likelihood given what is before.
+
+        before: chances of the states at the place before, None where the session begins; after: backward message at the last one."""
+        n, k = len(x), len(self.start)
+        b, top = self.emission(x)
+        alpha, beta, scale = np.empty((n, k)), np.empty((n, k)), np.empty(n)
         for t in range(n):
-            a = start * b[0] if t == 0 else (alpha[t - 1] @ step) * b[t]
+            a = (alpha[t - 1] @ self.step if t else self.start if before is None else before @ self.step) * b[t]
             scale[t] = a.sum()
             alpha[t] = a / scale[t]
+        beta[-1] = after / after.sum()
         for t in range(n - 2, -1, -1):
-            beta[t] = step @ (b[t + 1] * beta[t + 1]) / scale[t + 1]
+            beta[t] = self.step @ (b[t + 1] * beta[t + 1])
+            beta[t] /= beta[t].sum()
         gamma = alpha * beta
         gamma /= gamma.sum(axis=1, keepdims=True)
-        flow = np.einsum("ti,tj->ij", alpha[:-1], b[1:] * beta[1:] / scale[1:, None]) * step
-        start, step = gamma[0] + 1e-9, flow + 1e-6
-        start, step = start / start.sum(), step / step.sum(axis=1, keepdims=True)
-        weight = gamma.sum(axis=0)[:, None] + 1e-9
-        mean = gamma.T @ x / weight
-        var = gamma.T @ (x * x) / weight - mean**2 + 1e-3
-        last, likelihood = likelihood, np.log(scale).sum() + log_b.max(axis=1).sum() - n * d / 2 * np.log(2 * np.pi)
-        if abs(likelihood - last) < 1e-4 * max(1.0, abs(last)):
+        one, two = (alpha[:-1], slice(1, None)) if before is None else (np.vstack((before, alpha[:-1])), slice(None))
+        to = b[two] * beta[two]
+        weight = np.einsum("ti,ij,tj->t", one, self.step, to)
+        flow = np.einsum("ti,tj->ij", one / weight[:, None], to) * self.step
+        first = gamma[0] if before is None else np.zeros(k)
+        return np.concatenate((first, flow.ravel(), gamma.sum(axis=0), (gamma.T @ x).ravel(), (gamma.T @ (x * x)).ravel())), float(np.log(scale).sum()) + top
+
+    def estimated(self, counts: np.ndarray) -> _Hmm:
+        k, d = self.mean.shape
+        first, flow, weight, sums, squares = np.split(counts, np.cumsum([k, k * k, k, k * d]))
+        start, step, weight = first + 1e-9, flow.reshape(k, k) + 1e-6, weight[:, None] + 1e-9
+        mean = sums.reshape(k, d) / weight
+        return _Hmm(start / start.sum(), step / step.sum(axis=1, keepdims=True), mean, squares.reshape(k, d) / weight - mean**2 + 1e-3)
+
+    def states(self, x: np.ndarray, before: np.ndarray | None, last: int | None) -> np.ndarray:
+        """Viterbi states. before: best scores at the place before, None where the session begins; last: the state at the end, if known."""
+        n, k = len(x), len(self.start)
+        log_b, log_step = self.log_emission(x), np.log(self.step)
+        best, back = np.log(self.start) if before is None else (before[:, None] + log_step).max(axis=0), np.zeros((n, k), dtype=int)
+        best = best + log_b[0]
+        for t in range(1, n):
+            via = best[:, None] + log_step
+            back[t] = via.argmax(axis=0)
+            best = via.max(axis=0) + log_b[t]
+        out = np.empty(n, dtype=int)
+        out[-1] = best.argmax() if last is None else last
+        for t in range(n - 2, -1, -1):
+            out[t] = back[t + 1, out[t + 1]]
+        return out
+
+
+def _stands_still(now: float, last: float) -> bool:
+    return abs(now - last) < 1e-4 * max(1.0, abs(last))
+
+
+def _gaussian_hmm(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
+    """Viterbi states of a diagonal Gaussian HMM fitted by Baum-Welch, in scaled arithmetic, until the likelihood stands still
+    (a ten-thousandth) or the rounds are over."""
+    n = len(x)
+    if n < 2 * k:
+        return np.zeros(n, dtype=int)
+    model, last = _Hmm.first(x[np.linspace(0, n - 1, k).astype(int)], x.var(axis=0), seed), -np.inf
+    for _ in range(rounds):
+        counts, likelihood = model.counts(x, None, np.ones(k))
+        model = model.estimated(counts)
+        if _stands_still(likelihood, last):
             break
-    log_b, log_step = emission(), np.log(step)
-    best, back = np.log(start) + log_b[0], np.zeros((n, k), dtype=int)
-    for t in range(1, n):
-        via = best[:, None] + log_step
-        back[t] = via.argmax(axis=0)
-        best = via.max(axis=0) + log_b[t]
-    states = np.empty(n, dtype=int)
-    states[-1] = best.argmax()
-    for t in range(n - 2, -1, -1):
-        states[t] = back[t + 1, states[t + 1]]
-    return states
-
-
-def pieces(rows: DataFrame, most: int, lead: int = 0) -> DataFrame:
-    """Rows (session_id, idx, ...) by ``piece`` of ``most`` places of their session, so that a long session spreads over many groups.
-    The last ``lead`` places of a piece stand before the next one too, with ``own`` false there."""
-    at, own = F.floor(F.col("idx") / most), F.lit(True).alias("own")
-    here = F.struct(at.alias("piece"), own)
-    both = F.array(here, F.struct((at + 1).alias("piece"), F.lit(False).alias("own")))
-    spread = F.when(F.col("idx") % most >= most - lead, both).otherwise(F.array(here))
-    return rows.withColumn("_at", F.explode(spread)).select(*rows.columns, "_at.piece", "_at.own")
-
-
-def hmm_boundaries(rows: DataFrame, columns: Sequence[str], states: Sequence[int], rounds: int = 30, seed: int = 7, most: int = 4096, lead: int = 64) -> DataFrame:
+        last = likelihood
+    return model.states(x, None, None)
+
+
+def hmm_boundaries(rows: DataFrame, columns: Sequence[str], states: Sequence[int], rounds: int = 30, seed: int = 7, most: int = 4096) -> DataFrame:
     """State changes of a Gaussian HMM per session, for each number of states: (session_id, k, idx, boundary). Sessions and
-    numbers of states are fitted in parallel. A session of more than ``most`` places is fitted in pieces of that length, each
-    from ``lead`` places before its own ones; the columns are standardised over the whole session."""
+    numbers of states are fitted in parallel.
+
+    A session of up to ``most`` places is fitted by one task. A longer one is cut into pieces of that many places, and its one model is fitted
+    over all of them, with the same result: in each round every piece tells how it carries chances from its beginning to its end (K x K
+    numbers), a session's pieces are put in a row to give each the chances before it and after it, and the pieces' expected counts are summed.
+    The best path is found in the same way. No task holds more places than a piece has; a session's pieces meet as K x K numbers each."""
     ready = standardised(vectors(rows, columns, ["session_id", "idx"]), columns, ["session_id"])
-    swept = pieces(ready, most, lead).withColumn("k", F.explode(F.array(*map(F.lit, states))))
+    d, wide = len(columns), F.count("*").over(Window.partitionBy("session_id"))
+    sized = ready.withColumns({"n": wide, "at": F.row_number().over(Window.partitionBy("session_id").orderBy("idx")) - 1})
+    sized = written(sized, "places")
+    short, long = sized.where(F.col("n") <= most), sized.where(F.col("n") > most)
+    out_schema = "session_id string, k int, idx long, boundary boolean"
+    spread = lambda t: t.withColumn("k", F.explode(F.array(*map(F.lit, states))))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("idx")
         found = _gaussian_hmm(group[list(columns)].to_numpy(float), int(group["k"].iloc[0]), rounds, seed)
-        out = pd.DataFrame({"session_id": group["session_id"], "k": group["k"].astype("int32"), "idx": group["idx"], "boundary": np.concatenate(([False], found[1:] != found[:-1]))})
-        return out[group["own"].to_numpy()]
-
-    return swept.groupBy("session_id", "k", "piece").applyInPandas(fit, "session_id string, k int, idx long, boundary boolean")
+        return pd.DataFrame({"session_id": group["session_id"], "k": group["k"].astype("int32"), "idx": group["idx"], "boundary": np.concatenate(([False], found[1:] != found[:-1]))})
+
+    whole = spread(short).groupBy("session_id", "k").applyInPandas(fit, out_schema)
+    if not long.limit(1).count():
+        return whole
+
+    # one row a piece: its places' values one after the other
+    values = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "idx", F.array(*columns).alias("x")))), lambda p: p["x"]))
+    places = F.transform(F.array_sort(F.collect_list(F.struct("at", "idx"))), lambda p: p["idx"])
+    pieces = written(long.withColumn("piece", F.floor(F.col("at") / most)).groupBy("session_id", "piece", "n").agg(values.alias("x"), places.alias("idx")), "pieces")
+    pieces = spread(pieces)
+
+    def begun(group: pd.DataFrame) -> pd.DataFrame:
+        """The first model of a session: values at K places and the deviation over all of them."""
+        k = int(group["k"].iloc[0])
+        g = group.sort_values("at")
+        points = np.array(g["x"].tolist())[np.searchsorted(g["at"].to_numpy(), np.linspace(0, int(g["n"].iloc[0]) - 1, k).astype(int))]
+        return pd.DataFrame({"session_id": [g["session_id"].iloc[0]], "k": [k], "model": [_Hmm.first(points, np.array(g["var"].iloc[0]), seed).flat()], "likelihood": [-np.inf], "done": [False]})
+
+    model_schema = "session_id string, k int, model array<double>, likelihood double, done boolean"
+    deviation = long.groupBy("session_id").agg(F.array(*(F.var_pop(c) for c in columns)).alias("var"))
+    wanted = spread(long.select("session_id", "n").distinct()).withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.floor(i * (F.col("n") - 1) / F.greatest(F.col("k") - 1, F.lit(1))).cast("int"))))
+    points = wanted.join(long.select("session_id", "at", F.array(*columns).alias("x")), ["session_id", "at"]).join(deviation, "session_id")
+    models = written(points.groupBy("session_id", "k").applyInPandas(begun, model_schema), "models")
+
+    def mapped(f, schema: str, *more: DataFrame) -> DataFrame:
+        """f(x, model, row) of every piece that is still worked on; more: tables by (session_id, k, piece)."""
+        joined = pieces.join(models, ["session_id", "k"])
+        for t in more:
+            joined = joined.join(t, ["session_id", "k", "piece"])
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                made = [f(np.asarray(r.x, float).reshape(-1, d), _Hmm.of(np.asarray(r.model, float), r.k, d), r) for r in batch.itertuples()]
+                yield pd.DataFrame({"session_id": batch["session_id"], "k": batch["k"], "piece": batch["piece"]} | {c: [m[i] for m in made] for i, c in enumerate(names)})
+
+        names = [c.split()[0] for c in schema.split(", ")]
+        return joined.mapInPandas(run, f"session_id string, k int, piece long, {schema}")
+
+    def borders(group: pd.DataFrame) -> pd.DataFrame:
+        """What each piece has before it and after it, from what the pieces carry."""
+        g = group.sort_values("piece")
+        k = int(g["k"].iloc[0])
+        carried = [np.asarray(c, float).reshape(k, k) for c in g["carried"]]
+        before, after = [None], [np.ones(k)]
+        v = np.asarray(g["first"].iloc[0], float)  # chances at the end of the first piece, which begins with the start's
+        for c in carried[1:]:
+            before.append(v / v.sum())
+            v = before[-1] @ c
+        for c in carried[:0:-1]:
+            w = c @ after[-1]
+            after.append(w / w.sum())
+        return pd.DataFrame({"session_id": g["session_id"], "k": g["k"], "piece": g["piece"], "before": before, "after": after[::-1]})
+
+    def end_of_first(x: np.ndarray, model: _Hmm) -> np.ndarray:
+        b, _ = model.emission(x)
+        a = model.start * b[0]
+        for t in range(1, len(x)):
+            a = a / a.sum() @ model.step * b[t]
+        return a
+
+    def updated(group: pd.DataFrame) -> pd.DataFrame:
+        k = int(group["k"].iloc[0])
+        likelihood, last = float(group["found"].sum()), float(group["likelihood"].iloc[0])
+        counts = np.sum([np.asarray(c, float) for c in group.sort_values("piece")["counts"]], axis=0)
+        model = _Hmm.of(np.asarray(group["model"].iloc[0], float), k, d).estimated(counts)
+        return pd.DataFrame({"session_id": group["session_id"].iloc[:1], "k": [k], "model": [model.flat()], "likelihood": [likelihood], "done": [_stands_still(likelihood, last)]})
+
+    finished = None
+    for _ in range(rounds):
+        told = mapped(lambda x, m, r: (m.carried(x).ravel(), end_of_first(x, m) if r.piece == 0 else None), "carried array<double>, first array<double>")
+        told = told.groupBy("session_id", "k").applyInPandas(borders, "session_id string, k int, piece long, before array<double>, after array<double>")
+        counted = mapped(lambda x, m, r: m.counts(x, None if r.before is None else np.asarray(r.before, float), np.asarray(r.after, float)), "counts array<double>, found double", written(told, "borders"))
+        after = written(counted.join(models, ["session_id", "k"]).groupBy("session_id", "k").applyInPandas(updated, model_schema), "models")
+        ended = after.where("done")
+        finished = ended if finished is None else finished.unionByName(ended)
+        models = after.where("NOT done")
+        if not models.limit(1).count():
+            break
+    models = written(finished.unionByName(models), "models")
+
+    def ends(group: pd.DataFrame) -> pd.DataFrame:
+        """The best scores before each piece and the state at its end, on the best path through all of them."""
+        g = group.sort_values("piece")
+        k = int(g["k"].iloc[0])
+        best = [np.asarray(g["first"].iloc[0], float)]
+        carried = [np.asarray(c, float).reshape(k, k) for c in g["carried"]]
+        for c in carried[1:]:
+            best.append((best[-1][:, None] + c).max(axis=0))
+        last = [int(best[-1].argmax())]
+        for i in range(len(carried) - 1, 0, -1):
+            last.append(int((best[i - 1] + carried[i][:, last[-1]]).argmax()))
+        return pd.DataFrame({"session_id": g["session_id"], "k": g["k"], "piece": g["piece"], "before": [None, *best[:-1]], "last": last[::-1], "previous": [-1, *last[:0:-1]]})
+
+    def best_of_first(x: np.ndarray, model: _Hmm) -> np.ndarray:
+        log_b, log_step = model.log_emission(x), np.log(model.step)
+        best = np.log(model.start) + log_b[0]
+        for t in range(1, len(x)):
+            best = (best[:, None] + log_step).max(axis=0) + log_b[t]
+        return best
+
+    told = mapped(lambda x, m, r: (m.carried_best(x).ravel(), best_of_first(x, m) if r.piece == 0 else None), "carried array<double>, first array<double>")
+    told = told.groupBy("session_id", "k").applyInPandas(ends, "session_id string, k int, piece long, before array<double>, last int, previous int")
+
+    def changes(x: np.ndarray, m: _Hmm, r) -> tuple[list, list]:
+        found = m.states(x, None if r.before is None else np.asarray(r.before, float), int(r.last))
+        return list(r.idx), [bool(v) for v in np.append(r.previous not in (-1, found[0]), found[1:] != found[:-1])]
+
+    each = mapped(changes, "places array<long>, flags array<boolean>", written(told, "ends"))
+    flat = each.select("session_id", "k", F.explode(F.arrays_zip("places", "flags")).alias("p")).select("session_id", "k", F.col("p.places").alias("idx"), F.col("p.flags").alias("boundary"))
+    return whole.unionByName(flat)
+
+
+@dataclass
+class _Starts:
+    """Places that may begin a later segment of an optimum, with the best cost up to them and the sums there."""
+
+    place: np.ndarray
+    best: np.ndarray
+    s: np.ndarray
+    q: np.ndarray
+    n: np.ndarray
+
+
+def _onward(starts: _Starts, place: np.ndarray, s: np.ndarray, q: np.ndarray, n: np.ndarray, penalty: float) -> tuple[np.ndarray, _Starts]:
+    """(start of the last segment up to each place, the starts that are left). A start whose cost up to here exceeds the best one up to
+    here can begin no later segment of an optimum, as a cut never raises the cost of what it divides; so only the starts that
+    are left are compared, without loss."""
+    at = _Starts(starts.place.copy(), starts.best.copy(), starts.s.copy(), starts.q.copy(), starts.n.copy())
+    back = np.empty(len(place), dtype=np.int64)
+    for j in range(len(place)):
+        cost = at.best + (q[j] - at.q) - (s[j] - at.s) ** 2 / np.maximum(n[j] - at.n, 1)
+        k = int(cost.argmin())
+        back[j], best = at.place[k], cost[k] + penalty
+        keep = cost <= best + 1e-9 * (1 + abs(q[j]))  # room for rounding
+        at = _Starts(*(np.append(old[keep], new) for old, new in ((at.place, place[j]), (at.best, best), (at.s, s[j]), (at.q, q[j]), (at.n, n[j]))))
+    return back, at
+
+
+def _none_yet() -> _Starts:
+    return _Starts(np.array([-1]), np.zeros(1), np.zeros(1), np.zeros(1), np.zeros(1))
+
+
+def _followed(place: np.ndarray, back: np.ndarray, at: int) -> tuple[list[int], int]:
+    """(cuts, the first one's start) from a place of these backwards, as far as they reach."""
+    cuts, where = [], {int(p): i for i, p in enumerate(place)}
+    while at in where:
+        cuts.append(at)
+        at = int(back[where[at]])
+    return cuts[::-1], at
 
 
 def _cuts(s: np.ndarray, q: np.ndarray, n: np.ndarray, penalty: float) -> list[int]:
-    """Places of the optimal cuts. A start whose cost up to here exceeds the best one up to here can begin no later segment of an
-    optimum, as a cut never raises the cost of what it divides; so only the starts that are left are compared, without loss."""
-    m = len(s)
-    best, back, alive = np.full(m, np.inf), np.zeros(m, dtype=int), np.zeros(1, dtype=int)
-    best[0] = 0.0
-    for j in range(1, m):
-        cost = best[alive] + (q[j] - q[alive]) - (s[j] - s[alive]) ** 2 / np.maximum(n[j] - n[alive], 1)
-        at = int((cost + penalty).argmin())
-        back[j], best[j] = alive[at], cost[at] + penalty
-        alive = np.append(alive[cost <= best[j] + 1e-9 * (1 + abs(q[j]))], j)  # room for rounding
-    kept, j = [], m - 1
-    while j > 0:
-        kept.append(j)
-        j = back[j]
-    return kept[::-1]
-
-
-def best_cuts(candidates: DataFrame, penalty: float, most: int = 16384) -> DataFrame:
+    """Numbers of the optimal cuts among candidates with the sums s[1:], q[1:], n[1:]; s[0], q[0] and n[0] are 0."""
+    place = np.arange(1, len(s))
+    return _followed(place, _onward(_none_yet(), place, s[1:], q[1:], n[1:], penalty)[0], len(s) - 1)[0]
+
+
+def best_cuts(candidates: DataFrame, penalties: float | Sequence[float], most: int = 16384) -> DataFrame:
     """Optimal choice among candidate cuts: least sum of segment costs plus a penalty per segment. candidates: (session_id, place,
-    value): cumulative sums s and squares q and counts n of the signal up to each candidate place, in order. A session is solved
-    in pieces of ``most`` places; the last candidate of each piece is always a cut, as is a session's last one."""
+    value): cumulative sums s and squares q and counts n of the signal up to each candidate place, in order; a session's last one is always a cut.
+    -> (session_id, place); with a list of penalties (session_id, penalty, place), all from one pass.
+
+    A session with up to ``most`` candidates is solved by one task. A longer one goes on in pieces of that many: the starts that can still
+    matter are handed from a piece to the next, and in the end the cuts are followed from the last piece back, so that the optimum
+    is that of the whole session. There are as many rounds as the longest session has pieces."""
+    single = isinstance(penalties, (int, float))
+    swept = [float(penalties)] if single else [float(p) for p in penalties]
     w = Window.partitionBy("session_id").orderBy("place")
-    known = candidates.withColumns({f"{c}0": F.coalesce(F.lag(c).over(w), F.lit(0)).cast("double") for c in ("s", "q", "n")})
+    numbered = candidates.select("session_id", F.col("place").cast("long").alias("place"), *(F.col(c).cast("double").alias(c) for c in ("s", "q", "n")))
+    numbered = numbered.withColumns({"piece": F.floor((F.row_number().over(w) - 1) / most), "last": F.max("place").over(Window.partitionBy("session_id")), "many": F.count("*").over(Window.partitionBy("session_id"))})
+    known = written(numbered.withColumn("penalty", F.explode(F.array(*map(F.lit, swept)))), "candidates")
+    keys, sums = ["session_id", "penalty"], ["s", "q", "n"]
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("place")
-        s, q, n = (np.concatenate((g[f"{c}0"].to_numpy(float)[:1], g[c].to_numpy(float))) for c in ("s", "q", "n"))
-        return g.iloc[[k - 1 for k in _cuts(s - s[0], q - q[0], n - n[0], penalty)]][["session_id", "place"]]
-
-    return known.withColumn("piece", F.floor(F.col("place") / most)).groupBy("session_id", "piece").applyInPandas(solve, "session_id string, place long")
+        place = g["place"].to_numpy()
+        cuts, _ = _followed(place, _onward(_none_yet(), place, *(g[c].to_numpy() for c in sums), float(g["penalty"].iloc[0]))[0], int(place[-1]))
+        return pd.DataFrame({"session_id": g["session_id"].iloc[0], "penalty": g["penalty"].iloc[0], "place": cuts})
+
+    out_schema = "session_id string, penalty double, place long"
+    out = known.where(F.col("many") <= most).groupBy(*keys).applyInPandas(solve, out_schema)
+    long = known.where(F.col("many") > most)
+    rounds = (long.agg(F.max("piece")).first()[0] or 0) + 1
+
+    # kind 0: a place and the start of its last segment; kind 1: a start that is left
+    step_schema = "session_id string, penalty double, kind int, place long, back long, best double, s double, q double, n double"
+
+    def onward(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        g, st = left.sort_values("place"), right.sort_values("place")
+        if not len(g):
+            return right[[c.split()[0] for c in step_schema.split(", ")]]
+        starts = _Starts(*(st[c].to_numpy() for c in ("place", "best", *sums))) if len(st) else _none_yet()
+        back, at = _onward(starts, g["place"].to_numpy(), *(g[c].to_numpy() for c in sums), float(g["penalty"].iloc[0]))
+        solved = pd.DataFrame({"kind": 0, "place": g["place"].to_numpy(), "back": back, "best": 0.0, "s": 0.0, "q": 0.0, "n": 0.0})
+        alive = pd.DataFrame({"kind": 1, "place": at.place, "back": -1, "best": at.best, "s": at.s, "q": at.q, "n": at.n})
+        both = pd.concat([solved, alive], ignore_index=True)
+        both.insert(0, "session_id", g["session_id"].iloc[0])
+        both.insert(1, "penalty", g["penalty"].iloc[0])
+        return both
+
+    def backward(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """kind 0: a cut; kind 1: the place to go on from."""
+        if not len(right):
+            return pd.DataFrame({"session_id": [], "penalty": [], "kind": [], "place": []})
+        cuts, at = _followed(left["place"].to_numpy(), left["back"].to_numpy(), int(right["place"].iloc[0]))
+        return pd.DataFrame({"session_id": right["session_id"].iloc[0], "penalty": right["penalty"].iloc[0], "kind": [0] * len(cuts) + [1], "place": [*cuts, at]})
+
+    if rounds > 1:
+        spark = candidates.sparkSession
+        state, solved = spark.createDataFrame([], step_schema), []
+        for p in range(rounds):
+            made = written(long.where(F.col("piece") == p).groupBy(*keys).cogroup(state.groupBy(*keys)).applyInPandas(onward, step_schema), "onward")
+            state = made.where("kind = 1")
+            solved.append(made.where("kind = 0"))
+        at = long.select(*keys, F.col("last").alias("place")).distinct()
+        for p in reversed(range(rounds)):
+            made = written(solved[p].groupBy(*keys).cogroup(at.groupBy(*keys)).applyInPandas(backward, "session_id string, penalty double, kind int, place long"), "backward")
+            at = made.where("kind = 1").select(*keys, "place")
+            out = out.unionByName(made.where("kind = 0").select(*keys, "place"))
+    return out.drop("penalty") if single else out
 
 
 def clusters(rows: DataFrame, columns: Sequence[str], sizes: Sequence[int], keep: Sequence[str], seed: int = 5) -> DataFrame:
