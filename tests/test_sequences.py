@@ -167,3 +167,13 @@ def test_the_rest_imports_without_the_optional_parts(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and not any(k.startswith('op') for k in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"})
+
+
+def test_the_best_operator_goes_with_all_its_sessions(spark):
+    """Operators of unequal size: the mean over the other sessions has another sign than the mean over the other operators."""
+    from worktrace.operators.evaluation import gain_survival
+
+    rows = [("a1", "a", 0.9), ("b1", "b", 0.5), *((f"c{i}", "c", -0.1) for i in range(10))]
+    one = gain_survival(spark.createDataFrame(rows, "session_id string, operator string, gain double"), 1).first()
+    assert abs(one.without_best_operator - (0.5 - 1.0) / 11) < 1e-12
+    assert abs(one.without_top_three - (0.5 - 1.0) / 11) < 1e-12 and one.n_sessions == 12

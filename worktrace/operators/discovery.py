@@ -133,12 +133,14 @@ def route(rows: DataFrame, allowed: list[str], most_ms: int) -> DataFrame:
     return routed(rows, allowed, most_ms).groupBy("reason").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("ms"))
 
 
-def top_aspects(events: DataFrame, keys: list[str], aspects: dict[str, tuple[str, str]], most: int) -> DataFrame:
-    """(keys, aspect, value, n): the most frequent values of each aspect (condition, value). An event is counted into its aspects in
+def top_aspects(events: DataFrame, keys: list[str], aspects: dict[str, tuple[str, str]], most: int | None = None) -> DataFrame:
+    """(keys, aspect, value, n): all values of each aspect (condition, value), or the ``most`` frequent ones. An event is counted into its aspects in
     one pass; only the counts are ranked."""
     cells = F.array(*(F.when(F.expr(c), F.struct(F.lit(a).alias("aspect"), F.expr(v).alias("value"))) for a, (c, v) in aspects.items()))
     long = events.select(*keys, F.explode(F.array_compact(cells)).alias("x")).select(*keys, "x.aspect", "x.value").where("value IS NOT NULL")
     counted = long.groupBy(*keys, "aspect", "value").agg(F.count("*").alias("n"))
+    if most is None:
+        return counted
     place = F.row_number().over(Window.partitionBy(*keys, "aspect").orderBy(F.desc("n"), "value"))
     return counted.withColumn("_r", place).where(F.col("_r") <= most).drop("_r")
 

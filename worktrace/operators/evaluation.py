@@ -150,19 +150,20 @@ def extremes(rows: DataFrame, value: str, k: int) -> DataFrame:
 
 
 def gain_survival(gains: DataFrame, top: int, margin: float = 0.01) -> DataFrame:
-    """gains(session_id, operator, gain): the mean gain, without the ``top`` sessions that gain most, the mean over operators without
-    the one that gains most, and the part of sessions that lose more than the margin."""
+    """gains(session_id, operator, gain): the mean gain, without the ``top`` sessions that gain most, over the sessions of all operators
+    but the one whose mean gain is largest, and the part of sessions that lose more than the margin."""
     first = gains.orderBy(F.desc(F.round("gain", 9)), "session_id").limit(top).agg(F.sum("gain").alias("top_sum"), F.count("*").alias("top_n"))
     whole = gains.agg(F.count("*").alias("n_sessions"), F.sum("gain").alias("total"), F.avg((F.col("gain") < -margin).cast("double")).alias("degraded"))
     people = gains.groupBy("operator").agg(F.avg("gain").alias("g"))
     best = people.orderBy(F.desc(F.round("g", 9)), "operator").limit(1).select(F.col("operator").alias("best"))
-    others = people.join(best, people["operator"] == best["best"], "left_anti").agg(F.avg("g").alias("without_best_operator"))
+    others = gains.join(F.broadcast(best), F.col("operator").eqNullSafe(F.col("best")), "left_anti").agg(F.avg("gain").alias("without_best_operator"))  # one row
     one = whole.crossJoin(first).crossJoin(others)  # one row each
     return one.select("n_sessions", F.try_divide("total", "n_sessions").alias("mean_gain"), F.try_divide(F.col("total") - F.col("top_sum"), F.col("n_sessions") - F.col("top_n")).alias("without_top_three"), "without_best_operator", "degraded")
 
 
 def gates(one: DataFrame, caps: Mapping[str, float]) -> DataFrame:
-    """The eight promotion gates g1 .. g8 of one row of figures, and whether all hold."""
+    """The eight promotion gates g1 .. g8 of one row of figures, and whether all hold. Gates 3 to 5 bound what the candidate may
+    lose against the detector in use; a fixed cap is a ``more`` or ``times`` made from the figure in use."""
     checks = {
         "g1": F.col("new_f1") - F.col("old_f1") >= caps["least_gain"],
         "g2": F.col("new_recall") >= caps["least_recall"],

@@ -112,6 +112,17 @@ def _(s, d):
     return ln.best_cuts(sums.where("c OR last").drop("c", "last"), 2.0)
 
 
+@plan("b18_cut_sweep")
+def _(s, d):
+    """Cuts at each of seven penalties: how many, and in how many sessions."""
+    t = base.trans(s, d)
+    w = sq.ordered().rowsBetween(sq.Window.unboundedPreceding, 0)
+    x = F.col("log1p_delta_t_ms")
+    sums = t.select("session_id", F.col("idx").alias("place"), F.sum(x).over(w).alias("s"), F.sum(x * x).over(w).alias("q"), F.count("*").over(w).alias("n"), b.pause(12 * fx.HOUR).alias("c"), (F.lead("idx").over(sq.ordered()).isNull()).alias("last"))
+    cuts = ln.best_cuts(sums.where("c OR last").drop("c", "last"), [0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0])
+    return cuts.groupBy("penalty").agg(F.count("*").alias("n_cuts"), F.count_distinct("session_id").alias("n_sessions"))
+
+
 @plan("p17_lcs", f"SELECT process_id, a, b, round(2 * {processes.LCS} / (len(string_split(a, '>')) + len(string_split(b, '>'))), 9) AS lcs FROM ({processes.PAIRED}) WHERE a < b")
 def _(s, d):
     return _r(processes.path_pairs(s, d).where("a < b").select("process_id", "a", "b", "lcs"), "lcs")

@@ -203,7 +203,7 @@ def _(s, d):
     return ev.extremes(_gains(s, d).withColumn("gain", F.round("gain", 9)), "gain", 5)
 
 
-SURVIVAL = f"SELECT count(*) AS n_sessions, round(avg(gain), 9) AS mean_gain, round(avg(gain) FILTER (place > 3), 9) AS without_top_three, round((SELECT avg(g) FROM (SELECT avg(gain) AS g, row_number() OVER (ORDER BY round(avg(gain), 9) DESC, operator) AS place FROM ({GAINS}) GROUP BY operator) WHERE place > 1), 9) AS without_best_operator, round(avg(CAST(gain < -0.01 AS INTEGER)), 9) AS degraded FROM (SELECT *, row_number() OVER (ORDER BY round(gain, 9) DESC, session_id) AS place FROM ({GAINS}))"
+SURVIVAL = f"SELECT count(*) AS n_sessions, round(avg(gain), 9) AS mean_gain, round(avg(gain) FILTER (place > 3), 9) AS without_top_three, round((SELECT avg(gain) FROM ({GAINS}) JOIN (SELECT operator, row_number() OVER (ORDER BY round(avg(gain), 9) DESC, operator) AS place FROM ({GAINS}) GROUP BY operator) USING (operator) WHERE place > 1), 9) AS without_best_operator, round(avg(CAST(gain < -0.01 AS INTEGER)), 9) AS degraded FROM (SELECT *, row_number() OVER (ORDER BY round(gain, 9) DESC, session_id) AS place FROM ({GAINS}))"
 
 
 @plan("v13_gain_survival", SURVIVAL)
@@ -287,8 +287,8 @@ SUMMARY = {"application": ("true", "application"), "system": ("true", "system"),
 SPREAD = {"operator": ("entry", "operator"), "category": ("true", "interaction_category"), "day": ("entry", "chunk_id"), "path_class": ("entry", "path_class")}
 
 
-def _aspects_sql(aspects: dict, most: int) -> str:
-    return "SELECT process_id, aspect, value, n FROM (SELECT *, row_number() OVER (PARTITION BY process_id, aspect ORDER BY n DESC, value) AS place FROM (" + " UNION ALL ".join(f"SELECT process_id, '{a}' AS aspect, {v} AS value, count(*) AS n FROM ({CLASSED}) WHERE {c} AND {v} IS NOT NULL GROUP BY 1, 3" for a, (c, v) in aspects.items()) + f")) WHERE place <= {most}"
+def _aspects_sql(aspects: dict, most: int | None) -> str:
+    return "SELECT process_id, aspect, value, n FROM (SELECT *, row_number() OVER (PARTITION BY process_id, aspect ORDER BY n DESC, value) AS place FROM (" + " UNION ALL ".join(f"SELECT process_id, '{a}' AS aspect, {v} AS value, count(*) AS n FROM ({CLASSED}) WHERE {c} AND {v} IS NOT NULL GROUP BY 1, 3" for a, (c, v) in aspects.items()) + "))" + (f" WHERE place <= {most}" if most else "")
 
 
 @plan("p16_top_values", _aspects_sql(SUMMARY, 5))
@@ -296,10 +296,10 @@ def _(s, d):
     return dc.top_aspects(_classed(s, d), ["process_id"], SUMMARY, 5)
 
 
-@plan("p06_distributions", _aspects_sql(SPREAD, 1_000_000))
+@plan("p06_distributions", _aspects_sql(SPREAD, None))
 def _(s, d):
     """Executions by operator, day and path class, and events by category, of each process."""
-    return dc.top_aspects(_classed(s, d), ["process_id"], SPREAD, 1_000_000)
+    return dc.top_aspects(_classed(s, d), ["process_id"], SPREAD)
 
 
 @plan("p09_process_inputs", f"SELECT process_id, count(DISTINCT operator) AS n_users, string_agg(DISTINCT application, ',' ORDER BY application) AS applications, count(*) FILTER (interaction_category IN ('input', 'pointer', 'clipboard')) AS n_manual, round(sum(CASE WHEN entry THEN duration_ms END) / 3600000.0, 6) AS hours FROM ({CLASSED}) GROUP BY 1")
