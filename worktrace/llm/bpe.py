@@ -15,7 +15,7 @@ up in a fixed table of recent ones and fills what it lacks from those links. As
 token and every state accepts, the automaton is deterministic, and of all ways to cut the first letters of a word
 into tokens it accepts exactly one. So a word is encoded left to right: each place takes the state of the one arc
 that reaches it from an earlier place's state. Nothing is ever taken back. The words that a batch of texts adds
-are walked together, one place of all of them at a time. Decoding emits the arc labels of the ids.
+are walked together, one place of all of them at a time, whatever their length. Decoding emits the arc labels of the ids.
 """
 
 from __future__ import annotations
@@ -38,8 +38,6 @@ from worktrace.llm.text import chunks, ragged, ranges, slice_hashes
 CACHE = 150_000
 #: Transitions in the table (a power of two), 9 bytes each.
 TRANSITIONS = 1 << 20
-#: Letters of a word up to which words are walked together; a longer one is walked by itself.
-LONG = 48
 #: Letters whose tokens are looked up at once.
 LETTERS = 1 << 16
 #: Stands for the end mark in spellings; the byte-level alphabet does not use it.
@@ -181,15 +179,8 @@ class Automaton:
         state, back = np.full(places[-1], _NONE), np.full(places[-1], -1)
         state[places[:-1]] = _START
         place = last - base[word]
-        long = size[word] > LONG
-        if long.any():
-            order = np.lexsort((stop[long],))
-            for s, e, t in zip(start[long][order].tolist(), stop[long][order].tolist(), token[long][order].tolist(), strict=True):
-                if (at := int(state[s])) == _START or (at >= 0 and self._one(at, t)):
-                    state[e], back[e] = t, s
-        short = np.flatnonzero(~long)
-        order = short[np.argsort(place[short], kind="stable")]
-        start, stop, token, cuts = start[order], stop[order], token[order], np.searchsorted(place[order], np.arange(LONG + 2))
+        order = np.argsort(place, kind="stable")
+        start, stop, token, cuts = start[order], stop[order], token[order], np.searchsorted(place[order], np.arange(size.max(initial=0) + 2))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if a == b:
                 continue
@@ -211,9 +202,6 @@ class Automaton:
             here = here[state[here] != _START]
         return state[on], np.concatenate(([0], np.cumsum(on)))[places]
 
-    def _one(self, state: int, token: int) -> bool:
-        return bool(self.accepts(np.array([state]), np.array([token]))[0])
-
 
 class Tokenizer:
     """Reads a tokenizers JSON file with NFC, lower case, a removing split and byte-level BPE with a word end."""
