@@ -44,3 +44,17 @@ def test_means_count_ordered_pairs_of_executions(spark):
     groups = spark.createDataFrame([("p", "x>y", "dominant", 3), ("p", "x>z", "other", 2), ("q", "x", "dominant", 1)], "process_id string, signature string, path_class string, frequency long")
     got = {(r.process_id, r.class_a, r.class_b): (r.pairs, r.mean_levenshtein) for r in discovery.mean_similarities(discovery.similar_pairs(groups)).collect()}
     assert got == {("p", "dominant", "dominant"): (6, 1.0), ("p", "other", "other"): (2, 1.0), ("p", "dominant", "other"): (12, 0.5), ("q", "dominant", "dominant"): (0, None)}
+
+
+def test_common_length_of_long_traces():
+    import random
+    import time
+
+    rng = random.Random(4)
+    make = lambda n: "".join(chr(0x100 + rng.randrange(12)) for _ in range(n))
+    for n, m in ((0, 5), (1, 1), (63, 64), (65, 130), (500, 480)):
+        a, b = make(n), make(m)
+        assert discovery.common_length(a, b) == _common(a, b) == discovery.common_length(b, a)
+    traces, began = [make(500) for _ in range(40)], time.process_time()
+    assert all(discovery.common_length(t, t) == 500 for t in traces)
+    assert time.process_time() - began < 1

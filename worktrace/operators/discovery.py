@@ -5,8 +5,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
+
+from worktrace.operators.tables import written
 
 TRACE = ("session_id", "seg_no")
 
@@ -171,24 +175,39 @@ def coded(groups: DataFrame) -> DataFrame:
     return steps.groupBy(*groups.columns).agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"])).alias("code"))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays: a's steps are folded over b's row of lengths; a row is the
-    running maximum of its cells, so no cell waits for its neighbour."""
-    start = F.transform(b, lambda x: F.lit(0))
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence of two strings, all of a's places at once in the bits of one number (Hyyro's form of
+    the bit-parallel recurrence): a step of b costs a few operations on numbers of len(a) bits."""
+    masks: dict[str, int] = {}
+    for i, x in enumerate(a):
+        masks[x] = masks.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for x in b:
+        met = row & masks.get(x, 0)
+        row = (row + met | row - met) & full
+    return len(a) - row.bit_count()
+
+
+@F.pandas_udf(IntegerType())
+def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    """common_length of coded traces, in Arrow batches."""
+    return pd.Series([common_length(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 
-    def fold(row: Column, step: Column) -> Column:
-        cells = F.transform(b, lambda x, j: F.when(x == step, F.coalesce(F.get(row, j - 1), F.lit(0)) + 1).otherwise(F.get(row, j)))
-        return F.transform(cells, lambda x, j: F.array_max(F.slice(cells, 1, j + 1)))
 
-    return F.coalesce(F.array_max(F.aggregate(a, start, fold)), F.lit(0))
+#: Blocks over which the pairs of one process are dealt.
+BLOCKS = 16
 
 
 def similar_pairs(groups: DataFrame) -> DataFrame:
     """Pairs of distinct signatures of one process, each once (a <= b), with the edit, subsequence and set similarity of their steps. groups:
-    (process_id, signature, path_class, frequency). Executions do not meet: their numbers are weights."""
-    rows = coded(groups)
+    (process_id, signature, path_class, frequency). Executions do not meet: their numbers are weights. The pairs of a process are dealt by
+    blocks of their first signature, so that a large process is no single task."""
+    rows, parts = written(coded(written(groups, "signatures")), "codes"), int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     side = lambda n: rows.select("process_id", *(F.col(c).alias(x) for c, x in (("signature", n), ("path_class", f"c{n}"), ("frequency", f"f{n}"), ("code", f"k{n}"))))
-    pairs = side("a").join(side("b"), "process_id").where("a <= b")
+    left = side("a").withColumn("block", F.pmod(F.xxhash64("a"), F.lit(BLOCKS)).cast("int")).repartition(parts, "process_id", "block")
+    right = side("b").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).repartition(parts, "process_id", "block")
+    pairs = left.join(right.hint("shuffle_hash"), ["process_id", "block"]).where("a <= b")
     p, q = F.split("a", ">"), F.split("b", ">")
     return pairs.select(
         "process_id",
@@ -199,7 +218,7 @@ def similar_pairs(groups: DataFrame) -> DataFrame:
         "fa",
         "fb",
         (1 - F.levenshtein("ka", "kb") / F.greatest(F.length("ka"), F.length("kb"))).alias("levenshtein"),
-        (2 * lcs_length(p, q) / (F.size(p) + F.size(q))).alias("lcs"),
+        (2 * lcs_length("ka", "kb") / (F.length("ka") + F.length("kb"))).alias("lcs"),
         (F.size(F.array_intersect(p, q)) / F.size(F.array_union(p, q))).alias("jaccard"),
     )
 
