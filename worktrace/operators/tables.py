@@ -21,9 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
     return spark._worktrace_tables
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared_dir(spark)}/worktrace-{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The table, written once and read again: what made it is not run anew for each job, nor after the loss of an executor."""
-    path = f"{shared_dir(df.sparkSession)}/worktrace-{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._worktrace_path = path

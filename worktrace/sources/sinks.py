@@ -24,6 +24,14 @@ def write_transitions(transitions: DataFrame, path: str, buckets: int) -> None:
     transitions.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets))).repartition("bucket").write.partitionBy("bucket").parquet(path)
 
 
-def write_views(rows: DataFrame, path: str) -> None:
-    """JSON files by session."""
-    rows.repartition("session_id").write.partitionBy("session_id").json(path)
+def write_executions_csv(executions: DataFrame, path: str) -> None:
+    """Ground-truth executions as CSV with a header, in ranges of (session, start): ISO times, applications joined by a bar."""
+    start, end = (iso_utc(F.col(c)) for c in ("start_ms", "end_ms"))
+    apps = F.when(F.size("apps") > 0, F.concat_ws("|", "apps"))
+    rows = executions.select("session_id", "case_id", "process_code", start.alias("start"), end.alias("end"), F.col("n_events").alias("n"), apps.alias("apps"))
+    rows.repartitionByRange("session_id", "start").sortWithinPartitions("session_id", "start").write.option("header", True).csv(path)
+
+
+def write_views(rows: DataFrame, path: str, order: list[str]) -> None:
+    """One JSON file a session, in a folder of its name, in the given order."""
+    rows.repartition("session_id").sortWithinPartitions("session_id", *order).write.partitionBy("session_id").json(path)
