@@ -209,3 +209,16 @@ def _(s, d):
 def _(s, d):
     table, _ = sv.ready(pairs(s, d), GROUPS["all"], "same", "session_id", FOLDS, PAIR_KEYS)
     return sv.importances(table, GROUPS["all"], trees=TREES, depth=8, balanced=True)
+
+
+# --- one model for each session that is left out -----------------------------------------------------------------------------
+
+
+@plan("m04_left_out_scores")
+def _(s, d):
+    from worktrace.operators import learning as ln
+    from worktrace.operators.left_out import left_out_scores
+    from worktrace.plans import models
+
+    rows = models.second(s, d).select("session_id", "idx", "is_boundary", *ln.SECOND)
+    return left_out_scores(rows, ln.SECOND, "is_boundary", "session_id").select("session_id", "idx", "is_boundary", "score")
