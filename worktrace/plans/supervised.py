@@ -222,3 +222,49 @@ def _(s, d):
 
     rows = models.second(s, d).select("session_id", "idx", "is_boundary", *ln.SECOND)
     return left_out_scores(rows, ln.SECOND, "is_boundary", "session_id").select("session_id", "idx", "is_boundary", "score")
+
+
+# --- feature sets with added evidence ------------------------------------------------------------------------------------------
+
+LEAST_GAPS = 1000
+_BASE = f"""WITH_FOLD AS (SELECT operator, log1p_delta_t_ms AS g, {_hash('session_id')} % {FOLDS} AS own FROM trans JOIN (SELECT DISTINCT session_id, operator FROM canon) USING (session_id)),
+each AS (SELECT k AS fold, operator, g FROM WITH_FOLD JOIN range({FOLDS}) t(k) ON k <> own UNION ALL SELECT k, NULL, g FROM WITH_FOLD JOIN range({FOLDS}) t(k) ON k <> own),
+stats AS (SELECT fold, operator, any_value(m) AS m, median(abs(g - m)) AS d, count(*) AS n FROM (SELECT *, median(g) OVER (PARTITION BY fold, operator) AS m FROM each) GROUP BY fold, operator)
+SELECT CAST(s.fold AS INTEGER) AS fold, s.operator, s.n, round(CASE WHEN s.operator IS NULL OR s.n < {LEAST_GAPS} THEN a.m ELSE s.m END, 9) AS centre, round(greatest(CASE WHEN s.operator IS NULL OR s.n < {LEAST_GAPS} THEN a.d ELSE s.d END, 1e-6), 9) AS spread,
+  CASE WHEN s.operator IS NULL OR s.n < {LEAST_GAPS} THEN 'all' ELSE 'operator' END AS source FROM stats s JOIN stats a ON a.fold = s.fold AND a.operator IS NULL"""
+
+
+def _gaps(s: SparkSession, d: str) -> DataFrame:
+    return base.trans(s, d).join(base.canon(s, d).select("session_id", "operator").distinct(), "session_id")
+
+
+@plan("m08_fold_baselines")
+def _(s, d):
+    from worktrace.operators import feature_sets as fs
+
+    return _r(fs.fold_baselines(_gaps(s, d), FOLDS, LEAST_GAPS), "centre", "spread")
+
+
+ORACLE["m08_fold_baselines"] = sql("SELECT 1 FROM trans JOIN canon").rsplit("\nSELECT", 1)[0] + ",\n" + _BASE
+
+#: Columns that the sets add to both detectors' own.
+ADDED = {"M1": (), "M2A": ("z_log_gap",), "M2B": ("drift", "drift_known"), "M2C": ("z_log_gap", "drift", "drift_known")}
+
+
+@plan("m09_feature_sets")
+def _(s, d):
+    """Both detectors with each set of added columns, by two protocols of thresholds, against the set without any."""
+    from worktrace.operators import feature_sets as fs
+    from worktrace.operators import learning as ln
+    from worktrace.operators import sequence as sq
+    from worktrace.plans import models
+
+    keys = ["session_id", "idx"]
+    words = sq.drift(base.canon(s, d), 10, ("session_id",), "idx", "window_title").select(*keys, F.coalesce("drift", F.lit(0.0)).alias("drift"), F.col("available").cast("double").alias("drift_known"))
+    second = models.second(s, d).select(*keys, *(F.col(c).alias(f"second_{c}") for c in ln.SECOND))
+    rows = base.labelled(s, d).join(base.canon(s, d).select("session_id", "operator").distinct(), "session_id").join(words, keys).join(second, keys)
+    rows = sv.written(rows, "labelled")
+    table = fs.with_z(rows, fs.fold_baselines(rows, FOLDS, LEAST_GAPS), FOLDS)
+    first = fs.set_scores(table, {n: (*ln.FIRST, *more) for n, more in ADDED.items()}, "is_boundary", keys, FOLDS)
+    other = fs.set_scores(table, {n: (*(f"second_{c}" for c in ln.SECOND), *more) for n, more in ADDED.items()}, "is_boundary", keys, FOLDS)
+    return fs.compared_sets(first, other, keys, "M1", (0.6, 0.6), 0.02)
