@@ -515,7 +515,7 @@ def clusters(rows: DataFrame, columns: Sequence[str], sizes: Sequence[int], keep
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    ready = VectorAssembler(inputCols=list(columns), outputCol="features").transform(vectors(rows, columns, keep)).persist()
+    ready = written(VectorAssembler(inputCols=list(columns), outputCol="features").transform(vectors(rows, columns, keep)), "vectors")
     out = None
     for k in sizes:
         part = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(ready).transform(ready).select(*keep, F.lit(k).alias("k"), "cluster")
