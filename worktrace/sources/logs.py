@@ -58,8 +58,8 @@ def events(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return lines.where("v IS NOT NULL"), lines.where("v IS NULL").drop("v")
 
 
-def typed(records: DataFrame) -> DataFrame:
-    """Flat events: the fields that the operators use."""
+def typed(records: DataFrame, *keep: str) -> DataFrame:
+    """Flat events: the fields that the operators use, and the columns to keep."""
     at = lambda path, kind: F.try_variant_get("v", path, kind)
     return records.select(
         at("$.event_id", "string").alias("event_id"),
@@ -73,6 +73,7 @@ def typed(records: DataFrame) -> DataFrame:
         at("$.context.extracted_text.text", "string").alias("text"),
         at("$.correlation.sequence_number", "long").alias("sequence_number"),
         F.coalesce(at("$.correlation.chunk_id", "string"), F.col("chunk_dir")).alias("chunk_id"),
+        *keep,
     )
 
 
