@@ -2,14 +2,15 @@
 
 A page is cut into blocks at block-level tags. A block's features are its words and link density, those of the
 blocks before and after it, and where it stands: inside article or main, outside it, or on a page without; in an
-element that is page furniture by its tag, or by the last word of a class, role or id of its own. A decision tree
-says which blocks are content. It is grown on the blocks of the small labelled pages below, which are cut and
+element, of any kind that ends a block, that is page furniture by its tag, or by the last word of a class, role or id of its own; an
+article or section whose name may as well be its topic is doubtful only. A decision tree says which blocks are content. It is grown on the blocks of the small labelled pages below, which are cut and
 measured by the same code as any page.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -39,11 +40,20 @@ _FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login search form "
     "share sharing social related recommended comment comments reply replies respond disqus discussion pagination pager tags skip".split()
 )
+#: Of these, words that may as well say what an article or section is about.
+_TOPICS = frozenset("social share sharing search legal discussion alert notice tags form side rail banner header copyright advertising login menu".split())
 _CONTENT = frozenset("article main content post entry story body".split())
 #: Words that may follow one that names furniture, as in ad-box; and words before it that say it is elsewhere, as in has-sidebar. Fixed values.
 _PLAIN = frozenset("area bar block box container content group inner item items left link links list panel right section slot top unit bottom wrap wrapper".split())
 _ELSEWHERE = frozenset("has have with without no not hide hidden is show".split())
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Elements whose start ends those open ones without an end tag, up to the list or table that they stand in.
+_SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Elements that hold no other block, so that any of those ends them; those that hold no text; those whose end tag reaches no further.
+_LINES, _VOID, _SCOPES = _HEADINGS | {"p"}, frozenset("area base br col embed hr img input link meta param source track wbr".split()), frozenset(("ul", "ol", "dl", "table"))
+#: How an element is furniture.
+_DOUBTFUL, _BY_FORM, _BY_NAME, _BY_TAG = 1, 2, 3, 4
 
 
 @dataclass
@@ -54,60 +64,113 @@ class Block:
     content: bool
     furniture: bool
     heading: bool
+    doubtful: bool = False
 
 
-def _names_furniture(name: str) -> tuple[bool, bool]:
-    """Whether one class, id or role names (furniture, content)."""
+def _names_furniture(name: str) -> tuple[str | None, bool]:
+    """The word by which one class, id or role names furniture, and whether it names content."""
     words = [w.lower() for w in _NAME.findall(name)]
     content = not _CONTENT.isdisjoint(words)
     if not words or words[0] in _ELSEWHERE:
-        return False, content
+        return None, content
     while len(words) > 1 and words[-1] in _PLAIN and words[-1] not in _FURNITURE:
         words.pop()
-    return words[-1] in _FURNITURE, content
+    return words[-1] if words[-1] in _FURNITURE else None, content
 
 
-def _place(tag: str, attributes: str, content: bool, furniture: int) -> tuple[bool, int]:
-    """(inside content, inside furniture: 0 no, 1 by a form, 2 by a name, 3 by a tag) of what a container holds, given what
-    stands around it. A main element is in no furniture by name, an article in none by a form: such names and forms wrap pages."""
-    bad = named = False
+def _named(tag: str, attributes: str) -> tuple[int, bool]:
+    """(0, _DOUBTFUL or _BY_NAME, whether content is named) by the classes, id and role of an element."""
+    how, content = 0, False
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
         for name in (m[2] or m[3] or m[4] or "").split():
-            of_furniture, of_content = _names_furniture(name)
-            bad, named = bad or (of_furniture and not (of_content and name.lower().endswith("header"))), named or of_content
+            word, of_content = _names_furniture(name)
+            content = content or of_content
+            if word is not None and not (of_content and name.lower().endswith("header")):
+                how = max(how, _DOUBTFUL if tag in ("article", "section") and word in _TOPICS else _BY_NAME)
+    return how, content
+
+
+def _place(tag: str, attributes: str, content: bool, furniture: int) -> tuple[bool, int]:
+    """(inside content, how inside furniture) of what a container holds, given what stands around it. A main element is in no
+    furniture by name, an article in none by a form or a topic: such names and forms wrap pages."""
+    bad, named = _named(tag, attributes)
     if tag in ("body", "html", "main", "header", "form"):
-        bad = False
-    if (tag == "main" and furniture < 3) or (tag == "article" and furniture == 1):
+        bad = 0
+    if (tag == "main" and furniture < _BY_TAG) or (tag == "article" and furniture <= _BY_FORM):
         furniture = 0
-    own = 3 if tag in _FURNITURE_TAGS or (tag == "header" and not content) else 2 if bad else 1 if tag == "form" else 0
-    return content or tag in ("article", "main") or (tag in ("div", "section") and not bad and named), max(furniture, own)
-
-
-def _after_hidden(page: str, name: str, attributes: str, at: int) -> int:
-    """Where a hidden element that was opened before ``at`` ends. Where its end tag is left out, script, style and textarea go to the
-    end of the page, a head to the first tag that may not stand in it, a button to the next one; of others only the tag is hidden."""
-    if attributes.endswith("/") and name not in _RAW:
-        return at
-    if name == "head":
-        for m in _TAG.finditer(page, at):
-            tag = (m[1] or "").lower()
-            if tag == "head":
-                return m.end()
-            if tag and tag not in _IN_HEAD:
-                return m.start()
-        return len(page)
-    end = re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>" if name == "button" else rf"<(/){name}(?=[\s/>])[^>]*>", re.I).search(page, at)
-    if end:
-        return end.end() if end[1] else end.start()
-    return len(page) if name in _RAW else at
+    own = _BY_TAG if tag in _FURNITURE_TAGS or (tag == "header" and not content) else bad or (_BY_FORM if tag == "form" else 0)
+    return content or tag in ("article", "main") or (tag in ("div", "section") and bad < _BY_NAME and named), max(furniture, own)
+
+
+class _Hidden:
+    """Where the hidden elements of a page end. The end tags of a kind are looked up once, so pages with very many elements
+    without an end tag take no longer than others."""
+
+    def __init__(self, page: str):
+        self.page, self.ends = page, {}
+
+    def after(self, name: str, attributes: str, at: int) -> int:
+        """Where an element that was opened before ``at`` ends. Where its end tag is left out, script, style and textarea go to the
+        end of the page, a head to the first tag that may not stand in it, a button to the next one; of others only the tag is hidden."""
+        if attributes.endswith("/") and name not in _RAW:
+            return at
+        if name == "head":
+            for m in _TAG.finditer(self.page, at):
+                tag = (m[1] or "").lower()
+                if tag == "head":
+                    return m.end()
+                if tag and tag not in _IN_HEAD:
+                    return m.start()
+            return len(self.page)
+        if name not in self.ends:
+            tags = re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>" if name == "button" else rf"<(/){name}(?=[\s/>])[^>]*>", re.I)
+            found = [(m.start(), m.end() if m[1] else m.start()) for m in tags.finditer(self.page)]
+            self.ends[name] = [a for a, _ in found], [b for _, b in found]
+        starts, ends = self.ends[name]
+        i = bisect_left(starts, at)
+        return ends[i] if i < len(ends) else len(self.page) if name in _RAW else at
+
+
+class _Open:
+    """The open elements that matter: containers, and others that are furniture by name."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, int]] = []
+        self.count: dict[str, int] = {}
+        self.content, self.furniture = False, 0
+
+    def push(self, name: str, content: bool, furniture: int) -> None:
+        self.stack.append((name, self.content, self.furniture))
+        self.count[name] = self.count.get(name, 0) + 1
+        self.content, self.furniture = content, furniture
+
+    def _cut(self, i: int) -> None:
+        _, self.content, self.furniture = self.stack[i]
+        for name, _, _ in self.stack[i:]:
+            self.count[name] -= 1
+        del self.stack[i:]
+
+    def end(self, names: tuple[str, ...], over: frozenset[str]) -> None:
+        """End the innermost open element of these names, unless one of ``over`` stands between."""
+        if not any(self.count.get(n) for n in names):
+            return
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] in names:
+                return self._cut(i)
+            if self.stack[i][0] in over:
+                return None
+
+    def end_lines(self) -> None:
+        if self.stack and self.stack[-1][0] in _LINES:
+            self._cut(len(self.stack) - 1)
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order; blocks without text are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []
+    inside, hidden = _Open(), _Hidden(page)
     parts: list[tuple[str, bool]] = []
-    content, furniture, link, heading = False, 0, False, False
+    link, heading = False, False
     at, n = 0, len(page)
 
     def close() -> None:
@@ -120,7 +183,7 @@ def blocks_of(page: str) -> list[Block]:
             linked += count * in_link
         parts.clear()
         if words:
-            out.append(Block(" ".join("".join(texts).split()), words, linked, content, furniture > 0, heading))
+            out.append(Block(" ".join("".join(texts).split()), words, linked, inside.content, inside.furniture > _DOUBTFUL, heading, inside.furniture == _DOUBTFUL))
 
     while at < n:
         m = _TAG.search(page, at)
@@ -137,24 +200,26 @@ def blocks_of(page: str) -> list[Block]:
             if name not in _WITHIN:
                 close()
             if not closing:
-                at = _after_hidden(page, name, m[2], at)
+                at = hidden.after(name, m[2], at)
             continue
         if name == "a":
             link = not closing
         if name in _INLINE:
             continue
         close()
+        heading = not closing and name in _HEADINGS
+        if name in _VOID:
+            continue
+        if closing:
+            inside.end((name,), frozenset() if name in _CONTAINERS else _CONTAINERS if name in _LINES else _SCOPES)
+            continue
+        inside.end_lines()
+        if name in _SIBLINGS:
+            inside.end(_SIBLINGS[name], _SCOPES)
         if name in _CONTAINERS:
-            if closing:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        _, content, furniture = stack[i]
-                        del stack[i:]
-                        break
-            else:
-                stack.append((name, content, furniture))
-                content, furniture = _place(name, m[2], content, furniture)
-        heading = not closing and name in ("h1", "h2", "h3", "h4", "h5", "h6")
+            inside.push(name, *_place(name, m[2], inside.content, inside.furniture))
+        elif m[2] and _named(name, m[2])[0]:
+            inside.push(name, inside.content, max(inside.furniture, _BY_NAME))
     close()
     return out
 
@@ -172,6 +237,11 @@ LABELLED_PAGES = (
     "<article><h1>+5</h1><p>+300</p></article><article class=comment><p>28</p></article><article class=comment><p>7</p></article><footer><p>35</p></footer>",
     "<article><h1>+2</h1><p><a>+1</a></p><p>+3</p><p><a>+2</a></p><p>+6</p><ul><li><a>+1</a><li><a>+3</a></ul><p>+1</p><p><a>+2</a></p><p>+9</p><p><a>+1</a></p></article><nav><a>1</a><a>2</a></nav>",
     "<main><h2>+4</h2><p><a>+2</a></p><p>+2</p><table><td><a>+1</a><td>+8<td><a>+1</a><td>+5<td><a>+4</a></table><h2>+1</h2><p><a>+6</a></p><p>+7</p><p><a>+3</a></p></main><div>8</div><div><a>2</a></div><div>3</div>",
+    # articles and sections with a name that may be their topic, and lines that are furniture by name
+    "<nav><a>1</a><a>2</a></nav><article class=tags><h1>+6</h1><p>+80</p><p>+40 <a>3</a></p><p>+9</p><p class=share-links><a>1</a> <a>1</a></p></article><footer>9</footer>",
+    "<article><h1>+5</h1><p>+60</p><section class='news social'><h2>+3</h2><p>+70</p><p>+24</p><p>+12 <a>1</a></p></section><section class=social><a>1</a><a>1</a><a>2</a></section><p>+33</p><p class=advert>30</p><p>+8</p></article>",
+    "<article class=search><h2>+4</h2><p>+2</p><p>+55</p><ul><li>+6<li>+9<li class=comment>40</ul></article><section class=share>3 <a>2</a><br><a>1</a></section>",
+    "<main><p>+30</p><section class='legal'><p>+64</p><p>+18 <a>2</a></p><p>+5</p></section><section class=tags><a>1</a> <a>1</a> <a>1</a></section><ol><li class='comment odd'><p>20</p><p>31</p></li></ol></main>",
     # containers named as content
     "<div class=menu><a>1</a><a>2</a><a>1</a></div><div class=post-content><h2>+7</h2><p>+45</p><p>+6</p><p>+80 <a>2</a></p></div><div class=sidebar><h3>2</h3><p>40</p><a>4</a></div><div class=footer>10</div>",
     "<div id=content><p>+10</p><p>+3 <a>9</a></p><p>+65</p><div class=ad-box>30</div><p>+15</p></div><div class=comments><p>50</p><p>12</p></div>",
@@ -246,7 +316,7 @@ def features(blocks: list[Block]) -> np.ndarray:
     before = lambda x: np.concatenate(([0.0], x[:-1]))
     after = lambda x: np.concatenate((x[1:], [0.0]))
     outside = -1.0 if any(b.content for b in blocks) else 0.0
-    flags = np.array([(1.0 if b.content else outside, b.furniture, b.heading) for b in blocks], dtype=float)
+    flags = np.array([(1.0 if b.content else outside, b.furniture + 0.5 * b.doubtful, b.heading) for b in blocks], dtype=float)
     return np.column_stack((words, density, before(words), before(density), after(words), after(density), flags))
 
 
