@@ -74,9 +74,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from rows whose crc32(doc_id as text) mod 5 is not 0; the others are marked held_out."""
     from worktrace.llm.toxicity import score_toxicity
 
-    return score_toxicity(_docs(spark, sf_dir), _labels(spark, sf_dir))
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    return score_toxicity(_docs(spark, sf_dir), _labels(spark, sf_dir), learn=part != 0).withColumn("held_out", part == 0)
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

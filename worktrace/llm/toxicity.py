@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from worktrace.llm.store import forget, keep
 from worktrace.llm.subwords import drawn
 from worktrace.llm.text import ALNUM, Words, chunks, ragged, slice_hashes, words_of
 
@@ -90,39 +91,60 @@ def distinct_features(column: pa.Array) -> list[np.ndarray]:
 
 
 def train(rows: list[np.ndarray], toxic: list[int], steps: int = 400, penalty: float = 1e-5) -> OrdinalModel:
-    """rows: the distinct features of labelled texts."""
-    y = np.array(toxic)
-    none = np.zeros(0, np.uint64)
-    flat = OrdinalModel(none, np.zeros(0), np.linspace(6, 8, GRADES - 1), _known(none))
-    if not len(y) or y.min() == y.max():
-        return flat
-    # document frequencies of all features, by label
+    """rows: the distinct features of labelled texts. All of them at once: for texts that the caller holds."""
+    y, none = np.array(toxic), np.zeros(0, np.uint64)
     clean, marked = (np.unique(np.concatenate([none, *(r for r, mark in zip(rows, y, strict=True) if mark == label)]), return_counts=True) for label in (0, 1))
     names = np.union1d(clean[0], marked[0])
     n0, n1 = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
     for n, (values, counts) in ((n0, clean), (n1, marked)):
         n[np.searchsorted(names, values)] = counts
-    m1, m0 = int(y.sum()), int((1 - y).sum())
+    m1, m0 = int(y.sum()), int(len(y) - y.sum())
+    z = _z(n0, n1, max(1, m0), max(1, m1))
+    best = np.argsort(-np.abs(z), kind="stable")[:FEATURES]
+    best = np.sort(best[np.abs(z[best]) >= LEAST_Z])  # by hash, as names are
+    at = [np.flatnonzero(np.isin(names[best], r, assume_unique=True)) for r in rows]
+    return fit(names[best], z[best] > 0, at, y, steps, penalty)
+
+
+def _z(n0: np.ndarray, n1: np.ndarray, m0: int, m1: int) -> np.ndarray:
+    """z values of the differences in document frequency among m0 clean and m1 toxic texts; texts differ in length and so in how
+    many common words they have, so that only marked differences count, others are 0."""
     pooled = (n0 + n1) / (m0 + m1)
     z = (n1 / m1 - n0 / m0) / np.sqrt(pooled * (1 - pooled) * (1 / m0 + 1 / m1) + 1e-12)
-    # texts differ in length and so in how many common words they have: only marked differences count
     odds = ((n1 + 0.5) / (m1 + 1)) / ((n0 + 0.5) / (m0 + 1))
-    z[(odds < LEAST_RATIO) & (odds > 1 / LEAST_RATIO)] = 0
-    best = np.argsort(-np.abs(z), kind="stable")[:FEATURES]
-    best = best[np.abs(z[best]) >= LEAST_Z]
-    best = np.sort(best)  # by hash, as names are
-    if not len(best):
+    return np.where((odds < LEAST_RATIO) & (odds > 1 / LEAST_RATIO), 0.0, z)
+
+
+def telling(features: DataFrame, m0: int, m1: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, whether each marks toxic texts) of the FEATURES most telling features of features(label, features array<long>), in
+    order of the hash without sign. Counted by Spark, with partial sums; only those that are kept come to the driver."""
+    counts = features.select("label", F.explode("features").alias("f")).groupBy("f").agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
+    n0, n1 = F.col("n0"), F.col("n1")
+    pooled = (n0 + n1) / (m0 + m1)
+    z = (n1 / m1 - n0 / m0) / F.sqrt(pooled * (1 - pooled) * (1 / m0 + 1 / m1) + 1e-12)
+    odds = ((n1 + 0.5) / (m1 + 1)) / ((n0 + 0.5) / (m0 + 1))
+    marked = counts.withColumn("z", z).where((F.abs("z") >= LEAST_Z) & ((odds >= LEAST_RATIO) | (odds <= 1 / LEAST_RATIO)))
+    best = marked.orderBy(F.desc(F.abs("z")), F.col("f") < 0, "f").limit(FEATURES).select("f", "z").toArrow()
+    hashes = best.column("f").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], best.column("z").to_numpy()[order] > 0
+
+
+def fit(hashes: np.ndarray, marking: np.ndarray, at: list[np.ndarray], y: np.ndarray, steps: int = 400, penalty: float = 1e-5) -> OrdinalModel:
+    """hashes: kept features, sorted, and whether each marks toxic texts; at: places in hashes of each text's features; y: toxic or not."""
+    none = np.zeros(0, np.uint64)
+    flat = OrdinalModel(none, np.zeros(0), np.linspace(6, 8, GRADES - 1), _known(none))
+    if not len(y) or y.min() == y.max() or not len(hashes):
         return flat
-    model = OrdinalModel(names[best], np.zeros(len(best)), np.zeros(GRADES - 1), _known(names[best]))
-    at = [np.flatnonzero(np.isin(names[best], r, assume_unique=True)) for r in rows]
-    doc, feature = np.repeat(np.arange(len(rows)), list(map(len, at))), np.concatenate(at)
+    m1, m0 = int(y.sum()), int((1 - y).sum())
+    model = OrdinalModel(hashes, np.zeros(len(hashes)), np.zeros(GRADES - 1), _known(hashes))
+    doc, feature = np.repeat(np.arange(len(at)), list(map(len, at))), np.concatenate(at)
     # grades of toxic texts: equal parts by the number of different marking features
-    marking = z[best] > 0
     markers = np.bincount(doc, weights=marking[feature], minlength=len(y))
     cuts = np.quantile(markers[y == 1], np.linspace(0, 1, GRADES)[1:-1])
     grade = np.where(y == 1, 1 + np.searchsorted(cuts, markers, side="right"), 0)
     # gradient descent on the cumulative-link likelihood; thresholds stay ordered through their log gaps
-    w, first, gaps = np.zeros(len(best)), np.log(m0 / m1), np.zeros(GRADES - 2)
+    w, first, gaps = np.zeros(len(hashes)), np.log(m0 / m1), np.zeros(GRADES - 2)
     memory = [np.full_like(w, 1e-8), 1e-8, np.full_like(gaps, 1e-8)]
     for _ in range(steps):
         cut = first + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
@@ -133,7 +155,7 @@ def train(rows: list[np.ndarray], toxic: list[int], steps: int = 400, penalty: f
         d_high, d_low = high * (1 - high) / chance, low * (1 - low) / chance
         d_high[grade == GRADES - 1] = 0
         by_cut = np.array([(d_high * (grade == k) - d_low * (grade == k + 1)).sum() for k in range(GRADES - 1)]) / len(y)
-        d_w = np.bincount(feature, weights=(d_low - d_high)[doc], minlength=len(best)) / len(y) - penalty * w
+        d_w = np.bincount(feature, weights=(d_low - d_high)[doc], minlength=len(hashes)) / len(y) - penalty * w
         d_first, d_gaps = by_cut.sum(), np.array([by_cut[k + 1 :].sum() * np.exp(gaps[k]) for k in range(GRADES - 2)])
         for i, g in enumerate((d_w, d_first, d_gaps)):
             memory[i] = memory[i] + g * g
@@ -161,16 +183,36 @@ def _trained(docs: DataFrame, labels: DataFrame, learn: Column | None = None, te
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), values], names=["h", "label", "features"])
 
     spark = docs.sparkSession
-    table = taken.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "h long, label int, features array<long>").toArrow().sort_by([("h", "ascending"), ("label", "ascending")]).combine_chunks()
-    rows = [table.column("features")[i].values.to_numpy().view(np.uint64) for i in range(table.num_rows)]
-    return spark.sparkContext.broadcast(train(rows, table.column("label").to_pylist()))
+    spread = taken.repartition(spark.sparkContext.defaultParallelism)
+    table = keep(spread.mapInArrow(run, "h long, label int, features array<long>"), "toxicity")
+    sizes = {r.label: r.n for r in table.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
+        forget(table)
+        return spark.sparkContext.broadcast(train([], []))
+    hashes, marking = telling(table, sizes[0], sizes[1])
+
+    def known_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(2).flatten().to_numpy().view(np.uint64)
+            row = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy())
+            place = np.minimum(np.searchsorted(hashes, values), max(0, len(hashes) - 1))
+            hit = hashes[place] == values if len(hashes) else np.zeros(len(values), bool)
+            kept = ragged(place[hit].astype(np.int32), np.bincount(row[hit], minlength=batch.num_rows), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), kept], names=["h", "label", "places"])
+
+    found = table.mapInArrow(known_places, "h long, label int, places array<int>").toArrow().sort_by([("h", "ascending"), ("label", "ascending")]).combine_chunks()
+    forget(table)
+    places = found.column("places")
+    at = [np.sort(places[i].values.to_numpy()) for i in range(found.num_rows)]
+    return spark.sparkContext.broadcast(fit(hashes, marking, at, found.column("label").to_numpy()))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, texts_from: DataFrame | None = None, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, severity (expected grade), grade (likeliest), toxic_score (chance of a grade
     over 0), toxic (whether that reaches the model's threshold).
 
-    Learns from about TRAIN_ROWS labelled rows at most, of any length, of ``texts_from`` (docs unless given) that meet
+    Learns from about TRAIN_ROWS labelled rows at most, of any length (the driver gets FEATURES features and, of each row, which of them
+    it has: 80 MB at most), of ``texts_from`` (docs unless given) that meet
     ``learn``, a condition on doc_id. Ids are cast to long. Null and empty texts have no features and get the base rate; null ids are scored and
     not learned from; labels other than 0 and 1 are not learned; without labels of both kinds every text is
     held to be clean. Repeated rows are scored each; other columns are not read.
