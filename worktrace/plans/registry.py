@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worktrace.operators import discovery
-from worktrace.plans import audits, comparisons, models, processes, published, sequences, streams, studies, supervised
+from worktrace.plans import audits, comparisons, models, processes, published, sequences, streams, studies, supervised, whole_audit
 
-MODULES = [sequences, processes, audits, models, studies, comparisons, supervised, published, streams]
+MODULES = [sequences, processes, audits, models, studies, comparisons, supervised, published, streams, whole_audit]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
 
