@@ -103,3 +103,29 @@ def _(s, d):
     text = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias(c)
     out = _profiles(s, d)
     return out.select("session_id", "n_chunks", "n_events", F.round("duration_s", 6).alias("duration_s"), "n_text", F.round("text_rate", 9).alias("text_rate"), "has_ground_truth", text("by_event_type"), text("by_layer"), text("by_application"))
+
+
+#: Signals by name, and within how many ms of a point they count. Fixed values.
+SIGNALS = {"error": "event_type = 'error'", "purchase": "event_type = 'purchase'", "clipboard_or_input": "interaction_category IN ('clipboard', 'input')", "noise_app": "application = 'app3'", "never": "event_type = 'none'"}
+NEAR_MS = 12 * fx.HOUR
+
+
+def _signal_sql(name: str, condition: str) -> str:
+    points = f"SELECT p.session_id, p.at_ms, any_value(p.is_resume) AS r, coalesce(min(abs(c.timestamp_ms - p.at_ms)) <= {NEAR_MS}, false) AS hit FROM points p LEFT JOIN canon c ON c.session_id = p.session_id AND {condition} GROUP BY p.session_id, p.at_ms"
+    events = f"SELECT c.session_id, c.idx, any_value(coalesce({condition}, false)) AS has, min(abs(c.timestamp_ms - p.at_ms)) AS d FROM canon c LEFT JOIN points p ON c.session_id = p.session_id GROUP BY c.session_id, c.idx"
+    near = f"coalesce(d <= {NEAR_MS}, false)"
+    return f"""SELECT '{name}' AS signal, * REPLACE (round(lift, 9) AS lift) FROM
+(SELECT *, CASE WHEN interior > 0 THEN near / interior END AS lift, round(near, 9) AS near_rate, round(interior, 9) AS interior_rate FROM (SELECT count(*) AS n_events, count(*) FILTER (has) AS n_signal_events, count(*) FILTER (has AND {near}) AS n_aligned, count(*) FILTER (has AND NOT {near}) AS n_unaligned,
+ round(coalesce(count(*) FILTER (has AND {near}) / nullif(count(*) FILTER (has), 0), 0), 9) AS "precision", round(avg(d) FILTER (has AND {near}), 3) AS distance_mean, median(d) FILTER (has AND {near}) AS distance_median,
+ coalesce(count(*) FILTER (has AND {near}) / nullif(count(*) FILTER ({near}), 0), 0) AS near, coalesce(count(*) FILTER (has AND NOT {near}) / nullif(count(*) FILTER (NOT {near}), 0), 0) AS interior FROM ({events}))),
+(SELECT count(*) AS n_sessions_with_points, CAST(sum(n) AS BIGINT) AS n_points, CAST(sum(r) AS BIGINT) AS n_resumed, round(sum(h) / sum(n), 9) AS coverage, round(1 - sum(h) / sum(n), 9) AS missed, round(sum(rh) / nullif(sum(r), 0), 9) AS resumed_coverage, round((sum(h) - sum(rh)) / nullif(sum(n) - sum(r), 0), 9) AS normal_coverage,
+ round(avg(h / n), 9) AS session_coverage_mean, round(stddev_pop(h / n), 9) AS session_coverage_std, round(min(h / n), 9) AS session_coverage_min, round(max(h / n), 9) AS session_coverage_max FROM (SELECT session_id, count(*) AS n, count(*) FILTER (hit) AS h, count(*) FILTER (r) AS r, count(*) FILTER (hit AND r) AS rh FROM ({points}) GROUP BY 1))"""
+
+
+@plan("v04_signals", " UNION ALL ".join(f"SELECT * EXCLUDE (near, interior) FROM ({_signal_sql(n, c)})" for n, c in SIGNALS.items()))
+def _(s, d):
+    from worktrace.operators import signals
+
+    out = signals.evaluated(base.canon(s, d), base.points(s, d), {n: F.expr(c) for n, c in SIGNALS.items()}, NEAR_MS)
+    ratios = ["precision", "near_rate", "interior_rate", "lift", "coverage", "missed", "resumed_coverage", "normal_coverage", *(f"session_coverage_{x}" for x in ("mean", "std", "min", "max"))]
+    return out.withColumns({c: F.round(c, 9) for c in ratios} | {"distance_mean": F.round("distance_mean", 3)})
