@@ -38,7 +38,7 @@ def _rows(names, rows):
     return sorted((tuple(_plain(r[i]) for i in order) for r in rows), key=repr)
 
 
-FAST = [n for n in registry.ORACLE if n[0] in "fwjbelkax" or n in ("v14_eight_gates", "v24_split_gaps", "v18_protected_by_source", "v19_aucs", "v19_composition", "v21_cluster_comparison", "v22_protection_sweep", "v23_strata", "p18_trace_similarity", "m07_motifs", "p03_follows", "p05_variants", "s04_opportunity", "s05_pareto", "v01_boundary_metrics", "v02_execution_metrics", "v08_auc", "g01_executions_from_log", "g04_continuity_labels", "q01_missingness", "q16_cleaning", "q20_health", "q_whole_audit", "v04_signals", "q17_session_profiles", "m06_held_out_choice", "m14_agreement")]
+FAST = [n for n in registry.ORACLE if n[0] in "fwjbelkax" or n in ("v14_eight_gates", "v24_split_gaps", "v18_protected_by_source", "v19_aucs", "v19_composition", "v21_cluster_comparison", "v22_protection_sweep", "v23_strata", "p18_trace_similarity", "m07_motifs", "p03_follows", "p05_variants", "s04_opportunity", "s05_pareto", "v01_boundary_metrics", "v02_execution_metrics", "v08_auc", "g01_executions_from_log", "g04_continuity_labels", "q01_missingness", "q16_cleaning", "q20_health", "q_whole_audit", "v04_signals", "v17_forensics", "q17_session_profiles", "m06_held_out_choice", "m14_agreement")]
 
 
 @pytest.mark.parametrize("name", FAST)

@@ -218,3 +218,22 @@ def average_precision(values: DataFrame, value: str, truth: str, by: Sequence[st
     summed = running_sums(each, by, value, {"tp": "pos", "fp": "neg"}, descending=True)
     part = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
     return summed.groupBy(*by).agg(F.try_divide(part, F.sum("pos")).alias("average_precision"))
+
+
+def boundary_forensics(judged: DataFrame, cases: DataFrame, changes: Sequence[str]) -> DataFrame:
+    """What kinds of hits and errors look like: per kind (true, missed, quiet, false_inside an execution, false_noise) its number, the executions
+    that it occurs in, the most in one execution, the share of each change and the mean log pause.
+
+    judged: transitions with is_boundary, predicted, delta_t_ms and the changes; cases: (session_id, idx, case_id) of the events. A
+    transition is inside an execution if the events on both sides are of it. Two aggregates, the second over executions.
+    """
+    w = Window.partitionBy("session_id").orderBy("idx")
+    inside = cases.select("session_id", "idx", F.when(F.col("case_id") == F.lead("case_id").over(w), F.col("case_id")).alias("case_id"))
+    false = F.when(F.col("case_id").isNotNull(), "false_inside").otherwise("false_noise")
+    kind = F.when(F.col("predicted"), F.when(F.col("is_boundary"), "true").otherwise(false)).otherwise(F.when(F.col("is_boundary"), "missed").otherwise("quiet"))
+    rows = judged.join(inside, ["session_id", "idx"], "left").withColumn("kind", kind)
+    each = rows.groupBy("kind", "case_id").agg(F.count("*").alias("n"), F.sum(F.log1p(F.greatest("delta_t_ms", F.lit(0)))).alias("pause"), *(F.count_if(c).alias(c) for c in changes))
+    own = F.when(F.col("case_id").isNotNull(), F.col("n"))
+    return each.groupBy("kind").agg(
+        F.sum("n").alias("n_"), F.count("case_id").alias("n_executions"), F.coalesce(F.max(own), F.lit(0)).alias("most_in_one"), (F.sum("pause") / F.sum("n")).alias("mean_log_pause"), *((F.sum(c) / F.sum("n")).alias(f"share_{c}") for c in changes)
+    ).withColumnRenamed("n_", "n")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from worktrace import fixtures as fx
 from worktrace.operators import audit
+from worktrace.operators import evaluation as ev
+from worktrace.plans import processes
 from worktrace.plans import sequences as base
 from worktrace.plans.oracle import sql
 
@@ -129,3 +131,13 @@ def _(s, d):
     out = signals.evaluated(base.canon(s, d), base.points(s, d), {n: F.expr(c) for n, c in SIGNALS.items()}, NEAR_MS)
     ratios = ["precision", "near_rate", "interior_rate", "lift", "coverage", "missed", "resumed_coverage", "normal_coverage", *(f"session_coverage_{x}" for x in ("mean", "std", "min", "max"))]
     return out.withColumns({c: F.round(c, 9) for c in ratios} | {"distance_mean": F.round("distance_mean", 3)})
+
+
+CHANGES = ("application_changed", "window_title_changed", "browser_domain_changed", "interaction_category_changed")
+_KINDS = f"SELECT l.*, i.case_id, CASE WHEN predicted AND is_boundary THEN 'true' WHEN predicted AND i.case_id IS NOT NULL THEN 'false_inside' WHEN predicted THEN 'false_noise' WHEN is_boundary THEN 'missed' ELSE 'quiet' END AS kind FROM ({processes.PRED}) l LEFT JOIN (SELECT session_id, idx, CASE WHEN case_id = lead(case_id) OVER (PARTITION BY session_id ORDER BY idx) THEN case_id END AS case_id FROM cased) i USING (session_id, idx)"
+
+
+@plan("v17_forensics", f"SELECT kind, CAST(sum(n) AS BIGINT) AS n, count(case_id) AS n_executions, coalesce(max(n) FILTER (case_id IS NOT NULL), 0) AS most_in_one, round(sum(p) / sum(n), 6) AS mean_log_pause, {', '.join(f'round(sum(s{i}) / sum(n), 9) AS share_{c}' for i, c in enumerate(CHANGES))} FROM (SELECT kind, case_id, count(*) AS n, sum(ln(1 + greatest(delta_t_ms, 0))) AS p, {', '.join(f'count(*) FILTER ({c}) AS s{i}' for i, c in enumerate(CHANGES))} FROM ({_KINDS}) GROUP BY kind, case_id) GROUP BY kind")
+def _(s, d):
+    out = ev.boundary_forensics(processes.truth(s, d), base.cased(s, d).select("session_id", "idx", "case_id"), CHANGES)
+    return out.withColumns({"mean_log_pause": F.round("mean_log_pause", 6)} | {f"share_{c}": F.round(f"share_{c}", 9) for c in CHANGES})
