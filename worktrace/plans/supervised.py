@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worktrace import fixtures as fx
+from worktrace.operators import density as dn
 from worktrace.operators import supervised as sv
+from worktrace.operators.tables import written
 from worktrace.plans import sequences as base
 from worktrace.plans.oracle import sql
 
@@ -268,3 +270,59 @@ def _(s, d):
     first = fs.set_scores(table, {n: (*ln.FIRST, *more) for n, more in ADDED.items()}, "is_boundary", keys, FOLDS)
     other = fs.set_scores(table, {n: (*(f"second_{c}" for c in ln.SECOND), *more) for n, more in ADDED.items()}, "is_boundary", keys, FOLDS)
     return fs.compared_sets(first, other, keys, "M1", (0.6, 0.6), 0.02)
+
+
+# --- density clusters of executions ------------------------------------------------------------------------------------------
+
+#: Radii in deviations of the standardised columns, and least neighbourhoods.
+RADII, NEIGHBOURS = [1.0, 2.0, 3.0], [5, 10, 15, 20]
+
+
+def _work(columns: list[str]) -> list[str]:
+    """Columns of how an execution is worked that do not name places: lengths as logarithms."""
+    return [c for c in columns if c not in ("duration_ms", "n_events", "per_second")]
+
+
+def _density(s: SparkSession, d: str) -> DataFrame:
+    """Both sets of vectors by all settings: behaviour alone, and with the applications and domains (which give the process away)."""
+    rows, behaviour, identity = executions(s, d)
+    rows = written(rows, "executions")
+    sets = {"behaviour": _work(behaviour), "with_identity": _work(behaviour) + identity}
+    parts = [dn.density_clusters(dn.standard_vectors(rows, columns, ["case_id"]), "case_id", RADII, NEIGHBOURS).select(F.lit(name).alias("vectors"), "*") for name, columns in sets.items()]
+    return parts[0].unionAll(parts[1]).join(rows.select("case_id", "process_code"), "case_id")
+
+
+def _near(columns: list[str]) -> str:
+    """Rows within each radius of each row, in SQL, over the table v of vectors."""
+    far = " + ".join(f"pow(a.{c} - b.{c}, 2)" for c in columns)
+    scaled = ", ".join(f"CASE WHEN stddev_pop({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE 0 END AS {c}" for c in columns)
+    return f"SELECT a.case_id, b.case_id AS other, sqrt({far}) AS away FROM (SELECT case_id, {scaled} FROM v) a, (SELECT case_id, {scaled} FROM v) b WHERE {far} <= {max(RADII) ** 2}"
+
+
+_BEHAVIOUR = (
+    [f"cat_{v}" for v in fx.CATEGORIES.values()] + ["n_categories"] + [f"type_{v}" for v in fx.CATEGORIES]
+    + ["n_types", "manual_share", "text_share", "n_applications", "n_switches", "n_titles", "log1p_duration"]
+)
+_IDENTITY = [f"app_app{v}" for v in range(4)] + [f"domain_127_0_0_1_{v}" for v in (5130, 5131, 5132)]
+
+
+def _kinds(name: str, columns: list[str]) -> str:
+    settings = "SELECT * FROM (VALUES " + ", ".join(f"(CAST({r} AS DOUBLE), {m})" for r in RADII for m in NEIGHBOURS) + ") t(radius, least)"
+    return f"""SELECT '{name}' AS vectors, case_id, radius, least, n_near, CASE WHEN n_near >= least THEN 'core' WHEN beside THEN 'border' ELSE 'noise' END AS kind FROM (
+  SELECT p.radius, g.least, p.case_id, any_value(c.n_near) AS n_near, bool_or(o.n_near >= g.least) AS beside
+  FROM (SELECT r.radius, w.case_id, w.other FROM near_{name} w JOIN (SELECT DISTINCT radius FROM ({settings})) r ON w.away <= r.radius) p
+  JOIN count_{name} c ON c.radius = p.radius AND c.case_id = p.case_id JOIN count_{name} o ON o.radius = p.radius AND o.case_id = p.other JOIN ({settings}) g ON g.radius = p.radius GROUP BY ALL)"""
+
+
+def _counts(name: str) -> str:
+    return f"count_{name} AS (SELECT radius, case_id, count(*) AS n_near FROM near_{name}, (SELECT unnest({RADII}) AS radius) WHERE away <= radius GROUP BY ALL)"
+
+
+@plan("m13_density_points", f"SELECT * FROM (WITH v AS ({VECTORS}), near_behaviour AS ({_near(_BEHAVIOUR)}), near_with_identity AS ({_near(_BEHAVIOUR + _IDENTITY)}), {_counts('behaviour')}, {_counts('with_identity')} {_kinds('behaviour', _BEHAVIOUR)} UNION ALL {_kinds('with_identity', _BEHAVIOUR + _IDENTITY)})")
+def _(s, d):
+    return _density(s, d).select("vectors", "case_id", "radius", "least", "n_near", "kind")
+
+
+@plan("m13_density_report")
+def _(s, d):
+    return _r(dn.density_report(_density(s, d), ["vectors", "radius", "least"], "cluster", "process_code"), "ari", "nmi", "noise_share")
