@@ -137,6 +137,29 @@ def test_counts_of_pieces_add_up():
     assert (learning._gaussian_hmm(x, 3, 5, 1) == learning._gaussian_hmm(x, 3, 5, 1)).all()
 
 
+def test_sessions_fitted_together_have_the_states_of_their_own(spark):
+    """Many sessions of many lengths, in step, against one after the other by the model of a single one."""
+    rng = np.random.default_rng(8)
+    xs = [np.column_stack((rng.normal(3 * (np.arange(n) // 9 % 3), 1.0), rng.normal(size=n))) for n in [1, 5, 6, 7, 400, *rng.integers(1, 90, 60)]]
+    want = []
+    for x in xs:
+        model, last = learning._Hmm.first(x[np.linspace(0, len(x) - 1, 3).astype(int)], x.var(axis=0), 7), -np.inf
+        for _ in range(12 if len(x) >= 6 else 0):
+            counts, likelihood = model.counts(x, None, np.ones(3))
+            model = model.estimated(counts)
+            if learning._stands_still(likelihood, last):
+                break
+            last = likelihood
+        want.append(model.states(x, None, None) if len(x) >= 6 else np.zeros(len(x), dtype=int))
+    for at_once in (1, 500, 32768):
+        got = learning._hmm_states(xs, 3, 12, 7, at_once)
+        assert all((a == b).all() for a, b in zip(got, want, strict=True))
+
+    rows = _changing(spark, 300)
+    few, many = ({(r.session_id, r.k, r.idx): r.boundary for r in learning.hmm_boundaries(rows, ["gap", "pace"], [2, 3], rounds=12, places_at_once=m).collect()} for m in (1, 10_000))
+    assert few == many and len(few) == 2 * (300 + 293)
+
+
 @pytest.mark.parametrize("most", [5, 25, 1000])
 def test_cuts_of_long_sessions_are_those_of_the_whole(spark, most):
     rng = np.random.default_rng(8)

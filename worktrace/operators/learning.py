@@ -252,27 +252,122 @@ def _stands_still(now: float, last: float) -> bool:
     return abs(now - last) < 1e-4 * max(1.0, abs(last))
 
 
+@dataclass
+class _Hmms:
+    """Diagonal Gaussian HMMs of many sessions, the sessions along the last axis: ``_Hmm`` for all of them at once."""
+
+    start: np.ndarray
+    step: np.ndarray
+    mean: np.ndarray
+    var: np.ndarray
+
+    @classmethod
+    def first(cls, sessions: Sequence[np.ndarray], k: int, seed: int) -> _Hmms:
+        each = [_Hmm.first(x[np.linspace(0, len(x) - 1, k).astype(int)], x.var(axis=0), seed) for x in sessions]
+        return cls(*(np.stack([getattr(m, f) for m in each], axis=-1) for f in ("start", "step", "mean", "var")))
+
+    def only(self, keep: np.ndarray) -> _Hmms:
+        return _Hmms(*(np.ascontiguousarray(v[..., keep]) for v in (self.start, self.step, self.mean, self.var)))
+
+    def put(self, at: np.ndarray, other: _Hmms) -> None:
+        for f in ("start", "step", "mean", "var"):
+            getattr(self, f)[..., at] = getattr(other, f)
+
+    def log_emission(self, x: np.ndarray) -> np.ndarray:
+        """places x states x sessions"""
+        out = np.log(self.var).sum(axis=1)
+        for i in range(x.shape[1]):
+            out = out + (x[:, i, None] - self.mean[:, i]) ** 2 / self.var[:, i]
+        return -0.5 * out
+
+    def estimated(self, x: np.ndarray, n: np.ndarray) -> tuple[_Hmms, np.ndarray]:
+        """(the next estimate, log likelihood under this one). x: places x columns x sessions of falling lengths n, 0 beyond them."""
+        t_all, k = len(x), len(self.start)
+        live = n > np.arange(t_all)[:, None]
+        there = live.sum(axis=1)  # the first sessions, as lengths fall
+        log_b = self.log_emission(x)
+        top = log_b.max(axis=1)
+        b = np.exp(log_b - top[:, None]) + 1e-12
+        alpha, beta, scale = np.zeros_like(b), np.full_like(b, 1 / k), np.ones_like(top)
+        for t in range(t_all):
+            s = there[t]
+            a = (np.einsum("is,ijs->js", alpha[t - 1, :, :s], self.step[:, :, :s]) if t else self.start) * b[t, :, :s]
+            scale[t, :s] = a.sum(axis=0)
+            alpha[t, :, :s] = a / scale[t, :s]
+        for t in range(t_all - 2, -1, -1):
+            s = there[t + 1]
+            v = np.einsum("ijs,js->is", self.step[:, :, :s], b[t + 1, :, :s] * beta[t + 1, :, :s])
+            beta[t, :, :s] = v / v.sum(axis=0)
+        gamma = alpha * beta
+        held = gamma.sum(axis=1)
+        weight = np.where(live[1:], scale[1:] * held[1:], np.inf)  # chance of a step's flow, from what comes out of it
+        flow = np.einsum("tis,tjs->ijs", alpha[:-1] / weight[:, None], b[1:] * beta[1:]) * self.step
+        gamma /= np.where(live, held, 1.0)[:, None]
+        start, step, mass = gamma[0] + 1e-9, flow + 1e-6, gamma.sum(axis=0)[:, None] + 1e-9
+        mean = np.einsum("tks,tds->kds", gamma, x) / mass
+        var = np.einsum("tks,tds->kds", gamma, x * x) / mass - mean**2 + 1e-3
+        found = np.where(live, np.log(scale) + top, 0.0).sum(axis=0)
+        return _Hmms(start / start.sum(axis=0), step / step.sum(axis=1, keepdims=True), mean, var), found
+
+    def states(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Viterbi states, places x sessions."""
+        t_all, k = len(x), len(self.start)
+        there = (n > np.arange(t_all)[:, None]).sum(axis=1)
+        log_b, log_step = self.log_emission(x), np.log(self.step)
+        best, back = np.log(self.start) + log_b[0], np.zeros((t_all, k, len(n)), dtype=np.int8)
+        for t in range(1, t_all):
+            s = there[t]
+            via = best[:, None, :s] + log_step[:, :, :s]
+            back[t, :, :s] = via.argmax(axis=0)
+            best[:, :s] = via.max(axis=0) + log_b[t, :, :s]  # those that have ended keep their last scores
+        out, at = np.empty((t_all, len(n)), dtype=int), best.argmax(axis=0)
+        for t in range(t_all - 1, -1, -1):
+            if t + 1 < t_all:
+                s = there[t + 1]
+                at[:s] = back[t + 1, at[:s], np.arange(s)]
+            out[t] = at
+        return out
+
+
+def _hmm_states(sessions: Sequence[np.ndarray], k: int, rounds: int, seed: int, at_once: int = 32768) -> list[np.ndarray]:
+    """Viterbi states of each session's diagonal Gaussian HMM, fitted by Baum-Welch, in scaled arithmetic, until its likelihood stands
+    still (a ten-thousandth) or the rounds are over. Sessions of like lengths go together, ``at_once`` places of them at most."""
+    out = [np.zeros(len(x), dtype=int) for x in sessions]
+    order = [int(i) for i in np.argsort([-len(x) for x in sessions], kind="stable") if len(sessions[i]) >= 2 * k]
+    while order:
+        now = order[: max(1, at_once // len(sessions[order[0]]))]
+        order = order[len(now) :]
+        n = np.array([len(sessions[i]) for i in now])
+        x = np.zeros((n[0], sessions[now[0]].shape[1], len(now)))
+        for s, i in enumerate(now):
+            x[: n[s], :, s] = sessions[i]
+        models = _Hmms.first([sessions[i] for i in now], k, seed)
+        last, todo = np.full(len(now), -np.inf), np.arange(len(now))
+        for _ in range(rounds):
+            part = x if len(todo) == len(now) else np.ascontiguousarray(x[: n[todo[0]], :, todo])
+            found, likelihood = models.only(todo).estimated(part, n[todo])
+            models.put(todo, found)
+            going = [not _stands_still(a, b) for a, b in zip(likelihood, last[todo], strict=True)]
+            last[todo] = likelihood
+            todo = todo[going]
+            if not len(todo):
+                break
+        states = models.states(x, n)
+        for s, i in enumerate(now):
+            out[i] = states[: n[s], s]
+    return out
+
+
 def _gaussian_hmm(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
-    """Viterbi states of a diagonal Gaussian HMM fitted by Baum-Welch, in scaled arithmetic, until the likelihood stands still
-    (a ten-thousandth) or the rounds are over."""
-    n = len(x)
-    if n < 2 * k:
-        return np.zeros(n, dtype=int)
-    model, last = _Hmm.first(x[np.linspace(0, n - 1, k).astype(int)], x.var(axis=0), seed), -np.inf
-    for _ in range(rounds):
-        counts, likelihood = model.counts(x, None, np.ones(k))
-        model = model.estimated(counts)
-        if _stands_still(likelihood, last):
-            break
-        last = likelihood
-    return model.states(x, None, None)
+    """The states of one session."""
+    return _hmm_states([x], k, rounds, seed)[0]
 
 
-def hmm_boundaries(rows: DataFrame, columns: Sequence[str], states: Sequence[int], rounds: int = 30, seed: int = 7, most: int = 4096) -> DataFrame:
-    """State changes of a Gaussian HMM per session, for each number of states: (session_id, k, idx, boundary). Sessions and
-    numbers of states are fitted in parallel.
+def hmm_boundaries(rows: DataFrame, columns: Sequence[str], states: Sequence[int], rounds: int = 30, seed: int = 7, most: int = 4096, places_at_once: int = 250_000) -> DataFrame:
+    """State changes of a Gaussian HMM per session, for each number of states: (session_id, k, idx, boundary). Sessions are fitted
+    in parallel.
 
-    A session of up to ``most`` places is fitted by one task. A longer one is cut into pieces of that many places, and its one model is fitted
+    A session of up to ``most`` places is fitted by one task, in step with others of like length. A longer one is cut into pieces of that many places, and its one model is fitted
     over all of them, with the same result: in each round every piece tells how it carries chances from its beginning to its end (K x K
     numbers), a session's pieces are put in a row to give each the chances before it and after it, and the pieces' expected counts are summed.
     The best path is found in the same way. No task holds more places than a piece has; a session's pieces meet as K x K numbers each."""
@@ -284,12 +379,33 @@ def hmm_boundaries(rows: DataFrame, columns: Sequence[str], states: Sequence[int
     out_schema = "session_id string, k int, idx long, boundary boolean"
     spread = lambda t: t.withColumn("k", F.explode(F.array(*map(F.lit, states))))
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("idx")
-        found = _gaussian_hmm(group[list(columns)].to_numpy(float), int(group["k"].iloc[0]), rounds, seed)
-        return pd.DataFrame({"session_id": group["session_id"], "k": group["k"].astype("int32"), "idx": group["idx"], "boundary": np.concatenate(([False], found[1:] != found[:-1]))})
-
-    whole = spread(short).groupBy("session_id", "k").applyInPandas(fit, out_schema)
+    def fit(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Boundaries of whole sessions, one after the other in order of their places."""
+        starts = np.flatnonzero(np.append(True, part["session_id"].to_numpy()[1:] != part["session_id"].to_numpy()[:-1]))
+        sessions = np.split(part[list(columns)].to_numpy(float), starts[1:])
+        for k in states:
+            found = np.concatenate(_hmm_states(sessions, k, rounds, seed))
+            changed = np.append(False, found[1:] != found[:-1])
+            changed[starts] = False
+            yield pd.DataFrame({"session_id": part["session_id"], "k": np.full(len(part), k, dtype=np.int32), "idx": part["idx"], "boundary": changed})
+
+    def fitted_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The sessions of a partition, some hundred thousand places of them at a time."""
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size > places_at_once:
+                part = pd.concat(held, ignore_index=True)
+                ended = int((part["session_id"] != part["session_id"].iloc[-1]).to_numpy().sum())  # the last one may go on in the next batch
+                if ended:
+                    yield from fit(part.iloc[:ended].reset_index(drop=True))
+                held, size = [part.iloc[ended:]], len(part) - ended
+        if size:
+            yield from fit(pd.concat(held, ignore_index=True))
+
+    tasks = 3 * rows.sparkSession.sparkContext.defaultParallelism  # by number, as few bytes here are much work
+    whole = short.select("session_id", "idx", *columns).repartition(tasks, "session_id").sortWithinPartitions("session_id", "idx").mapInPandas(fitted_together, out_schema)
     if not long.limit(1).count():
         return whole
 
