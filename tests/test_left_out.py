@@ -37,6 +37,31 @@ def test_scores_equal_separate_fits(spark, monkeypatch, at_once):
         assert [got[i] for i in own] == pytest.approx(want, abs=1e-6)
 
 
+def test_small_groups_are_fitted_where_their_rows_are(spark, monkeypatch):
+    """Of 600 groups none needs a pass over all rows, whatever rows a task takes at once, and each equals a separate fit; a group of half the rows does."""
+    from worktrace.operators import left_out
+
+    asked = []
+    models = left_out._models
+    monkeypatch.setattr(left_out, "_models", lambda labelled, names, groups, *more: asked.append(groups) or models(labelled, names, groups, *more))
+    monkeypatch.setattr(left_out, "ROWS_AT_ONCE", 1000)
+    rng = np.random.default_rng(11)
+    group = np.repeat(np.arange(600), 20)
+    x = rng.normal(size=(len(group), 2)) * [1, 40] + 0.2 * rng.normal(size=(600, 2))[group]
+    y = rng.random(len(group)) < 1 / (1 + np.exp(-(x[:, 0] - 0.02 * x[:, 1] - 1)))
+    data = [(f"u{g}", i, *map(float, r), bool(t)) for i, (g, r, t) in enumerate(zip(group, x, y, strict=True))]
+    schema = "session_id string, idx long, a double, b double, is_boundary boolean"
+    got = {r.idx: r.score for r in left_out_scores(spark.createDataFrame(data, schema).repartition(5), ["a", "b"], "is_boundary", "session_id").collect()}
+    assert asked == [[]] and len(got) == len(group)
+    for g in range(0, 600, 40):
+        own = np.flatnonzero(group == g)
+        assert [got[i] for i in own] == pytest.approx(_alone(x[group != g], y[group != g])(x[own]), abs=1e-6)
+    asked.clear()
+    data = [("half" if i % 2 else u, i, a, b, t) for u, i, a, b, t in data]
+    assert left_out_scores(spark.createDataFrame(data, schema).repartition(5), ["a", "b"], "is_boundary", "session_id").count() == len(group)
+    assert "half" in asked[-1] and len(asked[-1]) < 30
+
+
 def test_few_labels(spark):
     rows = [("u1", 1, 0.5, True), ("u1", 2, None, None), ("u2", 3, 0.1, True), ("u2", 4, 0.2, None), (None, 5, 0.3, True)]
     table = spark.createDataFrame(rows, "session_id string, idx long, a double, y boolean")
