@@ -44,6 +44,19 @@ def test_whole_pairs_equal_sql(spark, name):
     assert sorted(map(tuple, df.select(*want.columns).collect())) == sorted(want.fetchall())
 
 
+@pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
+def test_distinct_between_lists_no_places_of_pairs(spark):
+    """Places between the ends of pairs are counted by steps, not listed and shuffled; rows as in SQL."""
+    import duckdb
+
+    df = registry.QUERIES["m12_distinct_between"](spark, D)
+    assert "sequence(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW events AS SELECT * FROM '{D}/events.parquet'")
+    want = duck.sql(registry.ORACLE["m12_distinct_between"])
+    assert sorted(map(tuple, df.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
 @pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
 def test_hmm_is_swept_over_all_states(spark):
     found = registry.QUERIES["b17_hmm_boundaries"](spark, D).groupBy("k").count().collect()

@@ -74,7 +74,7 @@ def _(s, d):
 @plan("m12_distinct_between", f"SELECT p.session_id, i, j, count(DISTINCT application) AS n_distinct FROM ({base.CAPPED}) p JOIN canon c ON c.session_id = p.session_id AND c.idx BETWEEN i AND j GROUP BY ALL")
 def _(s, d):
     pairs = jn.offset_pairs(base.cased(s, d), "case_id", [1, 2, 5, 10, 25], 200)
-    return ln.distinct_between(pairs, base.canon(s, d), "application")
+    return ln.distinct_at_gaps(pairs, base.canon(s, d), "application", [1, 2, 5, 10, 25])
 
 
 @plan("m12_distinct_between_all", f"SELECT p.session_id, i, j, count(DISTINCT application) AS n_distinct FROM ({base.EVERY}) p JOIN canon c ON c.session_id = p.session_id AND c.idx BETWEEN i AND j GROUP BY ALL")
