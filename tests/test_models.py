@@ -121,6 +121,20 @@ def test_a_session_in_pieces_has_the_states_of_one_piece(spark, most):
     assert 10 < sum(whole.values()) < 200
 
 
+def test_cuts_of_sessions_solved_together_are_their_own(spark):
+    rng = np.random.default_rng(9)
+    xs = [rng.normal(rng.integers(0, 4, n), 1.0) for n in [1, 2, 300, *rng.integers(1, 60, 50)]]
+    sessions = [(np.cumsum(x), np.cumsum(x * x), np.arange(1.0, len(x) + 1)) for x in xs]
+    want = [[learning._cuts(*(np.append(0.0, v) for v in x), p) for p in (0.5, 2.0, 50.0)] for x in sessions]
+    assert learning._cuts_together(sessions, [0.5, 2.0, 50.0]) == want
+    table = [(f"u{i}", 3 * k, float(s), float(q), int(n)) for i, x in enumerate(sessions) for k, (s, q, n) in enumerate(zip(*x, strict=True))]
+    rows = spark.createDataFrame(table, "session_id string, place long, s double, q double, n long").repartition(3)
+    for few, at_once in ((256, 100_000), (10, 1)):
+        got = learning.best_cuts(rows, [0.5, 2.0, 50.0], few=few, places_at_once=at_once).collect()
+        flat = {(f"u{i}", p, 3 * (c - 1)) for i, by in enumerate(want) for p, cuts in zip((0.5, 2.0, 50.0), by, strict=True) for c in cuts}
+        assert {tuple(r) for r in got} == flat and len(got) == len(flat)
+
+
 def test_counts_of_pieces_add_up():
     """Expected counts and likelihood of two halves, with messages over the border, are those of the whole."""
     rng = np.random.default_rng(2)

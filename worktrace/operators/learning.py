@@ -561,12 +561,42 @@ def _cuts(s: np.ndarray, q: np.ndarray, n: np.ndarray, penalty: float) -> list[i
     return _followed(place, _onward(_none_yet(), place, s[1:], q[1:], n[1:], penalty)[0], len(s) - 1)[0]
 
 
-def best_cuts(candidates: DataFrame, penalties: float | Sequence[float], most: int = 16384) -> DataFrame:
+def _cuts_together(sessions: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]], penalties: Sequence[float]) -> list[list[list[int]]]:
+    """Numbers of the optimal cuts of many short sessions (sums s, squares q and counts n of each), by session and penalty. A segment's cost is the same
+    for all penalties, so each end is compared with all starts once for all sessions that reach it."""
+    order = np.argsort([-len(s) for s, _, _ in sessions], kind="stable")
+    size = np.array([len(sessions[i][0]) for i in order])
+    sums = np.zeros((3, size[0] + 1, len(order)))
+    for c, i in enumerate(order):
+        for r in range(3):
+            sums[r, 1 : size[c] + 1, c] = sessions[i][r]
+    s, q, n = sums
+    price = np.asarray(penalties, dtype=float)[:, None]
+    best, back = np.zeros((len(price), size[0] + 1, len(order))), np.zeros((len(price), size[0] + 1, len(order)), dtype=np.int32)
+    for j in range(1, size[0] + 1):
+        m = int((size >= j).sum())
+        cost = best[:, :j, :m] + ((q[j, :m] - q[:j, :m]) - (s[j, :m] - s[:j, :m]) ** 2 / np.maximum(n[j, :m] - n[:j, :m], 1))
+        at = cost.argmin(axis=1)
+        back[:, j, :m] = at
+        best[:, j, :m] = np.take_along_axis(cost, at[:, None], axis=1)[:, 0] + price
+    out: list = [None] * len(order)
+    for c, i in enumerate(order):
+        out[i] = []
+        for p in range(len(price)):
+            row, cuts, at = back[p, :, c], [], int(size[c])
+            while at > 0:
+                cuts.append(at)
+                at = int(row[at])
+            out[i].append(cuts[::-1])
+    return out
+
+
+def best_cuts(candidates: DataFrame, penalties: float | Sequence[float], most: int = 16384, few: int = 256, places_at_once: int = 100_000) -> DataFrame:
     """Optimal choice among candidate cuts: least sum of segment costs plus a penalty per segment. candidates: (session_id, place,
     value): cumulative sums s and squares q and counts n of the signal up to each candidate place, in order; a session's last one is always a cut.
     -> (session_id, place); with a list of penalties (session_id, penalty, place), all from one pass.
 
-    A session with up to ``most`` candidates is solved by one task. A longer one goes on in pieces of that many: the starts that can still
+    A session with up to ``most`` candidates is solved by one task, those with up to ``few`` many at a time. A longer one goes on in pieces of that many: the starts that can still
     matter are handed from a piece to the next, and in the end the cuts are followed from the last piece back, so that the optimum
     is that of the whole session. There are as many rounds as the longest session has pieces."""
     single = isinstance(penalties, (int, float))
@@ -574,17 +604,48 @@ def best_cuts(candidates: DataFrame, penalties: float | Sequence[float], most: i
     w = Window.partitionBy("session_id").orderBy("place")
     numbered = candidates.select("session_id", F.col("place").cast("long").alias("place"), *(F.col(c).cast("double").alias(c) for c in ("s", "q", "n")))
     numbered = numbered.withColumns({"piece": F.floor((F.row_number().over(w) - 1) / most), "last": F.max("place").over(Window.partitionBy("session_id")), "many": F.count("*").over(Window.partitionBy("session_id"))})
-    known = written(numbered.withColumn("penalty", F.explode(F.array(*map(F.lit, swept)))), "candidates")
+    each = written(numbered, "candidates")
+    known = each.withColumn("penalty", F.explode(F.array(*map(F.lit, swept))))
     keys, sums = ["session_id", "penalty"], ["s", "q", "n"]
+    out_schema = "session_id string, penalty double, place long"
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("place")
-        place = g["place"].to_numpy()
-        cuts, _ = _followed(place, _onward(_none_yet(), place, *(g[c].to_numpy() for c in sums), float(g["penalty"].iloc[0]))[0], int(place[-1]))
-        return pd.DataFrame({"session_id": g["session_id"].iloc[0], "penalty": g["penalty"].iloc[0], "place": cuts})
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        """Cuts of whole sessions, one after the other in order of their places."""
+        names, place = part["session_id"].to_numpy(), part["place"].to_numpy()
+        starts = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+        own = [np.split(part[c].to_numpy(float), starts[1:]) for c in sums]
+        sessions = list(zip(*own, strict=True))
+        found: list = [None] * len(sessions)
+        short = sorted((i for i, x in enumerate(sessions) if len(x[0]) <= few), key=lambda i: -len(sessions[i][0]))
+        while short:  # those of like numbers of candidates together, within bounds of memory
+            now = short[: max(1, 200_000 // (len(sessions[short[0]][0]) * len(swept)))]
+            short = short[len(now) :]
+            for i, cuts in zip(now, _cuts_together([sessions[i] for i in now], swept), strict=True):
+                found[i] = cuts
+        for i, x in enumerate(sessions):
+            if found[i] is None:
+                found[i] = [_cuts(*(np.append(0.0, v) for v in x), p) for p in swept]
+        rows = [(i, p, c) for i, by in enumerate(found) for p, cuts in zip(swept, by, strict=True) for c in cuts]
+        at = np.array([(i, c) for i, _, c in rows]).reshape(-1, 2)
+        return pd.DataFrame({"session_id": names[starts][at[:, 0]], "penalty": [p for _, p, _ in rows], "place": place[starts[at[:, 0]] + at[:, 1] - 1]})
+
+    def solved_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size > places_at_once:
+                part = pd.concat(held, ignore_index=True)
+                ended = int((part["session_id"] != part["session_id"].iloc[-1]).to_numpy().sum())  # the last one may go on in the next batch
+                if ended:
+                    yield solve(part.iloc[:ended].reset_index(drop=True))
+                held, size = [part.iloc[ended:]], len(part) - ended
+        if size:
+            yield solve(pd.concat(held, ignore_index=True))
 
-    out_schema = "session_id string, penalty double, place long"
-    out = known.where(F.col("many") <= most).groupBy(*keys).applyInPandas(solve, out_schema)
+    tasks = 3 * candidates.sparkSession.sparkContext.defaultParallelism
+    short = each.where(F.col("many") <= most).select("session_id", "place", *sums)
+    out = short.repartition(tasks, "session_id").sortWithinPartitions("session_id", "place").mapInPandas(solved_together, out_schema)
     long = known.where(F.col("many") > most)
     rounds = (long.agg(F.max("piece")).first()[0] or 0) + 1
 
