@@ -123,3 +123,26 @@ def test_baselines_by_hand(spark):
     assert {r.predicted for r in got if r.model == "majority"} == {"b"}
     drawn = Counter(r.predicted for r in got if r.model == "stratified")
     assert sum(drawn.values()) == 60 and drawn["b"] > drawn["a"] and drawn.keys() <= set("abc")
+
+
+def test_pairs_take_one_shuffle_and_hold_where_places_are_missing(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from worktrace.operators import supervised
+
+    rng = random.Random(3)
+    schema = "session_id string, idx long, timestamp_ms long, application string, window_title string, browser_domain string, url string, event_type string, chunk_id string, case_id string"
+    data = [(u, i, 1000 * i, rng.choice(["a", "b", "c", None]), "t", None, None, rng.choice(["view", "purchase"]), "d", rng.choice(["x", "y", "z", None])) for u in ("u1", "u2") for i in range(60) if rng.random() < 0.8]
+    events = spark.createDataFrame(data, schema)
+    df = supervised.pair_vectors(events, "case_id", [1, 2, 5, 10], F.col("event_type") == "view", F.col("event_type") == "purchase", F.col("url"))
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {(r.session_id, r.i, r.j): (r.n_distinct_apps_between, r.other_work, r.same) for r in df.collect()}
+    want = {}
+    for u, i, *_, case in data:
+        for v, j, *_, other in data:
+            if u == v and j - i in (1, 2, 5, 10) and case and other:
+                between = [r for r in data if r[0] == u and i <= r[1] <= j]
+                want[u, i, j] = (float(len({r[3] for r in between} - {None})), bool({r[9] for r in between} - {None, case, other}), case == other)
+    assert got == want and len(want) > 100

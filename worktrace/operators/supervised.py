@@ -74,41 +74,44 @@ LINKING = ("same_application", "same_window_title", "same_browser_domain", "both
 def pair_vectors(events: DataFrame, label: str, gaps: Sequence[int], navigation: Column, clipboard: Column, tab: Column) -> DataFrame:
     """(session_id, i, j, apart_ms, other_work, same, the 14 columns of DISTANCE and LINKING) of all pairs (i, i + gap) of labelled events.
 
-    What lies between are differences of running counts carried by the ends. Distinct applications of a pair are places
-    that its first place has not passed yet, counted by +1 and -1 steps per gap; so is other work: places of a third label,
-    counted by the runs of labels. A pair is joined once; no pair's inside is ever listed."""
-    from worktrace.operators.learning import distinct_at_gaps
-
+    What lies between are differences of running counts carried by the ends. A value is among the places i .. i + gap if it has come in by the
+    last and not gone out before the first, where it comes in at a place that is more than gap after its last one and goes out at a
+    place that is more than gap before its next one; so distinct applications, and labels for other work, are differences of running counts
+    as well. A pair takes its end from the session's order: one shuffle by session, and no pair's inside is ever listed."""
     w = Window.partitionBy("session_id").orderBy("idx")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long")).over(so_far)
     switch = (F.row_number().over(w) > 1) & ~F.lag("application").over(w).eqNullSafe(F.col("application"))
+    own_of = lambda c: Window.partitionBy("session_id", c).orderBy("idx")
     flagged = events.select("session_id", "idx", "timestamp_ms", "application", "window_title", "browser_domain", tab.alias("tab"), "event_type", "chunk_id", F.col(label).alias("label"), switch.alias("sw"), navigation.alias("nav"), clipboard.alias("clip"))
-    ends = flagged.withColumns({"s": count(F.col("sw")), "v": count(F.col("nav")), "c": count(F.col("clip"))})
-    side = lambda p: [F.col(x).alias(f"{x}_{p}") for x in ("timestamp_ms", "application", "window_title", "browser_domain", "tab", "event_type", "chunk_id", "label", "s", "v", "c")]
-    own = [F.coalesce(F.col(x), F.lit(False)).cast("long").alias(f"{x}_own") for x in ("sw", "nav", "clip")]  # a pair's first event is inside it
-    left = ends.where("label IS NOT NULL").select("session_id", F.col("idx").alias("i"), *side("i"), *own, F.explode(F.array(*map(F.lit, gaps))).alias("gap")).withColumn("j", F.col("i") + F.col("gap"))
-    right = ends.where("label IS NOT NULL").select("session_id", F.col("idx").alias("j"), *side("j"))
-    pairs = left.join(right, ["session_id", "j"])
+    valued = {"a": "application", "l": "label"}
+    flagged = flagged.withColumns({f"{p}_last": F.col("idx") - F.lag("idx").over(own_of(c)) for p, c in valued.items()} | {f"{p}_next": F.lead("idx").over(own_of(c)) - F.col("idx") for p, c in valued.items()})
+    beyond = lambda p, c, side, g: F.col(c).isNotNull() & F.coalesce(F.col(f"{p}_{side}") > g, F.lit(True))
+    come = {f"{p}_in_{g}": count(beyond(p, c, "last", g)) for p, c in valued.items() for g in gaps}
+    gone = {f"{p}_out_{g}": count(beyond(p, c, "next", g)) - beyond(p, c, "next", g).cast("long") for p, c in valued.items() for g in gaps}
+    ends = flagged.withColumns({"s": count(F.col("sw")), "v": count(F.col("nav")), "c": count(F.col("clip"))} | come | gone)
+    side = ["timestamp_ms", "application", "window_title", "browser_domain", "tab", "event_type", "chunk_id", "label", "s", "v", "c"]
+    at = {f"at_{g}": F.first(F.when(F.col("label").isNotNull(), F.struct(*side, *(F.col(f"{p}_in_{g}").alias(f"{p}_in") for p in valued)))).over(w.rangeBetween(g, g)) for g in gaps}
+    each = ends.withColumns(at).where("label IS NOT NULL")
+    found = F.filter(F.array(*(F.struct(F.lit(g).alias("gap"), F.col(f"at_{g}").alias("j"), *(F.col(f"{p}_out_{g}").alias(f"{p}_out") for p in valued)) for g in gaps)), lambda x: x["j"].isNotNull())
+    pairs = each.select("session_id", "idx", *side, "sw", "nav", "clip", F.explode(found).alias("p"))
+    other = lambda x: F.col(f"p.j.{x}")
     one = lambda c: F.coalesce(c, F.lit(False)).cast("double")
-    alike = lambda x: one(F.col(f"{x}_i") == F.col(f"{x}_j"))
-    both = lambda x: one(F.col(f"{x}_i").isNotNull() & F.col(f"{x}_j").isNotNull())
-    inside = lambda x, flag: F.col(f"{x}_j") - F.col(f"{x}_i") + F.col(f"{flag}_own")
-    apart = F.col("timestamp_ms_j") - F.col("timestamp_ms_i")
-    rows = pairs.select(
-        "session_id", "i", "j", "gap", apart.alias("apart_ms"), "label_i", "label_j", (F.col("label_i") == F.col("label_j")).alias("same"),
-        F.log1p(F.greatest(apart, F.lit(0)).cast("double")).alias("log1p_delta_t_ms"), F.col("gap").cast("double").alias("index_gap"),
+    alike = lambda x: one(F.col(x) == other(x))
+    both = lambda x: one(F.col(x).isNotNull() & other(x).isNotNull())
+    inside = lambda x, flag: other(x) - F.col(x) + F.coalesce(F.col(flag), F.lit(False)).cast("long")  # noqa: E731  a pair's first event is inside it
+    distinct = lambda p: other(f"{p}_in") - F.col(f"p.{p}_out")
+    apart = other("timestamp_ms") - F.col("timestamp_ms")
+    same = F.col("label") == other("label")
+    # the ends are among the places, so what is more than their own labels is other work
+    works = distinct("l") > F.when(same, 1).otherwise(2)
+    return pairs.select(
+        "session_id", F.col("idx").alias("i"), (F.col("idx") + F.col("p.gap")).alias("j"), apart.alias("apart_ms"), works.alias("other_work"), same.alias("same"),
+        F.log1p(F.greatest(apart, F.lit(0)).cast("double")).alias("log1p_delta_t_ms"), F.col("p.gap").cast("double").alias("index_gap"),
         alike("application").alias("same_application"), alike("window_title").alias("same_window_title"), alike("browser_domain").alias("same_browser_domain"), both("browser_domain").alias("both_domains_known"),
         alike("tab").alias("same_tab_id"), both("tab").alias("both_tabs_known"), alike("event_type").alias("same_event_type"), alike("chunk_id").alias("same_chunk"),
-        inside("s", "sw").cast("double").alias("n_app_switches_between"), one(inside("v", "nav") > 0).alias("any_navigation_between"), one(inside("c", "clip") > 0).alias("any_clipboard_between"),
-    )
-    keys = rows.select("session_id", "i", "j", "gap")
-    apps = distinct_at_gaps(keys, events, "application", gaps).select("session_id", "i", "j", F.col("n_distinct").cast("double").alias("n_distinct_apps_between"))
-    works = distinct_at_gaps(keys, events.withColumn("_label", F.col(label)), "_label", gaps).select("session_id", "i", "j", F.col("n_distinct").alias("works"))
-    joined = rows.join(apps, ["session_id", "i", "j"]).join(works, ["session_id", "i", "j"])
-    # the ends are among the places, so what is more than their own labels is other work
-    other = F.col("works") > F.when(F.col("same"), 1).otherwise(2)
-    return joined.select("session_id", "i", "j", "apart_ms", other.alias("other_work"), "same", *DISTANCE, *LINKING)
+        inside("s", "sw").cast("double").alias("n_app_switches_between"), one(inside("v", "nav") > 0).alias("any_navigation_between"), one(inside("c", "clip") > 0).alias("any_clipboard_between"), distinct("a").cast("double").alias("n_distinct_apps_between"),
+    ).select("session_id", "i", "j", "apart_ms", "other_work", "same", *DISTANCE, *LINKING)
 
 
 # --- predictions ------------------------------------------------------------------------------------------------------------
