@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worktrace.operators import evaluation as ev
+from worktrace.operators import regression as rg
 from worktrace.operators import supervised as sv
 from worktrace.operators.tables import written
 
@@ -45,32 +45,32 @@ def with_z(rows: DataFrame, baselines: DataFrame, folds: int, group: str = "sess
     return joined.withColumn("z_log_gap", F.coalesce(z, F.lit(0.0))).drop("oc", "os", "gc", "gs")
 
 
-def set_scores(rows: DataFrame, sets: Mapping[str, Sequence[str]], label: str, keys: Sequence[str], folds: int) -> DataFrame:
-    """(keys, truth, set, score) by balanced regressions; rows as from with_z, so that a model's own baselines never saw what it scores."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+def with_fold_z(rows: DataFrame, baselines: DataFrame, folds: int, group: str = "session_id") -> DataFrame:
+    """As ``with_z``, but each row once, with its ``fold`` and z_log_gap_k for the model of every fold k."""
+    of = [F.col("fold").cast("int").alias("k"), F.struct("centre", "spread").alias("v")]
+    held = lambda name: F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias(name)
+    per = baselines.where("operator IS NOT NULL").select("operator", *of).groupBy("operator").agg(held("_own"))
+    every = baselines.where("operator IS NULL").select(*of).agg(held("_all"))
+    joined = rows.withColumn("fold", sv.group_fold(F.col(group), folds)).join(F.broadcast(per), "operator", "left").crossJoin(F.broadcast(every))  # operators, one row
+    known = lambda k: F.coalesce(F.try_element_at("_own", F.lit(k)), F.try_element_at("_all", F.lit(k)))
+    z = lambda k: F.coalesce((F.col("log1p_delta_t_ms") - known(k)["centre"]) / known(k)["spread"], F.lit(0.0))
+    return joined.withColumns({f"z_log_gap_{k}": z(k) for k in range(folds)}).drop("_own", "_all")
 
-    columns = sorted({c for cs in sets.values() for c in cs})
-    filled = rows.where(F.col(label).isNotNull()).select(*keys, F.col(label).alias("truth"), F.col(label).cast("double").alias("_y"), "fold", "at", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns))
-    table = written(filled, "sets")
-    counts = {(r["fold"], r["_y"]): r["count"] for r in table.where(F.col("at") == 0).groupBy("fold", "_y").count().collect()}
-
-    def one(job: tuple[str, int]) -> DataFrame:
-        name, k = job
-        ready = VectorAssembler(inputCols=list(sets[name]), outputCol="_x").transform(table.where(F.col("at") == k))
-        seen = {y: sum(n for (f, v), n in counts.items() if f != k and v == y) for y in (0.0, 1.0)}
-        own, base = ready.where(F.col("fold") == k), [*keys, "truth", F.lit(name).alias("set")]
-        if not all(seen.values()):
-            return own.select(*base, F.lit(float(seen[1.0] > 0)).alias("score"))
-        model = sv.logistic(balanced=True)(ready.where(F.col("fold") != k), seen)
-        return model.transform(own).select(*base, vector_to_array("_q")[1].alias("score"))
 
-    with ThreadPoolExecutor(4) as pool:
-        parts = list(pool.map(one, [(name, k) for name in sets for k in range(folds)]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return written(out, "scores")
+def set_scores(rows: DataFrame, sets: Mapping[str, Sequence[str]], label: str, keys: Sequence[str], folds: int, by_fold: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """(keys, truth, set, score) by balanced regressions, all sets and folds fitted in the same passes; rows as from with_z, or from with_fold_z and with the
+    columns that stand for one in each fold's model (``by_fold``), so that a model's own baselines never saw what it scores."""
+    fits = {name: [rg.Fit(tuple((by_fold or {}).get(c, [c] * folds)[k] for c in columns), k) for k in range(folds)] for name, columns in sets.items()}
+    columns = sorted({c for fs in fits.values() for f in fs for c in f.columns})
+    at = ["at"] if "at" in rows.columns else []
+    filled = rows.where(F.col(label).isNotNull()).select(*keys, F.col(label).alias("truth"), F.col(label).cast("double").alias("_y"), "fold", *at, *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns))
+    table = written(filled, "sets")
+    own = table.where(F.col("at") == F.col("fold")) if at else table
+    counts = {(r["fold"], r["_y"]): r["count"] for r in own.groupBy("fold", "_y").count().collect()}
+    alone = [float(any(f != k and v == 1.0 for f, v in counts)) for k in range(folds)]
+    found = iter(rg.fitted_together(table, [f for fs in fits.values() for f in fs]))
+    scores = [F.struct(F.lit(name).alias("set"), rg.chance_by_fold(fs, [next(found) for _ in fs], alone).alias("score")) for name, fs in fits.items()]
+    return written(own.select(*keys, "truth", F.explode(F.array(*scores)).alias("_s")).select(*keys, "truth", "_s.set", "_s.score"), "scores")
 
 
 def compared_sets(first: DataFrame, second: DataFrame, keys: Sequence[str], base: str, locked: tuple[float, float], gain: float) -> DataFrame:
