@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from worktrace.operators import regression as rg
 from worktrace.operators.tables import written
 
 FIRST = ("log1p_delta_t_ms", "density_before", "density_after", "application_changed", "window_title_changed", "browser_domain_changed", "interaction_category_changed", "extracted_text_at_transition", "chunk_boundary")
@@ -62,18 +63,10 @@ def held_out_scores(rows: DataFrame, columns: Sequence[str], label: str, group:
 
 def fitted(rows: DataFrame, columns: Sequence[str], label: str, cost: float = 1.0) -> tuple[DataFrame, list[float]]:
     """(standardised rows, coefficients in the columns' order) of one balanced logistic regression over all rows."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    ready = standardised(rows, columns)
-    known = ready.where(F.col(label).isNotNull()).withColumn("y", F.col(label).cast("double"))
-    n = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    if len(n) < 2:
-        return ready, [0.0] * len(columns)
-    total = sum(n.values())
-    weighted = VectorAssembler(inputCols=list(columns), outputCol="features").transform(known).withColumn("w", F.when(F.col("y") == 1, total / (2 * n[1.0])).otherwise(total / (2 * n[0.0])))
-    model = LogisticRegression(featuresCol="features", labelCol="y", weightCol="w", regParam=1 / (cost * total), standardization=False, maxIter=100, tol=1e-9).fit(weighted)
-    return ready, [float(x) for x in model.coefficients]
+    ready = written(standardised(rows, columns), "standardised")
+    known = ready.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("_y"), F.lit(0).alias("fold"), *columns)
+    model = rg.fitted_together(known, [rg.Fit(tuple(columns))], cost=cost, own_scale=False)[0]
+    return ready, [0.0] * len(columns) if model is None else [float(x) for x in model[0]]
 
 
 def importance(rows: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
