@@ -146,3 +146,22 @@ def test_pairs_take_one_shuffle_and_hold_where_places_are_missing(spark):
                 between = [r for r in data if r[0] == u and i <= r[1] <= j]
                 want[u, i, j] = (float(len({r[3] for r in between} - {None})), bool({r[9] for r in between} - {None, case, other}), case == other)
     assert got == want and len(want) > 100
+
+
+def test_cells_give_the_forest_what_the_rows_give(spark):
+    rng = random.Random(12)
+    data = [(i, f"g{i % 12}", y, float(int(rng.gauss(2 * y, 1) * 2)), float(rng.randrange(3))) for i in range(1500) for y in [rng.random() < 0.4]]
+    rows = spark.createDataFrame(data, "id long, grp string, label boolean, x double, z double").withColumn("fold", sv.group_fold(F.col("grp"), 3))
+    held, labels = sv.cells(sv.alike(rows, ["x", "z"], ["fold", "label"], {"x": 0.5}), ["x", "z"], "label", [])
+    assert held.agg(F.sum("n")).first()[0] == 1500 and held.count() < 200  # each pair was a row of every forest
+    got = sv.predictions(held, labels, {"rf": sv.forest(balanced=True, trees=15, depth=5)}, 3, [])
+    plain, labels = sv.ready(rows, ["x", "z"], "label", "grp", 3, ["id"])
+    want = sv.predictions(plain, labels, {"rf": sv.forest(balanced=True, trees=15, depth=5)}, 3, ["id"])
+    a, b = (sv.link_report(p, ["model"]).first() for p in (got, want))
+    assert (a.n, a.positive_rate) == pytest.approx((b.n, b.positive_rate)) and a.n == 1500
+    assert (a.roc_auc, a.pr_auc, a.f1) == pytest.approx((b.roc_auc, b.pr_auc, b.f1), abs=0.03)
+    assert a.roc_auc > 0.8
+    once = sv.link_report(got.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n", "copy"), ["model"]).first()
+    assert list(once)[1:] == pytest.approx(list(a)[1:])
+    best = sv.importances(held, ["x", "z"], trees=15, depth=5, balanced=True).collect()
+    assert [r.feature for r in best] == ["x", "z"]
