@@ -88,3 +88,35 @@ def test_report(spark):
     assert one == pytest.approx({"n_rows": 6, "n_clusters": 2, "n_noise": 1, "largest": 3, "ari": 1, "nmi": 1, "noise_share": 1 / 6})
     assert got[2]["ari"] is None and got[2]["n_clusters"] == 1
     assert got[3]["nmi"] == pytest.approx(0, abs=1e-12) and got[3]["ari"] < 0.01
+
+
+def test_pieces_equal_single_distances_at_and_beside_the_radius():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(70, 5)) + 1000, rng.normal(size=(90, 5)) + 1000
+    away = dn._apart(x, y)
+    # radii that are distances themselves, and the next number below: rounding of the product must not decide
+    radii = [float(away[3, 4]), float(np.nextafter(away[3, 4], 0)), float(away[60, 80]), 1.5]
+    got = np.zeros((len(radii), *away.shape), dtype=bool)
+    for i, j, each in dn._pieces(x, y, radii, rows=16, columns=32):
+        for e, near in enumerate(each):
+            got[e, i : i + near.shape[0], j : j + near.shape[1]] = near
+    assert all((got[e] == (away <= r)).all() for e, r in enumerate(radii))
+    assert got[0, 3, 4] and not got[1, 3, 4]
+
+
+def test_points_are_not_sent_to_more_blocks_than_asked(spark):
+    """Without an own number of pivots the blocks stay few, so that a point is not sent once for every 512 points that there are."""
+    import random as rd
+
+    rng = rd.Random(1)
+    rows = spark.createDataFrame([(i, [rng.random() for _ in range(6)], 1) for i in range(20_000)], "id long, features array<double>, weight long")
+    sent = {}
+    dealt = dn._dealt
+    dn._dealt = lambda points, reach, pivots, block: sent.update(pivots=pivots, block=block) or dealt(points, reach, pivots, block)
+    try:
+        dn.density_clusters(rows.select("id", "features").limit(20_000), "id", [0.05], [5])
+    finally:
+        dn._dealt = dealt
+    assert sent["pivots"] <= 32 and sent["block"] >= 2048

@@ -2,8 +2,9 @@
 
 Equal vectors are one point with a weight, so copies are never compared. Points lie in the cells of their nearest pivots, cells
 are dealt into blocks, and only those pairs of blocks meet whose cells can hold points within the largest radius, with only the
-points that the triangle inequality and the border between the cells leave. A task compares two blocks; from it go counts, and for links
-one per point to the least of its part, never the pairs. All settings (radius, least weight) are columns of the same jobs."""
+points that the triangle inequality and the border between the cells leave. A task compares two blocks piece by piece, by one matrix product a piece;
+what its rounding leaves open is summed again. From it go counts, and for links those between parts that are connected inside their blocks: where two large parts
+touch, the first pair found is enough, and only points outside them are looked at one by one. All settings (radius, least weight) are columns of the same jobs."""
 
 from __future__ import annotations
 
@@ -35,7 +36,7 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _dealt(points: DataFrame, reach: float, pivots: int, block: int) -> DataFrame:
-    """(id, features, weight, block, lo, hi): each point once for every pair of blocks (lo, hi) in which it may be within ``reach`` of a point.
+    """(id, features, weight, block, to): each point with its block and the blocks in which it may be within ``reach`` of a point.
 
     The driver holds the pivots, and one count and radius per cell: ``pivots`` times (columns + 2) numbers."""
     centre = np.array([r.features for r in points.orderBy(F.xxhash64("features"), "id").limit(pivots).select("features").collect()])
@@ -67,34 +68,104 @@ def _dealt(points: DataFrame, reach: float, pivots: int, block: int) -> DataFram
             yield pd.DataFrame({"id": b.id, "features": b.features, "weight": b.weight, "block": own, "to": to})
 
     salted = cells.select("id", "features", "weight", "cell", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("salt"))
-    out = salted.mapInPandas(sent, "id long, features array<double>, weight long, block long, to array<long>")
-    return out.select("id", "features", "weight", "block", F.explode("to").alias("to")).select("id", "features", "weight", "block", F.least("block", "to").alias("lo"), F.greatest("block", "to").alias("hi"))
-
-
-def _paired(rows: DataFrame, f: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray, bool], pd.DataFrame], schema: str) -> DataFrame:
-    """f(rows of one block, rows of the other, their distances, whether both are one block) for each pair of blocks."""
+    return salted.mapInPandas(sent, "id long, features array<double>, weight long, block long, to array<long>")
+
+
+def _pieces(x: np.ndarray, y: np.ndarray, radii: Sequence[float], rows: int = 256, columns: int = 4096) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """(first row, first column, for each radius which pairs are within it) of all x against all y, piece by piece, as ``_apart`` has it.
+
+    Squared distances come from one product; where its rounding could put a pair on the other side of a radius, the pair's own sum decides."""
+    if not len(x) or not len(y):
+        return
+    middle = x.mean(axis=0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        u, v = x - middle, y - middle
+        uu, vv = (u**2).sum(axis=1), (v**2).sum(axis=1)
+        left, right = np.column_stack([u, uu, np.ones(len(u))]), np.column_stack([-2 * v, np.ones(len(v)), vv]).T
+        rounding = 8 * (x.shape[1] + 4) * np.finfo(float).eps * (uu.max() + vv.max() + max(radii) ** 2)
+        for i in range(0, len(x), rows):
+            for j in range(0, len(y), columns):
+                square = left[i : i + rows] @ right[:, j : j + columns]
+                out = []
+                for r in radii:
+                    near, not_far = square <= r * r - rounding, ~(square > r * r + rounding)
+                    if np.count_nonzero(near) != np.count_nonzero(not_far):
+                        p, q = np.nonzero(not_far & ~near)
+                        near[p, q] = np.sqrt(((x[i + p] - y[j + q]) ** 2).sum(axis=1)) <= r
+                    out.append(near)
+                yield i, j, out
+
+
+def _found(x: np.ndarray, y: np.ndarray, r: float, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (rows of x, rows of y) within r, some pieces' at a time: ``most`` and what one piece adds."""
+    us, vs, n = [], [], 0
+    for i, j, (near,) in _pieces(x, y, [r]):
+        u, v = np.nonzero(near)
+        us.append(i + u)
+        vs.append(j + v)
+        n += len(u)
+        if n >= most:
+            yield np.concatenate(us), np.concatenate(vs)
+            us, vs, n = [], [], 0
+    if n:
+        yield np.concatenate(us), np.concatenate(vs)
+
+
+def _joined(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least member of each place's part (root) after the parts of u and v are joined."""
+    while True:
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            return root
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+#: Rows of a part from which on it is taken as a whole, and starts without such a part after which the rest is joined link by link.
+LARGE, STARTS = 64, 16
+
+
+def _connected(x: np.ndarray, r: float) -> np.ndarray:
+    """The least row of each row's part, rows within r of each other being in one. Large parts are followed from one row, so that a row that is reached is
+    compared no more; what is then left is joined by its links."""
+    root, rest, vain, start = np.arange(len(x)), np.arange(len(x)), 0, 0
+    while len(rest) and vain < STARTS:
+        start = (start + 7919) % len(rest)
+        front = rest[start : start + 1]
+        part, others = [front], np.delete(rest, start)
+        while len(front) and len(others):
+            hit = np.zeros(len(others), dtype=bool)
+            for _, j, (near,) in _pieces(x[front[:256]], x[others], [r]):
+                hit[j : j + near.shape[1]] |= near.any(axis=0)
+            part.append(others[hit])
+            front, others = np.concatenate([front[256:], others[hit]]), others[~hit]
+        members = np.concatenate(part)
+        root[members] = members.min()
+        vain, rest = (0 if len(members) >= LARGE else vain + 1), others
+    inner = np.arange(len(rest))
+    for u, v in _found(x[rest], x[rest], r):
+        inner = _joined(inner, u, v)
+    root[rest] = rest[inner]
+    return root
+
+
+def _paired(dealt: DataFrame, f: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str, tasks: int) -> DataFrame:
+    """f(rows of one block, rows of the other, whether both are one block) for each pair of blocks. The pairs are dealt to ``tasks`` tasks: they are few bytes and
+    much work, so they are not to be put together by size."""
     names = [c.strip().split()[0] for c in schema.split(",")]
+    rows = dealt.withColumn("to", F.explode("to")).select("*", F.least("block", "to").alias("lo"), F.greatest("block", "to").alias("hi")).drop("to")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id")
         a, b = group[group.block == group.lo], group[group.block == group.hi]
         if a.empty or b.empty:
             return pd.DataFrame(columns=names)
-        return f(a, b, _apart(np.stack(a.features), np.stack(b.features)), bool(a.lo.iat[0] == a.hi.iat[0]))[names]
+        return f(a, b, bool(a.lo.iat[0] == a.hi.iat[0]))[names]
 
-    return rows.groupBy("lo", "hi").applyInPandas(run, schema)
-
-
-def _parts(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The least id of the connected part of each row (ids a) and column (ids b) of a table of links."""
-    none = np.iinfo(np.int64).max
-    left, right = a.copy(), b.copy()
-    while True:
-        to_right = np.minimum(right, np.where(near, left[:, None], none).min(axis=0, initial=none))
-        to_left = np.minimum(left, np.where(near, to_right[None, :], none).min(axis=1, initial=none))
-        if (to_left == left).all() and (to_right == right).all():
-            return left, right
-        left, right = to_left, to_right
+    return rows.repartition(tasks, "lo", "hi").groupBy("lo", "hi").applyInPandas(run, schema)
 
 
 def _least_reachable(links: DataFrame) -> DataFrame:
@@ -117,7 +188,7 @@ def _least_reachable(links: DataFrame) -> DataFrame:
             return held.selectExpr("setting", "u AS id", "v AS part").unionAll(held.selectExpr("setting", "v AS id", "v AS part").distinct())
 
 
-def density_clusters(rows: DataFrame, key: str, radii: Sequence[float], least: Sequence[int], pivots: int | None = None, block: int = 2048) -> DataFrame:
+def density_clusters(rows: DataFrame, key: str, radii: Sequence[float], least: Sequence[int], pivots: int | None = None, block: int | None = None) -> DataFrame:
     """rows(key, features) -> (key, radius, least, n_near, kind, cluster): one row a key and setting.
 
     ``n_near`` counts the rows within the radius, itself included. A row is ``core`` if they are ``least`` or more, ``border`` if it is none but
@@ -125,8 +196,8 @@ def density_clusters(rows: DataFrame, key: str, radii: Sequence[float], least: S
     nearest core vector (equally near ones: any of them). ``cluster`` is the least key of its rows, null for noise. Rows without features,
     or with a null or non-finite one, are dropped; repeated keys are rows of their own; an empty table gives no rows.
 
-    ``pivots`` (None: one for 512 distinct vectors, at most 1,024) and ``block`` (vectors a task compares with as many others) change the cost, never the rows. In very many dimensions
-    without groups no cell is ruled out, and the work grows with the square of the distinct vectors."""
+    ``pivots`` (None: one for 512 distinct vectors, at most 32) and ``block`` (vectors a task compares with as many others; None: a 32nd of all, at least 2,048) change the
+    cost, never the rows. In very many dimensions without groups no cell is ruled out, and the work grows with the square of the distinct vectors."""
     usable = rows.where("features IS NOT NULL AND NOT exists(features, v -> v IS NULL OR isnan(v) OR abs(v) = double('Infinity'))")
     usable = written(usable.select(F.col(key).alias("_key"), F.transform("features", lambda v: v + F.lit(0.0)).alias("features")), "rows")
     points = written(usable.groupBy("features").agg(F.count("*").alias("weight")).select(F.monotonically_increasing_id().alias("id"), "features", "weight"), "points")
@@ -134,46 +205,90 @@ def density_clusters(rows: DataFrame, key: str, radii: Sequence[float], least: S
     n_points = points.count()
     if not n_points:
         return usable.select(F.col("_key").alias(key), F.lit(0.0).alias("radius"), F.lit(0).alias("least"), F.lit(0).cast("long").alias("n_near"), F.lit("").alias("kind"), F.col("_key").alias("cluster"))
-    dealt = written(_dealt(points, max(radii), pivots or min(1024, 1 + n_points // 512), block), "dealt")
-
-    def counted(a: pd.DataFrame, b: pd.DataFrame, d: np.ndarray, same: bool) -> pd.DataFrame:
+    pivots, block = min(n_points, pivots or min(32, 1 + n_points // 512)), block or max(2048, n_points // 32)
+    dealt = written(_dealt(points, max(radii), pivots, block), "dealt")
+    n_blocks = max(pivots, n_points // block)
+    tasks = max(1, min(512, n_blocks * n_blocks // 4))
+
+    def counted(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
+        wa, wb = a.weight.to_numpy(), b.weight.to_numpy()
+        whole = np.float32 if max(wa.sum(), wb.sum()) < 1 << 24 else np.float64  # sums stay exact
+        fa, fb = wa.astype(whole), wb.astype(whole)
+        na, nb = np.zeros((len(radii), len(a)), dtype=np.int64), np.zeros((len(radii), len(b)), dtype=np.int64)
+        for i, j, each in _pieces(np.stack(a.features), np.stack(b.features), radii):
+            for e, near in enumerate(each):
+                ones, (k, n) = near.astype(whole), near.shape
+                na[e, i : i + k] += (ones @ fb[j : j + n]).astype(np.int64)
+                if not same:
+                    nb[e, j : j + n] += (fa[i : i + k] @ ones).astype(np.int64)
+        sides = [(a, na)] if same else [(a, na), (b, nb)]
+        return pd.concat(pd.DataFrame({"id": side.id, "near": list(n.T)}) for side, n in sides)
+
+    each_radius = [F.sum(F.col("near")[e]) for e in range(len(radii))]
+    counts = written(_paired(dealt, counted, "id long, near array<long>", tasks).groupBy("id").agg(F.array(*each_radius).alias("near")), "near")
+
+    def inside(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id")
+        x, ids, near = np.stack(group.features), group.id.to_numpy(), np.stack(group.near)
+        own = np.full((len(ids), len(settings)), -1)
+        for s, (e, m) in enumerate(settings):
+            core = np.flatnonzero(near[:, e] >= m)
+            own[core, s] = ids[core][_connected(x[core], radii[e])]
+        return pd.DataFrame({"id": ids, "own": list(own)})
+
+    # own: for each setting the least core point that a core point reaches inside its block, -1 if it is none
+    blocks = dealt.select("id", "features", "block").join(counts, "id")
+    parted = written(counts.join(blocks.repartition(n_blocks, "block").groupBy("block").applyInPandas(inside, "id long, own array<long>"), "id"), "parted")
+
+    def linked(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
+        xa, xb, ida, idb, own_a, own_b = np.stack(a.features), np.stack(b.features), a.id.to_numpy(), b.id.to_numpy(), np.stack(a.own), np.stack(b.own)
         out = []
-        for e, r in enumerate(radii):
-            near = d <= r
-            out.append(pd.DataFrame({"id": a.id, "e": e, "n": near @ b.weight.to_numpy()}))
-            if not same:
-                out.append(pd.DataFrame({"id": b.id, "e": e, "n": a.weight.to_numpy() @ near}))
-        return pd.concat(out)
 
-    counts = _paired(dealt, counted, "id long, e int, n long").groupBy("id").pivot("e", list(range(len(radii)))).agg(F.sum("n"))
-    counts = written(counts.select("id", F.array(*(F.col(str(e)) for e in range(len(radii)))).alias("near")), "near")
+        def largest(own: np.ndarray) -> int:
+            parts, n = np.unique(own[own >= 0], return_counts=True)
+            return parts[n.argmax()] if len(parts) else -2
 
-    def linked(a: pd.DataFrame, b: pd.DataFrame, d: np.ndarray, same: bool) -> pd.DataFrame:
-        ida, idb, na, nb = a.id.to_numpy(), b.id.to_numpy(), np.stack(a.near), np.stack(b.near)
-        out = []
-        for i, (e, m) in enumerate(settings):
-            ca, cb = na[:, e] >= m, nb[:, e] >= m
-            if not (ca.any() or cb.any()):
+        def links(s: int, u: np.ndarray, v: np.ndarray) -> None:
+            both = pd.DataFrame({"setting": s, "u": u, "v": v})[u != v].drop_duplicates()
+            if len(both):
+                out.append(both.assign(away=np.nan, at=-1))
+
+        def borders(s: int, ids: np.ndarray, part: np.ndarray, away: np.ndarray, at: np.ndarray) -> None:
+            if len(ids):
+                found = pd.DataFrame({"setting": s, "u": ids, "v": part, "away": away, "at": at}).sort_values(["away", "at"])
+                out.append(found.drop_duplicates("u"))
+
+        for e, r in enumerate(radii):
+            at = [s for s, (k, _) in enumerate(settings) if k == e]
+            if not ((own_a[:, at] >= 0).any() or (own_b[:, at] >= 0).any()):
                 continue
-            near = d <= radii[e]
-            left, right = _parts(near[np.ix_(ca, cb)], ida[ca], idb[cb])
-            out += [(i, u, v, None) for ids, to in ((ida[ca], left), (idb[cb], right)) for u, v in zip(ids, to, strict=True) if u != v]
-            for ids, core, other, far, ok in ((ida, ca, cb, d, near), (idb, cb, ca, d.T, near.T)):
-                if not other.any() or core.all():
-                    continue
-                dist = np.where(ok, far, np.inf)[np.ix_(~core, other)]
-                at = dist.argmin(axis=1)
-                best, to = dist[np.arange(len(at)), at], (idb if ids is ida else ida)[other][at]
-                out += [(i, u, v, x) for u, v, x in zip(ids[~core], to, best, strict=True) if np.isfinite(x)]
-                if same:
-                    break
-        return pd.DataFrame(out, columns=["setting", "u", "v", "away"])
-
-    links = written(_paired(dealt.join(counts, "id"), linked, "setting int, u long, v long, away double"), "links")
-    parts = _least_reachable(links.where("away IS NULL").select("setting", "u", "v"))
-    borders = links.where("away IS NOT NULL").groupBy("setting", F.col("u").alias("id")).agg(F.min_by("v", F.struct("away", "v")).alias("at"))
-    each = counts.select("id", F.explode(F.array(*(F.struct(F.lit(i).alias("setting"), F.lit(float(radii[e])).alias("radius"), F.lit(int(m)).alias("least"), F.col("near")[e].alias("n_near")) for i, (e, m) in enumerate(settings)))).alias("s")).select("id", "s.*")
-    each = each.join(borders, ["setting", "id"], "left").withColumn("at", F.when(F.col("n_near") >= F.col("least"), F.col("id")).otherwise(F.col("at")))
+            most_a, most_b = np.array([largest(own_a[:, s]) for s in at]), np.array([largest(own_b[:, s]) for s in at])
+            for s, p, q in zip(at, most_a, most_b, strict=True):
+                if not same and any(near.any() for _, _, (near,) in _pieces(xa[own_a[:, s] == p], xb[own_b[:, s] == q], [r])):
+                    links(s, np.array([p]), np.array([q]))
+            # points that are of the largest part in every setting need not be looked at again with one another
+            alone_a, alone_b = (own_a[:, at] != most_a).any(axis=1), (own_b[:, at] != most_b).any(axis=1)
+            for rows_, columns in ((np.flatnonzero(alone_a), np.arange(len(xb))), (np.flatnonzero(~alone_a), np.flatnonzero(alone_b))):
+                for u, v in _found(xa[rows_], xb[columns], r):
+                    u, v = rows_[u], columns[v]
+                    away = np.sqrt(((xa[u] - xb[v]) ** 2).sum(axis=1))
+                    for s in at:
+                        pu, pv = own_a[u, s], own_b[v, s]
+                        if not same:
+                            k = (pu >= 0) & (pv >= 0)
+                            links(s, pu[k], pv[k])
+                        k = (pu < 0) & (pv >= 0)
+                        borders(s, ida[u[k]], pv[k], away[k], idb[v[k]])
+                        k = (pv < 0) & (pu >= 0) & (not same)
+                        borders(s, idb[v[k]], pu[k], away[k], ida[u[k]])
+        return pd.concat(out) if out else pd.DataFrame(columns=["setting", "u", "v", "away", "at"])
+
+    links = written(_paired(dealt.select("id", "features", "block", "to").join(parted.select("id", "own"), "id"), linked, "setting int, u long, v long, away double, at long", tasks), "links")
+    joins = links.where("at < 0").select("setting", "u", "v")
+    parts = _least_reachable(joins)
+    borders = links.where("at >= 0").groupBy("setting", F.col("u").alias("id")).agg(F.min_by("v", F.struct("away", "at")).alias("beside"))
+    each = parted.select("id", F.explode(F.array(*(F.struct(F.lit(i).alias("setting"), F.lit(float(radii[e])).alias("radius"), F.lit(int(m)).alias("least"), F.col("near")[e].alias("n_near"), F.nullif(F.col("own")[i], F.lit(-1)).alias("own")) for i, (e, m) in enumerate(settings)))).alias("s")).select("id", "s.*")
+    each = each.join(borders, ["setting", "id"], "left").withColumn("at", F.coalesce("own", "beside"))
     each = each.join(parts.withColumnRenamed("id", "at"), ["setting", "at"], "left").withColumn("part", F.coalesce("part", "at"))
     kind: Column = F.when(F.col("n_near") >= F.col("least"), "core").when(F.col("at").isNotNull(), "border").otherwise("noise")
     each = each.select("id", "setting", "radius", "least", "n_near", kind.alias("kind"), "part")
