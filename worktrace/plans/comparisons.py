@@ -11,8 +11,9 @@ from worktrace import fixtures as fx
 from worktrace.operators import boundary as b
 from worktrace.operators import evaluation as ev
 from worktrace.operators import joins as jn
-from worktrace.operators import learning as ln
 from worktrace.operators import sequence as sq
+from worktrace.operators import supervised as sv
+from worktrace.operators.tables import written
 from worktrace.plans import processes
 from worktrace.plans import sequences as base
 from worktrace.plans.oracle import sql
@@ -176,19 +177,24 @@ JOIN (SELECT axis, stratum, CASE WHEN count(*) > 1 THEN sum(pos * (below + neg /
   FROM (SELECT axis, stratum, v, count(*) FILTER (same) AS pos, count(*) FILTER (NOT same) AS neg FROM ({EACH}) GROUP BY ALL) WINDOW w AS (PARTITION BY axis, stratum ORDER BY v), x AS (PARTITION BY axis, stratum ORDER BY v DESC)) GROUP BY ALL) USING (axis, stratum)""")
 def _(s, d):
     """Pairs at all gaps by pause, distance and other work between: metrics of "at most a day apart" and of nearness as a score."""
-    cased = base.cased(s, d)
-    pairs = jn.offset_pairs(cased, "case_id", base.GAPS, at="timestamp_ms")
-    met = ln.distinct_at_gaps(pairs, cased, "case_id", base.GAPS)
-    known = pairs.join(met, ["session_id", "i", "j"]).withColumn("other", F.when(F.col("n_distinct") > F.when(F.col("same"), 1).otherwise(2), "other_work").otherwise("no_other_work"))
+    made = sv.pair_vectors(base.cased(s, d), "case_id", base.GAPS, F.col("event_type") == "view", F.col("event_type") == "purchase", F.col("browser_url"))
+    known = made.select("same", F.col("apart_ms").alias("apart"), (F.col("j") - F.col("i")).alias("gap"), F.when(F.col("other_work"), "other_work").otherwise("no_other_work").alias("other"))
 
     def level(column: str, bounds) -> Column:
         return reduce(lambda c, x: F.when(F.col(column) < x[1], x[0]).otherwise(c), reversed(bounds[:-1]), F.lit(bounds[-1][0]))
 
     axes = {"all": F.lit(""), "time": level(*STRATA["time"]), "distance": level(*STRATA["distance"]), "between": F.col("other")}
     spread = F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), c.alias("stratum")) for a, c in axes.items())))
-    each = known.withColumn("_x", spread).select("_x.axis", "_x.stratum", "same", (-F.col("apart")).alias("v"), (F.col("apart") <= 24 * fx.HOUR).alias("predicted"))
-    n = each.groupBy("axis", "stratum").agg(F.count("*").alias("n"), F.count_if("same").alias("n_same"), F.count_if(F.expr("same AND predicted")).alias("tp"), F.count_if(F.expr("NOT same AND predicted")).alias("fp"), F.count_if(F.expr("same AND NOT predicted")).alias("fn"))
-    n = n.withColumns(ev._prf(F.col("tp"), F.col("fp"), F.col("fn"))).withColumn("few", F.expr("n < 50 OR n_same = 0 OR n_same = n"))
     keys = ["axis", "stratum"]
-    out = n.join(ev.auc(each, "v", "same", keys).drop("n_pos", "n_neg"), keys).join(ev.average_precision(each, "v", "same", keys), keys)
+    each = known.withColumn("_x", spread).groupBy("_x.axis", "_x.stratum", (-F.col("apart")).alias("v")).agg(F.count_if("same").alias("pos"), F.count_if(~F.col("same")).alias("neg"))
+    each = written(each, "values")
+    near, n_of = F.col("v") >= -24 * fx.HOUR, lambda c, when=F.lit(True): F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
+    n = each.groupBy(*keys).agg(n_of("pos").alias("n_same"), n_of("neg").alias("n_other"), n_of("pos", near).alias("tp"), n_of("neg", near).alias("fp"), n_of("pos", ~near).alias("fn"), F.count("*").alias("k"))
+    n = written(n.withColumn("n", F.col("n_same") + F.col("n_other")), "strata")
+    # what is not below a value is at it or above, so one order gives both curves
+    placed = ev.running_sums(each, keys, "v", {"pos_below": "pos", "neg_below": "neg"}, own=False).join(F.broadcast(n.select(*keys, "n_same", "n")), keys)
+    wins, part = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)), F.sum(F.col("pos") * (F.col("n_same") - F.col("pos_below")) / (F.col("n") - F.col("pos_below") - F.col("neg_below")))
+    curves = placed.groupBy(*keys).agg(wins.alias("wins"), part.alias("part"))
+    out = n.withColumns(ev._prf(F.col("tp"), F.col("fp"), F.col("fn"))).withColumn("few", F.expr("n < 50 OR n_same = 0 OR n_same = n")).join(curves, keys)
+    out = out.withColumns({"auc": F.when(F.col("k") > 1, F.try_divide("wins", F.col("n_same") * F.col("n_other"))), "average_precision": F.try_divide("part", "n_same")}).drop("k", "n_other", "wins", "part")
     return _r(out, 9, "precision", "recall", "f1", "auc", "average_precision")
