@@ -33,5 +33,7 @@ def write_executions_csv(executions: DataFrame, path: str) -> None:
 
 
 def write_views(rows: DataFrame, path: str, order: list[str]) -> None:
-    """One JSON file a session, in a folder of its name, in the given order."""
-    rows.repartition("session_id").sortWithinPartitions("session_id", *order).write.partitionBy("session_id").json(path)
+    """One JSON file a session, in a folder of its name, in the given order. Tasks put their files in place themselves: there are as many as sessions,
+    too many for the driver to move one by one. The number of tasks is given, as few bytes in many files would else be put together into few tasks."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(tasks, "session_id").sortWithinPartitions("session_id", *order).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("session_id").json(path)
