@@ -14,6 +14,7 @@ from worktrace.operators import joins as jn
 from worktrace.operators import learning as ln
 from worktrace.operators import scoring as sc
 from worktrace.operators import sequence as sq
+from worktrace.operators.tables import written
 from worktrace.plans import sequences as base
 from worktrace.plans.oracle import sql
 
@@ -40,7 +41,8 @@ def rows(s: SparkSession, d: str) -> DataFrame:
 
 
 def rows_of(seg: DataFrame) -> DataFrame:
-    """Executions with process_id, signature, manual share and number of systems."""
+    """Executions with process_id, signature, manual share and number of systems. The segments are read five times, so they are written once."""
+    seg = written(seg, "segmented")
     step_rows = ex.steps(seg)
     keys = ["session_id", "seg_no"]
     sig = dc.signatures(dc.trace_steps(step_rows, F.col("system")))
@@ -193,7 +195,9 @@ def _(s, d):
 
 
 def profile_of(base_rows: DataFrame) -> DataFrame:
-    p = dc.profiles(base_rows)
+    """One row a process. The executions and the profiles are read several times, so both are written once."""
+    base_rows = written(base_rows.select("process_id", "signature", "operator", "duration_ms", "manual_share", "n_systems"), "executions")
+    p = written(dc.profiles(base_rows), "profiles")
     return p.join(dc.process_metrics(p), "process_id").join(sc.entropies(dc.variants(base_rows)), "process_id")
 
 
@@ -227,8 +231,9 @@ def scenarios(s: SparkSession) -> DataFrame:
     return s.createDataFrame(SCEN, "scenario string, w_nf double, w_nt double, w_nm double, w_nd double, w_ne double, w_ns double, w_nc double")
 
 
-def scenario_ranks(s: SparkSession, d: str) -> DataFrame:
-    return sc.ranks(sc.scores(parts(s, d), scenarios(s)), over=["scenario"])
+def scenario_ranks(s: SparkSession, d: str, own: DataFrame | None = None) -> DataFrame:
+    """Ranks in each scenario; ``own``: the parts, where they are there already."""
+    return sc.ranks(sc.scores(parts(s, d) if own is None else own, scenarios(s)), over=["scenario"])
 
 
 @plan("s01_min_max", "SELECT process_id, round(nf, 9) AS nf, round(nt, 9) AS nt, round(nm, 9) AS nm, round(nd, 9) AS nd, round(ne, 9) AS ne, round(nsf, 9) AS ns, round(nc, 9) AS nc FROM norm")

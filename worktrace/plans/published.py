@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worktrace.operators import discovery as dc
-from worktrace.operators.tables import new_folder
+from worktrace.operators import scoring as sc
+from worktrace.operators.tables import new_folder, written
 from worktrace.plans import processes
 from worktrace.plans import sequences as base
 from worktrace.plans.oracle import sql
@@ -91,7 +92,9 @@ def _(s, d):
 def _(s, d):
     """Ranking with its robustness, one row a process."""
     path = new_folder(s, "ranking")
-    both = processes.QUERIES["s04_opportunity"](s, d).join(processes.QUERIES["s13_rank_robustness"](s, d), "process_id", "left")
+    own = written(processes.parts(s, d), "parts")
+    default = processes._r(sc.ranks(sc.scores(own)), "opportunity")
+    both = default.join(sc.rank_robustness(processes.scenario_ranks(s, d, own)), "process_id", "left")
     both.write.json(path)
     return s.read.schema(both.schema).json(path)
 
