@@ -325,7 +325,8 @@ def _(s, d):
 
 @plan("s07_spearman", f"SELECT a.scenario, round(coalesce(corr(a.rank, b.rank), 1), 9) AS rho FROM ({SRANK}) a JOIN ({SRANK}) b ON b.scenario = 'default' AND a.process_id = b.process_id GROUP BY 1")
 def _(s, d):
-    return _r(sc.spearman(scenario_ranks(s, d), sc.ranks(scored(s, d))), "rho")
+    own = written(parts(s, d), "parts")
+    return _r(sc.spearman(scenario_ranks(s, d, own), sc.ranks(sc.scores(own))), "rho")
 
 
 @plan("s08_kendall", f"SELECT scenario, round(sum(CASE WHEN sign(x1 - x2) = sign(y1 - y2) THEN 1 ELSE -1 END) / count(*), 9) AS tau FROM (SELECT a.scenario, a.opportunity AS x1, b.opportunity AS x2, c.opportunity AS y1, e.opportunity AS y2 FROM ({SSQL}) a JOIN ({SSQL}) b ON a.scenario = b.scenario AND a.process_id < b.process_id JOIN scored c ON c.process_id = a.process_id JOIN scored e ON e.process_id = b.process_id) GROUP BY 1")
