@@ -613,8 +613,8 @@ BY_MERGE = " UNION ALL ".join(f"SELECT {k} AS k, process_id, rank FROM ({sql(RAN
 def _(s, d):
     """Ranks by opportunity at each merge threshold, and each process's class: stable where its rank moves by one at most,
     absent where some threshold lacks it."""
-    events = base.canon(s, d)
-    raw = b.system_change(events)
+    events = written(base.canon(s, d), "events")
+    raw = written(b.system_change(events), "cuts")
     out = None
     for k in MERGES:
         seg = sq.segments(events, b.merge_leave_and_return(events, raw, k))
