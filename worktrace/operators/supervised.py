@@ -50,15 +50,17 @@ def execution_vectors(events: DataFrame, keys: Sequence[str], vocabulary: Mappin
     marked = events.withColumn("_switch", known & ~F.lag("application").over(w).eqNullSafe(F.col("application")))
     share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
     shares = lambda prefix, column: {n: share(F.col(column) == v) for n, v in _named(prefix, vocabulary.get(column, ())).items()}
+    # sets of few values: a distinct count would take every event once more for each column
+    several = lambda c: F.size(F.collect_set(c))
     behaviour = {"n_events": F.count("*").cast("double"), "duration_ms": (F.max("timestamp_ms") - F.min("timestamp_ms")).cast("double")}
-    behaviour |= shares("cat", "interaction_category") | {"n_categories": F.count_distinct("interaction_category").cast("double")}
-    behaviour |= shares("type", "event_type") | {"n_types": F.count_distinct("event_type").cast("double")}
+    behaviour |= shares("cat", "interaction_category") | {"n_categories": several("interaction_category").cast("double")}
+    behaviour |= shares("type", "event_type") | {"n_types": several("event_type").cast("double")}
     behaviour |= {
         "manual_share": share(F.col("interaction_category").isin(*manual)),
         "text_share": share(F.col("has_extracted_text")),
-        "n_applications": F.count_distinct("application").cast("double"),
+        "n_applications": several("application").cast("double"),
         "n_switches": F.count_if("_switch").cast("double"),
-        "n_titles": F.count_distinct("window_title").cast("double"),
+        "n_titles": several("window_title").cast("double"),
     }
     identity = shares("app", "application") | shares("domain", "browser_domain")
     rows = marked.groupBy(*keys).agg(*(c.alias(n) for n, c in (behaviour | identity).items())).where(F.col("n_events") >= least)
