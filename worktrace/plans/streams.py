@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from worktrace import fixtures as fx
 from worktrace.functions import scalar
-from worktrace.operators.tables import new_folder
+from worktrace.operators.tables import dropped, new_folder, written
 from worktrace.plans import sequences as base
 from worktrace.plans.oracle import sql
 from worktrace.streaming import cuts, ingest, sessions
@@ -16,8 +16,8 @@ from worktrace.streaming import cuts, ingest, sessions
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
-#: Waves in which the chunks come, and files of a wave.
-WAVES, FILES = 4, 4
+#: Waves in which the chunks come, files of a wave at least, and lines of a file about.
+WAVES, FILES, LINES = 4, 4, 100_000
 DAY = 86_400_000
 
 
@@ -31,8 +31,8 @@ def plan(name: str, oracle: str | None = None):
     return add
 
 
-def feed(s: SparkSession, d: str) -> tuple[str, str]:
-    """(folder of the chunks, how late a row may be). Every fifth event comes twice, every eleventh once more, cut short. Rows of a
+def feed(s: SparkSession, d: str) -> tuple[str, str, int]:
+    """(folder of the chunks, how late a row may be, files of a wave). Every fifth event comes twice, every eleventh once more, cut short. Rows of a
     wave are mixed; waves follow each other in time. A last line without a session, far ahead in time, moves the watermark over all others."""
     rows = base.canon(s, d)
     text = F.to_json(
@@ -47,19 +47,22 @@ def feed(s: SparkSession, d: str) -> tuple[str, str]:
     )
     copies = F.expr("filter(array(0, CASE WHEN event_id % 5 = 0 THEN 1 END, CASE WHEN event_id % 11 = 0 THEN 2 END), x -> x IS NOT NULL)")
     sent = rows.select("event_id", "timestamp_ms", F.explode(copies).alias("copy"), text.alias("raw")).withColumn("raw", F.expr("CASE WHEN copy = 2 THEN substring(raw, 1, 40) ELSE raw END"))
-    low, high = rows.agg(F.min("timestamp_ms"), F.max("timestamp_ms")).first()
+    sent = written(sent, "sent")
+    low, high, n = sent.agg(F.min("timestamp_ms"), F.max("timestamp_ms"), F.count("*")).first()
+    files = max(FILES, -(-n // (WAVES * LINES)))
     width = (((high or 0) - (low or 0)) // WAVES) + 1
     root = new_folder(s, "chunks")
     for wave in range(WAVES):
         part = sent.where((F.col("timestamp_ms") >= (low or 0) + wave * width) & (F.col("timestamp_ms") < (low or 0) + (wave + 1) * width))
-        part.repartition(FILES, "event_id", "copy").select("raw").write.mode("append").text(root)
+        part.repartition(files, "event_id", "copy").select("raw").write.mode("append").text(root)
     s.createDataFrame([(f'{{"timestamp_ms": {(high or 0) + 10 * width + 10 * DAY}}}',)], "raw string").write.mode("append").text(root)
-    return root, f"{width + DAY} milliseconds"
+    dropped(sent)
+    return root, f"{width + DAY} milliseconds", files
 
 
 def _events(s: SparkSession, d: str) -> DataFrame:
-    root, late = feed(s, d)
-    return ingest.events(ingest.lines(s, root, FILES), late)
+    root, late, files = feed(s, d)
+    return ingest.events(ingest.lines(s, root, files), late)
 
 
 BRONZE = "SELECT event_id, session_id, timestamp_ms, chunk_id, application, browser_url, n.n_lines + 1 AS n_lines, n.n_bad, 0 AS n_late FROM (SELECT CAST(event_id AS VARCHAR) AS event_id, session_id, timestamp_ms, chunk_id, application, browser_url FROM canon), (SELECT count(*) + count(*) FILTER (event_id % 5 = 0) + count(*) FILTER (event_id % 11 = 0) AS n_lines, count(*) FILTER (event_id % 11 = 0) AS n_bad FROM canon) n"
