@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worktrace.operators.quality import parsed
+from worktrace.operators.tables import written
 
 #: Upper bounds in ms of the pauses that are counted together. Fixed values.
 PAUSES = {"under_100ms": 100, "100ms_to_1s": 1000, "1s_to_10s": 10_000, "10s_to_60s": 60_000, "over_60s": None}
@@ -61,42 +62,44 @@ def facts(lines: DataFrame, known: DataFrame, fields: Mapping[str, str], repeats
     pauses, missing, identity, duplicates; sequential and no_payload by event type; unknown by layer and layer/type. Sections by
     type have rows for what occurs only. Records without a time come first in their session and have no pause.
     """
-    all_rows = records(lines)
-    w = Window.partitionBy("session_id").orderBy("timestamp_ms", "sequence_number", "event_id")
-    good = all_rows.where("v IS NOT NULL")
-    placed = good.withColumns(
+    missing = {}
+    for name, path in fields.items():
+        there, text = F.try_variant_get("v", path, "variant"), F.try_variant_get("v", path, "string")
+        missing |= {f"{name}_absent": there.isNull(), f"{name}_null": F.is_variant_null(there), f"{name}_empty": text.isin("", "{}", "[]")}
+    w = Window.partitionBy("session_id", "good").orderBy("timestamp_ms", "sequence_number", "event_id")
+    read_once = records(lines).withColumns({"good": F.col("v").isNotNull(), "whole": F.md5(F.to_json("v"))} | missing).drop("v")
+    all_rows = read_once.withColumns(
         {
             "pause": F.col("timestamp_ms") - F.lag("timestamp_ms").over(w),
             "repeat": F.coalesce(F.lag("event_type").over(w).eqNullSafe(F.col("event_type")) & F.lag("payload").over(w).eqNullSafe(F.col("payload")) & F.lag(F.lit(True)).over(w), F.lit(False)),
         }
     )
+    # parsed and put in order once, not for each section and total
+    all_rows = written(all_rows, "audited")
+    good = all_rows.where("good")
     checks = time_checks() | {"negative": F.col("pause") < 0, "zero": F.col("pause") == 0}
     low, pauses = None, {}
     for name, high in PAUSES.items():
         pauses[name] = F.col("pause").isNotNull() & (F.lit(True) if low is None else F.col("pause") >= low) & (F.lit(True) if high is None else F.col("pause") < high)
         low = high
-    missing = {}
-    for name, path in fields.items():
-        there, text = F.try_variant_get("v", path, "variant"), F.try_variant_get("v", path, "string")
-        missing |= {f"{name}_absent": there.isNull(), f"{name}_null": F.is_variant_null(there), f"{name}_empty": text.isin("", "{}", "[]")}
     identity = {"other_session": ~F.col("own_session").eqNullSafe(F.col("session_id")), "other_chunk": ~F.col("own_chunk").eqNullSafe(F.col("chunk_dir"))}
-    counted = checks | pauses | missing | identity
-    wide = placed.groupBy("session_id").agg(F.max("pause").alias("longest"), *(F.count_if(c).alias(n) for n, c in counted.items()))
+    counted = checks | pauses | {n: F.col(n) for n in missing} | identity
+    wide = good.groupBy("session_id").agg(F.max("pause").alias("longest"), *(F.count_if(c).alias(n) for n, c in counted.items()))
     wide = wide.withColumn("longest", F.greatest("longest", F.lit(0)))
     sections = {"times": [*checks, "longest"], "pauses": pauses, "missing": missing, "identity": identity}
     flat = F.array(*(F.struct(F.lit(s).alias("section"), F.lit(n).alias("name"), F.coalesce(F.col(n), F.lit(0)).cast("long").alias("value")) for s, names in sections.items() for n in names))
     out = wide.select("session_id", F.explode(flat).alias("x")).select("session_id", "x.*")
 
-    read = all_rows.groupBy("session_id").agg(F.count("*").alias("n_lines"), F.count_if(F.col("v").isNull()).alias("malformed"), F.count("v").alias("n_events"))
+    read = all_rows.groupBy("session_id").agg(F.count("*").alias("n_lines"), F.count_if(~F.col("good")).alias("malformed"), F.count_if("good").alias("n_events"))
     out = out.unionByName(_long(read, "lines", ["n_lines", "malformed", "n_events"]))
 
-    same = good.groupBy("session_id", F.xxhash64(F.to_json("v")).alias("h"), F.md5(F.to_json("v")).alias("m")).agg(F.count("*").alias("n")).where("n > 1")
+    same = good.groupBy("session_id", "whole").agg(F.count("*").alias("n")).where("n > 1")
     out = out.unionByName(_long(same.groupBy("session_id").agg(F.count("*").alias("exact_groups"), F.sum(F.col("n") - 1).alias("exact_repeats")), "duplicates", ["exact_groups", "exact_repeats"]))
     alike = good.groupBy("session_id", "timestamp_ms", "event_type", "payload").agg(F.count_distinct("event_id").alias("n")).where("n > 1")
     out = out.unionByName(_long(alike.groupBy("session_id").agg(F.count("*").alias("semantic_groups")), "duplicates", ["semantic_groups"]))
 
     expected = F.coalesce(F.col("event_type").isin(*repeats), F.lit(False)) if repeats else F.lit(False)
-    by_type = placed.groupBy("session_id", F.coalesce("event_type", F.lit("none")).alias("name")).agg(F.count_if(F.col("repeat") & ~expected).alias("sequential"), F.count_if("no_payload").alias("no_payload"))
+    by_type = good.groupBy("session_id", F.coalesce("event_type", F.lit("none")).alias("name")).agg(F.count_if(F.col("repeat") & ~expected).alias("sequential"), F.count_if("no_payload").alias("no_payload"))
     for section in ("sequential", "no_payload"):
         out = out.unionByName(by_type.select("session_id", F.lit(section).alias("section"), "name", F.col(section).alias("value")).where("value > 0"))
 
@@ -106,6 +109,7 @@ def facts(lines: DataFrame, known: DataFrame, fields: Mapping[str, str], repeats
     foreign = odd.join(layers, "layer", "left_semi").join(F.broadcast(known), ["layer", "event_type"], "left_anti").select("session_id", F.concat_ws("/", "layer", F.coalesce("event_type", F.lit("none"))).alias("name"), "value")
     out = out.unionByName(strange.unionByName(foreign).select("session_id", F.lit("unknown").alias("section"), "name", "value"))
 
+    out = written(out.select(FACTS), "facts")
     total = out.groupBy("section", "name").agg(F.when(F.col("name") == "longest", F.max("value")).otherwise(F.sum("value")).alias("value"))
     return out.select(FACTS).unionByName(total.select(F.lit(None).cast("string").alias("session_id"), "section", "name", "value"))
 
