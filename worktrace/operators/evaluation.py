@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worktrace.operators.sequence import running_sums
+from worktrace.operators.tables import written
 
 
 def _prf(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
@@ -92,6 +93,7 @@ def auc(values: DataFrame, value: str, truth: str, by: Sequence[str] = ()) -> Da
     """ROC-AUC of a raw value by Mann-Whitney on distinct values; null if one side is empty or the value constant."""
     known = values.where(F.col(value).isNotNull())
     each = known.groupBy(*by, value).agg(F.count_if(truth).alias("pos"), F.count_if(~F.col(truth)).alias("neg"))
+    each = written(each, "values")  # read for the steps and for the values in them
     wins = running_sums(each, by, value, {"below": "neg"}, own=False).withColumn("wins", F.col("pos") * (F.col("below") + F.col("neg") / 2))
     out = wins.groupBy(*by).agg(F.sum("wins").alias("w"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.count("*").alias("k"))
     return out.withColumn("auc", F.when(F.col("k") > 1, F.try_divide("w", F.col("n_pos") * F.col("n_neg")))).drop("w", "k")
