@@ -9,6 +9,7 @@ from worktrace import fixtures as fx
 from worktrace.operators import density as dn
 from worktrace.operators import regression as rg
 from worktrace.operators import supervised as sv
+from worktrace.operators.classes import class_predictions
 from worktrace.operators.tables import written
 from worktrace.plans import sequences as base
 from worktrace.plans.oracle import sql
@@ -119,13 +120,8 @@ ORACLE["m10_baseline_confusion"] = _reported("SELECT model, truth, predicted, co
 def classified(s: SparkSession, d: str) -> DataFrame:
     """Out-of-fold predictions of both variants by a multinomial regression and a forest: one written table."""
     rows, behaviour, identity = executions(s, d)
-    out = None
-    for variant, columns in (("behaviour", behaviour), ("identity", [*behaviour, *identity])):
-        table, labels = sv.ready(rows, columns, "process_code", "session_id", FOLDS, KEYS)
-        models = {"logistic_regression": sv.logistic(), "random_forest": sv.forest(trees=TREES)}
-        part = sv.predictions(table, labels, models, FOLDS, KEYS).withColumn("variant", F.lit(variant))
-        out = part if out is None else out.unionByName(part)
-    return sv.written(out, "predictions")
+    sets = {"behaviour": behaviour, "identity": [*behaviour, *identity]}
+    return sv.written(class_predictions(rows, sets, "process_code", "session_id", FOLDS, KEYS, trees=TREES), "predictions")
 
 
 @plan("m10_models")
