@@ -57,6 +57,28 @@ def test_distinct_between_lists_no_places_of_pairs(spark):
     assert sorted(map(tuple, df.select(*want.columns).collect())) == sorted(want.fetchall())
 
 
+def test_distinct_of_pairs_equal_brute_force(spark):
+    rng = random.Random(8)
+    at = {("s", i): (rng.choice(["p", "q", None]), rng.choice(["A", "B", "C", "D", None])) for i in range(400)} | {("t", i): ("p", None) for i in range(3)}
+    events = spark.createDataFrame([(*k, *v) for k, v in at.items()], "session_id string, idx long, case_id string, application string").repartition(3)
+    want = {(s, i, i + g): len({at[s, k][1] for k in range(i, i + g + 1)} - {None}) for (s, i), (c, _) in at.items() for g in sequences.LINKED if c and at.get((s, i + g), (None,))[0]}
+    found = learning.distinct_of_pairs(events, "case_id", "application", sequences.LINKED).collect()
+    assert len(found) == len(want) > 2000 and {(r.session_id, r.i, r.j): r.n_distinct for r in found} == want
+
+
+@pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
+def test_distinct_between_drops_no_pair(spark, monkeypatch):
+    """A session with more than 200 pairs has all of them, at every gap of the grid and of the capped queries."""
+    from worktrace.plans import models
+
+    events = spark.range(300).selectExpr("'s' AS session_id", "id AS idx", "'c' AS case_id", "concat('a', id % 3) AS application")
+    monkeypatch.setattr(sequences, "cased", lambda s, d: events)
+    monkeypatch.setattr(sequences, "canon", lambda s, d: events)
+    found = models.QUERIES["m12_distinct_between"](spark, "").collect()
+    assert {(r.i, r.j) for r in found} == {(i, i + g) for g in {*sequences.GAPS, 1, 2, 5, 10, 25} for i in range(300 - g)}
+    assert "<= 200" not in models.ORACLE["m12_distinct_between"]
+
+
 @pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
 def test_hmm_is_swept_over_all_states(spark):
     found = registry.QUERIES["b17_hmm_boundaries"](spark, D).groupBy("k").count().collect()

@@ -124,6 +124,21 @@ def distinct_at_gaps(pairs: DataFrame, events: DataFrame, column: str, gaps: Seq
     return summed.where("j IS NOT NULL").select("session_id", "i", "j", "n_distinct")
 
 
+def distinct_of_pairs(events: DataFrame, label: str, column: str, gaps: Sequence[int]) -> DataFrame:
+    """(session_id, i, j, n_distinct) of all pairs (i, i + gap) of labelled events: distinct values at i .. j.
+
+    A value is there if it has come in by j, at a place more than gap after its last one, and has not gone out before i, at a place more than gap
+    before its next one: differences of running counts in the session's order. Pairs are neither joined nor listed before they are counted."""
+    w, own = Window.partitionBy("session_id").orderBy("idx"), Window.partitionBy("session_id", column).orderBy("idx")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    marked = events.select("session_id", "idx", F.col(label).isNotNull().alias("known"), F.col(column).isNotNull().alias("valued"), (F.col("idx") - F.lag("idx").over(own)).alias("last"), (F.lead("idx").over(own) - F.col("idx")).alias("next"))
+    beyond = lambda side, g: F.col("valued") & F.coalesce(F.col(side) > g, F.lit(True))
+    counts = marked.withColumns({f"in_{g}": F.count_if(beyond("last", g)).over(so_far) for g in gaps} | {f"out_{g}": F.count_if(beyond("next", g)).over(so_far) - beyond("next", g).cast("long") for g in gaps})
+    ends = counts.withColumns({f"at_{g}": F.first(F.when(F.col("known"), F.col(f"in_{g}"))).over(w.rangeBetween(g, g)) for g in gaps}).where("known")
+    found = F.filter(F.array(*(F.struct((F.col("idx") + g).alias("j"), (F.col(f"at_{g}") - F.col(f"out_{g}")).alias("n_distinct")) for g in gaps)), lambda x: x["n_distinct"].isNotNull())
+    return ends.select("session_id", F.col("idx").alias("i"), F.explode(found).alias("p")).select("session_id", "i", "p.j", "p.n_distinct")
+
+
 def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Adjusted Rand index and normalised mutual information (arithmetic mean) of two labelings, from their contingency table."""
     cells = rows.groupBy(a, b).agg(F.count("*").cast("double").alias("n"))

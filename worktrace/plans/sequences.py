@@ -261,6 +261,8 @@ CAPPED = f"SELECT session_id, i, j, gap, ca = cb AS same FROM ({PAIRS}) QUALIFY
 
 #: The reference's grid: 24 log-spaced gaps up to 600, of which 22 differ as whole numbers.
 GAPS = sorted({round(600 ** (k / 23)) for k in range(24)})
+#: That grid and the gaps of the capped queries.
+LINKED = sorted({*GAPS, 1, 2, 5, 10, 25})
 EVERY = f"SELECT a.session_id, a.idx AS i, b.idx AS j, b.idx - a.idx AS gap, a.case_id = b.case_id AS same FROM cased a JOIN cased b ON a.session_id = b.session_id AND b.idx - a.idx IN ({', '.join(map(str, GAPS))}) WHERE a.case_id IS NOT NULL AND b.case_id IS NOT NULL"
 
 
