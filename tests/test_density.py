@@ -120,3 +120,80 @@ def test_points_are_not_sent_to_more_blocks_than_asked(spark):
     finally:
         dn._dealt = dealt
     assert sent["pivots"] <= 32 and sent["block"] >= 2048
+
+
+def _clouds(n=3000, seed=7):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(c, 0.6, (n // 3, 6)) for c in (0, 2, 5)])
+    x[:, 3:5] = x[:, :2]  # columns that say the same
+    x[::7] = np.round(x[::7])
+    return np.unique(x, axis=0)
+
+
+@pytest.mark.parametrize("ahead", [True, False])
+def test_leaves_leave_out_no_pair_and_most_of_the_others(ahead):
+    import numpy as np
+
+    x = _clouds()
+    rng = np.random.default_rng(1)
+    x = rng.permutation(x)
+    y = x if ahead else rng.permutation(x)[:1000] + 0.25
+    away = dn._apart(x, y)
+    radii = [0.5, float(np.sort(away[3])[20]), 1.0]
+    left, right = dn._both(x, y)
+    right = left if ahead else right
+    got, seen = np.zeros((3, *away.shape), dtype=bool), 0
+    for start, end, columns, each in dn._close(left, right, radii, ahead):
+        for e, near in enumerate(each):
+            u, v = np.nonzero(near)
+            got[e, left.rows[start + u], right.rows[columns[v]]] = True
+            if ahead:
+                got[e, right.rows[columns[v]], left.rows[start + u]] = True
+        seen += (end - start) * len(columns)
+    assert all((got[e] == (away <= r)).all() for e, r in enumerate(radii))
+    assert seen < 0.75 * away.size
+
+
+def test_large_and_tiny_numbers_are_not_lost_to_single_precision():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for scale in (1e-30, 1e-22, 1e15, 1e30, 1e160):
+        x = rng.normal(size=(40, 3)) * scale
+        with np.errstate(over="ignore"):
+            away = dn._apart(x, x)
+            r = float(np.median(away)) if np.isfinite(away).all() and away.max() > 0 else scale
+            left, _ = dn._both(x, x[:0])
+            got = np.zeros(away.shape, dtype=bool)
+            for start, _, columns, (near,) in dn._close(left, left, [r]):
+                got[left.rows[start : start + len(near)][:, None], left.rows[columns[: near.shape[1]]][None, :]] = near
+            assert (got == (away <= r)).all(), scale
+
+
+def test_parts_are_joined_without_comparing_what_is_one_already():
+    import numpy as np
+
+    x = _clouds()
+    r, places = 0.8, np.arange(len(_clouds()))
+    ordered, _ = dn._both(x, x[:0])
+    compared, within = [0], dn._within
+    dn._within = lambda a, rows, b, columns, *more: compared.__setitem__(0, compared[0] + len(a.x[rows]) * len(columns)) or within(a, rows, b, columns, *more)
+    try:
+        root = dn._bridged(ordered, ordered, r, places, places, places.copy())
+    finally:
+        dn._within = within
+    u, v = np.nonzero(dn._apart(x, x) <= r)
+    assert (root == dn._joined(places.copy(), u, v)).all()
+    assert compared[0] < 0.6 * len(x) ** 2
+    none = ordered.only(np.zeros(len(x), dtype=bool))
+    assert not list(dn._found(ordered, none, r)) and not list(dn._found(none, ordered, r))
+    assert (dn._bridged(none, ordered, r, places, places, places.copy()) == places).all() and (dn._bridged(ordered, none, r, places, places, places.copy()) == places).all()
+
+
+def test_kinds_without_parts_are_the_same(spark):
+    table = spark.createDataFrame(list(_rows().items()), "key string, features array<double>")
+    kinds = lambda **kw: sorted((r.key, r.radius, r.least, r.n_near, r.kind) for r in dn.density_clusters(table, "key", RADII, LEAST, 6, 40, **kw).collect())
+    assert kinds() == kinds(parts=False)
+    assert "cluster" not in dn.density_clusters(table.limit(0), "key", RADII, LEAST, parts=False).columns
