@@ -298,12 +298,12 @@ def _work(columns: list[str]) -> list[str]:
     return [c for c in columns if c not in ("duration_ms", "n_events", "per_second")]
 
 
-def _density(s: SparkSession, d: str) -> DataFrame:
+def _density(s: SparkSession, d: str, clusters: bool = True) -> DataFrame:
     """Both sets of vectors by all settings: behaviour alone, and with the applications and domains (which give the process away)."""
     rows, behaviour, identity = executions(s, d)
     rows = written(rows, "executions")
     sets = {"behaviour": _work(behaviour), "with_identity": _work(behaviour) + identity}
-    parts = [dn.density_clusters(dn.standard_vectors(rows, columns, ["case_id"]), "case_id", RADII, NEIGHBOURS).select(F.lit(name).alias("vectors"), "*") for name, columns in sets.items()]
+    parts = [dn.density_clusters(dn.standard_vectors(rows, columns, ["case_id"]), "case_id", RADII, NEIGHBOURS, parts=clusters).select(F.lit(name).alias("vectors"), "*") for name, columns in sets.items()]
     return parts[0].unionAll(parts[1]).join(rows.select("case_id", "process_code"), "case_id")
 
 
@@ -335,7 +335,7 @@ def _counts(name: str) -> str:
 
 @plan("m13_density_points", f"SELECT * FROM (WITH v AS ({VECTORS}), near_behaviour AS ({_near(_BEHAVIOUR)}), near_with_identity AS ({_near(_BEHAVIOUR + _IDENTITY)}), {_counts('behaviour')}, {_counts('with_identity')} {_kinds('behaviour', _BEHAVIOUR)} UNION ALL {_kinds('with_identity', _BEHAVIOUR + _IDENTITY)})")
 def _(s, d):
-    return _density(s, d).select("vectors", "case_id", "radius", "least", "n_near", "kind")
+    return _density(s, d, clusters=False).select("vectors", "case_id", "radius", "least", "n_near", "kind")
 
 
 @plan("m13_density_report")
