@@ -59,3 +59,24 @@ def test_a_column_that_tells_passes_the_gate(spark):
     score = {(r.session_id, r.idx): r.score for r in scores.where("set = 'M2'").collect()}
     said = {(s, i): score[s, i] >= 0.5 for s, i, *_ in rows}
     assert one.tp == sum(said[s, i] and y for s, i, *_, y in rows) and one.fp == sum(said[s, i] and not y for s, i, *_, y in rows)
+
+
+def test_medians_by_running_counts_hold_no_keys_values(spark, monkeypatch):
+    """Exact medians of rows that stand for several, null keys too; neither query plan merges the values of a key in one task."""
+    import random
+    import statistics
+
+    from worktrace.operators import feature_sets as fs
+
+    rng = random.Random(2)
+    rows = [(f, o, round(rng.uniform(0, 9), rng.choice([0, 5])), rng.randint(1, 4)) for f in (0, 1) for o in ("a", None) for _ in range(rng.choice([40, 41]))] + [(2, "one", 3.5, 2), (2, "two", 0.0, 1), (2, "two", 1.0, 1)]
+    got = fs.weighted_medians(spark.createDataFrame(rows, "fold int, operator string, g double, c long").repartition(3), ["fold", "operator"], "g", "c")
+    want: dict = {}
+    for f, o, g, c in rows:
+        want.setdefault((f, o), []).extend([g] * c)
+    assert {(r.fold, r.operator): (r.median, r.n) for r in got.collect()} == {k: (statistics.median(v), len(v)) for k, v in want.items()}
+    gaps = spark.createDataFrame([(f"s{i % 9}", f"op{i % 2}", float(i % 7)) for i in range(90)], "session_id string, operator string, log1p_delta_t_ms double")
+    plans, written = [], fs.written
+    monkeypatch.setattr(fs, "written", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or written(df, name))
+    plans.append(fs.fold_baselines(gaps, 3, 5)._jdf.queryExecution().optimizedPlan().toString())
+    assert plans and not any("percentile" in p for p in plans)

@@ -10,9 +10,23 @@ from pyspark.sql import functions as F
 from worktrace.operators import evaluation as ev
 from worktrace.operators import regression as rg
 from worktrace.operators import supervised as sv
+from worktrace.operators.sequence import running_sums
 from worktrace.operators.tables import written
 
 
+def weighted_medians(rows: DataFrame, by: Sequence[str], value: str, count: str) -> DataFrame:
+    """(by, median, n): the exact median of a number that stands for ``count`` rows each, from running counts over its order: no task holds a key's values."""
+    summed = running_sums(rows.select(*by, value, count), by, value, {"_upto": count})
+    totals = rows.groupBy(*by).agg(F.sum(count).alias("n"))
+    keys = [f"_t_{k}" for k in by]
+    same = F.lit(True)
+    for k, other in zip(by, keys, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(other))
+    known = summed.join(F.broadcast(totals.withColumnsRenamed(dict(zip(by, keys, strict=True)))), same)  # one row a key
+    at = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.col(value)))
+    return known.groupBy(*by).agg(((at(F.floor((F.col("n") + 1) / 2)) + at(F.floor(F.col("n") / 2) + 1)) / 2).alias("median"), F.first("n").alias("n"))
+
+
 def fold_baselines(gaps: DataFrame, folds: int, least: int, group: str = "session_id") -> DataFrame:
     """(fold, operator, n, centre, spread, source): median and median absolute deviation (1e-6 at least) of log1p_delta_t_ms of an operator over the
     groups of the other folds; those of all operators together where it has fewer than ``least`` gaps there. A null operator is the row
@@ -22,11 +36,12 @@ def fold_baselines(gaps: DataFrame, folds: int, least: int, group: str = "sessio
     others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda k: k != own)
     each = gaps.select("operator", F.col("log1p_delta_t_ms").alias("g"), F.explode(others).alias("fold")).where("g IS NOT NULL")
     both = written(each.where("operator IS NOT NULL").unionByName(each.withColumn("operator", F.lit(None).cast("string"))).groupBy("fold", "operator", "g").agg(F.count("*").alias("c")), "gaps")
-    middle = both.groupBy("fold", "operator").agg(F.percentile("g", F.lit(0.5), F.col("c")).alias("m"), F.sum("c").alias("n"))
+    of = ["fold", "operator"]
+    middle = weighted_medians(both, of, "g", "c").withColumnRenamed("median", "m")
     same = lambda a, b: (a["fold"] == b["fold"]) & a["operator"].eqNullSafe(b["operator"])
     medians = written(middle, "medians")
     apart = both.join(F.broadcast(medians.select(F.col("fold").alias("f"), F.col("operator").alias("o"), "m")), (F.col("fold") == F.col("f")) & F.col("operator").eqNullSafe(F.col("o")))  # folds x operators
-    spread = apart.groupBy("fold", "operator").agg(F.percentile(F.abs(g - F.col("m")), F.lit(0.5), F.col("c")).alias("d"))
+    spread = weighted_medians(apart.select(*of, F.abs(g - F.col("m")).alias("a"), "c"), of, "a", "c").select(*of, F.col("median").alias("d"))
     known = medians.join(spread, same(medians, spread)).select(medians["fold"], medians["operator"], "n", "m", "d")
     every = known.where("operator IS NULL").select("fold", F.col("m").alias("gm"), F.col("d").alias("gd"))
     few = F.col("operator").isNull() | (F.col("n") < least)
