@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +38,43 @@ def write_executions_csv(executions: DataFrame, path: str) -> None:
     rows.repartitionByRange("session_id", "start").sortWithinPartitions("session_id", "start").write.option("header", True).csv(path)
 
 
+def _own_files(folder: str, run: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Writes (session_id, line), sorted by session, into a file a session. A task that runs again writes the same files again."""
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        part, last, out, n = TaskContext.get().partitionId(), object(), None, 0
+        for batch in batches:
+            for session, line in zip(batch.session_id, batch.line, strict=True):
+                if session != last:
+                    if out:
+                        out.close()
+                    # as Spark names the folders of a partition
+                    name = re.sub(r"[\x00-\x1f\x7f\"#%'*/:=?\\{\[\]^]", lambda m: f"%{ord(m[0]):02X}", session) if session else "__HIVE_DEFAULT_PARTITION__"
+                    os.makedirs(f"{folder}/session_id={name}", exist_ok=True)
+                    out, last, n = open(f"{folder}/session_id={name}/part-{part:05d}-{run}.json", "w", encoding="utf-8", newline="\n"), session, n + 1  # noqa: SIM115
+                out.write(line + "\n")
+        if out:
+            out.close()
+        yield pd.DataFrame({"n": [n]})
+
+    return put
+
+
 def write_views(rows: DataFrame, path: str, order: list[str]) -> None:
     """One JSON file a session, in a folder of its name, in the given order. Tasks put their files in place themselves: there are as many as sessions,
-    too many for the driver to move one by one. The number of tasks is given, as few bytes in many files would else be put together into few tasks."""
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartition(tasks, "session_id").sortWithinPartitions("session_id", *order).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("session_id").json(path)
+    too many for the driver to move one by one. The number of tasks is given, as few bytes in many files would else be put together into few tasks.
+    In a file system that the machines mount, tasks open the files themselves: Hadoop's commit starts processes for the rights of each file, folder and checksum."""
+    spark = rows.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartition(tasks, "session_id").sortWithinPartitions("session_id", *order)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.getUri().getScheme() == "file":
+        folder = files.makeQualified(target).toUri().getPath()
+        os.makedirs(folder)
+        line = F.to_json(F.struct(*(c for c in rows.columns if c != "session_id")))
+        placed.select(F.nullif("session_id", F.lit("")).alias("session_id"), line.alias("line")).mapInPandas(_own_files(folder, uuid.uuid4().hex), "n long").agg(F.sum("n")).collect()
+        return
+    placed.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("session_id").json(path)
